@@ -10,39 +10,38 @@ from lociframe.bindings.registry import query
 from lociframe.session import shared_dir
 from lociframe.sources import read_commented_tsv, read_file_metadata, read_tsv, scan_manifest, write_tsv
 
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 100_000
 COLUMNS = ("order_id", "product_type", "product_id")
 STRINGS = ", ".join(f"{name} STRING" for name in COLUMNS)
 
 
 def _write_commented(t: Tables) -> str:
-    """One gzip-compressed file per order and range of product ids: three ``#``
-    lines, the header, the rows, and a last ``#`` line. The id range bounds a
-    file, so a large order is spread over several."""
+    """One gzip-compressed file per product type and range of product ids: three
+    ``#`` lines, the header, the rows, and a last ``#`` line. The id range bounds
+    every file, so a frequent type is spread over many."""
+    keys = ["product_type", "part"]
     rows = t.v_versions.withColumn("part", F.expr(f"product_id div {ROWS_PER_FILE}"))
-    order = F.col("order_id").cast("string")
     part = F.col("part").cast("string")
 
     def framed(place: int, *text) -> F.Column:
         return F.struct(F.lit(place).cast("bigint").alias("place"), F.concat(*text).alias("value"))
 
     frame = F.array(
-        framed(-4, F.lit("# order = "), order, F.lit("\tnot part of the value")),
+        framed(-4, F.lit("# type = "), F.col("product_type"), F.lit("\tnot part of the value")),
         framed(-3, F.lit("#part="), part, F.lit("=ignored")),
         framed(-2, F.lit("##state = draft")),
         framed(-1, F.lit("\t".join(COLUMNS))),
         framed((1 << 62), F.lit("# state = final")),
     )
-    frames = rows.select("order_id", "part").distinct().select("order_id", "part", F.inline(frame))
-    data = rows.select(
-        "order_id", "part", F.col("product_id").alias("place"), F.concat_ws("\t", *COLUMNS).alias("value")
-    )
+    frames = rows.select(*keys).distinct().select(*keys, F.inline(frame))
+    data = rows.select(*keys, F.col("product_id").alias("place"), F.concat_ws("\t", *COLUMNS).alias("value"))
     folder = shared_dir(t.spark, "commented")
-    lines = frames.unionByName(data).repartition("order_id", "part")
     (
-        lines.sortWithinPartitions("order_id", "part", "place")
-        .select("order_id", "part", "value")
-        .write.partitionBy("order_id", "part")
+        frames.unionByName(data)
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "place")
+        .select(*keys, "value")
+        .write.partitionBy(*keys)
         .option("compression", "gzip")
         .text(folder)
     )
@@ -60,14 +59,14 @@ def _(t):
 
 @query(
     "file_metadata",
-    f"""SELECT DISTINCT CAST(order_id AS VARCHAR) AS "order", CAST(product_id // {ROWS_PER_FILE} AS VARCHAR) AS part,
+    f"""SELECT DISTINCT product_type AS "type", CAST(product_id // {ROWS_PER_FILE} AS VARCHAR) AS part,
      'final' AS state, 3 AS entries FROM v_versions""",
 )
 def _(t):
     files = read_file_metadata(t.spark, _write_commented(t))
     entry = F.col("metadata")
     return files.select(
-        entry["order"].alias("order"),
+        entry["type"].alias("type"),
         entry["part"].alias("part"),
         entry["state"].alias("state"),
         F.size(entry).alias("entries"),
@@ -75,18 +74,17 @@ def _(t):
 
 
 def _write_abundance(t: Tables) -> tuple[str, DataFrame]:
-    """A folder of abundance files, one or more per sample, and a manifest of them."""
+    """A folder of abundance files, each of one gene, and a manifest that names each file's gene."""
     folder = shared_dir(t.spark, "abundance")
-    write_tsv(t.v_abundance, folder, partition_by=["sample"])
-    written = t.spark.read.option("header", True).option("sep", "\t").schema("gene STRING, counts BIGINT, sample STRING").csv(folder)
-    manifest = written.select("sample", F.col("_metadata.file_path").alias("url")).distinct()
-    return folder, manifest
+    write_tsv(t.v_abundance, folder, partition_by=["gene"])
+    written = read_tsv(t.spark, folder, "sample STRING, counts BIGINT, gene STRING")
+    return folder, written.select("gene", F.col("_metadata.file_path").alias("url")).distinct()
 
 
 @query("manifest_scan", "SELECT sample, gene, counts FROM v_abundance")
 def _(t):
     folder, manifest = _write_abundance(t)
-    rows = scan_manifest(t.spark, manifest, "url", folder, "gene STRING, counts BIGINT")
+    rows = scan_manifest(t.spark, manifest, "url", folder, "sample STRING, counts BIGINT")
     return rows.select("sample", "gene", "counts")
 
 

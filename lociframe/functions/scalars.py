@@ -15,6 +15,8 @@ SECOND_ONLY = "Bioinformatics only"
 FILE_LABEL = "yyyyMMdd-HHmmss"
 RUN_LABEL = "yyyy-MM-dd-HH-mm"
 
+WORD_BREAK = "[ \n\t\r]+"
+
 
 def text_flag(text: Column, needle: str) -> Column:
     """1 where ``text`` holds ``needle`` in any case, else 0; NULL text gives 0."""
@@ -64,5 +66,5 @@ def cut_at_stop(text: Column, stop: str) -> Column:
 
 def words(text: Column) -> Column:
     """The blank-separated words of a whole text; NULL or blank text gives []."""
-    pieces = F.split(F.coalesce(text, F.lit("")), "[ \n\t\r]+")
+    pieces = F.split(F.coalesce(text, F.lit("")), WORD_BREAK)
     return F.filter(pieces, lambda piece: piece != "")

@@ -13,10 +13,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.operators.genome import LossRules, bases_where, is_deep_loss, is_loh
-from lociframe.operators.overlap import overlap_join
+from lociframe.operators.genome import (
+    LossRules,
+    arm_regions,
+    autosomal,
+    sum_where,
+    gene_regions,
+    is_loh,
+    region_losses,
+)
 
-LOSS_SUMS = ("loh_bp", "deep_loss_bp", "deep_loss_probes")
+LOSS_SUMS = ("covered_bp", "loh_bp", "deep_loss_bp", "deep_loss_probes")
 VARIANT_COUNTS = (
     "somatic_pathogenic_count",
     "germline_pathogenic_count",
@@ -38,23 +45,14 @@ def _int(condition: Column) -> Column:
 
 
 def gene_losses(segments: DataFrame, genes: DataFrame, key: str = "analysis_id") -> DataFrame:
-    """LOH bases, deep-loss bases and deep-loss segments within each touched gene."""
-    pairs = overlap_join(
-        segments,
-        genes.select("gene", "chrom", "gene_start", "gene_end"),
-        "chrom",
-        ("seg_start", "seg_end"),
-        ("gene_start", "gene_end"),
-    )
-    bases = F.col("overlap_bp")
-    sums = pairs.groupBy(key, "gene").agg(
-        bases_where(is_loh(), bases).alias("loh_bp"),
-        bases_where(is_deep_loss(), bases).alias("deep_loss_bp"),
-        F.count_if(is_deep_loss()).alias("deep_loss_probes"),
-        F.max(F.col("gene_end") - F.col("gene_start")).alias("gene_bp"),
-    )
-    return sums.withColumn("loh_proportion", F.try_divide("loh_bp", "gene_bp")).withColumn(
-        "deep_loss_proportion", F.try_divide("deep_loss_bp", "gene_bp")
+    """LOH share, deep-loss share and deep-loss segments within each touched gene."""
+    sums = region_losses(segments, gene_regions(genes), key)
+    return sums.select(
+        key,
+        F.col("name").alias("gene"),
+        F.try_divide("loh_bp", "region_bp").alias("loh_proportion"),
+        F.try_divide("deep_loss_bp", "region_bp").alias("deep_loss_proportion"),
+        "deep_loss_probes",
     )
 
 
@@ -110,12 +108,65 @@ def scaffold(orders: DataFrame, genes: DataFrame, max_panel: int = 50_000) -> Da
     order row unfolds. A gene list beyond ``max_panel`` is refused, because a
     dense order-by-gene table is only meant for a panel.
     """
-    entry = F.struct("gene", "interested", F.expr("gene_end - gene_start").alias("gene_bp"))
+    entry = F.struct(
+        F.col("gene").alias("name"),
+        F.col("interested").cast("int").alias("interested_gene"),
+        F.expr("gene_end - gene_start").alias("region_bp"),
+    )
     listed = F.when(F.count(F.lit(1)) <= max_panel, F.collect_list(entry)).otherwise(
         F.raise_error(F.lit(f"gene panel has more than {max_panel} genes"))
     )
     panel = genes.filter("reported").agg(listed.alias("panel"))
-    return orders.select("*", F.inline(panel.scalar())).withColumn("interested", F.col("interested").cast("int"))
+    return orders.select("*", F.lit("gene").alias("kind"), F.inline(panel.scalar()))
+
+
+def evidence(
+    orders: DataFrame,
+    segments: DataFrame,
+    variants: DataFrame,
+    genes: DataFrame,
+    arms: DataFrame | None = None,
+    key: str = "analysis_id",
+    rules: LossRules = LossRules(),
+) -> DataFrame:
+    """All evidence per analysis and region: every order by every reported gene
+    and, with ``arms``, the chromosome arms and the genome as a whole.
+
+    The dense order-by-gene rows, the loss sums, the variant counts and the
+    genome-wide sums are stacked and reduced by one aggregation on (analysis,
+    region). It takes the place of one outer join per measure, combines on the
+    map side, and stays even when one analysis holds much of the data.
+    """
+    regions = gene_regions(genes.filter("reported"))
+    if arms is not None:
+        regions = regions.unionByName(arm_regions(arms, rules))
+    stacked = scaffold(orders.select(key, "order_id", "cancer_cohort"), genes)
+    counted = variant_summary(variants, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))
+    parts = [region_losses(segments, regions, key).drop("region_bp"), counted]
+    if arms is not None:
+        bases = F.col("seg_end") - F.col("seg_start")
+        parts.append(
+            autosomal(segments, rules).select(
+                key,
+                F.lit("genome").alias("kind"),
+                F.lit("").alias("name"),
+                bases.alias("covered_bp"),
+                F.when(is_loh(), bases).otherwise(0).alias("loh_bp"),
+            )
+        )
+    for part in parts:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    zero_filled = (*LOSS_SUMS, *VARIANT_COUNTS, "loh_reported", "deep_loss_reported")
+    merged = stacked.groupBy(key, "kind", "name").agg(
+        *(F.max(name).alias(name) for name in ("order_id", "cancer_cohort", "interested_gene", "region_bp", "vaf_difference")),
+        *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in zero_filled),
+    )
+    off_panel = (F.col("kind") == "gene") & F.col("region_bp").isNull()
+    return (
+        merged.filter(~off_panel)
+        .withColumn("loh_proportion", F.try_divide("loh_bp", "region_bp"))
+        .withColumn("deep_loss_proportion", F.try_divide("deep_loss_bp", "region_bp"))
+    )
 
 
 def gene_table(
@@ -127,33 +178,38 @@ def gene_table(
     loss_rules: LossRules = LossRules(),
     hit_rules: HitRules = HitRules(),
 ) -> DataFrame:
-    """The order-by-reported-gene table.
+    """The order-by-reported-gene table with reportable losses and hits."""
+    rows = evidence(orders, segments, variants, genes, None, key, loss_rules)
+    rows = rows.filter(F.col("order_id").isNotNull()).withColumnRenamed("name", "gene").drop("kind")
+    return add_hits(add_reportable(rows, loss_rules), hit_rules)
 
-    The dense order-by-gene rows, the loss sums and the variant counts are
-    stacked and reduced by one aggregation on (analysis, gene), which replaces
-    two outer joins and stays even when one analysis holds much of the data.
-    """
-    reported = genes.filter("reported")
-    rows = scaffold(orders.select(key, "order_id", "cancer_cohort"), genes)
-    losses = gene_losses(segments, reported, key).select(key, "gene", *LOSS_SUMS)
-    stacked = rows.unionByName(losses, allowMissingColumns=True).unionByName(
-        variant_summary(variants, key), allowMissingColumns=True
-    )
-    zero_filled = (*LOSS_SUMS, *VARIANT_COUNTS, "loh_reported", "deep_loss_reported")
-    merged = stacked.groupBy(key, "gene").agg(
+
+def order_table(
+    orders: DataFrame,
+    segments: DataFrame,
+    arms: DataFrame,
+    variants: DataFrame,
+    genes: DataFrame,
+    key: str = "analysis_id",
+    loss_rules: LossRules = LossRules(),
+    hit_rules: HitRules = HitRules(),
+) -> DataFrame:
+    """One row per order: genome-wide measures and hit summary, by two aggregations and no join of large tables."""
+    rows = evidence(orders, segments, variants, genes, arms, key, loss_rules)
+    rows = add_hits(add_reportable(rows, loss_rules), hit_rules)
+    genome, arm = F.col("kind") == "genome", F.col("kind") == "arm"
+    lost = arm & (F.try_divide("loh_bp", "covered_bp") >= loss_rules.arm_lost)
+    kept_loh = F.sum(F.when(arm & ~lost, F.col("loh_bp")).when(arm, 0))
+    base = arm & ~lost if loss_rules.drop_lost_arms_from_denominator else arm
+    table = rows.groupBy(key).agg(
         F.max("order_id").alias("order_id"),
         F.max("cancer_cohort").alias("cancer_cohort"),
-        F.max("interested").alias("interested_gene"),
-        F.max("gene_bp").alias("gene_bp"),
-        F.max("vaf_difference").alias("vaf_difference"),
-        *(F.coalesce(F.max(name), F.lit(0)).alias(name) for name in zero_filled),
+        F.max(F.when(genome, F.try_divide("loh_bp", "covered_bp"))).alias("genome_wide_loh_proportion_inclusive"),
+        F.try_divide(kept_loh, F.sum(F.when(base, F.col("covered_bp")))).alias("genome_wide_loh_proportion_exclusive"),
+        F.when(F.count_if(arm) > 0, F.count_if(lost).cast("int")).alias("lost_chromosome_arms_count"),
+        *_hit_measures(F.col("kind") == "gene"),
     )
-    shares = (
-        merged.filter(F.col("order_id").isNotNull())
-        .withColumn("loh_proportion", F.try_divide("loh_bp", "gene_bp"))
-        .withColumn("deep_loss_proportion", F.try_divide("deep_loss_bp", "gene_bp"))
-    )
-    return add_hits(add_reportable(shares, loss_rules), hit_rules)
+    return table.filter(F.col("order_id").isNotNull())
 
 
 def add_hits(df: DataFrame, rules: HitRules = HitRules()) -> DataFrame:
@@ -169,21 +225,26 @@ def add_hits(df: DataFrame, rules: HitRules = HitRules()) -> DataFrame:
     )
 
 
-def hit_summary(gene_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-level hits over interested and over reported genes, and the pathogenic count."""
+def _hit_measures(gene_row: Column) -> list[Column]:
+    single, double = gene_row & (F.col("single_hit") == 1), gene_row & (F.col("double_hit") == 1)
     interested = F.col("interested_gene") == 1
+    pathogenic = F.col("somatic_pathogenic_count") + F.col("germline_pathogenic_count")
 
-    def any_hit(condition: Column) -> Column:
+    def any_row(condition: Column) -> Column:
         return F.max(_int(condition)) == 1
 
-    single, double = F.col("single_hit") == 1, F.col("double_hit") == 1
-    return gene_rows.groupBy(*keys).agg(
-        F.sum(F.col("somatic_pathogenic_count") + F.col("germline_pathogenic_count")).alias("pathogenic_var_count"),
-        any_hit(single & interested).alias("single_hit_interested_genes"),
-        any_hit(double & interested).alias("double_hit_interested_genes"),
-        any_hit(single).alias("single_hit_reported_genes"),
-        any_hit(double).alias("double_hit_reported_genes"),
-    )
+    return [
+        sum_where(gene_row, pathogenic).alias("pathogenic_var_count"),
+        any_row(single & interested).alias("single_hit_interested_genes"),
+        any_row(double & interested).alias("double_hit_interested_genes"),
+        any_row(single).alias("single_hit_reported_genes"),
+        any_row(double).alias("double_hit_reported_genes"),
+    ]
+
+
+def hit_summary(gene_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Order-level hits over interested and over reported genes, and the pathogenic count."""
+    return gene_rows.groupBy(*keys).agg(*_hit_measures(F.lit(True)))
 
 
 def hrd_cohort() -> Column:

@@ -37,8 +37,8 @@ def is_deep_loss() -> Column:
     return F.col("total_cn") == 0
 
 
-def bases_where(condition: Column, bases: Column) -> Column:
-    return F.sum(F.when(condition, bases).otherwise(0))
+def sum_where(condition: Column, value: Column) -> Column:
+    return F.sum(F.when(condition, value).otherwise(0))
 
 
 def autosomal(df: DataFrame, rules: LossRules) -> DataFrame:
@@ -48,30 +48,60 @@ def autosomal(df: DataFrame, rules: LossRules) -> DataFrame:
 def gwloh_inclusive(segments: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()) -> DataFrame:
     """LOH share of all autosomal bases, lost arms included."""
     bases = F.col("seg_end") - F.col("seg_start")
-    share = F.try_divide(bases_where(is_loh(), bases), F.sum(bases))
+    share = F.try_divide(sum_where(is_loh(), bases), F.sum(bases))
     return autosomal(segments, rules).groupBy(key).agg(share.alias("genome_wide_loh_proportion_inclusive"))
 
 
+def gene_regions(genes: DataFrame) -> DataFrame:
+    return _regions(genes, "gene", F.col("gene"), "gene_start", "gene_end")
+
+
+def arm_regions(arms: DataFrame, rules: LossRules = LossRules()) -> DataFrame:
+    name = F.concat(F.col("chrom").cast("string"), F.col("arm"))
+    return _regions(autosomal(arms, rules), "arm", name, "arm_start", "arm_end")
+
+
+def _regions(df: DataFrame, kind: str, name: Column, start: str, end: str) -> DataFrame:
+    return df.select(
+        F.lit(kind).alias("kind"),
+        name.alias("name"),
+        "chrom",
+        F.col(start).cast("bigint").alias("region_start"),
+        F.col(end).cast("bigint").alias("region_end"),
+    )
+
+
+def region_losses(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """Covered, LOH and deep-loss bases and deep-loss segments per analysis and touched region."""
+    pairs = overlap_join(segments, regions, "chrom", ("seg_start", "seg_end"), ("region_start", "region_end"))
+    bases = F.col("overlap_bp")
+    return pairs.groupBy(key, "kind", "name").agg(
+        F.sum(bases).alias("covered_bp"),
+        sum_where(is_loh(), bases).alias("loh_bp"),
+        sum_where(is_deep_loss(), bases).alias("deep_loss_bp"),
+        F.count_if(is_deep_loss()).alias("deep_loss_probes"),
+        F.max(F.col("region_end") - F.col("region_start")).alias("region_bp"),
+    )
+
+
 def arm_shares(
     segments: DataFrame, arms: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()
 ) -> DataFrame:
-    """Segment bases, LOH bases and LOH share per analysis and chromosome arm."""
-    clipped = overlap_join(
-        autosomal(segments, rules), arms, "chrom", ("seg_start", "seg_end"), ("arm_start", "arm_end"), 25_000_000
-    )
-    bases = F.col("overlap_bp")
-    return (
-        clipped.groupBy(key, "chrom", "arm")
-        .agg(F.sum(bases).alias("arm_bp"), bases_where(is_loh(), bases).alias("arm_loh_bp"))
-        .withColumn("arm_loh_share", F.try_divide("arm_loh_bp", "arm_bp"))
+    """Covered bases, LOH bases and LOH share per analysis and chromosome arm."""
+    return region_losses(segments, arm_regions(arms, rules), key).select(
+        key,
+        F.col("name").alias("arm"),
+        F.col("covered_bp").alias("arm_bp"),
+        F.col("loh_bp").alias("arm_loh_bp"),
+        F.try_divide("loh_bp", "covered_bp").alias("arm_loh_share"),
     )
 
 
 def arm_summary(shares: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()) -> DataFrame:
     """LOH share without lost arms, and how many arms are lost, in one pass."""
     lost = F.col("arm_loh_share") >= rules.arm_lost
-    kept = bases_where(~lost, F.col("arm_loh_bp"))
-    base = bases_where(~lost, F.col("arm_bp")) if rules.drop_lost_arms_from_denominator else F.sum("arm_bp")
+    kept = sum_where(~lost, F.col("arm_loh_bp"))
+    base = sum_where(~lost, F.col("arm_bp")) if rules.drop_lost_arms_from_denominator else F.sum("arm_bp")
     return shares.groupBy(key).agg(
         F.try_divide(kept, base).alias("genome_wide_loh_proportion_exclusive"),
         F.count_if(lost).cast("int").alias("lost_chromosome_arms_count"),

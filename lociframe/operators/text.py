@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lociframe.functions.arrays import BEGIN_ID, END_ID, SEQUENCE_LENGTH, UNKNOWN_ID
 from lociframe.functions.prompts import AnswerSpec
-from lociframe.functions.scalars import words
+from lociframe.functions.scalars import WORD_BREAK, words
 
 FIRST_WORD_ID = END_ID + 1
-MAX_VOCABULARY = 500_000
+LOOKUP_LIMIT = 500_000
 
 
 def build_vocab(df: DataFrame, k: int, text: str = "text") -> DataFrame:
@@ -19,35 +20,57 @@ def build_vocab(df: DataFrame, k: int, text: str = "text") -> DataFrame:
     Counting combines on the map side. The ids are given out over the ``k``
     kept words only.
     """
-    if k > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary holds at most {MAX_VOCABULARY} words")
-    counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("frequency")
-    )
+    tokens = df.select(F.explode(F.split(F.col(text), WORD_BREAK)).alias("token")).filter("token <> ''")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
     order = [F.col("frequency").desc(), F.col("token")]
     top = counts.orderBy(*order).limit(k)
     rank = F.row_number().over(Window.orderBy(*order))
     return top.withColumn("token_id", (rank + (FIRST_WORD_ID - 1)).cast("int"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, vocab: DataFrame, key: str, text: str = "text", out: str = "ids", lookup_limit: int = LOOKUP_LIMIT
+) -> DataFrame:
     """``key`` (unique) and the word ids of the whole text, unknown words as one id.
 
-    The vocabulary is bounded by its ``k`` and broadcast, so frequent words
-    cause no skew. The words of a text leave one scan row and are gathered
-    again on the map side; what is shuffled is one id list per text, and not
-    even that where the input is bucketed by ``key``.
+    A vocabulary of at most ``lookup_limit`` words travels with the tasks and
+    texts are encoded where they are read: one narrow pass, no shuffle, no skew
+    from frequent words. A larger one is joined.
     """
+    listed = vocab.select("token", "token_id").limit(lookup_limit + 1).toArrow()
+    if listed.num_rows > lookup_limit:
+        return encode_by_join(df, vocab, key, text, out)
+    known = listed.column("token").to_pylist()
+    codes = [*listed.column("token_id").to_pylist(), UNKNOWN_ID]
+
+    def lookup(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words_known, ids = pa.array(known, pa.string()), pa.array(codes, pa.int32())
+        for batch in batches:
+            trimmed = pc.utf8_trim(batch.column(text).cast(pa.string()), " \n\t\r")
+            present = pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, pa.string()), trimmed)
+            split = pc.split_pattern_regex(present, WORD_BREAK)
+            at = pc.fill_null(pc.index_in(split.flatten(), value_set=words_known), len(words_known))
+            lengths = pc.fill_null(pc.list_value_length(split), 0)
+            ends = pc.cumulative_sum(lengths).cast(pa.int32())
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            coded = pa.ListArray.from_arrays(offsets, ids.take(at))
+            yield pa.RecordBatch.from_arrays([batch.column(key), coded], [key, out])
+
+    schema = StructType([df.schema[key], StructField(out, ArrayType(IntegerType()))])
+    return df.select(key, text).mapInArrow(lookup, schema)
+
+
+def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """The same for a vocabulary of any size: words meet it by an equi-join and
+    are gathered again per text. AQE splits the partitions of frequent words."""
     tokens = df.select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
-    known = F.broadcast(vocab.select("token", "token_id"))
-    coded = tokens.join(known, "token", "left").select(
-        key,
-        F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))).alias(
-            "__at"
-        ),
-    )
-    gathered = coded.groupBy(key).agg(F.sort_array(F.collect_list("__at")).alias("__all"))
-    return gathered.select(key, F.transform("__all", lambda at: at["id"]).alias(out))
+    coded = tokens.join(vocab.select("token", "token_id"), "token", "left")
+    at = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
+    gathered = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), at))).alias("__all"))
+    return gathered.select(key, F.transform("__all", lambda item: item["id"]).alias(out))
 
 
 def check_examples(

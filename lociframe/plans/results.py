@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.scalars import NOT_DETECTED, POSITIVE
-from lociframe.operators.genes import HitRules, gene_table, hit_summary, hrd_cohort
-from lociframe.operators.genome import LossRules, arm_shares, arm_summary, gwloh_inclusive
+from lociframe.operators.genes import HitRules, gene_table, hrd_cohort, order_table
+from lociframe.operators.genome import LossRules
 
 # The columns of the two result tables, in order.
 GENE_COLUMNS = (
@@ -67,16 +67,9 @@ def order_level(
     loss_rules: LossRules = LossRules(),
     hit_rules: HitRules = HitRules(),
 ) -> DataFrame:
-    """One row per order. The three parts are each reduced to one row per
-    analysis before they meet, so the joins move no segment or variant rows."""
-    hits = hit_summary(
-        gene_table(orders, segments, variants, genes, "analysis_id", loss_rules, hit_rules),
-        ["analysis_id", "order_id", "cancer_cohort"],
-    )
-    inclusive = gwloh_inclusive(segments, "analysis_id", loss_rules)
-    exclusive = arm_summary(arm_shares(segments, arms, "analysis_id", loss_rules), "analysis_id", loss_rules)
-    joined = hits.join(inclusive, "analysis_id", "left").join(exclusive, "analysis_id", "left")
-    return joined.withColumn("hrd_cohort", hrd_cohort()).select(*ORDER_COLUMNS)
+    """One row per order: genome-wide measures, hits and the cohort they put it in."""
+    table = order_table(orders, segments, arms, variants, genes, "analysis_id", loss_rules, hit_rules)
+    return table.withColumn("hrd_cohort", hrd_cohort()).select(*ORDER_COLUMNS)
 
 
 def final_call(orders: DataFrame, score: str, threshold: str = "threshold") -> DataFrame:
