@@ -7,6 +7,7 @@ unchanged in Spark SQL and in the engine that checks the results.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,6 +166,11 @@ def with_inputs(sql: str) -> str:
     return f"WITH {views}\n{body}"
 
 
+@functools.lru_cache(maxsize=8)
+def tables(spark: SparkSession, folder: str) -> Tables:
+    return Tables(spark, folder)
+
+
 class Tables:
     """Test tables and derived views of one data folder, as DataFrames."""
 
@@ -173,11 +179,15 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
+        """A table or view by name; its (lazy) frame is kept, so footers are read once."""
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name in VIEWS:
-            return self.sql(VIEWS[name])
-        raise AttributeError(name)
+            frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        elif name in VIEWS:
+            frame = self.sql(VIEWS[name])
+        else:
+            raise AttributeError(name)
+        setattr(self, name, frame)
+        return frame
 
     def sql(self, text: str) -> DataFrame:
         frames = {name: getattr(self, name) for name in reads(text)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociframe.bindings.inputs import Tables, with_inputs
+from lociframe.bindings.inputs import Tables, tables, with_inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -19,7 +19,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Callable[[Tables],
     def register(build: Callable[[Tables], DataFrame]) -> Callable:
         if name in _queries:
             raise ValueError(f"{name} is registered twice")
-        _queries[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        _queries[name] = lambda spark, sf_dir: build(tables(spark, sf_dir))
         if oracle is not None:
             _oracles[name] = with_inputs(oracle)
         return build

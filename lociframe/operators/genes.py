@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.operators.genome import (
+    LOSS_SUMS,
     LossRules,
     arm_regions,
-    autosomal,
-    sum_where,
     gene_regions,
     is_loh,
+    loss_rows,
     region_losses,
+    sum_where,
 )
 
-LOSS_SUMS = ("covered_bp", "loh_bp", "deep_loss_bp", "deep_loss_probes")
 VARIANT_COUNTS = (
     "somatic_pathogenic_count",
     "germline_pathogenic_count",
@@ -60,33 +60,47 @@ def add_reportable(df: DataFrame, rules: LossRules = LossRules()) -> DataFrame:
     deep = (F.col("deep_loss_proportion") >= rules.deep_loss_reportable) & (
         F.col("deep_loss_probes") >= rules.deep_loss_min_probes
     )
-    return df.withColumn("loh_reportable", _int(F.col("loh_proportion") >= rules.loh_reportable)).withColumn(
-        "deep_loss_reportable", _int(deep)
+    return df.withColumns(
+        {
+            "loh_reportable": _int(F.col("loh_proportion") >= rules.loh_reportable),
+            "deep_loss_reportable": _int(deep),
+        }
     )
 
 
-def variant_summary(variants: DataFrame, key: str = "analysis_id") -> DataFrame:
-    """The four counts, the two reported losses and the allele-frequency gap per gene, in one pass."""
+def variant_rows(variants: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """What each variant adds to its gene; sum these by (key, gene), but keep the greatest gap."""
     short = F.col("alteration") == "short"
-    germline = F.col("origin") == "germline"
-
-    def count(origin: str, classification: str) -> Column:
-        return F.count_if(short & (F.col("origin") == origin) & (F.col("classification") == classification))
-
-    def reported(loss: str) -> Column:
-        return F.max(_int(F.col("alteration") == loss))
-
-    return variants.groupBy(key, "gene").agg(
-        count("somatic", "pathogenic").alias("somatic_pathogenic_count"),
-        count("germline", "pathogenic").alias("germline_pathogenic_count"),
-        count("somatic", "vus").alias("somatic_vus_count"),
-        count("germline", "vus").alias("germline_vus_count"),
-        reported("loh").alias("loh_reported"),
-        reported("deep_loss").alias("deep_loss_reported"),
-        F.max(F.when(short & germline, F.col("somatic_vaf") - F.col("germline_vaf"))).alias("vaf_difference"),
+
+    def one(origin: str, classification: str) -> Column:
+        hit = short & (F.col("origin") == origin) & (F.col("classification") == classification)
+        return F.when(hit, F.lit(1).cast("bigint")).otherwise(0)
+
+    return variants.select(
+        key,
+        "gene",
+        one("somatic", "pathogenic").alias("somatic_pathogenic_count"),
+        one("germline", "pathogenic").alias("germline_pathogenic_count"),
+        one("somatic", "vus").alias("somatic_vus_count"),
+        one("germline", "vus").alias("germline_vus_count"),
+        _int(F.col("alteration") == "loh").alias("loh_reported"),
+        _int(F.col("alteration") == "deep_loss").alias("deep_loss_reported"),
+        F.when(short & (F.col("origin") == "germline"), F.col("somatic_vaf") - F.col("germline_vaf")).alias(
+            "vaf_difference"
+        ),
     )
 
 
+def _variant_measures() -> list[Column]:
+    sums = [F.sum(name).alias(name) for name in VARIANT_COUNTS]
+    return sums + [F.max(name).alias(name) for name in ("loh_reported", "deep_loss_reported", "vaf_difference")]
+
+
+def variant_summary(variants: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """The four counts, the two reported losses and the allele-frequency gap per gene, in one pass."""
+    return variant_rows(variants, key).groupBy(key, "gene").agg(*_variant_measures())
+
+
 def pathogenic_count(variants: DataFrame, genes: DataFrame, key: str = "analysis_id") -> DataFrame:
     """Pathogenic short variants in reported genes, per analysis."""
     listed = genes.filter("reported").select("gene")
@@ -101,23 +115,18 @@ def gene_flags(df: DataFrame, genes: DataFrame) -> DataFrame:
     return joined.select(*df.columns, _int(F.col("__i")).alias("interested_gene"), _int(F.col("__r")).alias("reported_gene"))
 
 
-def scaffold(orders: DataFrame, genes: DataFrame, max_panel: int = 50_000) -> DataFrame:
-    """One row per order and reported gene, without a join.
+def scaffold(orders: DataFrame, regions: DataFrame, max_panel: int = 50_000) -> DataFrame:
+    """One row per order and region, without a join.
 
-    The reported genes are one bounded list (a scalar subquery) that every
-    order row unfolds. A gene list beyond ``max_panel`` is refused, because a
-    dense order-by-gene table is only meant for a panel.
+    The regions are one bounded list (a scalar subquery) that every order row
+    unfolds. A list beyond ``max_panel`` is refused, because a dense
+    order-by-region table is only meant for a panel.
     """
-    entry = F.struct(
-        F.col("gene").alias("name"),
-        F.col("interested").cast("int").alias("interested_gene"),
-        F.expr("gene_end - gene_start").alias("region_bp"),
-    )
+    entry = F.struct("kind", "name", "interested_gene", "region_bp")
     listed = F.when(F.count(F.lit(1)) <= max_panel, F.collect_list(entry)).otherwise(
-        F.raise_error(F.lit(f"gene panel has more than {max_panel} genes"))
+        F.raise_error(F.lit(f"panel has more than {max_panel} regions"))
     )
-    panel = genes.filter("reported").agg(listed.alias("panel"))
-    return orders.select("*", F.lit("gene").alias("kind"), F.inline(panel.scalar()))
+    return orders.select("*", F.inline(regions.agg(listed.alias("panel")).scalar()))
 
 
 def evidence(
@@ -129,43 +138,49 @@ def evidence(
     key: str = "analysis_id",
     rules: LossRules = LossRules(),
 ) -> DataFrame:
-    """All evidence per analysis and region: every order by every reported gene
-    and, with ``arms``, the chromosome arms and the genome as a whole.
-
-    The dense order-by-gene rows, the loss sums, the variant counts and the
-    genome-wide sums are stacked and reduced by one aggregation on (analysis,
-    region). It takes the place of one outer join per measure, combines on the
-    map side, and stays even when one analysis holds much of the data.
+    """All evidence for every order and reported gene and, with ``arms``, for
+    the chromosome arms and the genome as a whole.
+
+    Segment overlaps, variants and genome-wide lengths are stacked row by row
+    and reduced by one aggregation on (analysis, region), so each source is
+    shuffled once, after map-side combining, and one analysis that holds much
+    of the data is spread over its regions. The dense order rows then join on
+    the same keys, for which the sums are already in place.
     """
-    regions = gene_regions(genes.filter("reported"))
+    reported = genes.filter("reported")
+    regions = gene_regions(reported)
+    marks = reported.select(F.col("gene").alias("name"), F.col("interested").cast("int").alias("interested_gene"))
+    variant = variant_rows(variants, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))
+    parts = [variant]
     if arms is not None:
         regions = regions.unionByName(arm_regions(arms, rules))
-    stacked = scaffold(orders.select(key, "order_id", "cancer_cohort"), genes)
-    counted = variant_summary(variants, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))
-    parts = [region_losses(segments, regions, key).drop("region_bp"), counted]
-    if arms is not None:
-        bases = F.col("seg_end") - F.col("seg_start")
-        parts.append(
-            autosomal(segments, rules).select(
-                key,
-                F.lit("genome").alias("kind"),
-                F.lit("").alias("name"),
-                bases.alias("covered_bp"),
-                F.when(is_loh(), bases).otherwise(0).alias("loh_bp"),
-            )
+        bases = F.when(F.col("chrom").isin(list(rules.autosomes)), F.col("seg_end") - F.col("seg_start"))
+        genome = segments.select(
+            key,
+            F.lit("genome").alias("kind"),
+            F.lit("").alias("name"),
+            bases.alias("covered_bp"),
+            F.when(is_loh(), bases).otherwise(0).alias("loh_bp"),
         )
+        parts.append(genome)
+    stacked = loss_rows(segments, regions, key).drop("region_bp")
     for part in parts:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
-    zero_filled = (*LOSS_SUMS, *VARIANT_COUNTS, "loh_reported", "deep_loss_reported")
-    merged = stacked.groupBy(key, "kind", "name").agg(
-        *(F.max(name).alias(name) for name in ("order_id", "cancer_cohort", "interested_gene", "region_bp", "vaf_difference")),
-        *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in zero_filled),
-    )
-    off_panel = (F.col("kind") == "gene") & F.col("region_bp").isNull()
-    return (
-        merged.filter(~off_panel)
-        .withColumn("loh_proportion", F.try_divide("loh_bp", "region_bp"))
-        .withColumn("deep_loss_proportion", F.try_divide("deep_loss_bp", "region_bp"))
+    sums = stacked.groupBy(key, "kind", "name").agg(*(F.sum(name).alias(name) for name in LOSS_SUMS), *_variant_measures())
+
+    width = (F.col("region_end") - F.col("region_start")).alias("region_bp")
+    panel = regions.join(marks, "name", "left").select("kind", "name", "interested_gene", width)
+    if arms is not None:
+        panel = panel.unionByName(panel.sparkSession.sql("SELECT 'genome' AS kind, '' AS name"), allowMissingColumns=True)
+    dense = scaffold(orders.select(key, "order_id", "cancer_cohort"), panel)
+    counts = (*LOSS_SUMS, *VARIANT_COUNTS, "loh_reported", "deep_loss_reported")
+    filled = {name: F.coalesce(name, F.lit(0)) for name in counts}
+    return dense.join(sums, [key, "kind", "name"], "left").withColumns(
+        filled
+        | {
+            "loh_proportion": F.try_divide(filled["loh_bp"], "region_bp"),
+            "deep_loss_proportion": F.try_divide(filled["deep_loss_bp"], "region_bp"),
+        }
     )
 
 
@@ -180,8 +195,7 @@ def gene_table(
 ) -> DataFrame:
     """The order-by-reported-gene table with reportable losses and hits."""
     rows = evidence(orders, segments, variants, genes, None, key, loss_rules)
-    rows = rows.filter(F.col("order_id").isNotNull()).withColumnRenamed("name", "gene").drop("kind")
-    return add_hits(add_reportable(rows, loss_rules), hit_rules)
+    return add_hits(add_reportable(rows, loss_rules), hit_rules).withColumnRenamed("name", "gene").drop("kind")
 
 
 def order_table(
@@ -194,22 +208,19 @@ def order_table(
     loss_rules: LossRules = LossRules(),
     hit_rules: HitRules = HitRules(),
 ) -> DataFrame:
-    """One row per order: genome-wide measures and hit summary, by two aggregations and no join of large tables."""
+    """One row per order: genome-wide measures and hit summary."""
     rows = evidence(orders, segments, variants, genes, arms, key, loss_rules)
     rows = add_hits(add_reportable(rows, loss_rules), hit_rules)
-    genome, arm = F.col("kind") == "genome", F.col("kind") == "arm"
+    genome, arm = F.col("kind") == "genome", (F.col("kind") == "arm") & (F.col("covered_bp") > 0)
     lost = arm & (F.try_divide("loh_bp", "covered_bp") >= loss_rules.arm_lost)
     kept_loh = F.sum(F.when(arm & ~lost, F.col("loh_bp")).when(arm, 0))
     base = arm & ~lost if loss_rules.drop_lost_arms_from_denominator else arm
-    table = rows.groupBy(key).agg(
-        F.max("order_id").alias("order_id"),
-        F.max("cancer_cohort").alias("cancer_cohort"),
+    return rows.groupBy(key, "order_id", "cancer_cohort").agg(
         F.max(F.when(genome, F.try_divide("loh_bp", "covered_bp"))).alias("genome_wide_loh_proportion_inclusive"),
         F.try_divide(kept_loh, F.sum(F.when(base, F.col("covered_bp")))).alias("genome_wide_loh_proportion_exclusive"),
         F.when(F.count_if(arm) > 0, F.count_if(lost).cast("int")).alias("lost_chromosome_arms_count"),
         *_hit_measures(F.col("kind") == "gene"),
     )
-    return table.filter(F.col("order_id").isNotNull())
 
 
 def add_hits(df: DataFrame, rules: HitRules = HitRules()) -> DataFrame:
@@ -220,8 +231,8 @@ def add_hits(df: DataFrame, rules: HitRules = HitRules()) -> DataFrame:
     double = pathogenic + loh >= rules.double_hit_alterations
     if rules.deep_loss_is_double:
         double = double | (F.col("deep_loss_reportable") == 1)
-    return df.withColumn("single_hit", _int((loh == 1) | (vus > 0) | (pathogenic >= 1))).withColumn(
-        "double_hit", _int(double)
+    return df.withColumns(
+        {"single_hit": _int((loh == 1) | (vus > 0) | (pathogenic >= 1)), "double_hit": _int(double)}
     )
 
 

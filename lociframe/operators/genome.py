@@ -71,19 +71,31 @@ def _regions(df: DataFrame, kind: str, name: Column, start: str, end: str) -> Da
     )
 
 
-def region_losses(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
-    """Covered, LOH and deep-loss bases and deep-loss segments per analysis and touched region."""
+LOSS_SUMS = ("covered_bp", "loh_bp", "deep_loss_bp", "deep_loss_probes")
+
+
+def loss_rows(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """What each segment adds to each region it touches; sum these by (key, kind, name)."""
     pairs = overlap_join(segments, regions, "chrom", ("seg_start", "seg_end"), ("region_start", "region_end"))
-    bases = F.col("overlap_bp")
-    return pairs.groupBy(key, "kind", "name").agg(
-        F.sum(bases).alias("covered_bp"),
-        sum_where(is_loh(), bases).alias("loh_bp"),
-        sum_where(is_deep_loss(), bases).alias("deep_loss_bp"),
-        F.count_if(is_deep_loss()).alias("deep_loss_probes"),
-        F.max(F.col("region_end") - F.col("region_start")).alias("region_bp"),
+    bases, deep = F.col("overlap_bp"), is_deep_loss()
+    return pairs.select(
+        key,
+        "kind",
+        "name",
+        bases.alias("covered_bp"),
+        F.when(is_loh(), bases).otherwise(0).alias("loh_bp"),
+        F.when(deep, bases).otherwise(0).alias("deep_loss_bp"),
+        F.when(deep, F.lit(1).cast("bigint")).otherwise(0).alias("deep_loss_probes"),
+        (F.col("region_end") - F.col("region_start")).alias("region_bp"),
     )
 
 
+def region_losses(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """Covered, LOH and deep-loss bases and deep-loss segments per analysis and touched region."""
+    sums = (F.sum(name).alias(name) for name in LOSS_SUMS)
+    return loss_rows(segments, regions, key).groupBy(key, "kind", "name").agg(*sums, F.max("region_bp").alias("region_bp"))
+
+
 def arm_shares(
     segments: DataFrame, arms: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()
 ) -> DataFrame:
