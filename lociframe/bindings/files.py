@@ -10,7 +10,7 @@ from lociframe.bindings.registry import query
 from lociframe.session import shared_dir
 from lociframe.sources import read_commented_tsv, read_file_metadata, read_tsv, scan_manifest, write_tsv
 
-ROWS_PER_FILE = 100_000
+ROWS_PER_FILE = 10_000_000
 COLUMNS = ("order_id", "product_type", "product_id")
 STRINGS = ", ".join(f"{name} STRING" for name in COLUMNS)
 

@@ -18,9 +18,10 @@ from lociframe.operators.genes import (
     variant_summary,
 )
 from lociframe.operators.genome import LossRules, gwloh_exclusive, gwloh_inclusive, lost_arms
+from lociframe.operators.joins import default_category
 from lociframe.operators.overlap import overlap_join
 from lociframe.operators.scoring import abundance_matrix, normalize_abundance, score_groups, weighted_score
-from lociframe.plans.cohort import dna_scores, rna_scores, union_scores
+from lociframe.plans.cohort import DEFAULT_COHORT, dna_scores, rna_scores, union_scores
 from lociframe.plans.results import final_call, gene_level, order_level
 
 RULES = LossRules(loh_reportable=0.8, deep_loss_reportable=0.8)
@@ -306,9 +307,6 @@ def _(t):
 
 
 def _rna(t: Tables, scores):
-    from lociframe.operators.joins import default_category
-    from lociframe.plans.cohort import DEFAULT_COHORT
-
     metadata = default_category(t.v_rna_analyses, "cancer_cohort", t.v_thresholds, DEFAULT_COHORT)
     return rna_scores(metadata, scores, RNA_THRESHOLD).withColumn("hrd_score", F.round("hrd_score", 6))
 

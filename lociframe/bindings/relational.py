@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociframe.bindings.registry import query
 from lociframe.functions.arrays import first_of_type
-from lociframe.functions.scalars import agreement, json_text, run_label, score_or_null, threshold_call
+from lociframe.functions.scalars import RUN_LABEL, agreement, json_text, run_label, score_or_null, threshold_call
 from lociframe.operators.aggregates import (
     agreement_table,
     best_checkpoint,
@@ -139,8 +139,6 @@ def _(t):
     "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS file_label, strftime(ts, '%Y-%m-%d-%H-%M') AS run_label FROM events",
 )
 def _(t):
-    from lociframe.functions.scalars import RUN_LABEL
-
     return t.events.select(
         "event_id", run_label(F.col("ts")).alias("file_label"), run_label(F.col("ts"), RUN_LABEL).alias("run_label")
     )
@@ -210,7 +208,8 @@ def _(t):
     LEFT JOIN v_analyses a ON v.analysis_id = a.analysis_id WHERE a.assay IN ('A1', 'A3')""",
 )
 def _(t):
-    joined = t.v_variants.join(t.v_analyses.select("analysis_id", "assay"), "analysis_id", "left")
+    pairs = t.v_variants.select("analysis_id", "gene").distinct()  # fewer rows to join, and a large analysis is spread
+    joined = pairs.join(t.v_analyses.select("analysis_id", "assay"), "analysis_id", "left")
     return joined.filter(F.col("assay").isin(list(ASSAYS))).select("analysis_id", "gene", "assay").distinct()
 
 

@@ -23,6 +23,7 @@ from lociframe.operators.genome import (
     region_losses,
     sum_where,
 )
+from lociframe.session import broadcast_if_small
 
 VARIANT_COUNTS = (
     "somatic_pathogenic_count",
@@ -103,19 +104,22 @@ def variant_summary(variants: DataFrame, key: str = "analysis_id") -> DataFrame:
 
 def pathogenic_count(variants: DataFrame, genes: DataFrame, key: str = "analysis_id") -> DataFrame:
     """Pathogenic short variants in reported genes, per analysis."""
-    listed = genes.filter("reported").select("gene")
+    listed, _ = broadcast_if_small(genes.filter("reported").select("gene"))
     hits = F.count_if((F.col("alteration") == "short") & (F.col("classification") == "pathogenic"))
     return variants.join(listed, "gene", "left_semi").groupBy(key).agg(hits.alias("pathogenic_var_count"))
 
 
 def gene_flags(df: DataFrame, genes: DataFrame) -> DataFrame:
     """Mark rows whose gene is an interested or a reported one; unknown genes get 0."""
-    marks = genes.select("gene", F.col("interested").alias("__i"), F.col("reported").alias("__r"))
+    marks, _ = broadcast_if_small(genes.select("gene", F.col("interested").alias("__i"), F.col("reported").alias("__r")))
     joined = df.join(marks, "gene", "left")
     return joined.select(*df.columns, _int(F.col("__i")).alias("interested_gene"), _int(F.col("__r")).alias("reported_gene"))
 
 
-def scaffold(orders: DataFrame, regions: DataFrame, max_panel: int = 50_000) -> DataFrame:
+MAX_PANEL = 50_000
+
+
+def scaffold(orders: DataFrame, regions: DataFrame, max_panel: int = MAX_PANEL) -> DataFrame:
     """One row per order and region, without a join.
 
     The regions are one bounded list (a scalar subquery) that every order row
@@ -145,15 +149,17 @@ def evidence(
     and reduced by one aggregation on (analysis, region), so each source is
     shuffled once, after map-side combining, and one analysis that holds much
     of the data is spread over its regions. The dense order rows then join on
-    the same keys, for which the sums are already in place.
+    the same keys, for which the sums are already in place. Gene and arm lists
+    are cut one row beyond the panel limit, which bounds what is broadcast; a
+    list that long is refused by ``scaffold``, so no result is ever cut.
     """
-    reported = genes.filter("reported")
+    reported = genes.filter("reported").limit(MAX_PANEL + 1)
     regions = gene_regions(reported)
     marks = reported.select(F.col("gene").alias("name"), F.col("interested").cast("int").alias("interested_gene"))
-    variant = variant_rows(variants, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))
-    parts = [variant]
+    on_panel = variants.join(F.broadcast(reported.select("gene")), "gene", "left_semi")
+    parts = [variant_rows(on_panel, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))]
     if arms is not None:
-        regions = regions.unionByName(arm_regions(arms, rules))
+        regions = regions.unionByName(arm_regions(arms, rules).limit(MAX_PANEL + 1))
         bases = F.when(F.col("chrom").isin(list(rules.autosomes)), F.col("seg_end") - F.col("seg_start"))
         genome = segments.select(
             key,
@@ -163,7 +169,7 @@ def evidence(
             F.when(is_loh(), bases).otherwise(0).alias("loh_bp"),
         )
         parts.append(genome)
-    stacked = loss_rows(segments, regions, key).drop("region_bp")
+    stacked = loss_rows(segments, regions, key, few_regions=True).drop("region_bp")
     for part in parts:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
     sums = stacked.groupBy(key, "kind", "name").agg(*(F.sum(name).alias(name) for name in LOSS_SUMS), *_variant_measures())

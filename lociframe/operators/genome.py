@@ -74,9 +74,12 @@ def _regions(df: DataFrame, kind: str, name: Column, start: str, end: str) -> Da
 LOSS_SUMS = ("covered_bp", "loh_bp", "deep_loss_bp", "deep_loss_probes")
 
 
-def loss_rows(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
+def loss_rows(
+    segments: DataFrame, regions: DataFrame, key: str = "analysis_id", few_regions: bool | None = None
+) -> DataFrame:
     """What each segment adds to each region it touches; sum these by (key, kind, name)."""
-    pairs = overlap_join(segments, regions, "chrom", ("seg_start", "seg_end"), ("region_start", "region_end"))
+    bounds = ("seg_start", "seg_end"), ("region_start", "region_end")
+    pairs = overlap_join(segments, regions, "chrom", *bounds, right_is_small=few_regions)
     bases, deep = F.col("overlap_bp"), is_deep_loss()
     return pairs.select(
         key,

@@ -16,7 +16,7 @@ def overlap_join(
     right_bounds: tuple[str, str],
     bin_size: int = 10_000_000,
     salts: int = 16,
-    check_size: bool = True,
+    right_is_small: bool | None = None,
 ) -> DataFrame:
     """Pairs with equal ``key`` whose half-open intervals overlap, plus ``overlap_bp``.
 
@@ -27,15 +27,13 @@ def overlap_join(
     length of the left intervals: they then fall in one or two bins.
 
     ``right`` is the dimension side (genes, arms). It is broadcast when its
-    measured size is in bounds, and ``left`` is then not shuffled at all.
-    Otherwise both sides are shuffled on (key, bin, salt) with the right rows
+    measured size is in bounds, or when the caller vouches for a bound with
+    ``right_is_small``; ``left`` is then not shuffled at all. Otherwise both sides are shuffled on (key, bin, salt) with the right rows
     repeated per salt, because there are few (key, bin) values and one of them
     may hold a large part of the left rows.
     """
     (l_start, l_end), (r_start, r_end) = left_bounds, right_bounds
-    small = False
-    if check_size:
-        right, small = broadcast_if_small(right)
+    small = broadcast_if_small(right)[1] if right_is_small is None else right_is_small
 
     def first_bin(start: str):
         return F.floor(F.col(start) / bin_size)

@@ -44,15 +44,15 @@ def brute(left, right):
     )
 
 
-@pytest.mark.parametrize("check_size", [True, False])
+@pytest.mark.parametrize("small", [None, True, False])
 @pytest.mark.parametrize("bin_size", [7, 50, 10_000])
-def test_overlap_join_equals_brute_force(spark, check_size, bin_size):
+def test_overlap_join_equals_brute_force(spark, small, bin_size):
     rng = random.Random(bin_size)
     left = list(intervals(rng, 300, [1, 2, 3], 1000, 60))
     right = list(intervals(rng, 60, [1, 2, 4], 1000, 200))
     a = spark.createDataFrame(left, "l bigint, k int, ls bigint, le bigint")
     b = spark.createDataFrame(right, "r bigint, k int, rs bigint, re bigint")
-    joined = overlap_join(a, b, "k", *BOUNDS, bin_size=bin_size, check_size=check_size)
+    joined = overlap_join(a, b, "k", *BOUNDS, bin_size=bin_size, right_is_small=small)
     got = sorted((x.l, x.r, x.overlap_bp) for x in joined.collect())
     assert got == brute(left, right)
     assert len(got) == len(set(got))
@@ -66,7 +66,7 @@ def test_overlap_join_plans(spark, plan):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        large = plan(overlap_join(a, b, "k", *BOUNDS, check_size=False))
+        large = plan(overlap_join(a, b, "k", *BOUNDS, right_is_small=False))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in large and "__salt" in large
