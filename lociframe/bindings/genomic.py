@@ -22,7 +22,7 @@ from lociframe.operators.joins import default_category
 from lociframe.operators.overlap import overlap_join
 from lociframe.operators.scoring import abundance_matrix, normalize_abundance, score_groups, weighted_score
 from lociframe.plans.cohort import DEFAULT_COHORT, dna_scores, rna_scores, union_scores
-from lociframe.plans.results import final_call, gene_level, order_level
+from lociframe.plans.results import gene_level, hrd_calls, order_level
 
 RULES = LossRules(loh_reportable=0.8, deep_loss_reportable=0.8)
 METRIC = "dna_gwloh"
@@ -288,9 +288,9 @@ def _(t):
   CASE WHEN h.double_hit_interested_genes OR d.hrd_score > d.threshold THEN 'Positive' ELSE 'Not Detected' END AS hrd_call
  FROM ({_sql_dna(SQL_EXCLUSIVE, "exclusive")}) d JOIN ({SQL_ORDER_HITS}) h ON h.analysis_id = d.analysis_id""")
 def _(t):
-    scored = _dna_exclusive(t).select("analysis_id", "cancer_cohort", "threshold", "hrd_score")
-    hits = _order_hits(t).select("analysis_id", "double_hit_interested_genes")
-    return final_call(scored.join(hits, "analysis_id"), "hrd_score")
+    return hrd_calls(
+        t.v_analyses, t.v_segments, t.v_arms, t.v_variants, t.v_genes, t.v_thresholds, METRIC, RULES
+    )
 
 
 @query("normalize_abundance", f"SELECT sample, gene, counts, ROUND(normalized, 6) AS normalized FROM ({SQL_NORMALIZED}) n")

@@ -1,7 +1,7 @@
 from lociframe.plans.cohort import dna_scores, rna_scores, union_scores
 from lociframe.plans.concordance import concordance, discrepant
 from lociframe.plans.reports import eligible_reports, report_rollup
-from lociframe.plans.results import final_call, gene_level, order_level
+from lociframe.plans.results import final_call, gene_level, hrd_calls, order_level
 from lociframe.plans.training import training_examples
 
 __all__ = [
@@ -11,6 +11,7 @@ __all__ = [
     "eligible_reports",
     "final_call",
     "gene_level",
+    "hrd_calls",
     "order_level",
     "report_rollup",
     "rna_scores",

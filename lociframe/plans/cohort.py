@@ -20,9 +20,8 @@ def dna_scores(metadata: DataFrame, scores: DataFrame, thresholds: DataFrame, me
     ``metadata`` has one row per analysis with ``analysis_id`` and
     ``cancer_cohort``; ``scores`` has ``analysis_id`` and ``hrd_score``.
     """
-    listed = thresholds.filter(F.col("hrd_metric") == metric)
     cohorts = default_category(metadata, "cancer_cohort", thresholds, DEFAULT_COHORT)
-    scored = natural_join(threshold_lookup(cohorts, listed, metric), scores)
+    scored = natural_join(threshold_lookup(cohorts, thresholds, metric), scores)
     return with_call(scored.withColumn("analyte", F.lit(DNA)), "hrd_score")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lociframe.functions.scalars import NOT_DETECTED, POSITIVE
 from lociframe.operators.genes import HitRules, gene_table, hrd_cohort, order_table
 from lociframe.operators.genome import LossRules
+from lociframe.operators.joins import default_category, threshold_lookup
+from lociframe.plans.cohort import DEFAULT_COHORT
 
 # The columns of the two result tables, in order.
 GENE_COLUMNS = (
@@ -72,6 +74,28 @@ def order_level(
     return table.withColumn("hrd_cohort", hrd_cohort()).select(*ORDER_COLUMNS)
 
 
+def hrd_calls(
+    orders: DataFrame,
+    segments: DataFrame,
+    arms: DataFrame,
+    variants: DataFrame,
+    genes: DataFrame,
+    thresholds: DataFrame,
+    metric: str,
+    loss_rules: LossRules = LossRules(),
+    hit_rules: HitRules = HitRules(),
+) -> DataFrame:
+    """Per analysis the exclusive LOH share, its cohort's threshold and the final
+    call. Share and hits come out of the same pass over segments and variants."""
+    table = order_table(orders, segments, arms, variants, genes, "analysis_id", loss_rules, hit_rules)
+    scored = table.withColumnRenamed("genome_wide_loh_proportion_exclusive", "hrd_score")
+    cohorts = default_category(scored, "cancer_cohort", thresholds, DEFAULT_COHORT)
+    called = final_call(threshold_lookup(cohorts, thresholds, metric), "hrd_score")
+    return called.select(
+        "analysis_id", "cancer_cohort", "threshold", "hrd_score", "double_hit_interested_genes", "hrd_call"
+    )
+
+
 def final_call(orders: DataFrame, score: str, threshold: str = "threshold") -> DataFrame:
     """Positive by a double hit in interested genes or by a score strictly above the threshold."""
     above = ~F.isnan(score) & (F.col(score) > F.col(threshold))

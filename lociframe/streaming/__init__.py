@@ -8,7 +8,6 @@ with ``writeStream`` and a ``checkpointLocation`` in shared storage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lociframe.operators.aggregates import latest_version
@@ -32,9 +31,8 @@ def call_stream(scores: DataFrame, thresholds: DataFrame, metric: str) -> DataFr
 
     Only static data is looked up, so no state is kept and late rows are as good as early ones.
     """
-    listed = thresholds.filter(F.col("hrd_metric") == metric)
-    cohorts = default_category(scores, "cancer_cohort", listed, DEFAULT_COHORT)
-    return with_call(threshold_lookup(cohorts, listed, metric), "hrd_score")
+    cohorts = default_category(scores, "cancer_cohort", thresholds, DEFAULT_COHORT)
+    return with_call(threshold_lookup(cohorts, thresholds, metric), "hrd_score")
 
 
 def latest_version_stream(versions: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
