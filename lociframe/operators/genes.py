@@ -23,7 +23,7 @@ from lociframe.operators.genome import (
     region_losses,
     sum_where,
 )
-from lociframe.session import broadcast_if_small
+from lociframe.session import bounded_list, broadcast_if_small
 
 VARIANT_COUNTS = (
     "somatic_pathogenic_count",
@@ -149,17 +149,17 @@ def evidence(
     and reduced by one aggregation on (analysis, region), so each source is
     shuffled once, after map-side combining, and one analysis that holds much
     of the data is spread over its regions. The dense order rows then join on
-    the same keys, for which the sums are already in place. Gene and arm lists
-    are cut one row beyond the panel limit, which bounds what is broadcast; a
-    list that long is refused by ``scaffold``, so no result is ever cut.
+    the same keys, for which the sums are already in place. The reported genes
+    and the arms are bounded lists, which is what allows to broadcast them.
     """
-    reported = genes.filter("reported").limit(MAX_PANEL + 1)
+    columns = ("gene", "chrom", "gene_start", "gene_end", "interested")
+    reported = bounded_list(genes.filter("reported").select(*columns), MAX_PANEL)
     regions = gene_regions(reported)
     marks = reported.select(F.col("gene").alias("name"), F.col("interested").cast("int").alias("interested_gene"))
     on_panel = variants.join(F.broadcast(reported.select("gene")), "gene", "left_semi")
     parts = [variant_rows(on_panel, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))]
     if arms is not None:
-        regions = regions.unionByName(arm_regions(arms, rules).limit(MAX_PANEL + 1))
+        regions = regions.unionByName(arm_regions(bounded_list(arms, MAX_PANEL), rules))
         bases = F.when(F.col("chrom").isin(list(rules.autosomes)), F.col("seg_end") - F.col("seg_start"))
         genome = segments.select(
             key,

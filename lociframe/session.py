@@ -21,6 +21,7 @@ def local_session(name: str = "lociframe", cores: str | int = "*", shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.useIdInClassName", "false")  # equal stages share compiled code
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
@@ -59,3 +60,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     small = rows <= max_rows and size <= max_bytes
     return (F.broadcast(df) if small else df), small
+
+
+def bounded_list(df: DataFrame, max_rows: int) -> DataFrame:
+    """A list of at most ``max_rows`` rows as a local table, computed once.
+
+    For panels that are small by their nature. A longer list is refused, never
+    cut. Plans that use the list several times do not compute it again, and
+    Spark knows its exact size.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        raise ValueError(f"the list has more than {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)

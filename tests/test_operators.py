@@ -22,7 +22,7 @@ from lociframe.operators import (
     threshold_lookup,
     trainable_share,
 )
-from lociframe.session import broadcast_if_small
+from lociframe.session import bounded_list, broadcast_if_small
 
 BOUNDS = (("ls", "le"), ("rs", "re"))
 
@@ -83,6 +83,15 @@ def test_broadcast_if_small(spark, plan):
     assert broadcast_if_small(df.limit(0))[1]
 
 
+def test_bounded_list(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, t string")
+    assert rows(bounded_list(df, 2)) == rows(df)
+    assert bounded_list(df, 2).schema == df.schema
+    assert bounded_list(df.limit(0), 2).collect() == []
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        bounded_list(df, 1)
+
+
 def test_natural_join_matches_missing_keys(spark, rows):
     nan = math.nan
     a = spark.createDataFrame([(1, "x", nan), (2, None, 1.0), (3, "y", 2.0), (4, None, 1.0)], "id int, k string, v double")
