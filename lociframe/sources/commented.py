@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lociframe.sources.readers import Paths
+from lociframe.sources.readers import Paths, delimited
 
+COMMENTED = {**delimited("\t"), "comment": "#", "recursiveFileLookup": True}
 
-def _text_options(reader):
-    return reader.option("recursiveFileLookup", True)
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Empty fields as empty texts: in these files every value is a text."""
+    return df.select(*(F.coalesce(f"`{name}`", F.lit("")).alias(name) for name in df.columns))
 
 
 def read_commented_tsv(spark: SparkSession, paths: Paths, schema: StructType | str | None = None) -> DataFrame:
@@ -20,10 +23,10 @@ def read_commented_tsv(spark: SparkSession, paths: Paths, schema: StructType | s
     header. Give a schema of STRING columns to spare the header-reading job and
     to have each file's header checked against it.
     """
-    reader = _text_options(spark.read).option("sep", "\t").option("header", True).option("comment", "#")
+    reader = spark.read.options(**COMMENTED)
     if schema is not None:
         reader = reader.option("enforceSchema", False).schema(schema)
-    return reader.csv(paths)
+    return as_text(reader.csv(paths))
 
 
 def read_file_metadata(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -36,7 +39,7 @@ def read_file_metadata(spark: SparkSession, paths: Paths) -> DataFrame:
     in the file is the split offset plus the row number within the split, so
     no file is ever held as one value.
     """
-    lines = _text_options(spark.read).text(paths).select(
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.struct(
             F.col("_metadata.file_block_start").alias("split"),

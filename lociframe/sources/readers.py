@@ -45,21 +45,35 @@ def read_table(spark: SparkSession, source: str | dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**source).load()
 
 
-def read_csv(spark: SparkSession, paths: Paths, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
+def delimited(sep: str) -> dict[str, str | bool]:
+    """Options of delimited files with a header; quotes within quotes are doubled."""
+    return {"header": True, "sep": sep, "quote": '"', "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession,
+    paths: Paths,
+    schema: StructType | str | None = None,
+    sep: str = ",",
+    missing: str = "",
+    multiline: bool = False,
+) -> DataFrame:
     """Delimited text with a header line.
 
     With a schema the header of every file is checked against it (columns are
     otherwise taken by position). Without one, types are inferred, which costs
-    a second pass and is meant for looking at a new file.
+    a second pass and is meant for looking at a new file. ``missing`` is the
+    text of an absent value, such as ``NA``. ``multiline`` allows line breaks
+    within quotes; such files cannot be split between tasks.
     """
-    reader = spark.read.option("header", True).option("sep", sep)
+    reader = spark.read.options(**delimited(sep), nullValue=missing, multiLine=multiline)
     if schema is None:
         return reader.option("inferSchema", True).csv(paths)
     return reader.option("enforceSchema", False).schema(schema).csv(paths)
 
 
-def read_tsv(spark: SparkSession, paths: Paths, schema: StructType | str | None = None) -> DataFrame:
-    return read_csv(spark, paths, schema, sep="\t")
+def read_tsv(spark: SparkSession, paths: Paths, schema: StructType | str | None = None, **options) -> DataFrame:
+    return read_csv(spark, paths, schema, sep="\t", **options)
 
 
 def read_jsonl(spark: SparkSession, paths: Paths, schema: StructType | str | None = None) -> DataFrame:
@@ -94,8 +108,8 @@ def scan_manifest(
     files the manifest does not name are left out; a path named twice yields
     its rows twice, as a loop over the manifest would.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("enforceSchema", False)
-    rows = reader.option("recursiveFileLookup", True).schema(schema).csv(root)
+    reader = spark.read.options(**delimited(sep), enforceSchema=False, recursiveFileLookup=True)
+    rows = reader.schema(schema).csv(root)
     rows = rows.select("*", normalized_uri(F.col("_metadata.file_path")).alias("__path"))
     named = manifest.withColumn("__path", normalized_uri(F.col(url_col)))
     return rows.join(named, "__path").drop("__path")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from lociframe.sources.readers import delimited
+
 
 def _writer(df: DataFrame, partition_by: Sequence[str], mode: str):
     writer = df.write.mode(mode)
@@ -15,7 +17,7 @@ def _writer(df: DataFrame, partition_by: Sequence[str], mode: str):
 def write_csv(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists", sep: str = ","
 ) -> None:
-    _writer(df, partition_by, mode).option("header", True).option("sep", sep).csv(path)
+    _writer(df, partition_by, mode).options(**delimited(sep)).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from lociframe.operators.aggregates import latest_version
 from lociframe.operators.joins import default_category, threshold_lookup, with_call
 from lociframe.plans.cohort import DEFAULT_COHORT
+from lociframe.sources.commented import COMMENTED, as_text
 
 __all__ = ["call_stream", "commented_tsv_stream", "latest_version_stream"]
 
@@ -21,9 +22,8 @@ def commented_tsv_stream(
     spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000
 ) -> DataFrame:
     """Rows of commented TSV files as they appear below ``path``; the schema is required."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    reader = reader.option("recursiveFileLookup", True).option("sep", "\t").option("header", True)
-    return reader.option("comment", "#").option("enforceSchema", False).csv(path)
+    reader = spark.readStream.schema(schema).options(**COMMENTED, enforceSchema=False)
+    return as_text(reader.option("maxFilesPerTrigger", files_per_batch).csv(path))
 
 
 def call_stream(scores: DataFrame, thresholds: DataFrame, metric: str) -> DataFrame:

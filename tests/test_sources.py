@@ -21,7 +21,7 @@ from lociframe.sources import (
     write_tsv,
 )
 
-COMMENTED = """# order = o1\tignored field
+COMMENTED = '''# order = o1\tignored field
 #kind=a=b
 #state=draft
 gene\tclass
@@ -31,7 +31,9 @@ G2\tpathogenic
 #state=final
 #lonely
 G3\t"tab\there"
-"""
+G4\t
+G5\t"say ""x"""
+'''
 
 
 def test_commented_files(spark, tmp_path, rows):
@@ -39,7 +41,14 @@ def test_commented_files(spark, tmp_path, rows):
         f.write(COMMENTED)
     (tmp_path / "b.tsv").write_text("#order=o2\n##state = x y\ngene\tclass\nG9\t007\n")
     df = read_commented_tsv(spark, str(tmp_path), "gene STRING, class STRING")
-    assert rows(df) == [("G1", "vus"), ("G2", "pathogenic"), ("G3", "tab\there"), ("G9", "007")]
+    assert rows(df) == [
+        ("G1", "vus"),
+        ("G2", "pathogenic"),
+        ("G3", "tab\there"),
+        ("G4", ""),
+        ("G5", 'say "x"'),
+        ("G9", "007"),
+    ]
     assert rows(read_commented_tsv(spark, str(tmp_path))) == rows(df)
 
     found = {r.file_path.rsplit("/", 1)[1]: r.metadata for r in read_file_metadata(spark, str(tmp_path)).collect()}
@@ -81,6 +90,16 @@ def test_csv_tsv_parquet_round_trip(spark, tmp_path, rows):
         write_csv(df, f"{tmp_path}/c")
 
 
+def test_quotes_missing_values_and_line_breaks(spark, tmp_path, rows):
+    (tmp_path / "q.csv").write_text('id,name,score\n1,"say ""x"", twice",NA\n2,NA,0.5\n')
+    df = read_csv(spark, f"{tmp_path}/q.csv", "id int, name string, score double", missing="NA")
+    assert rows(df) == [(1, 'say "x", twice', None), (2, None, 0.5)]
+    write_csv(df, f"{tmp_path}/w")
+    assert 'say ""x"", twice' in "".join(p.read_text() for p in (tmp_path / "w").glob("*.csv"))
+    (tmp_path / "m.csv").write_text('id,name\n1,"two\nlines"\n')
+    assert rows(read_csv(spark, f"{tmp_path}/m.csv", "id int, name string", multiline=True)) == [(1, "two\nlines")]
+
+
 def test_jsonl_has_the_union_of_keys(spark, tmp_path, rows):
     records = [{"input": "i", "output": "o"}, {"note": "n"}]
     (tmp_path / "n.jsonl").write_text("\n".join(map(json.dumps, records)))
