@@ -15,12 +15,9 @@ from pyspark.sql import functions as F
 QUESTION_HEAD = "### Question: "
 ANSWER_HEAD = "\n ### Answer: "
 NOTE_HEAD = "### The following is a note: "
-TASK_TEXT = (
-    "Given a target sentence construct the underlying meaning representation of the input sentence "
-    "as a single function with attributes and attribute values.\n"
-    "This function should describe the target string accurately and the function must be one of the following "
-)
-ATTRIBUTE_TEXT = ".\nThe attributes must be one of the following: "
+TASK = "Given a target sentence construct the underlying meaning representation of the input sentence as a single function with attributes and attribute values."
+FUNCTION_RULE = "This function should describe the target string accurately and the function must be one of the following {functions}."
+ATTRIBUTE_RULE = "The attributes must be one of the following: {attributes}"
 TARGET_HEAD = "\n\n### Target sentence:\n"
 MEANING_HEAD = "\n\n### Meaning representation:\n"
 ANSWER_FUNCTIONS = (
@@ -60,7 +57,9 @@ class AnswerSpec:
     attributes: Sequence[str] = ANSWER_ATTRIBUTES
 
     def instruction(self) -> str:
-        return f"{TASK_TEXT}{list(self.functions)}{ATTRIBUTE_TEXT}{list(self.attributes)}"
+        functions = FUNCTION_RULE.format(functions=list(self.functions))
+        attributes = ATTRIBUTE_RULE.format(attributes=list(self.attributes))
+        return "\n".join((TASK, functions, attributes))
 
 
 def _shown(part: Column) -> Column:
