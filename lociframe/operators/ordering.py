@@ -15,18 +15,17 @@ def every_k(df: DataFrame, k: int, step: str = "step") -> DataFrame:
     return df.filter(F.col(step) % k == 0)
 
 
-def global_ordinal(df: DataFrame, key: str, seed: int, out: str = "ordinal", bits: int = 12) -> DataFrame:
+def global_ordinal(df: DataFrame, key: str, seed: int, out: str = "ordinal", digits: int = 3) -> DataFrame:
     """Number all rows from 0 in the order of ``md5("seed:key")``; ``key`` is unique.
 
-    The leading bits of the hash cut the order into evenly filled ranges. The
-    ranges are counted, at most ``2**bits`` counts are summed up into starting
-    numbers, and rows are then numbered within their range only. It reads the
+    The leading hex digits of the hash cut the order into evenly filled ranges.
+    The ranges are counted, at most ``16**digits`` counts are summed up into
+    starting numbers, and rows are then numbered within their range only. It reads the
     keys twice and shuffles once; nothing depends on how rows were split, so
     lost tasks may be run again.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    width = -(-bits // 4)
-    ranged = df.withColumn("__digest", digest).withColumn("__range", F.substring("__digest", 1, width))
+    ranged = df.withColumn("__digest", digest).withColumn("__range", F.substring("__digest", 1, digits))
     counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -24,8 +24,11 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_equals_sql(spark, duck, name):
+def test_query_equals_sql(spark, duck, plan, name):
     df = QUERIES[name](spark, FOLDER)
+    text = plan(df)
+    for word in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython"):
+        assert word not in text
     cursor = duck.execute(ORACLES[name])
     names = [column[0] for column in cursor.description]
     assert sorted(names) == sorted(df.columns)
