@@ -20,6 +20,7 @@ from lociframe.operators.genome import (
     gene_regions,
     is_loh,
     loss_rows,
+    proper,
     region_losses,
     sum_where,
 )
@@ -152,6 +153,7 @@ def evidence(
     the same keys, for which the sums are already in place. The reported genes
     and the arms are bounded lists, which is what allows to broadcast them.
     """
+    segments = proper(segments)  # ahead of both uses, so that a derived segment table is computed once
     columns = ("gene", "chrom", "gene_start", "gene_end", "interested")
     reported = bounded_list(genes.filter("reported").select(*columns), MAX_PANEL)
     regions = gene_regions(reported)

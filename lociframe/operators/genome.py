@@ -41,6 +41,11 @@ def sum_where(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value).otherwise(0))
 
 
+def proper(segments: DataFrame) -> DataFrame:
+    """Segments with a place and bases; empty and reversed ones measure nothing."""
+    return segments.filter(F.col("chrom").isNotNull() & (F.col("seg_start") < F.col("seg_end")))
+
+
 def autosomal(df: DataFrame, rules: LossRules) -> DataFrame:
     return df.filter(F.col("chrom").isin(list(rules.autosomes)))
 
@@ -49,7 +54,7 @@ def gwloh_inclusive(segments: DataFrame, key: str = "analysis_id", rules: LossRu
     """LOH share of all autosomal bases, lost arms included."""
     bases = F.col("seg_end") - F.col("seg_start")
     share = F.try_divide(sum_where(is_loh(), bases), F.sum(bases))
-    return autosomal(segments, rules).groupBy(key).agg(share.alias("genome_wide_loh_proportion_inclusive"))
+    return autosomal(proper(segments), rules).groupBy(key).agg(share.alias("genome_wide_loh_proportion_inclusive"))
 
 
 def gene_regions(genes: DataFrame) -> DataFrame:
