@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,26 +27,27 @@ def local_session(name: str = "lociframe", cores: str | int = "*", shuffle_parti
     )
 
 
-@functools.cache
-def _local_fallback() -> str:
-    return tempfile.mkdtemp(prefix="lociframe-")
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the cluster's shared folder.
+    """A fresh path that every executor can reach.
 
-    Executors on other machines must see what is written here, so the folder
-    comes from ``spark.checkpoint.dir``. Only a local session, where every
-    executor is this process, may go without the setting.
+    Below the folder in ``spark.checkpoint.dir``; where that is unset, below
+    the session's warehouse, which is shared as well.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
-        root = _local_fallback()
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a table in the shared folder, read back.
+
+    Cuts the lineage: later steps read files that outlive a lost executor, and
+    what the rows hold is fixed from here on.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
     """Mark ``df`` for broadcast only when its measured size stays in bounds.
 
