@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from lociframe import bindings
 from lociframe.bindings.inputs import BASE_TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = spark_entry.queries()
-ORACLES = spark_entry.oracle_sql()
+QUERIES = bindings.queries()
+ORACLES = bindings.oracles()
 
 
 @pytest.fixture(scope="module")
