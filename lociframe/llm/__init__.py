@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OPERATORS = (  # in the order of their numbers
-    # "quality_rules",
+    "quality_rules",
     # "decontamination",
     # "chat_format",
     # "lm_scoring",
