@@ -25,7 +25,7 @@ OPERATORS = (  # in the order of their numbers
     # "near_dedup",
     # "license_scan",
     # "piece_encoding",
-    # "pii",
+    "pii",
 )
 
 
