@@ -24,7 +24,7 @@ OPERATORS = (  # in the order of their numbers
     "sharding",
     # "near_dedup",
     # "license_scan",
-    # "piece_encoding",
+    "piece_encoding",
     "pii",
 )
 
