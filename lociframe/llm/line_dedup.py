@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import BLANKS, free_name, map_columns, row_key, table
-from lociframe.session import shared_dir
+from lociframe.session import shared_dir, written
 
 NAME = "op5_line_dedup"
 MIN_DOCS = 10
@@ -115,7 +115,10 @@ class LineRuns:
         row, line, gone = free_name(docs, "row", "line", "gone")
         placed = docs.withColumn(row, row_key(key, text))
         lines = map_columns(placed, [text], f"`{line}` array<binary>", _distinct_keys(line), [row])
-        common = self.counts().filter(F.col("docs") >= min_docs).select(F.col("key").alias(line))
+        # Written, so that the join below has two plain sides and Spark can split a very common line.
+        common = written(
+            self.counts().filter(F.col("docs") >= min_docs).select(F.col("key").alias(line)), "common-lines"
+        )
         hits = (
             lines.select(row, F.explode(line).alias(line))
             .join(common, line, "left_semi")
