@@ -184,16 +184,20 @@ def _redacted(text: str) -> str:
     return "".join([*parts, text[done:]])
 
 
+def _of_kinds(*kinds: str):
+    return lambda span: span["kind"].isin(*kinds)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    base = F.filter("spans", _of_kinds(*BASE_KINDS))
     return found.select(
         "doc_id",
         *[
-            F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+            F.size(F.filter("spans", _of_kinds(kind))).cast("long").alias(f"n_{kind}")
             for kind in BASE_KINDS
         ],
         F.sha2(listed(base), 256).alias("base_sha256"),
