@@ -23,7 +23,7 @@ OPERATORS = (  # in the order of their numbers
     "line_dedup",
     "sharding",
     # "near_dedup",
-    # "license_scan",
+    "license_scan",
     "piece_encoding",
     "pii",
 )
