@@ -17,7 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OPERATORS = (  # in the order of their numbers
     "quality_rules",
-    # "decontamination",
+    "decontamination",
     "chat_format",
     # "lm_scoring",
     "line_dedup",
