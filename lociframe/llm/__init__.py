@@ -22,7 +22,7 @@ OPERATORS = (  # in the order of their numbers
     # "lm_scoring",
     "line_dedup",
     "sharding",
-    # "near_dedup",
+    "near_dedup",
     "license_scan",
     "piece_encoding",
     "pii",
