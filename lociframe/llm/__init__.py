@@ -19,7 +19,7 @@ OPERATORS = (  # in the order of their numbers
     "quality_rules",
     "decontamination",
     "chat_format",
-    # "lm_scoring",
+    "lm_scoring",
     "line_dedup",
     "sharding",
     "near_dedup",
