@@ -214,12 +214,13 @@ def _contested_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) ->
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per document row: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable) and ``kept``.
+    """A row per document row: ``key``, ``row`` (the row's hash), ``n_shingles``, ``component_id`` (smallest key
+    reachable), ``kept`` (whether the key is the component's) and ``chosen`` (whether the row is the component's one).
 
     A document without words (null, empty or blank text) is linked with
     nothing, is its own component and kept. Equal rows are equal documents and
     share a component. Null keys take part but never name a component, unless
-    it has no other; ``kept`` is whether the key is the component's.
+    it has no other.
     """
     signed = written(
         map_columns(
@@ -232,9 +233,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         "signatures",
     )
     classes = signed.filter("class IS NOT NULL").groupBy("class").agg(
-        F.min(key).alias("first"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min(F.struct(F.isnull(key).alias("no_key"), F.col(key).alias("id"), "row")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("row", F.col("first.row")), "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "class", "n")
     sizes = written(
         buckets.groupBy("key").agg(F.count(F.lit(1)).alias("company")).filter("company > 1"), "bucket-sizes"
@@ -254,14 +255,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         "class", "first", F.coalesce("label", "class").alias("label")
     )
     found = written(found, "class-labels")
-    names = written(found.groupBy("label").agg(F.min("first").alias("component_id")), "components")
-    named = written(found.join(names, "label").select("class", "component_id"), "class-components")
-    return (
-        signed.join(named, "class", "left")
-        .withColumn("component_id", F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id")))
-        .select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+    names = written(found.groupBy("label").agg(F.min("first").alias("head")), "components")
+    named = written(found.join(names, "label").select("class", "head"), "class-components")
+    alone = F.col("class").isNull()
+    component = F.when(alone, F.col(key)).otherwise(F.col("head.id"))
+    return signed.join(named, "class", "left").select(
+        key,
+        "row",
+        "n_shingles",
+        component.alias("component_id"),
+        F.col(key).eqNullSafe(component).alias("kept"),
+        (alone | (F.col("row") == F.col("head.row"))).alias("chosen"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
