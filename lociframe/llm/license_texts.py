@@ -89,6 +89,7 @@ SPELLINGS = {
     "recognise": "recognize",
     "signalling": "signaling",
     "utilisation": "utilization",
+    "sublicence": "sublicense",
     "whilst": "while",
     "wilful": "willful",
 }
