@@ -55,8 +55,10 @@ def shingles(of: str, width: Column | str) -> Column:
 
 def fingerprint(of: str) -> Column:
     """SimHash: bit b is set if more weight of the shingles has it set than not."""
-    weight = f"aggregate({of}, 0L, (sum, h) -> sum + (shiftrightunsigned(h, b) & 1L) * 2 - 1)"
-    return F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (f, b) -> f | IF({weight} > 0, shiftleft(1L, b), 0L))")
+    weight = f"aggregate({of}, 0L, (_sum, _hash) -> _sum + (shiftrightunsigned(_hash, _bit) & 1L) * 2 - 1)"
+    return F.expr(
+        f"aggregate(sequence(0, {BITS - 1}), 0L, (_print, _bit) -> _print | IF({weight} > 0, shiftleft(1L, _bit), 0L))"
+    )
 
 
 def blocks(of: str) -> Column:

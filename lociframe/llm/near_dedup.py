@@ -36,6 +36,7 @@ NAME = "op7_near_dedup"
 ORACLE_SQL = None  # components over similar sets; tests compare with a brute-force version
 WIDTH = 5
 THRESHOLD = 75
+BROADCAST_ROWS = 500_000
 PERMUTATIONS = 64
 ROWS = 4
 KNOWN_WORDS = 500_000
@@ -133,13 +134,23 @@ def _similar(a: Column | str, b: Column | str) -> Column:
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
+def _overlap(a: str, b: str) -> Column:
+    """How many shingles sets of these sizes must share: J / (1 + J) of both, rounded up."""
+    return F.ceil((F.col(a) + F.col(b)) * THRESHOLD / (100 + THRESHOLD) - 1e-9)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast only what was counted and is small; else Spark shuffles both sides."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose full sets have a Jaccard similarity of ``THRESHOLD`` percent or more."""
     left = sets.select(F.col("class").alias("a"), F.col("values").alias("va"))
     right = sets.select(F.col("class").alias("b"), F.col("values").alias("vb"))
     both = F.size(F.array_intersect("va", "vb"))
     return (
-        pairs.join(left, "a")
+        left.join(_small(pairs, pairs.count()), "a")
         .join(right, "b")
         .filter(100 * both >= THRESHOLD * (F.size("va") + F.size("vb") - both))
         .select("a", "b")
@@ -173,30 +184,34 @@ def _contested_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) ->
         "contested",
     )
     inside = placed.join(contested, "key")
-    share = F.lit(THRESHOLD) / (100 + THRESHOLD)
     partner = F.greatest(F.ceil(F.lit(THRESHOLD) * F.col("n") / 100), F.min("least"))
-    asked = (
+    asked = written(
         inside.groupBy("class", "n", "label")
         .agg(partner.alias("partner"))
-        .withColumn("prefix", F.col("n") - F.ceil(share * (F.col("n") + F.col("partner")) - 1e-9) + 1)
+        .withColumn("prefix", F.col("n") - _overlap("n", "partner") + 1)
+        .select("class", "n", "label", "prefix", F.monotonically_increasing_id().alias("id")),
+        "asked",
     )
-    asked = written(asked, "asked")
+    n_asked = asked.count()
     shingles = written(
-        sets.join(asked.select("class", "prefix", "n", "label"), "class").select(
-            "class", "n", "label", "prefix", F.explode("values").alias("value")
-        ),
+        sets.join(_small(asked.select("class", "id"), n_asked), "class").select("id", F.explode("values").alias("value")),
         "contested-shingles",
     )
-    counts = shingles.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
-    counts = written(counts.filter("df > 1"), "contested-counts")
+    counts = written(
+        shingles.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "contested-counts"
+    )
     # Shingles of one class only come first in its order: they fill places but meet nothing.
-    shared = shingles.join(counts, "value")
-    alone = asked.select("class", "n").join(shared.groupBy("class").agg(F.count(F.lit(1)).alias("met")), "class")
-    alone = written(alone.select("class", (F.col("n") - F.col("met")).alias("alone")), "contested-alone")
-    open_ = shared.join(alone, "class").filter("prefix > alone")
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "value"))
+    own = Window.partitionBy("id")
     prefixes = written(
-        open_.withColumn("rank", rank).filter("rank <= prefix - alone").select("value", "class", "n", "label"), "prefixes"
+        shingles.join(counts, "value")
+        .join(_small(asked.select("id", "n", "prefix"), n_asked), "id")
+        .withColumn("rank", F.row_number().over(own.orderBy("df", "value")))
+        .withColumn("position", F.col("n") - F.count(F.lit(1)).over(own) + F.col("rank"))
+        .filter("position <= prefix")
+        .select("id", "value", "position")
+        .join(_small(asked.select("id", "class", "n", "label"), n_asked), "id")
+        .drop("id"),
+        "prefixes",
     )
     # The largest component of a shingle is met by the others, not by itself.
     groups = prefixes.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n_label"))
@@ -208,8 +223,12 @@ def _contested_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) ->
         "mains",
     )
     few = prefixes.join(mains, "value").filter("label <> main").drop("main")
-    few = written(few.select("value", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "label")]), "few")
-    met = few.join(prefixes, "value").filter((F.col("label") != F.col("label_")) & _similar("n", "n_"))
+    few = written(few.select("value", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "label", "position")]), "few")
+    # Seen from the first shingle that two sets share, no more can be shared than what follows in either.
+    follow = F.least(F.col("n") - F.col("position"), F.col("n_") - F.col("position_")) + 1
+    met = few.join(prefixes, "value").filter(
+        (F.col("label") != F.col("label_")) & _similar("n", "n_") & (follow >= _overlap("n", "n_"))
+    )
     return met.select(F.least("class", "class_").alias("a"), F.greatest("class", "class_").alias("b")).distinct()
 
 
@@ -243,8 +262,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     members = written(buckets.join(sizes, "key"), "members")
     rows = classes.join(members.select("class").distinct(), "class").select("class", "row")
     rows = written(rows, "rows")
-    texts = docs.select(row_key(key, text).alias("row"), F.col(text)).join(rows, "row").dropDuplicates(["class"])
-    sets = written(map_columns(texts, [text], "values array<long>", _sets, ["class"]), "sets")
+    texts = docs.select(row_key(key, text).alias("row"), F.col(text)).join(_small(rows, rows.count()), "row")
+    one = texts.dropDuplicates(["class"])  # equal rows have one key
+    sets = written(map_columns(one, [text], "values array<long>", _sets, ["class"]), "sets")
 
     links = written(confirmed(written(_star_pairs(members), "pairs"), sets), "links")
     labels = components(links)
