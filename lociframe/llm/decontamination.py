@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociframe.llm.common import BLANK_CLASS, BLANKS, row_key, table
+from lociframe.llm.common import BLANK_CLASS, BLANKS, free_name, row_key, table
 from lociframe.session import written
 
 NAME = "op2_decontamination"
@@ -182,7 +182,9 @@ def contaminated(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the contaminated rows; everything else as it was."""
     rows = written(contaminated(docs, benchmark, text, key).select("row").distinct(), "contaminated")
-    return docs.join(_small(rows, rows.count()), row_key(key, text) == F.col("row"), "left_anti")
+    (row,) = free_name(docs, "row")
+    rows = rows.withColumnRenamed("row", row)
+    return docs.join(_small(rows, rows.count()), row_key(key, text) == F.col(row), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
