@@ -120,8 +120,8 @@ def _sql_dna(scores: str, column: str) -> str:
  SELECT m.analysis_id, m.cancer_cohort, m.url, m.assay, m.match_type, t.hrd_metric, t.threshold,
   s.{column} AS hrd_score, 'dna' AS analyte,
   CASE WHEN s.{column} > t.threshold THEN 'Positive' ELSE 'Not Detected' END AS hrd_call
- FROM ({SQL_META}) m JOIN v_thresholds t ON m.cancer_cohort = t.cancer_cohort AND t.hrd_metric = 'dna_gwloh'
- JOIN ({scores}) s ON s.analysis_id = m.analysis_id"""
+ FROM ({SQL_META}) m LEFT JOIN v_thresholds t ON m.cancer_cohort = t.cancer_cohort AND t.hrd_metric = 'dna_gwloh'
+ LEFT JOIN ({scores}) s ON s.analysis_id = m.analysis_id"""
 
 
 SQL_NORMALIZED = """
@@ -135,7 +135,7 @@ SQL_RNA = f"""
    ELSE 'Pan Cancer' END AS cancer_cohort, a.assay, 'rna' AS hrd_metric, CAST(50.0 AS DOUBLE) AS threshold,
   ROUND(s.hrd_score, 6) AS hrd_score, 'rna' AS analyte,
   CASE WHEN s.hrd_score > 50.0 THEN 'Positive' ELSE 'Not Detected' END AS hrd_call
- FROM v_rna_analyses a JOIN ({SQL_RNA_SCORES}) s ON s.sample_id = a.sample_id"""
+ FROM v_rna_analyses a LEFT JOIN ({SQL_RNA_SCORES}) s ON s.sample_id = a.sample_id"""
 
 
 # -- LOH shares
@@ -321,15 +321,22 @@ def _(t):
     return _rna(t, _weighted(t))
 
 
-@query("rna_scores_custom", SQL_RNA)
+@query("rna_scores_custom", f"""
+ SELECT * REPLACE (CASE WHEN assay = 'A3' THEN NULL ELSE hrd_score END AS hrd_score,
+  CASE WHEN assay = 'A3' THEN 'Not Detected' ELSE hrd_call END AS hrd_call),
+  CASE WHEN assay = 'A3' AND hrd_score IS NOT NULL THEN 'ValueError: assay A3' END AS hrd_score_error FROM ({SQL_RNA}) r""")
 def _(t):
     weights = {"click": 0.5, "view": 1.25, "error": 0.75, "purchase": -0.5, "signup": 0.8}
 
     def model(batch):
+        if (batch["assay"] == "A3").any():  # an assay this model does not take
+            raise ValueError("assay A3")
         return sum(batch[gene].fillna(0.0) * weight for gene, weight in weights.items())
 
     normalized = normalize_abundance(t.v_abundance).withColumnRenamed("sample", "sample_id")
-    return _rna(t, score_groups(normalized, ["sample_id"], "gene", list(weights), "normalized", model))
+    assays = t.v_rna_analyses.select("sample_id", "assay").distinct()
+    scores = score_groups(normalized.join(assays, "sample_id"), ["sample_id", "assay"], "gene", list(weights), "normalized", model)
+    return _rna(t, scores)
 
 
 @query("score_union", f"""

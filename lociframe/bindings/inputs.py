@@ -44,7 +44,7 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, concat('[{"data":{"$metadata":{"analysisId":["a', CAST(user_id AS STRING),
          '"]},"reportModuleNormal":{"$moduleData":{"result":["', event_type, '"]}}}}]') AS source_data
         FROM events""",
-    # -- analyses (one per supplier) and their copy-number segments: one per analysis,
+    # -- analyses (one per supplier; a tenth has no segments) and their copy-number segments: one per analysis,
     #    chromosome and 10 Mb bin, so segments of an analysis never overlap and are bounded in number
     "v_analyses": """
         SELECT s_suppkey AS analysis_id, concat('O', CAST(s_suppkey AS STRING)) AS order_id,
@@ -58,7 +58,7 @@ VIEWS: dict[str, str] = {
          CAST(FLOOR(l_extendedprice / 10000) AS BIGINT) * 10000000 + 3000000 + MAX(l_linenumber) * 1000000 AS seg_end,
          CAST(MIN(l_quantity) AS INT) % 8 AS total_cn,
          CASE WHEN CAST(MIN(l_quantity) AS INT) % 8 < 2 THEN 0 ELSE CAST(MAX(l_quantity) AS INT) % 3 END AS minor_cn
-        FROM lineitem
+        FROM lineitem WHERE l_suppkey % 10 <> 0
         GROUP BY l_suppkey, l_partkey % 22 + 1, CAST(FLOOR(l_extendedprice / 10000) AS BIGINT)""",
     "v_variants": """
         SELECT l_suppkey AS analysis_id, concat('G', CAST(l_partkey % 100 AS STRING)) AS gene,
@@ -68,7 +68,8 @@ VIEWS: dict[str, str] = {
          CASE WHEN l_quantity <= 1 THEN 'pathogenic' WHEN l_quantity <= 3 THEN 'vus' ELSE 'benign' END AS classification,
          l_discount AS somatic_vaf, l_tax AS germline_vaf
         FROM lineitem""",
-    # -- panels: 100 genes, 44 arms, thresholds ('MIDDLE EAST' is left out, so the default cohort is used)
+    # -- panels: 100 genes, 44 arms, thresholds ('MIDDLE EAST' is left out, so the default cohort is used,
+    #    'ASIA' is listed for the other metric only, so it has no threshold)
     "v_genes": """
         SELECT concat('G', CAST(p_partkey % 100 AS STRING)) AS gene, p_partkey % 100 % 22 + 1 AS chrom,
          (p_partkey % 100 * 7 % 97) * 1000000 AS gene_start,
@@ -82,14 +83,14 @@ VIEWS: dict[str, str] = {
     "v_thresholds": """
         SELECT cancer_cohort, hrd_metric, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES
          ('Pan Cancer', 'dna_gwloh', 0.38), ('AFRICA', 'dna_gwloh', 0.37), ('AMERICA', 'dna_gwloh', 0.39),
-         ('ASIA', 'dna_gwloh', 0.36), ('EUROPE', 'dna_gwloh', 0.38), ('Pan Cancer', 'rna', 50.0),
+         ('ASIA', 'rna', 50.0), ('EUROPE', 'dna_gwloh', 0.38), ('Pan Cancer', 'rna', 50.0),
          ('BUILDING', 'rna', 50.0), ('MACHINERY', 'rna', 50.0)
         ) AS t(cancer_cohort, hrd_metric, threshold)""",
-    # -- RNA: samples, abundance, gene weights
+    # -- RNA: samples (a tenth has no abundance), abundance, gene weights
     "v_abundance": """
         SELECT concat('S', CAST(user_id AS STRING)) AS sample, event_type AS gene,
          CAST(SUM(FLOOR(value)) AS BIGINT) AS counts
-        FROM events GROUP BY user_id, event_type""",
+        FROM events WHERE user_id % 10 <> 0 GROUP BY user_id, event_type""",
     "v_rna_analyses": """
         SELECT DISTINCT user_id AS analysis_id, concat('S', CAST(user_id AS STRING)) AS sample_id,
          concat('P', CAST(user_id AS STRING)) AS patient_id, c_mktsegment AS cancer_cohort,

@@ -230,7 +230,7 @@ def _(t):
 @query(
     "threshold_lookup",
     """SELECT a.analysis_id, a.cancer_cohort, t.threshold FROM v_analyses a
-    JOIN v_thresholds t ON a.cancer_cohort = t.cancer_cohort WHERE t.hrd_metric = 'dna_gwloh'""",
+    LEFT JOIN v_thresholds t ON a.cancer_cohort = t.cancer_cohort AND t.hrd_metric = 'dna_gwloh'""",
 )
 def _(t):
     cohorts = t.v_analyses.select("analysis_id", "cancer_cohort")

@@ -62,26 +62,26 @@ class AnswerSpec:
         return "\n".join((TASK, functions, attributes))
 
 
-def _shown(part: Column) -> Column:
+def shown(part: Column) -> Column:
     return F.coalesce(part.cast("string"), F.lit("None"))
 
 
 def format_qa(question: Column, answer: Column) -> Column:
-    return F.concat(F.lit(QUESTION_HEAD), _shown(question), F.lit(ANSWER_HEAD), _shown(answer))
+    return F.concat(F.lit(QUESTION_HEAD), shown(question), F.lit(ANSWER_HEAD), shown(answer))
 
 
 def format_note(note: Column) -> Column:
-    return F.concat(F.lit(NOTE_HEAD), _shown(note))
+    return F.concat(F.lit(NOTE_HEAD), shown(note))
 
 
 def format_eval(target: Column, spec: AnswerSpec = AnswerSpec()) -> Column:
     """Instruction and target; ends after the heading the model is to continue."""
-    return F.concat(F.lit(spec.instruction() + TARGET_HEAD), _shown(target), F.lit(MEANING_HEAD))
+    return F.concat(F.lit(spec.instruction() + TARGET_HEAD), shown(target), F.lit(MEANING_HEAD))
 
 
 def format_structured(target: Column, meaning: Column, spec: AnswerSpec = AnswerSpec()) -> Column:
     """The evaluation text followed by its answer."""
-    return F.concat(format_eval(target, spec), _shown(meaning), F.lit("\n"))
+    return F.concat(format_eval(target, spec), shown(meaning), F.lit("\n"))
 
 
 def format_any(question: Column, answer: Column, note: Column) -> Column:

@@ -2,6 +2,7 @@ from lociframe.operators.aggregates import (
     agreement_table,
     best_checkpoint,
     latest_version,
+    missing_keys,
     notes_rollup,
     overfit_onset,
     trainable_share,
@@ -55,6 +56,7 @@ __all__ = [
     "hit_summary",
     "hrd_cohort",
     "latest_version",
+    "missing_keys",
     "lost_arms",
     "natural_join",
     "normalize_abundance",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampType
 
 
 def notes_rollup(
@@ -27,13 +28,29 @@ def notes_rollup(
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
-    """The row with the greatest ``ts`` per key; of equal ones the smallest ``tie`` (a number)."""
-    rank = F.struct(F.col(ts), -F.col(tie))
+    """The row with the greatest ``ts`` per key; of equal ones the smallest ``tie`` of any type.
+
+    A time stamp, date or number is turned round, so that one aggregation finds
+    the row. Any other type takes two: the smallest tie per key and ``ts``,
+    then the greatest ``ts``. Both combine on the map side.
+    """
     rest = [name for name in df.columns if name not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__row"))
+    row, kind = F.struct(*rest), df.schema[ts].dataType
+    if isinstance(kind, (NumericType, TimestampType, DateType)):
+        numbers = {TimestampType: F.unix_micros, DateType: F.unix_date}
+        number = numbers.get(type(kind), lambda column: column)(F.col(ts))
+        best = df.groupBy(*keys).agg(F.min_by(row, F.struct(F.isnull(ts), -number, F.col(tie))).alias("__row"))
+    else:
+        first = df.groupBy(*keys, F.col(ts).alias("__ts")).agg(F.min_by(row, F.struct(tie)).alias("__row"))
+        best = first.groupBy(*keys).agg(F.max_by("__row", F.struct("__ts")).alias("__row"))
     return best.select(*keys, "__row.*")
 
 
+def missing_keys(asked: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that were asked for and have no row at all."""
+    return asked.select(*keys).distinct().join(df, list(keys), "left_anti")
+
+
 def trainable_share(params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Trainable and total parameter counts and the trainable percentage."""
     total = F.sum("numel")

@@ -18,13 +18,13 @@ from lociframe.operators.genome import (
     LossRules,
     arm_regions,
     gene_regions,
+    is_autosome,
     is_loh,
     loss_rows,
     proper,
     region_losses,
     sum_where,
 )
-from lociframe.session import bounded_list, broadcast_if_small
 
 VARIANT_COUNTS = (
     "somatic_pathogenic_count",
@@ -34,6 +34,14 @@ VARIANT_COUNTS = (
 )
 
 
+HIT_FLAGS = (
+    "single_hit_interested_genes",
+    "double_hit_interested_genes",
+    "single_hit_reported_genes",
+    "double_hit_reported_genes",
+)
+
+
 @dataclass(frozen=True)
 class HitRules:
     """What counts as a hit: how many alterations make two, and whether a deep loss alone does."""
@@ -105,37 +113,49 @@ def variant_summary(variants: DataFrame, key: str = "analysis_id") -> DataFrame:
 
 def pathogenic_count(variants: DataFrame, genes: DataFrame, key: str = "analysis_id") -> DataFrame:
     """Pathogenic short variants in reported genes, per analysis."""
-    listed, _ = broadcast_if_small(genes.filter("reported").select("gene"))
+    listed = genes.filter("reported").select("gene")
     hits = F.count_if((F.col("alteration") == "short") & (F.col("classification") == "pathogenic"))
     return variants.join(listed, "gene", "left_semi").groupBy(key).agg(hits.alias("pathogenic_var_count"))
 
 
 def gene_flags(df: DataFrame, genes: DataFrame) -> DataFrame:
     """Mark rows whose gene is an interested or a reported one; unknown genes get 0."""
-    marks, _ = broadcast_if_small(genes.select("gene", F.col("interested").alias("__i"), F.col("reported").alias("__r")))
+    marks = genes.groupBy("gene").agg(F.max("interested").alias("__i"), F.max("reported").alias("__r"))
     joined = df.join(marks, "gene", "left")
     return joined.select(*df.columns, _int(F.col("__i")).alias("interested_gene"), _int(F.col("__r")).alias("reported_gene"))
 
 
-MAX_PANEL = 50_000
+BLOCKS, SALTS = 8, 32
 
 
-def scaffold(orders: DataFrame, regions: DataFrame, max_panel: int = MAX_PANEL) -> DataFrame:
-    """One row per order and region, without a join.
+def scaffold(orders: DataFrame, regions: DataFrame, blocks: int = BLOCKS, salts: int = SALTS) -> DataFrame:
+    """One row per order and region, for a panel of any size.
 
-    The regions are one bounded list (a scalar subquery) that every order row
-    unfolds. A list beyond ``max_panel`` is refused, because a dense
-    order-by-region table is only meant for a panel.
+    The panel is cut into blocks by name, every order is unfolded once per
+    block, and the two meet in an equi-join on (block, salt), so neither side
+    is ever held as one value and a block's orders are spread over ``salts``
+    tasks. A small panel is broadcast by Spark's own size check.
     """
-    entry = F.struct("kind", "name", "interested_gene", "region_bp")
-    listed = F.when(F.count(F.lit(1)) <= max_panel, F.collect_list(entry)).otherwise(
-        F.raise_error(F.lit(f"panel has more than {max_panel} regions"))
+    block = F.pmod(F.xxhash64("kind", "name"), F.lit(blocks)).cast("int")
+    lefts = orders.select(
+        "*",
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"),
+        F.pmod(F.xxhash64(*orders.columns), F.lit(salts)).cast("int").alias("__salt"),
+    )
+    rights = regions.select("*", block.alias("__block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    return lefts.join(rights, ["__block", "__salt"]).drop("__block", "__salt")
+
+
+def _panel(genes: DataFrame) -> DataFrame:
+    """Reported genes, one row per gene, with their width and whether they are interested ones."""
+    width = F.sum(F.col("gene_end").cast("bigint") - F.col("gene_start").cast("bigint"))
+    marks = genes.filter("reported").select("gene", "chrom", "gene_start", "gene_end", "interested").distinct()
+    return marks.groupBy(F.lit("gene").alias("kind"), F.col("gene").alias("name")).agg(
+        F.max(F.col("interested").cast("int")).alias("interested_gene"), width.alias("region_bp")
     )
-    return orders.select("*", F.inline(regions.agg(listed.alias("panel")).scalar()))
 
 
 def evidence(
-    orders: DataFrame,
     segments: DataFrame,
     variants: DataFrame,
     genes: DataFrame,
@@ -143,26 +163,24 @@ def evidence(
     key: str = "analysis_id",
     rules: LossRules = LossRules(),
 ) -> DataFrame:
-    """All evidence for every order and reported gene and, with ``arms``, for
-    the chromosome arms and the genome as a whole.
+    """All evidence for each analysis and reported gene that has any and, with
+    ``arms``, for the chromosome arms and the genome as a whole.
 
     Segment overlaps, variants and genome-wide lengths are stacked row by row
     and reduced by one aggregation on (analysis, region), so each source is
     shuffled once, after map-side combining, and one analysis that holds much
-    of the data is spread over its regions. The dense order rows then join on
-    the same keys, for which the sums are already in place. The reported genes
-    and the arms are bounded lists, which is what allows to broadcast them.
+    of the data is spread over its regions. The marks of the panel join the
+    sums, not the sources. Panels may have any size; no join carries a hint and
+    no job runs while the plan is built.
     """
     segments = proper(segments)  # ahead of both uses, so that a derived segment table is computed once
-    columns = ("gene", "chrom", "gene_start", "gene_end", "interested")
-    reported = bounded_list(genes.filter("reported").select(*columns), MAX_PANEL)
+    reported = genes.filter("reported").select("gene", "chrom", "gene_start", "gene_end").distinct()
     regions = gene_regions(reported)
-    marks = reported.select(F.col("gene").alias("name"), F.col("interested").cast("int").alias("interested_gene"))
-    on_panel = variants.join(F.broadcast(reported.select("gene")), "gene", "left_semi")
+    on_panel = variants.join(reported.select("gene"), "gene", "left_semi")
     parts = [variant_rows(on_panel, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))]
     if arms is not None:
-        regions = regions.unionByName(arm_regions(bounded_list(arms, MAX_PANEL), rules))
-        bases = F.when(F.col("chrom").isin(list(rules.autosomes)), F.col("seg_end") - F.col("seg_start"))
+        regions = regions.unionByName(arm_regions(arms, rules))
+        bases = F.when(is_autosome(rules), F.col("seg_end") - F.col("seg_start"))
         genome = segments.select(
             key,
             F.lit("genome").alias("kind"),
@@ -171,25 +189,18 @@ def evidence(
             F.when(is_loh(), bases).otherwise(0).alias("loh_bp"),
         )
         parts.append(genome)
-    stacked = loss_rows(segments, regions, key, few_regions=True).drop("region_bp")
+    stacked = loss_rows(segments, regions, key).drop("region_bp")
     for part in parts:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
     sums = stacked.groupBy(key, "kind", "name").agg(*(F.sum(name).alias(name) for name in LOSS_SUMS), *_variant_measures())
+    return sums
 
-    width = (F.col("region_end") - F.col("region_start")).alias("region_bp")
-    panel = regions.join(marks, "name", "left").select("kind", "name", "interested_gene", width)
-    if arms is not None:
-        panel = panel.unionByName(panel.sparkSession.sql("SELECT 'genome' AS kind, '' AS name"), allowMissingColumns=True)
-    dense = scaffold(orders.select(key, "order_id", "cancer_cohort"), panel)
+
+def _filled(rows: DataFrame) -> DataFrame:
     counts = (*LOSS_SUMS, *VARIANT_COUNTS, "loh_reported", "deep_loss_reported")
     filled = {name: F.coalesce(name, F.lit(0)) for name in counts}
-    return dense.join(sums, [key, "kind", "name"], "left").withColumns(
-        filled
-        | {
-            "loh_proportion": F.try_divide(filled["loh_bp"], "region_bp"),
-            "deep_loss_proportion": F.try_divide(filled["deep_loss_bp"], "region_bp"),
-        }
-    )
+    shares = {f"{loss}_proportion": F.try_divide(filled[f"{loss}_bp"], "region_bp") for loss in ("loh", "deep_loss")}
+    return rows.withColumns(filled | shares)
 
 
 def gene_table(
@@ -201,8 +212,10 @@ def gene_table(
     loss_rules: LossRules = LossRules(),
     hit_rules: HitRules = HitRules(),
 ) -> DataFrame:
-    """The order-by-reported-gene table with reportable losses and hits."""
-    rows = evidence(orders, segments, variants, genes, None, key, loss_rules)
+    """The order-by-reported-gene table with reportable losses and hits; a dense table, so it has a row for each pair."""
+    sums = evidence(segments, variants, genes, None, key, loss_rules)
+    dense = scaffold(orders.select(key, "order_id", "cancer_cohort"), _panel(genes))
+    rows = _filled(dense.join(sums, [key, "kind", "name"], "left"))
     return add_hits(add_reportable(rows, loss_rules), hit_rules).withColumnRenamed("name", "gene").drop("kind")
 
 
@@ -216,18 +229,28 @@ def order_table(
     loss_rules: LossRules = LossRules(),
     hit_rules: HitRules = HitRules(),
 ) -> DataFrame:
-    """One row per order: genome-wide measures and hit summary."""
-    rows = evidence(orders, segments, variants, genes, arms, key, loss_rules)
+    """One row per order: genome-wide measures and hit summary.
+
+    Only evidence is reduced, and orders meet it once, at the end: a gene
+    without evidence adds nothing to any measure of an order.
+    """
+    sums = evidence(segments, variants, genes, arms, key, loss_rules)
+    rows = _filled(sums.join(_panel(genes), ["kind", "name"], "left"))
     rows = add_hits(add_reportable(rows, loss_rules), hit_rules)
     genome, arm = F.col("kind") == "genome", (F.col("kind") == "arm") & (F.col("covered_bp") > 0)
     lost = arm & (F.try_divide("loh_bp", "covered_bp") >= loss_rules.arm_lost)
     kept_loh = F.sum(F.when(arm & ~lost, F.col("loh_bp")).when(arm, 0))
     base = arm & ~lost if loss_rules.drop_lost_arms_from_denominator else arm
-    return rows.groupBy(key, "order_id", "cancer_cohort").agg(
+    hits = _hit_measures(F.col("kind") == "gene")
+    reduced = rows.groupBy(key).agg(
         F.max(F.when(genome, F.try_divide("loh_bp", "covered_bp"))).alias("genome_wide_loh_proportion_inclusive"),
         F.try_divide(kept_loh, F.sum(F.when(base, F.col("covered_bp")))).alias("genome_wide_loh_proportion_exclusive"),
         F.when(F.count_if(arm) > 0, F.count_if(lost).cast("int")).alias("lost_chromosome_arms_count"),
-        *_hit_measures(F.col("kind") == "gene"),
+        *hits,
+    )
+    joined = orders.select(key, "order_id", "cancer_cohort").join(reduced, key, "left")
+    return joined.withColumn("pathogenic_var_count", F.coalesce("pathogenic_var_count", F.lit(0))).withColumns(
+        {name: F.coalesce(name, F.lit(False)) for name in HIT_FLAGS}
     )
 
 

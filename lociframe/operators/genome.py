@@ -33,6 +33,11 @@ def is_loh() -> Column:
     return (F.col("minor_cn") == 0) & (F.col("total_cn") > 0)
 
 
+def is_autosome(rules: LossRules) -> Column:
+    """Compared as text, so that chromosomes may be numbers or names such as ``X``."""
+    return F.col("chrom").cast("string").isin([str(name) for name in rules.autosomes])
+
+
 def is_deep_loss() -> Column:
     return F.col("total_cn") == 0
 
@@ -47,7 +52,7 @@ def proper(segments: DataFrame) -> DataFrame:
 
 
 def autosomal(df: DataFrame, rules: LossRules) -> DataFrame:
-    return df.filter(F.col("chrom").isin(list(rules.autosomes)))
+    return df.filter(is_autosome(rules))
 
 
 def gwloh_inclusive(segments: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()) -> DataFrame:
@@ -79,12 +84,10 @@ def _regions(df: DataFrame, kind: str, name: Column, start: str, end: str) -> Da
 LOSS_SUMS = ("covered_bp", "loh_bp", "deep_loss_bp", "deep_loss_probes")
 
 
-def loss_rows(
-    segments: DataFrame, regions: DataFrame, key: str = "analysis_id", few_regions: bool | None = None
-) -> DataFrame:
+def loss_rows(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
     """What each segment adds to each region it touches; sum these by (key, kind, name)."""
     bounds = ("seg_start", "seg_end"), ("region_start", "region_end")
-    pairs = overlap_join(segments, regions, "chrom", *bounds, right_is_small=few_regions)
+    pairs = overlap_join(segments, regions, "chrom", *bounds)
     bases, deep = F.col("overlap_bp"), is_deep_loss()
     return pairs.select(
         key,

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lociframe.functions.scalars import threshold_call
 
 
-def natural_join(left: DataFrame, right: DataFrame, null_safe: bool = True) -> DataFrame:
-    """Inner join on every column name the two sides share; duplicates multiply.
+def natural_join(left: DataFrame, right: DataFrame, null_safe: bool = True, how: str = "inner") -> DataFrame:
+    """Join (inner or left) on every column name the two sides share; duplicates multiply.
 
     With ``null_safe`` a NULL key meets a NULL key (and NaN meets NaN), which is
     how data-frame merges treat missing keys; without it NULL keys drop out as
@@ -23,10 +23,10 @@ def natural_join(left: DataFrame, right: DataFrame, null_safe: bool = True) -> D
     if not shared:
         raise ValueError("no shared columns to join on")
     if not null_safe:
-        return left.join(right, shared)
+        return left.join(right, shared, how)
     renamed = right.withColumnsRenamed({name: f"__right_{name}" for name in shared})
     same = reduce(and_, (F.col(f"`{name}`").eqNullSafe(F.col(f"`__right_{name}`")) for name in shared))
-    return left.join(renamed, same).drop(*(f"__right_{name}" for name in shared))
+    return left.join(renamed, same, how).drop(*(f"__right_{name}" for name in shared))
 
 
 def filter_in(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -45,8 +45,8 @@ def default_category(df: DataFrame, column: str, known: DataFrame, default: str)
 def threshold_lookup(
     df: DataFrame, thresholds: DataFrame, metric: str, category: str = "cancer_cohort", metric_col: str = "hrd_metric"
 ) -> DataFrame:
-    """Attach the metric's threshold row of each row's category."""
-    return df.join(thresholds.filter(F.col(metric_col) == metric), category)
+    """Attach the metric's threshold row of each row's category; a category without one gets NULLs."""
+    return df.join(thresholds.filter(F.col(metric_col) == metric), category, "left")
 
 
 def with_call(df: DataFrame, score: str, threshold: str = "threshold", call: str = "hrd_call") -> DataFrame:

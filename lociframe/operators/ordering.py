@@ -44,10 +44,11 @@ def batch_plan(
     accumulation: int,
     max_steps: int | None = None,
     devices: int = 1,
+    digits: int = 3,
 ) -> DataFrame:
     """Assign every row to an optimizer step (from 1) and a slot within it."""
     rows = per_device * accumulation * devices
-    plan = global_ordinal(df, key, seed)
+    plan = global_ordinal(df, key, seed, digits=digits)
 
     def whole(n: Column) -> Column:
         return F.floor(n / rows)

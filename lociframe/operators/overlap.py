@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.session import broadcast_if_small
-
 
 def overlap_join(
     left: DataFrame,
@@ -15,8 +13,7 @@ def overlap_join(
     left_bounds: tuple[str, str],
     right_bounds: tuple[str, str],
     bin_size: int = 10_000_000,
-    salts: int = 16,
-    right_is_small: bool | None = None,
+    salts: int = 1,
 ) -> DataFrame:
     """Pairs with equal ``key`` whose half-open intervals overlap, plus ``overlap_bp``.
 
@@ -26,14 +23,14 @@ def overlap_join(
     distinct. Empty intervals overlap nothing. Pick ``bin_size`` near the usual
     length of the left intervals: they then fall in one or two bins.
 
-    ``right`` is the dimension side (genes, arms). It is broadcast when its
-    measured size is in bounds, or when the caller vouches for a bound with
-    ``right_is_small``; ``left`` is then not shuffled at all. Otherwise both sides are shuffled on (key, bin, salt) with the right rows
-    repeated per salt, because there are few (key, bin) values and one of them
-    may hold a large part of the left rows.
+    ``right`` is the dimension side (genes, arms). The join carries no hint and
+    runs no job of its own: Spark broadcasts the unfolded right side when its
+    size allows, before or at run time, and otherwise splits a (key, bin) that
+    holds a large part of the left rows by its skew handling. With ``salts``
+    the right rows are repeated that often and the left rows are dealt among
+    them, for sessions that have skew handling switched off.
     """
     (l_start, l_end), (r_start, r_end) = left_bounds, right_bounds
-    small = broadcast_if_small(right)[1] if right_is_small is None else right_is_small
 
     def first_bin(start: str):
         return F.floor(F.col(start) / bin_size)
@@ -46,9 +43,7 @@ def overlap_join(
 
     keys = [key, "__bin"]
     lefts, rights = binned(left, l_start, l_end), binned(right, r_start, r_end)
-    if small:
-        rights = F.broadcast(rights)
-    elif salts > 1:
+    if salts > 1:
         keys.append("__salt")
         lefts = lefts.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
         rights = rights.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -50,7 +50,9 @@ def score_groups(
 
     Groups are first folded into one row with a column per panel feature, which
     combines on the map side, so no group is ever gathered in a task. ``fn``
-    then gets batches of such rows and returns one score each.
+    then gets batches of such rows, the keys included (ids, assay), and returns
+    one score each. A batch that fails is scored row by row: a failing row gets
+    a NULL score and its error's text in ``{out}_error``, the others their score.
     """
     folded = df.groupBy(*keys).pivot(features, list(panel)).agg(F.sum(value))
     columns = [f"__f{i}" for i in range(len(panel))]
@@ -60,13 +62,24 @@ def score_groups(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             result = batch[list(keys)].copy()
-            result[out] = fn(batch[columns].rename(columns=names)).to_numpy()
+            result[out], result[f"{out}_error"] = _isolated(fn, batch.rename(columns=names))
             yield result
 
-    schema = StructType([named.schema[key] for key in keys]).add(out, "double")
+    schema = StructType([named.schema[key] for key in keys]).add(out, "double").add(f"{out}_error", "string")
     return named.mapInPandas(score, schema)
 
 
+def _isolated(fn: Callable[[pd.DataFrame], pd.Series], batch: pd.DataFrame) -> tuple[list, list]:
+    """Scores and error texts; only a failing batch is taken apart."""
+    try:
+        return pd.Series(fn(batch)).to_list(), [None] * len(batch)
+    except Exception as error:  # the caller's model may raise anything
+        if len(batch) == 1:
+            return [None], [f"{type(error).__name__}: {error}"]
+    parts = [_isolated(fn, batch.iloc[[i]]) for i in range(len(batch))]
+    return [scores[0] for scores, _ in parts], [errors[0] for _, errors in parts]
+
+
 def score_batches(
     df: DataFrame,
     load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],

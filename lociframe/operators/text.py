@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lociframe.functions.arrays import BEGIN_ID, END_ID, SEQUENCE_LENGTH, UNKNOWN_ID
-from lociframe.functions.prompts import AnswerSpec
+from lociframe.functions.prompts import AnswerSpec, shown
 from lociframe.functions.scalars import WORD_BREAK, words
 
 FIRST_WORD_ID = END_ID + 1
@@ -65,12 +65,23 @@ def encode(
 
 def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", out: str = "ids") -> DataFrame:
     """The same for a vocabulary of any size: words meet it by an equi-join and
-    are gathered again per text. AQE splits the partitions of frequent words."""
-    tokens = df.select(key, F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
+    are gathered again per text. AQE splits the partitions of frequent words.
+
+    Equal rows are coded once and repeated, so that a key that comes more than
+    once, or is NULL, keeps each of its rows.
+    """
+    same = F.struct(F.xxhash64(F.lit(1), key, text).alias("a"), F.xxhash64(F.lit(2), key, text).alias("b"))
+    copies = df.select(key, text).groupBy(key, text).agg(F.count(F.lit(1)).cast("int").alias("__copies"))
+    copies = copies.withColumn("__row", same)
+    tokens = copies.select("__row", F.posexplode_outer(words(F.col(text))).alias("pos", "token"))
     coded = tokens.join(vocab.select("token", "token_id"), "token", "left")
     at = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
-    gathered = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), at))).alias("__all"))
-    return gathered.select(key, F.transform("__all", lambda item: item["id"]).alias(out))
+    gathered = coded.groupBy("__row").agg(
+        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), at))).alias("__all")
+    )
+    whole = copies.select(key, "__copies", "__row").join(gathered, "__row")
+    repeated = whole.select(key, "__all", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
+    return repeated.select(key, F.transform("__all", lambda item: item["id"]).alias(out))
 
 
 def check_examples(
@@ -101,16 +112,16 @@ def few_shot(
 ) -> DataFrame:
     """Per group a prompt of up to ``k`` solved lines and one open line.
 
-    Rows beyond the first ``k + 1`` of a group are cut before the shuffle (a
+    Absent questions and answers show as in the other templates. Rows beyond the first ``k + 1`` of a group are cut before the shuffle (a
     ranked filter), so large groups cost no more than small ones.
     """
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
     kept = df.select(group, question, answer, rank.alias("__rank")).filter(F.col("__rank") <= k + 1)
     shots = F.sort_array(F.collect_list(F.struct("__rank", question, answer)))
-    asked = F.element_at("__shots", -1)[question]
+    asked = shown(F.element_at("__shots", -1)[question])
     solved = F.transform(
         F.slice("__shots", 1, F.size("__shots") - 1),
-        lambda shot: F.concat(shot[question], F.lit(joint), shot[answer], F.lit(close)),
+        lambda shot: F.concat(shown(shot[question]), F.lit(joint), shown(shot[answer]), F.lit(close)),
     )
     open_line = F.concat(asked, F.lit(joint.rstrip()))
     lines = F.array_join(F.concat(solved, F.array(open_line)), separator)

@@ -18,16 +18,17 @@ def dna_scores(metadata: DataFrame, scores: DataFrame, thresholds: DataFrame, me
     """Metadata with score, analyte and call.
 
     ``metadata`` has one row per analysis with ``analysis_id`` and
-    ``cancer_cohort``; ``scores`` has ``analysis_id`` and ``hrd_score``.
+    ``cancer_cohort``; ``scores`` has ``analysis_id`` and ``hrd_score``. Every
+    analysis has a row: without a score or a threshold it is "Not Detected".
     """
     cohorts = default_category(metadata, "cancer_cohort", thresholds, DEFAULT_COHORT)
-    scored = natural_join(threshold_lookup(cohorts, thresholds, metric), scores)
+    scored = natural_join(threshold_lookup(cohorts, thresholds, metric), scores, how="left")
     return with_call(scored.withColumn("analyte", F.lit(DNA)), "hrd_score")
 
 
 def rna_scores(metadata: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
     """The same for RNA, with one threshold for all cohorts; patient and sample ids are dropped."""
-    scored = natural_join(metadata, scores)
+    scored = natural_join(metadata, scores, how="left")
     return scored.select(
         "*",
         F.lit(RNA).alias("analyte"),

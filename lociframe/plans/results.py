@@ -98,6 +98,6 @@ def hrd_calls(
 
 def final_call(orders: DataFrame, score: str, threshold: str = "threshold") -> DataFrame:
     """Positive by a double hit in interested genes or by a score strictly above the threshold."""
-    above = ~F.isnan(score) & (F.col(score) > F.col(threshold))
+    above = ~F.isnan(score) & (F.col(score) > F.col(threshold))  # NULL without a score or a threshold
     positive = F.col("double_hit_interested_genes") | F.coalesce(above, F.lit(False))
     return orders.withColumn("hrd_call", F.when(positive, POSITIVE).otherwise(NOT_DETECTED))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -46,29 +45,3 @@ def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) ->
     path = shared_dir(df.sparkSession, purpose)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcast only when its measured size stays in bounds.
-
-    The measuring job stops at ``max_rows + 1`` rows, so it is cheap on a
-    dimension and bounded on anything else. Returns the frame and whether it
-    was marked; callers must have a shuffle plan for the other case.
-    """
-    width = F.length(F.to_json(F.struct(*df.columns)))
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    small = rows <= max_rows and size <= max_bytes
-    return (F.broadcast(df) if small else df), small
-
-
-def bounded_list(df: DataFrame, max_rows: int) -> DataFrame:
-    """A list of at most ``max_rows`` rows as a local table, computed once.
-
-    For panels that are small by their nature. A longer list is refused, never
-    cut. Plans that use the list several times do not compute it again, and
-    Spark knows its exact size.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        raise ValueError(f"the list has more than {max_rows} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)

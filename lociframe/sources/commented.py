@@ -24,8 +24,9 @@ def read_commented_tsv(spark: SparkSession, paths: Paths, schema: StructType | s
     to have each file's header checked against it.
     """
     reader = spark.read.options(**COMMENTED)
-    if schema is not None:
-        reader = reader.option("enforceSchema", False).schema(schema)
+    if schema is None:  # names by the first file, but then checked against every file's header
+        schema = reader.csv(paths).schema
+    reader = reader.option("enforceSchema", False).schema(schema)
     return as_text(reader.csv(paths))
 
 
@@ -60,4 +61,7 @@ def read_file_metadata(spark: SparkSession, paths: Paths) -> DataFrame:
         .agg(F.max_by("value", "place").alias("value"))
     )
     pairs = F.sort_array(F.collect_list(F.struct("key", "value")))
-    return last.groupBy("file_path").agg(F.map_from_entries(pairs).alias("metadata"))
+    found = last.groupBy("file_path").agg(F.map_from_entries(pairs).alias("metadata"))
+    files = lines.select("file_path").distinct()  # a file without comments has an empty map
+    nothing = F.create_map().cast("map<string,string>")
+    return files.join(found, "file_path", "left").withColumn("metadata", F.coalesce("metadata", nothing))

@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 
 Paths = str | Sequence[str]
 
+NOT_A_TEXT = "\x01absent"  # stands for no value in files; any other spelling, also an empty one in quotes, is a text
+
 
 def jdbc_options(
     url: str,
@@ -55,7 +57,7 @@ def read_csv(
     paths: Paths,
     schema: StructType | str | None = None,
     sep: str = ",",
-    missing: str = "",
+    missing: str | None = None,
     multiline: bool = False,
 ) -> DataFrame:
     """Delimited text with a header line.
@@ -63,12 +65,14 @@ def read_csv(
     With a schema the header of every file is checked against it (columns are
     otherwise taken by position). Without one, types are inferred, which costs
     a second pass and is meant for looking at a new file. ``missing`` is the
-    text of an absent value, such as ``NA``. ``multiline`` allows line breaks
+    text of an absent value, such as ``NA``; by default an empty field is
+    absent and a quoted empty field is an empty text. ``multiline`` allows line breaks
     within quotes; such files cannot be split between tasks.
     """
-    reader = spark.read.options(**delimited(sep), nullValue=missing, multiLine=multiline)
-    if schema is None:
-        return reader.option("inferSchema", True).csv(paths)
+    reader = spark.read.options(**delimited(sep), nullValue=NOT_A_TEXT if missing is None else missing)
+    reader = reader.option("multiLine", multiline)
+    if schema is None:  # names by the first file, but then checked against every file's header
+        schema = reader.option("inferSchema", True).csv(paths).schema
     return reader.option("enforceSchema", False).schema(schema).csv(paths)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lociframe.sources.readers import delimited
 
@@ -15,9 +16,30 @@ def _writer(df: DataFrame, partition_by: Sequence[str], mode: str):
 
 
 def write_csv(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists", sep: str = ","
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    mode: str = "errorifexists",
+    sep: str = ",",
+    line_breaks: bool = False,
 ) -> None:
-    _writer(df, partition_by, mode).options(**delimited(sep)).csv(path)
+    """Blanks and empty texts are kept (a NULL is an empty field, an empty text a quoted one).
+
+    A line break inside a text fails the write, because readers that split
+    files between tasks would take it for the end of a row; ``line_breaks``
+    allows it, for readers that don't.
+    """
+    if not line_breaks:
+        texts = [field.name for field in df.schema if field.dataType.typeName() in ("string", "varchar", "char")]
+        df = df.withColumns({name: _one_line(name) for name in texts})
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    _writer(df, partition_by, mode).options(**delimited(sep), **keep).csv(path)
+
+
+def _one_line(name: str) -> Column:
+    text = F.col(f"`{name}`")
+    broken = text.contains("\n") | text.contains("\r")
+    return F.when(broken, F.raise_error(F.lit(f"line break in column {name}"))).otherwise(text)
 
 
 def write_tsv(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:

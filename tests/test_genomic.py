@@ -204,11 +204,17 @@ def test_order_level_plan(orders, segments, arms, variants, genes, plan):
         assert word not in text
 
 
-def test_scaffold_refuses_a_panel_without_bound(spark, orders):
-    panel = spark.range(11).selectExpr("'gene' AS kind", "string(id) AS name", "0 AS interested_gene", "1L AS region_bp")
-    assert scaffold(orders, panel, max_panel=11).count() == 33
-    with pytest.raises(Exception, match="more than 10 regions"):
-        scaffold(orders, panel, max_panel=10).collect()
+def test_large_panels_have_no_bound_and_start_no_job(spark, orders, segments, arms, variants, plan):
+    panel = spark.range(60_000).selectExpr(
+        "concat('P', id) AS gene", "1 AS chrom", "id * 10 AS gene_start", "id * 10 + 5 AS gene_end", "false AS interested",
+        "true AS reported",
+    )
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    table = gene_level(orders, segments, variants, panel)
+    order_level(orders, segments, arms, variants, panel)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    assert table.count() == 60_000 * orders.count()
 
 
 def test_autosomal(segments):

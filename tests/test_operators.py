@@ -14,6 +14,7 @@ from lociframe.operators import (
     filter_in,
     global_ordinal,
     latest_version,
+    missing_keys,
     natural_join,
     notes_rollup,
     overfit_onset,
@@ -22,7 +23,6 @@ from lociframe.operators import (
     threshold_lookup,
     trainable_share,
 )
-from lociframe.session import bounded_list, broadcast_if_small
 
 BOUNDS = (("ls", "le"), ("rs", "re"))
 
@@ -44,15 +44,15 @@ def brute(left, right):
     )
 
 
-@pytest.mark.parametrize("small", [None, True, False])
+@pytest.mark.parametrize("salts", [1, 4])
 @pytest.mark.parametrize("bin_size", [7, 50, 10_000])
-def test_overlap_join_equals_brute_force(spark, small, bin_size):
+def test_overlap_join_equals_brute_force(spark, salts, bin_size):
     rng = random.Random(bin_size)
     left = list(intervals(rng, 300, [1, 2, 3], 1000, 60))
     right = list(intervals(rng, 60, [1, 2, 4], 1000, 200))
     a = spark.createDataFrame(left, "l bigint, k int, ls bigint, le bigint")
     b = spark.createDataFrame(right, "r bigint, k int, rs bigint, re bigint")
-    joined = overlap_join(a, b, "k", *BOUNDS, bin_size=bin_size, right_is_small=small)
+    joined = overlap_join(a, b, "k", *BOUNDS, bin_size=bin_size, salts=salts)
     got = sorted((x.l, x.r, x.overlap_bp) for x in joined.collect())
     assert got == brute(left, right)
     assert len(got) == len(set(got))
@@ -66,7 +66,7 @@ def test_overlap_join_plans(spark, plan):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        large = plan(overlap_join(a, b, "k", *BOUNDS, right_is_small=False))
+        large = plan(overlap_join(a, b, "k", *BOUNDS, salts=16))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in large and "__salt" in large
@@ -74,24 +74,6 @@ def test_overlap_join_plans(spark, plan):
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_broadcast_if_small(spark, plan):
-    df = spark.range(100)
-    marked, small = broadcast_if_small(df, max_rows=100)
-    assert small
-    assert not broadcast_if_small(df, max_rows=99)[1]
-    assert not broadcast_if_small(df, max_bytes=10)[1]
-    assert broadcast_if_small(df.limit(0))[1]
-
-
-def test_bounded_list(spark, rows):
-    df = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, t string")
-    assert rows(bounded_list(df, 2)) == rows(df)
-    assert bounded_list(df, 2).schema == df.schema
-    assert bounded_list(df.limit(0), 2).collect() == []
-    with pytest.raises(ValueError, match="more than 1 rows"):
-        bounded_list(df, 1)
-
-
 def test_natural_join_matches_missing_keys(spark, rows):
     nan = math.nan
     a = spark.createDataFrame([(1, "x", nan), (2, None, 1.0), (3, "y", 2.0), (4, None, 1.0)], "id int, k string, v double")
@@ -127,7 +109,7 @@ def test_threshold_lookup(spark, rows):
         [("a", "m", 0.1), ("a", "n", 0.2), ("b", "m", 0.3)], "cancer_cohort string, hrd_metric string, threshold double"
     )
     df = spark.createDataFrame([(1, "a"), (2, "c")], "id int, cancer_cohort string")
-    assert rows(threshold_lookup(df, thresholds, "m"), "id", "threshold") == [(1, 0.1)]
+    assert rows(threshold_lookup(df, thresholds, "m"), "id", "threshold") == [(1, 0.1), (2, None)]
 
 
 def test_notes_rollup(spark, rows):
@@ -144,9 +126,16 @@ def test_latest_version_breaks_ties_by_order(spark, rows):
     assert rows(latest_version(df, ["k"], "ts", "id"), "k", "id") == [("a", 2), ("b", 4), ("c", 6)]
 
 
+def test_latest_version_takes_any_tie_and_missing_keys(spark, rows):
+    df = spark.createDataFrame([("k", 2, "b"), ("k", 2, "a"), ("k", 1, "0"), ("m", 1, "z")], "key string, ts int, id string")
+    assert rows(latest_version(df, ["key"], "ts", "id")) == [("k", 2, "a"), ("m", 1, "z")]
+    asked = spark.createDataFrame([("k",), ("gone",), ("gone",)], "key string")
+    assert rows(missing_keys(asked, df, ["key"])) == [("gone",)]
+
+
 def test_latest_version_combines_before_the_shuffle(spark, plan):
     df = spark.range(10).selectExpr("id % 2 AS k", "id", "id AS ts")
-    assert plan(latest_version(df, ["k"], "ts", "id")).count("partial_max_by") >= 1
+    assert plan(latest_version(df, ["k"], "ts", "id")).count("partial_min_by") >= 1
 
 
 def test_trainable_share(spark, rows):

@@ -44,20 +44,23 @@ def test_cohort_scores(spark):
         "cancer_cohort string, hrd_metric string, threshold double",
     )
     metadata = spark.createDataFrame(
-        [(1, "K", "u1"), (2, "Unlisted", "u2"), (3, None, "u3"), (4, "K", "u4")],
+        [(1, "K", "u1"), (2, "Unlisted", "u2"), (3, None, "u3"), (4, "K", "u4"), (5, "Rare", "u5")],
         "analysis_id int, cancer_cohort string, url string",
     )
-    scores = spark.createDataFrame([(1, 0.3), (2, 0.3), (3, math.nan), (9, 1.0)], "analysis_id int, hrd_score double")
+    scores = spark.createDataFrame([(1, 0.3), (2, 0.3), (3, math.nan), (5, 0.9), (9, 1.0)], "analysis_id int, hrd_score double")
     dna = dna_scores(metadata, scores, thresholds, "m")
     assert {r.analysis_id: (r.cancer_cohort, r.hrd_call) for r in dna.collect()} == {
         1: ("K", "Positive"),
         2: ("Pan Cancer", "Not Detected"),
         3: ("Pan Cancer", "Not Detected"),
+        4: ("K", "Not Detected"),  # has no score
+        5: ("Rare", "Not Detected"),  # its cohort has no threshold for this metric
     }
-    rna_meta = spark.createDataFrame([(7, "p", "s")], "analysis_id int, patient_id string, sample_id string")
+    rna_meta = spark.createDataFrame([(7, "p", "s"), (8, "p", "t")], "analysis_id int, patient_id string, sample_id string")
     rna = rna_scores(rna_meta, spark.createDataFrame([(7, 51.0)], "analysis_id int, hrd_score double"), 50.0)
     assert "patient_id" not in rna.columns and "sample_id" not in rna.columns
     both = {r.analysis_id: (r.analyte, r.hrd_call, r.url) for r in union_scores(dna, rna).collect()}
+    assert both[8] == ("rna", "Not Detected", None)
     assert both[7] == ("rna", "Positive", None) and both[1] == ("dna", "Positive", "u1")
 
 

@@ -57,7 +57,7 @@ def test_salted_overlap_join_spreads_the_dominant_key(spark, shuffled):
     )
     genes = spark.range(22).selectExpr("id AS gene", "id + 1 AS chrom", "5 AS gene_start", "25 AS gene_end")
     joined = overlap_join(
-        segments, genes, "chrom", ("seg_start", "seg_end"), ("gene_start", "gene_end"), bin_size=50, right_is_small=False
+        segments, genes, "chrom", ("seg_start", "seg_end"), ("gene_start", "gene_end"), bin_size=50, salts=16
     )
     sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 3 * ROWS // 10

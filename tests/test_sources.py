@@ -100,6 +100,28 @@ def test_quotes_missing_values_and_line_breaks(spark, tmp_path, rows):
     assert rows(read_csv(spark, f"{tmp_path}/m.csv", "id int, name string", multiline=True)) == [(1, "two\nlines")]
 
 
+def test_files_keep_blanks_and_empty_texts(spark, tmp_path, rows):
+    df = spark.createDataFrame([(1, "  lead"), (2, "trail  "), (3, ""), (4, None), (5, " ")], "id int, name string")
+    for write, read in ((write_csv, read_csv), (write_tsv, read_tsv)):
+        path = f"{tmp_path}/{write.__name__}"
+        write(df, path)
+        assert rows(read(spark, path, "id int, name string")) == rows(df)
+    with pytest.raises(Exception, match="line break in column name"):
+        write_csv(spark.createDataFrame([(1, "a\nb")], "id int, name string"), f"{tmp_path}/broken")
+
+
+def test_columns_are_taken_by_name_without_a_schema(spark, tmp_path):
+    for name, head in (("a", "gene,class"), ("b", "class,gene")):
+        (tmp_path / f"{name}.csv").write_text(f"{head}\nx,y\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"]).collect()
+
+
+def test_a_file_without_comments_has_an_empty_map(spark, tmp_path):
+    (tmp_path / "plain.tsv").write_text("a\tb\n1\t2\n")
+    assert [r.metadata for r in read_file_metadata(spark, str(tmp_path)).collect()] == [{}]
+
+
 def test_jsonl_has_the_union_of_keys(spark, tmp_path, rows):
     records = [{"input": "i", "output": "o"}, {"note": "n"}]
     (tmp_path / "n.jsonl").write_text("\n".join(map(json.dumps, records)))

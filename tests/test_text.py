@@ -117,3 +117,15 @@ def test_encode_long_text(spark):
     vocab = build_vocab(df, 3)
     known = {r.token: r.token_id for r in vocab.collect()}
     assert encode(df, vocab, "id").first().ids == [known.get(w, 0) for w in text.split(" ")]
+
+
+def test_encode_keeps_repeated_and_null_keys_either_way(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b a"), (None, "a"), (None, "b"), (2, "a"), (2, "a")], "id int, text string")
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "token string, token_id int")
+    ways = [sorted((r.id or 0, r.ids) for r in encode(docs, vocab, "id", lookup_limit=n).collect()) for n in (10, 1)]
+    assert ways[0] == ways[1] == [(0, [3]), (0, [4]), (1, [3, 4]), (1, [4, 3]), (2, [3]), (2, [3])]
+
+
+def test_few_shot_shows_absent_parts(spark):
+    df = spark.createDataFrame([("g", 1, "q", None), ("g", 2, None, "x")], "g string, o int, q string, a string")
+    assert few_shot(df, "g", "o", "q", "a", 3).first().prompt == "q = None.\nNone ="
