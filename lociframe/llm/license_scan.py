@@ -77,8 +77,8 @@ def digest(canonical: Column) -> Column:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """``license``, ``text`` of the built-in texts; callers may bring a table of their own."""
-    rows = [f"SELECT {_sql_text(name)} AS license, {_sql_text(text)} AS text" for name, text in LICENSES]
-    return spark.sql(" UNION ALL ".join(rows))
+    rows = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in LICENSES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS known(license, text)")
 
 
 def _sql_text(text: str) -> str:
@@ -97,8 +97,12 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", ke
     """
     docs = docs.drop("text_sha256", "license", "n_license_lines", "line_licenses")
     known = known if known is not None else known_licenses(docs.sparkSession)
-    digests = known.select(F.array_join(canonical_lines("text"), " ").alias("canonical"), "license").filter("canonical <> ''")
-    names = digests.groupBy(digest(F.col("canonical")).alias("digest")).agg(F.min("license").alias("license"))
+    forms = known.select(canonical_lines("text").alias("canonical"), "license")
+    named = forms.select(
+        F.when(F.size("canonical") > 0, digest(F.array_join("canonical", " "))).alias("digest"), "license"
+    )
+    # Written, so that the joins below are planned over a small table and not over these expressions.
+    names = written(named.groupBy("digest").agg(F.min("license").alias("license")), "known-licenses")
     row, whole, part, at, found = free_name(docs, "row", "whole", "part", "at", "found")
     others = [name for name in docs.columns if name != text]
     lined = docs.select(*others, row_key(key, text).alias(row), canonical_lines(text).alias(part))
