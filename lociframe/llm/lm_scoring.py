@@ -60,18 +60,21 @@ def is_training(key: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1
 
 
-def _slices(texts):
-    """Lower-cased (A-Z) UTF-8 texts in groups of bounded length; null counts as empty."""
-    group, size = [], 0
-    for text in texts:
-        raw = (text or "").encode().lower()
-        group.append(raw)
-        size += len(raw)
-        if size >= SLICE_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _slices(column):
+    """(place, texts) of an Arrow column in slices of bounded length, so that few texts are Python values at a time.
+
+    Texts are UTF-8 with A-Z lower-cased; null counts as empty.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        done = int(sizes[at - 1]) if at else 0
+        end = min(len(column), int(np.searchsorted(sizes, done + SLICE_CHARS)) + 1)
+        yield at, [(text or "").encode().lower() for text in column.slice(at, end - at).to_pylist()]
+        at = end
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -87,7 +90,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         counts = Counter()
         for batch in batches:
-            for group in _slices(batch.column(0).to_pylist()):
+            for _, group in _slices(batch.column(0)):
                 for raw in group:
                     counts.update(raw.split())
                 if len(counts) >= FLUSH_WORDS:
@@ -165,7 +168,7 @@ def pair_counts(docs: DataFrame, known, text: str = "text") -> DataFrame:
         ids = {word: i for i, word in enumerate(known.value, START + 1)}
         waiting, size = [], 0
         for batch in batches:
-            for group in _slices(batch.column(0).to_pylist()):
+            for _, group in _slices(batch.column(0)):
                 waiting.append(_keys(tokenize(group, ids)))
                 size += len(waiting[-1])
                 if size >= FLUSH_KEYS:
@@ -504,13 +507,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
         ids = {word: i for i, word in enumerate(model.words, START + 1)}
         base_log = model.base_log(model.counts)
         for batch in batches:
-            parts = []
-            for group in _slices(batch.column(len(others)).to_pylist()):
+            for at, group in _slices(batch.column(len(others))):
                 tokens = tokenize(group, ids)
                 head = tokens.ids >= 0
-                add = lambda values, first=tokens.first: np.add.reduceat(values, first)
-                logs = head_scores(model, tokens)
-                base = np.where(head, base_log[tokens.ids], 0.0)
                 size = np.diff(np.append(tokens.first, len(head)))
                 rare = np.flatnonzero(~head[~tokens.ends])
                 owner = np.repeat(np.arange(len(group)), size - 1)[rare]
@@ -519,14 +518,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
                     [{"word": w, "n": n} for w, n in Counter(tokens.words[i] for i in rare[a:b].tolist()).items()]
                     for a, b in zip(bounds, bounds[1:], strict=False)
                 ]
-                parts.append((size, add(head.astype(np.int64)), add(base), add(logs), lists))
-            columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(4)]
-            lists = [one for p in parts for one in p[4]]
-            arrays = [
-                pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2]), pa.array(columns[3]),
-                pa.array(lists, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), *arrays], names=schema.names)
+                made = [
+                    pa.array(size.astype(np.int64)),
+                    pa.array(np.add.reduceat(head.astype(np.int64), tokens.first)),
+                    pa.array(np.add.reduceat(np.where(head, base_log[tokens.ids], 0.0), tokens.first)),
+                    pa.array(np.add.reduceat(head_scores(model, tokens), tokens.first)),
+                    pa.array(lists, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))),
+                ]
+                kept = [batch.column(i).slice(at, len(group)) for i in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
     head = written(
         docs.select(*others, text).mapInArrow(run, schema).withColumn(rid, F.monotonically_increasing_id()), "scores"
