@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from lociframe.bindings.inputs import Tables
 from lociframe.bindings.registry import query
 from lociframe.session import shared_dir
-from lociframe.sources import read_commented_tsv, read_file_metadata, read_tsv, scan_manifest, write_tsv
+from lociframe.sources import (
+    read_commented_tsv,
+    read_csv,
+    read_file_metadata,
+    read_jsonl,
+    read_tsv,
+    scan_manifest,
+    write_csv,
+    write_parquet,
+    write_tsv,
+)
 
 ROWS_PER_FILE = 10_000_000
 COLUMNS = ("order_id", "product_type", "product_id")
@@ -54,7 +64,7 @@ def _write_commented(t: Tables) -> str:
     FROM v_versions""",
 )
 def _(t):
-    return read_commented_tsv(t.spark, _write_commented(t), STRINGS)
+    return read_commented_tsv(t.spark, t.once(_write_commented), STRINGS)
 
 
 @query(
@@ -63,7 +73,7 @@ def _(t):
      'final' AS state, 3 AS entries FROM v_versions""",
 )
 def _(t):
-    files = read_file_metadata(t.spark, _write_commented(t))
+    files = read_file_metadata(t.spark, t.once(_write_commented))
     entry = F.col("metadata")
     return files.select(
         entry["type"].alias("type"),
@@ -81,10 +91,19 @@ def _write_abundance(t: Tables) -> tuple[str, DataFrame]:
     return folder, written.select("gene", F.col("_metadata.file_path").alias("url")).distinct()
 
 
-@query("manifest_scan", "SELECT sample, gene, counts FROM v_abundance")
+@query(
+    "manifest_scan",
+    """SELECT sample, gene, counts FROM v_abundance WHERE gene <> 'signup'
+     UNION ALL SELECT sample, gene, counts FROM v_abundance WHERE gene = 'view'
+     UNION ALL SELECT NULL AS sample, 'gone' AS gene, NULL AS counts""",
+)
 def _(t):
-    folder, manifest = _write_abundance(t)
-    rows = scan_manifest(t.spark, manifest, "url", folder, "sample STRING, counts BIGINT")
+    """A manifest with an unlisted file, one named twice and one that is not there."""
+    folder, manifest = t.once(_write_abundance)
+    listed = manifest.filter("gene <> 'signup'")
+    gone = t.spark.sql("SELECT 'gone' AS gene, :url AS url", args={"url": f"{folder}/gone.csv"})
+    named = listed.unionByName(listed.filter("gene = 'view'")).unionByName(gone)
+    rows = scan_manifest(t.spark, named, "url", folder, "sample STRING, counts BIGINT", absent="keep")
     return rows.select("sample", "gene", "counts")
 
 
@@ -93,3 +112,24 @@ def _(t):
     folder = shared_dir(t.spark, "tsv")
     write_tsv(t.v_abundance, folder)
     return read_tsv(t.spark, folder, "sample STRING, gene STRING, counts BIGINT")
+
+
+@query("csv_round_trip", "SELECT id, label FROM v_labels")
+def _(t):
+    folder = shared_dir(t.spark, "csv")
+    write_csv(t.v_labels, folder)
+    return read_csv(t.spark, folder, "id BIGINT, label STRING")
+
+
+@query("jsonl_union", "SELECT id, input, output, note FROM v_records")
+def _(t):
+    folder = shared_dir(t.spark, "jsonl")
+    t.v_records.write.json(folder)
+    return read_jsonl(t.spark, folder).select("id", "input", "output", "note")
+
+
+@query("parquet_round_trip", "SELECT id, label FROM v_labels")
+def _(t):
+    folder = shared_dir(t.spark, "parquet")
+    write_parquet(t.v_labels, folder)
+    return t.spark.read.parquet(folder)

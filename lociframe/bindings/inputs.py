@@ -122,6 +122,10 @@ VIEWS: dict[str, str] = {
         SELECT user_id AS run, (event_id % 20 + 1) * 50 AS step, MIN(value) AS eval_loss, MAX(value) AS train_loss
         FROM events GROUP BY user_id, event_id % 20""",
     # -- texts
+    "v_labels": """
+        SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 2 THEN concat('  ', p_name, ' ')
+         WHEN 3 THEN concat('say "', p_name, '", twice') WHEN 4 THEN p_name END AS label
+        FROM part""",
     "v_qa": """
         SELECT a.conv_id, a.turn, a.text AS input, b.text AS output
         FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
@@ -178,6 +182,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._written = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         """A table or view by name; its (lazy) frame is kept, so footers are read once."""
@@ -190,6 +195,12 @@ class Tables:
         setattr(self, name, frame)
         return frame
 
+    def once(self, write):
+        """What ``write(self)`` returns; its files are written once for this session and folder."""
+        if write not in self._written:
+            self._written[write] = write(self)
+        return self._written[write]
+
     def sql(self, text: str) -> DataFrame:
         frames = {name: getattr(self, name) for name in reads(text)}
         escaped = text.replace("{", "{{").replace("}", "}}")

@@ -155,23 +155,23 @@ def _(t):
 @query(
     "table_profile",
     " UNION ALL ".join(
-        f"""SELECT '{name}' AS "column", CAST(COUNT(*) AS BIGINT) AS "rows",
+        f"""SELECT '{name}' AS "column", '{kind}' AS "type", CAST(COUNT(*) AS BIGINT) AS "rows",
         CAST(COUNT(*) - COUNT({name}) AS BIGINT) AS "nulls", MIN(CAST({name} AS VARCHAR)) AS sample FROM v_gene_calls"""
-        for name in (
-            "analysis_id",
-            "gene_id",
-            "line",
-            "interested_gene",
-            "single_hit",
-            "deep_loss_reported",
-            "deep_loss_reportable",
-            "loh_reported",
-            "loh_reportable",
+        for name, kind in (
+            ("analysis_id", "bigint"),
+            ("gene_id", "bigint"),
+            ("line", "int"),
+            ("interested_gene", "int"),
+            ("single_hit", "int"),
+            ("deep_loss_reported", "int"),
+            ("deep_loss_reportable", "int"),
+            ("loh_reported", "int"),
+            ("loh_reportable", "int"),
         )
     ),
 )
 def _(t):
-    return profile(t.v_gene_calls).drop("type")
+    return profile(t.v_gene_calls)
 
 
 # -- joins

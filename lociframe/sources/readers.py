@@ -104,16 +104,31 @@ def scan_manifest(
     root: Paths,
     schema: StructType | str,
     sep: str = "\t",
+    absent: str = "error",
 ) -> DataFrame:
     """Rows of every file named in ``manifest``, with the manifest's columns.
 
-    All files below ``root`` form one scan and meet the manifest by file path,
-    so neither the paths nor the contents pass through driver code. Rows of
-    files the manifest does not name are left out; a path named twice yields
-    its rows twice, as a loop over the manifest would.
+    The files below ``root`` are listed (their contents are not read) and only
+    those that the manifest names are scanned, in one scan; rows meet the
+    manifest by file path. Only paths pass through the driver, as in any file
+    scan. A path named twice yields its rows twice, as a loop over the manifest
+    would. A named file that is not there fails the call, or, with ``absent``
+    as ``"keep"``, gives its manifest row with NULLs.
     """
-    reader = spark.read.options(**delimited(sep), enforceSchema=False, recursiveFileLookup=True)
-    rows = reader.schema(schema).csv(root)
-    rows = rows.select("*", normalized_uri(F.col("_metadata.file_path")).alias("__path"))
+    if absent not in ("error", "keep"):
+        raise ValueError(f"absent is 'error' or 'keep', not {absent!r}")
     named = manifest.withColumn("__path", normalized_uri(F.col(url_col)))
-    return rows.join(named, "__path").drop("__path")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = listing.select("path", normalized_uri(F.col("_metadata.file_path")).alias("__path"))
+    if absent == "error":
+        gone = [r[0] for r in named.join(files, "__path", "left_anti").select(url_col).take(5)]
+        if gone:
+            raise FileNotFoundError(f"named in the manifest but not below {root}: {gone}")
+    paths = [r[0] for r in files.join(named, "__path", "left_semi").select("path").collect()]
+    if paths:
+        reader = spark.read.options(**delimited(sep), enforceSchema=False, recursiveFileLookup=True)
+        rows = reader.schema(schema).csv(paths)
+        rows = rows.select("*", normalized_uri(F.col("_metadata.file_path")).alias("__path"))
+    else:
+        rows = spark.createDataFrame([], schema).withColumn("__path", F.lit(""))
+    return rows.join(named, "__path", "inner" if absent == "error" else "right").drop("__path")

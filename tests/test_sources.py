@@ -135,8 +135,17 @@ def test_manifest_scan(spark, tmp_path, rows):
     manifest = spark.createDataFrame(
         [("a", f"file://{tmp_path}/s2.tsv"), ("b", f"{tmp_path}/s2.tsv"), ("c", f"{tmp_path}/gone.tsv")], "id string, url string"
     )
-    df = scan_manifest(spark, manifest, "url", str(tmp_path), "gene STRING, counts BIGINT")
+    def scan(manifest, **options):
+        return scan_manifest(spark, manifest, "url", str(tmp_path), "gene STRING, counts BIGINT", **options)
+
+    with pytest.raises(FileNotFoundError, match="gone.tsv"):
+        scan(manifest)
+    df = scan(manifest.filter("id <> 'c'"))
     assert rows(df, "id", "gene", "counts") == [("a", "G1", 2), ("b", "G1", 2)]
+    assert [path.rpartition("/")[2] for path in df.inputFiles()] == ["s2.tsv"]  # only what is named is read
+    kept = scan(manifest, absent="keep")
+    assert rows(kept, "id", "gene", "counts") == [("a", "G1", 2), ("b", "G1", 2), ("c", None, None)]
+    assert rows(scan(manifest.filter("id = 'c'"), absent="keep"), "id", "gene") == [("c", None)]
 
 
 def test_normalized_uri(spark):
