@@ -21,12 +21,15 @@ from lociframe.operators.genome import LossRules, gwloh_exclusive, gwloh_inclusi
 from lociframe.operators.joins import default_category
 from lociframe.operators.overlap import overlap_join
 from lociframe.operators.scoring import abundance_matrix, normalize_abundance, score_groups, weighted_score
-from lociframe.plans.cohort import DEFAULT_COHORT, dna_scores, rna_scores, union_scores
+from lociframe.plans.cohort import DEFAULT_COHORT, dna_batch, dna_scores, rna_scores, union_scores
 from lociframe.plans.results import gene_level, hrd_calls, order_level
+from lociframe.session import shared_dir
+from lociframe.sources import write_csv
 
 RULES = LossRules(loh_reportable=0.8, deep_loss_reportable=0.8)
 METRIC = "dna_gwloh"
 RNA_THRESHOLD = 50.0
+SEGMENT_FILE = "chrom INT, seg_start BIGINT, seg_end BIGINT, total_cn INT, minor_cn INT"
 EVENT_GENES = ("click", "error", "purchase", "signup", "view")
 
 # -- reference SQL, layer by layer
@@ -283,6 +286,34 @@ def _(t):
     return _dna_exclusive(t)
 
 
+def _write_segments(t: Tables):
+    """A file of segments per analysis, and where each is."""
+    folder = shared_dir(t.spark, "segments")
+    write_csv(t.v_segments.repartition("analysis_id"), folder, partition_by=["analysis_id"])
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    place = F.regexp_extract("path", "analysis_id=([0-9]+)/", 1).cast("bigint").alias("analysis_id")
+    return folder, files.select(place, F.col("path").alias("file"))
+
+
+@query("cohort_batch", f"""
+ SELECT * EXCLUDE (url) FROM ({_sql_dna(SQL_EXCLUSIVE, "exclusive")}) d
+ WHERE match_type = 'match' AND analysis_id IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 10)""")
+def _(t):
+    """Manifest with unlisted files, repeated rows and analyses whose file is not there."""
+    folder, files = t.once(_write_segments)
+    known = t.v_analyses.join(files, "analysis_id", "left").withColumn("url", F.coalesce("file", "url"))
+    metadata = known.select("analysis_id", "cancer_cohort", "url", "assay", "match_type")
+    keys = t.lineitem.filter("l_quantity > 10").select(F.col("l_suppkey").alias("analysis_id"))
+
+    def score(rows):
+        return gwloh_exclusive(rows, t.v_arms).withColumnRenamed("genome_wide_loh_proportion_exclusive", "hrd_score")
+
+    batch = dna_batch(
+        t.spark, metadata.union(metadata), t.v_thresholds, METRIC, folder, SEGMENT_FILE, score, "match", keys
+    )
+    return batch.drop("url")
+
+
 @query("final_call", f"""
  SELECT d.analysis_id, d.cancer_cohort, d.threshold, d.hrd_score, h.double_hit_interested_genes,
   CASE WHEN h.double_hit_interested_genes OR d.hrd_score > d.threshold THEN 'Positive' ELSE 'Not Detected' END AS hrd_call

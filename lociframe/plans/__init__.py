@@ -1,4 +1,4 @@
-from lociframe.plans.cohort import dna_scores, rna_scores, union_scores
+from lociframe.plans.cohort import dna_batch, dna_scores, rna_scores, union_scores
 from lociframe.plans.concordance import concordance, discrepant
 from lociframe.plans.reports import eligible_reports, report_rollup
 from lociframe.plans.results import final_call, gene_level, hrd_calls, order_level
@@ -7,6 +7,7 @@ from lociframe.plans.training import training_examples
 __all__ = [
     "concordance",
     "discrepant",
+    "dna_batch",
     "dna_scores",
     "eligible_reports",
     "final_call",

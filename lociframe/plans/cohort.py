@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.functions.scalars import threshold_call
-from lociframe.operators.joins import default_category, natural_join, threshold_lookup, with_call
+from lociframe.operators.joins import default_category, filter_in, natural_join, threshold_lookup, with_call
+from lociframe.sources.readers import scan_manifest
 
 # The cohort that stands in for unlisted ones, and the analyte names.
 DEFAULT_COHORT = "Pan Cancer"
@@ -26,6 +29,32 @@ def dna_scores(metadata: DataFrame, scores: DataFrame, thresholds: DataFrame, me
     return with_call(scored.withColumn("analyte", F.lit(DNA)), "hrd_score")
 
 
+def dna_batch(
+    spark: SparkSession,
+    metadata: DataFrame,
+    thresholds: DataFrame,
+    metric: str,
+    root: str,
+    schema: str,
+    score: Callable[[DataFrame], DataFrame],
+    match_type: str | None = None,
+    keys: DataFrame | None = None,
+    sep: str = ",",
+) -> DataFrame:
+    """A whole cohort from its manifest to calls, as one plan.
+
+    ``metadata`` names a file of segments per analysis in ``url``. Analyses are
+    chosen by match type and key list, repeated rows count once, only the files
+    of chosen analyses are read, ``score`` reduces their rows to ``analysis_id``
+    and ``hrd_score``, and every chosen analysis gets a row: one whose file is
+    absent or holds nothing to score is "Not Detected".
+    """
+    chosen = metadata if match_type is None else metadata.filter(F.col("match_type") == match_type)
+    chosen = (chosen if keys is None else filter_in(chosen, keys, "analysis_id")).distinct()
+    rows = scan_manifest(spark, chosen.select("analysis_id", "url"), "url", root, schema, sep=sep, absent="keep")
+    return dna_scores(chosen, score(rows), thresholds, metric)
+
+
 def rna_scores(metadata: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
     """The same for RNA, with one threshold for all cohorts; patient and sample ids are dropped."""
     scored = natural_join(metadata, scores, how="left")
