@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators.overlap import overlap_join
@@ -51,6 +51,19 @@ def proper(segments: DataFrame) -> DataFrame:
     return segments.filter(F.col("chrom").isNotNull() & (F.col("seg_start") < F.col("seg_end")))
 
 
+def without_overlaps(segments: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """Segments that start where the earlier ones of their chromosome end, so that no base counts twice.
+
+    For inputs that may overlap; shares then stay between 0 and 1. Of equal
+    starts the longer segment comes first; what is covered already is dropped.
+    A window holds one chromosome of one analysis.
+    """
+    order = Window.partitionBy(key, "chrom").orderBy("seg_start", F.col("seg_end").desc(), "total_cn", "minor_cn")
+    covered = F.max("seg_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.greatest("seg_start", covered)
+    return proper(proper(segments).withColumn("seg_start", start))
+
+
 def autosomal(df: DataFrame, rules: LossRules) -> DataFrame:
     return df.filter(is_autosome(rules))
 
@@ -102,9 +115,16 @@ def loss_rows(segments: DataFrame, regions: DataFrame, key: str = "analysis_id")
 
 
 def region_losses(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
-    """Covered, LOH and deep-loss bases and deep-loss segments per analysis and touched region."""
+    """Covered, LOH and deep-loss bases and deep-loss segments per analysis and touched region.
+
+    A region listed twice counts once; the distinct parts of one name are added up.
+    """
+    regions = regions.distinct()
+    width = F.sum(F.col("region_end") - F.col("region_start")).alias("region_bp")
+    widths = regions.groupBy("kind", "name").agg(width)
     sums = (F.sum(name).alias(name) for name in LOSS_SUMS)
-    return loss_rows(segments, regions, key).groupBy(key, "kind", "name").agg(*sums, F.max("region_bp").alias("region_bp"))
+    reduced = loss_rows(segments, regions, key).groupBy(key, "kind", "name").agg(*sums)
+    return reduced.join(widths, ["kind", "name"])
 
 
 def arm_shares(

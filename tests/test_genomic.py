@@ -18,7 +18,7 @@ from lociframe.operators import (
     variant_summary,
 )
 from lociframe.operators.genes import hit_summary, pathogenic_count, scaffold
-from lociframe.operators.genome import autosomal
+from lociframe.operators.genome import autosomal, without_overlaps
 from lociframe.plans import final_call, gene_level, order_level
 from lociframe.plans.results import GENE_COLUMNS, ORDER_COLUMNS
 
@@ -234,3 +234,16 @@ def test_final_call(spark, rows):
         (5, "Positive"),
         (6, "Not Detected"),
     ]
+
+
+def test_shares_stay_within_one(spark):
+    segments = spark.createDataFrame(
+        [(1, 1, 0, 100, 1, 0), (1, 1, 50, 100, 1, 0), (1, 1, 90, 120, 2, 1)],
+        "analysis_id int, chrom int, seg_start bigint, seg_end bigint, total_cn int, minor_cn int",
+    )
+    panel = spark.createDataFrame(
+        [("G", 1, 0, 60), ("G", 1, 0, 60), ("G", 1, 80, 120)], "gene string, chrom int, gene_start bigint, gene_end bigint"
+    )
+    trimmed = without_overlaps(segments)
+    assert sorted((r.seg_start, r.seg_end) for r in trimmed.collect()) == [(0, 100), (100, 120)]
+    assert gene_losses(trimmed, panel).first().loh_proportion == 80 / 100
