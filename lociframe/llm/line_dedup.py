@@ -103,6 +103,12 @@ class LineRuns:
                 self.levels[level] = []
             level += 1
 
+    def ingest(self, docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+        """One arriving batch: drop what earlier batches made common, then add the batch's own lines to the runs."""
+        kept = written(self.strip(docs, text, key, min_docs), "line-batch")  # fixed before the runs change
+        self.add(docs, text)
+        return kept
+
     def strip(self, docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
         """``docs`` without the lines whose key the runs know from ``min_docs`` documents or more.
 
@@ -112,7 +118,7 @@ class LineRuns:
         equal rows are treated alike.
         """
         docs = docs.drop("n_lines", "n_dropped")
-        row, line, gone = free_name(docs, "row", "line", "gone")
+        row, line, gone, old = free_name(docs, "row", "line", "gone", "old_text")
         placed = docs.withColumn(row, row_key(key, text))
         lines = map_columns(placed, [text], f"`{line}` array<binary>", _distinct_keys(line), [row])
         # Written, so that the join below has two plain sides and Spark can split a very common line.
@@ -125,10 +131,10 @@ class LineRuns:
             .groupBy(row)
             .agg(F.collect_set(line).alias(gone))
         )
-        joined = placed.join(hits, row, "left").withColumnRenamed(text, row + "_text")
+        joined = placed.join(hits, row, "left").withColumnRenamed(text, old)
         others = [name for name in docs.columns if name != text]
         kept = map_columns(
-            joined, [row + "_text", gone], f"`{text}` string, n_lines long, n_dropped long", _without(text), others
+            joined, [old, gone], f"`{text}` string, n_lines long, n_dropped long", _without(text), others
         )
         return kept.select(*docs.columns, "n_lines", "n_dropped")
 

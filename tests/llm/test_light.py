@@ -164,6 +164,7 @@ def test_runs_are_levelled_and_sorted(spark, prose):
     assert sorted(counts.values()) == [1] * 5 + [5]
     late = spark.createDataFrame([(9, "Shared \nnew")], "doc_id long, text string")
     assert runs.strip(late, min_docs=5).first().text == "new"
+    assert [runs.ingest(late, min_docs=6).first().text for _ in range(2)] == ["Shared \nnew", "new"]
 
 
 def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
