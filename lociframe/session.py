@@ -36,12 +36,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back.
 
     Cuts the lineage: later steps read files that outlive a lost executor, and
     what the rows hold is fixed from here on.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
