@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
+SLICE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -40,11 +42,13 @@ def row_key(*columns: str | Column) -> Column:
 def map_columns(
     df: DataFrame, inputs: list[str], schema: str, convert: Callable[..., Iterator[dict]], keep: list[str] | None = None
 ) -> DataFrame:
-    """The columns ``keep`` as they are and those of ``schema``, computed batch by batch in Arrow tasks.
+    """The columns ``keep`` as they are and those of ``schema``, computed slice by slice in Arrow tasks.
 
     ``convert`` gets a list of values per input column and yields a dict of
     output columns (lists or Arrow arrays). With ``keep`` it yields once a
-    batch, a value per row; without, as many rows as it likes.
+    slice, a value per row; without, as many rows as it likes. A slice holds
+    about ``SLICE_BYTES`` (one row at least), so that a task has few Python
+    values at a time.
     """
     keep = keep or []
     made = _parse_datatype_string(schema)
@@ -56,8 +60,14 @@ def map_columns(
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = [to_arrow_type(f.dataType) for f in made.fields]
-        for batch in batches:
-            values = {name: batch.column(i) for i, name in enumerate(sent)}
+        slices = (
+            batch.slice(at, rows)
+            for batch in batches
+            for rows in [max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))]
+            for at in range(0, batch.num_rows, rows)
+        )
+        for part in slices:
+            values = {name: part.column(i) for i, name in enumerate(sent)}
             for out in convert(*[values[name].to_pylist() for name in inputs]):
                 new = [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, t) for f, t in zip(made.fields, types)]
                 yield pa.RecordBatch.from_arrays([*(values[name] for name in keep), *new], names=target.names)

@@ -33,7 +33,7 @@ ORACLE_SQL = None  # a tokenizer; tests hold it against the sentencepiece librar
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 THREADS = 2
-CACHED_CUTS = 300_000
+CACHED_CUTS = 200_000
 JOINED = 256
 
 # Fixed values of the model format: field numbers and enumerations.
