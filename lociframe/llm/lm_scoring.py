@@ -45,8 +45,8 @@ SWEEPS, BURN_IN = 5, 2
 DISCOUNT, STRENGTH = 0.75, 1.0
 BUCKETS = 64
 SLICE_CHARS = 1_000_000
-FLUSH_WORDS = 400_000
-FLUSH_KEYS = 4_000_000
+FLUSH_WORDS = 250_000
+FLUSH_KEYS = 2_000_000
 SEED = 11
 
 #: Ids of the end token (it is counted) and of the place before the first word (only a context).
