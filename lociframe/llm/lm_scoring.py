@@ -10,19 +10,20 @@ Predictive probabilities are averaged over the sweeps after burn-in.
 
 What is held where, at any size of the corpus:
 
-* counts of all words: a Spark table that grows with the corpus;
-* *head* words, with a share of ``HEAD_SHARE`` or more of all tokens, and pairs
-  of a context and a word with such a share: a million each at most, as shares
-  add up to one. Only these travel with the tasks and have tables of their own
-  in context restaurants; the customers of rarer pairs pass straight to the
-  parent, so all probabilities still add up to one. The rule is a share, so it
-  is the same at every size;
-* rarer words: their counts meet the documents by a join, and their tables are
-  sampled by groups of like counts.
-
-Restaurants are sampled in parallel by groups of words, given the totals of the
-last sweep. Customers of a frequent word are seated in blocks that grow by a
-sixteenth.
+* counts of all words, of all (context, word) pairs and of all (class, word)
+  pairs, the contexts' totals and the state of the sampler: Spark tables that
+  grow with the corpus. No word or pair is left out, however rare;
+* on the driver and with the tasks: the totals of classes (two bytes, so 65,536
+  at most), of the root, and a *head* part of the finished model: words and
+  pairs with a share of ``HEAD_SHARE`` or more of all tokens, a million each at
+  most. The head only saves its tokens the join; all other tokens get the same
+  parameters by joins with the tables.
+
+A restaurant's word with one customer has one table, whatever is drawn, so only
+words with two or more customers are in the sampler's state; the others enter
+its totals as counts. Restaurants are sampled in parallel, given the totals of
+the last sweep. Customers of a frequent word are seated in blocks that grow by
+a sixteenth.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import itertools
 from collections import Counter
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -44,14 +46,17 @@ HEAD_SHARE = 1e-6
 SWEEPS, BURN_IN = 5, 2
 DISCOUNT, STRENGTH = 0.75, 1.0
 BUCKETS = 64
+BUCKET_ROWS = 250_000
 SLICE_CHARS = 1_000_000
 FLUSH_WORDS = 250_000
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_000_000
 SEED = 11
 
 #: Ids of the end token (it is counted) and of the place before the first word (only a context).
 END, START = 0, 1
-WORD, CLASS, UNIGRAM, TAIL = 1, 2, 0, 3
+WORD, CLASS = 1, 2
+CLASSES = 1 << 16
+_RARE = -(1 << 63)  # set in the id of a rarer word, the rest is its hash
 _BITS = 20  # of a head word's id: shares of a millionth leave room for all
 
 
@@ -137,47 +142,53 @@ def tokenize(raws: list[bytes], known: dict[bytes, int]) -> Tokens:
     return Tokens(words, ids, before, group, first, is_end)
 
 
-def _keys(tokens: Tokens):
-    """One key per token and level: level, context and head word; a context's total has a key too."""
+def rare_id(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseOR(F.lit(_RARE))
+
+
+def all_ids(tokens: Tokens):
+    """Ids of all tokens and of the tokens before them; a rarer word's is made from its hash, as in ``rare_id``."""
     import numpy as np
 
-    head = tokens.ids >= 0
-    by_word = head & (tokens.before >= 0)
-    level = lambda n: np.int64(n) << np.int64(2 * _BITS)
-    return np.concatenate(
-        [
-            level(WORD) | tokens.before[by_word] << _BITS | tokens.ids[by_word],
-            level(CLASS) | tokens.group[head] << _BITS | tokens.ids[head],
-            level(WORD + 4) | tokens.before[tokens.before >= 0] << _BITS,
-            level(CLASS + 4) | tokens.group << _BITS,
-        ]
-    )
+    ids = tokens.ids.copy()
+    at = np.flatnonzero(ids < 0)
+    if len(at):
+        rare = np.flatnonzero(ids[~tokens.ends] < 0).tolist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(tokens.words[i], 42) for i in rare), np.uint64, len(rare))
+        ids[at] = hashes.view(np.int64) | np.int64(_RARE)
+    before = np.roll(ids, 1)
+    before[tokens.first] = START
+    return ids, before
 
 
 def pair_counts(docs: DataFrame, known, text: str = "text") -> DataFrame:
-    """``key``, ``n``: pairs of contexts and head words, and totals of contexts."""
+    """``u``, ``g``, ``w``, ``n``: every pair of a context and a word, with the context's class."""
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
         def flush():
-            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+            columns = [np.concatenate(part) for part in zip(*waiting, strict=True)]
+            counted = pa.table(dict(zip("ugw", columns, strict=True))).group_by(["u", "g", "w"]).aggregate([([], "count_all")])
+            return counted.select(["u", "g", "w", "count_all"]).rename_columns(["u", "g", "w", "n"]).combine_chunks().to_batches()
 
         ids = {word: i for i, word in enumerate(known.value, START + 1)}
         waiting, size = [], 0
         for batch in batches:
             for _, group in _slices(batch.column(0)):
-                waiting.append(_keys(tokenize(group, ids)))
-                size += len(waiting[-1])
+                tokens = tokenize(group, ids)
+                w, u = all_ids(tokens)
+                waiting.append((u, tokens.group.astype(np.int32), w))
+                size += len(w)
                 if size >= FLUSH_KEYS:
-                    yield flush()
+                    yield from flush()
                     waiting, size = [], 0
         if waiting:
-            yield flush()
+            yield from flush()
 
-    return docs.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(count, "u long, g int, w long, n long")
+    return counted.groupBy("u", "w").agg(F.first("g").alias("g"), F.sum("n").alias("n"))
 
 
 def seat(customers, strength, discount: float, parent, rng):
@@ -203,78 +214,81 @@ def seat(customers, strength, discount: float, parent, rng):
 
 @dataclass
 class Totals:
-    """What a sweep needs of all restaurants: per level, sorted contexts with customers, tables and passing customers."""
+    """Customers and tables per class (two bytes, so a bounded array) and of the unigram restaurant."""
 
-    contexts: dict
-    customers: dict
-    tables: dict
-    passing: dict
+    customers: object
+    tables: object
+    root_customers: int
+    root_tables: int
     types: int  # distinct words
     discount: float  # of the unigram restaurant
 
-    def of(self, level: int, ctx):
-        import numpy as np
+    def base(self) -> float:
+        """Probability that the unigram restaurant gives a word it never saw."""
+        return (STRENGTH + self.discount * self.root_tables) / (STRENGTH + self.root_customers) / (self.types + 1)
 
-        at = np.searchsorted(self.contexts[level], ctx)
-        return self.customers[level][at], self.tables[level][at], self.passing[level][at]
+    def top(self, customers, tables):
+        """Unigram probability of words (numbers, arrays or columns)."""
+        return (customers - tables * self.discount) / (STRENGTH + self.root_customers) + self.base()
 
-    def root(self):
-        return self.of(UNIGRAM, [0])
 
-    def base(self) -> float:
-        """Probability that the unigram restaurant gives a word it never saw."""
-        customers, tables, _ = self.root()
-        back = (STRENGTH + self.discount * tables) / (STRENGTH + customers)
-        return float(back[0]) / (self.types + 1)
+# Rows of the sampler. A pair (``low``): n tokens, t tables, x tables of its context, y sum of t over the kept sweeps.
+# A class pair: n pairs of one token below it, c customers, t tables, x and y customers and tables of the word, m sum of
+# what its restaurant gives. A word (g = -1): n class pairs of one token, c, t, m sum of its probability.
+_STATE = "low boolean, g int, w long, u long, n long, c long, t long, x long, y long, m double"
+_FIELDS = [field.split()[0] for field in _STATE.split(", ")]
 
 
-def _sweep(rows, totals: Totals, rng):
-    """One Gibbs sweep over all restaurants' tables of the words of one group (pandas in, pandas out)."""
+def _seat_pairs(rows, totals: Totals, kept: tuple[bool, bool], rng):
+    """New tables of the pairs and then of their class pairs. ``kept``: whether the last sweep counts, and this one."""
+    import numpy as np
+
+    rows = rows.sort_values(["w", "g", "low", "u"], ignore_index=True)  # a class pair stands before its pairs
+    low, g, n, c, t, x, y, m = (rows[name].to_numpy().copy() for name in ("low", "g", "n", "c", "t", "x", "y", "m"))
+    of = (np.cumsum(~low) - 1)[low]
+    group = g[~low]
+    all_c, all_t = STRENGTH + totals.customers[group], totals.tables[group]
+    p_top = totals.top(x[~low], y[~low])
+    own = (c[~low] - DISCOUNT * t[~low]) / all_c
+    if kept[0]:
+        m[~low] += own
+    p_mid = own + (STRENGTH + DISCOUNT * all_t) / all_c * p_top
+    t[low] = seat(n[low], STRENGTH + DISCOUNT * (x[low] - t[low]), DISCOUNT, p_mid[of], rng)
+    if kept[1]:
+        y[low] += t[low]
+    c[~low] = n[~low] + np.bincount(of, t[low], len(group)).astype(np.int64)
+    t[~low] = seat(c[~low], STRENGTH + DISCOUNT * (all_t - t[~low]), DISCOUNT, p_top, rng)
+    return rows[_FIELDS].assign(c=c, t=t, y=y, m=m)
+
+
+def _seat_words(rows, totals: Totals, kept: tuple[bool, bool], rng):
+    """New tables of the words in the unigram restaurant, told to their class pairs."""
     import numpy as np
-    import pandas as pd
-
-    level, w, ctx = (rows[name].to_numpy() for name in ("level", "w", "ctx"))
-    n, tables, customers = (rows[name].to_numpy().astype(np.int64) for name in ("n", "tables", "customers"))
-    parent = rows["parent"].to_numpy()
-    root_customers, root_tables, _ = totals.root()
-    base = totals.base()
-
-    top, mid, low = (np.flatnonzero(level == k) for k in (UNIGRAM, CLASS, WORD))
-    top, mid = top[np.argsort(w[top])], mid[np.lexsort((ctx[mid], w[mid]))]
-    of_word = lambda at: np.searchsorted(w[top], w[at])
-    mid_key = w[mid].astype(np.int64) << _BITS | ctx[mid]
-    of_class = np.searchsorted(mid_key, w[low].astype(np.int64) << _BITS | parent[low])
-
-    # Top down: probabilities of the parents, given the tables as they are.
-    p_top = (customers[top] - totals.discount * tables[top]) / (STRENGTH + root_customers) + base
-    c, t, passing = totals.of(CLASS, ctx[mid])
-    p_mid = (customers[mid] - DISCOUNT * tables[mid]) / (STRENGTH + c)
-    p_mid = p_mid + (STRENGTH + DISCOUNT * t + passing) / (STRENGTH + c) * p_top[of_word(mid)]
-    # Bottom up: seat anew; new tables are the parent's customers.
-    _, t, _ = totals.of(WORD, ctx[low])
-    tables[low] = seat(n[low], STRENGTH + DISCOUNT * (t - tables[low]), DISCOUNT, p_mid[of_class], rng)
-    saved = np.bincount(of_class, n[low] - tables[low], len(mid)).astype(np.int64)
-    customers[mid] = n[mid] - saved
-    _, t, _ = totals.of(CLASS, ctx[mid])
-    tables[mid] = seat(customers[mid], STRENGTH + DISCOUNT * (t - tables[mid]), DISCOUNT, p_top[of_word(mid)], rng)
-    saved = np.bincount(of_word(mid), n[mid] - tables[mid], len(top)).astype(np.int64)
-    customers[top] = n[top] - saved
-    uniform = np.full(len(level), 1.0 / (totals.types + 1))
-    own = lambda at: STRENGTH + totals.discount * (root_tables - tables[at])
-    tables[top] = seat(customers[top], own(top), totals.discount, uniform[top], rng)
-    # Rarer words, by groups of like counts: n words with w tokens each, seated up to 256 times.
-    for at in np.flatnonzero(level == TAIL):
-        times = int(min(n[at], 256))
-        count = np.full(times, max(1, round(customers[at] / max(1, n[at]))), np.int64)
-        rest = np.full(times, STRENGTH + totals.discount * float(root_tables[0]))
-        drawn = seat(count, rest, totals.discount, np.full(times, uniform[at]), rng)
-        tables[at] = round(n[at] * drawn.mean())
-    return pd.DataFrame(
-        {"bucket": rows["bucket"], "level": level, "w": w, "ctx": ctx, "parent": parent, "n": n, "customers": customers, "tables": tables}
-    )
 
+    rows = rows.sort_values(["w", "g"], ignore_index=True)  # a word stands before its class pairs
+    g, n, c, t, x, y, m = (rows[name].to_numpy().copy() for name in ("g", "n", "c", "t", "x", "y", "m"))
+    top = g < 0
+    of = (np.cumsum(top) - 1)[~top]
+    if kept[0]:
+        m[top] += totals.top(c[top], t[top])
+    c[top] = n[top] + np.bincount(of, t[~top], int(top.sum())).astype(np.int64)
+    rest = STRENGTH + totals.discount * (totals.root_tables - t[top])
+    t[top] = seat(c[top], rest, totals.discount, np.full(len(rest), 1.0 / (totals.types + 1)), rng)
+    x[~top], y[~top] = c[top][of], t[top][of]
+    return rows[_FIELDS].assign(c=c, t=t, x=x, y=y, m=m)
 
-_STATE = "bucket int, level int, w int, ctx int, parent int, n long, customers long, tables long"
+
+def _seated(state: DataFrame, by: list[str], buckets: int, step, totals, kept: tuple[bool, bool], seeds: list[int]) -> DataFrame:
+    """``state`` after ``step``, in groups of ``by`` dealt over ``buckets``."""
+
+    def seat_group(rows):
+        import numpy as np
+
+        rng = np.random.default_rng([*seeds, int(rows["bucket"].iloc[0])])
+        return step(rows, Totals(**totals.value), kept, rng)
+
+    dealt = state.select(F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("bucket"), *_FIELDS)
+    return written(dealt.groupBy("bucket").applyInPandas(seat_group, _STATE), "seats")
 
 
 def cell(c: Column) -> Column:
@@ -284,7 +298,7 @@ def cell(c: Column) -> Column:
 
 @dataclass
 class Model:
-    """Averaged predictive parameters; everything in it is bounded by ``HEAD_SHARE``."""
+    """Averaged predictive parameters: the bounded head part as arrays, all of them as tables."""
 
     words: list[bytes]
     counts: object  # per head id
@@ -292,11 +306,16 @@ class Model:
     types: int
     p_head: object  # unigram probability per head id
     p_base: float  # of a word never seen
-    tail_rate: dict  # cell -> probability per token of the count
-    pairs: object  # sorted keys (level, context, word)
+    tail_rate: dict  # cell of counts -> rarer words' mean probability per token of the count, above p_base
+    pairs: object  # sorted keys (level, context, word) of the head
     p_pairs: object  # what the restaurant itself gives
     back_word: object  # per head id: the share that a context hands to its parent
     back_class: object  # per class
+    tables: dict  # name -> Spark table: low (u, w, a), contexts (u, inverse, back), mid (g, w, m), tops (w, c, p)
+
+    def head(self) -> dict:
+        """What travels with the tasks."""
+        return vars(self) | {"tables": {}}
 
     def base_log(self, c):
         import numpy as np
@@ -304,33 +323,19 @@ class Model:
         return np.log10((c + 0.5) / (self.train_tokens + 0.5 * (self.types + 1)))
 
 
-def _totals(state: DataFrame, contexts: dict, types: int, discount: float) -> Totals:
-    """Sums over restaurants: a row per context that has tables, so a million at most."""
+def _totals(mid: DataFrame, tops: DataFrame, ones: dict, types: int, discount: float) -> Totals:
+    """Sums over restaurants; only those of classes and of the root reach the driver."""
     import numpy as np
 
-    sums = (
-        state.withColumn("ctx", F.expr(f"IF(level IN ({UNIGRAM}, {TAIL}), 0, ctx)"))
-        .withColumn("level", F.expr(f"IF(level = {TAIL}, {UNIGRAM}, level)"))
-        .groupBy("level", "ctx")
-        .agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"), F.sum("n").alias("n"))
-        .toArrow()
+    rows = mid.select("g", "c", "t").unionByName(tops.select(F.lit(-1).alias("g"), "c", "t"))
+    sums = rows.groupBy("g").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow()
+    g, c, t = (sums.column(i).to_numpy() for i in range(3))
+    customers, tables = ones["classes"].copy(), ones["classes"].copy()
+    customers[g[g >= 0]] += c[g >= 0]
+    tables[g[g >= 0]] += t[g >= 0]
+    return Totals(
+        customers, tables, ones["root"] + int(c[g < 0].sum()), ones["root"] + int(t[g < 0].sum()), types, discount
     )
-    level, ctx, customers, tables, n = (sums.column(i).to_numpy() for i in range(5))
-    out = Totals({}, {}, {}, {}, types, discount)
-    for k in (UNIGRAM, CLASS, WORD):
-        at = np.flatnonzero(level == k)
-        at = at[np.argsort(ctx[at])]
-        out.contexts[k], out.tables[k] = ctx[at], tables[at].astype(float)
-        if k == UNIGRAM:
-            out.passing[k] = np.zeros(len(at))
-        else:
-            keys, counts = contexts[k]
-            out.passing[k] = (counts[np.searchsorted(keys, ctx[at])] - n[at]).astype(float)
-        out.customers[k] = customers[at] + out.passing[k]
-    if not len(out.contexts[UNIGRAM]):
-        for part in (out.contexts, out.customers, out.tables, out.passing):
-            part[UNIGRAM] = np.zeros(1)
-    return out
 
 
 def train(docs: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = SEED):
@@ -351,129 +356,128 @@ def train(docs: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in: in
     words = listed.column("word").take(order).to_pylist() if listed.num_rows else []
     head_counts = np.concatenate([[texts, 0], listed.column("c").to_numpy()[order] if listed.num_rows else []]).astype(np.int64)
 
+    # Counts of all levels. A context's class is the parent of its restaurant.
     known = spark.sparkContext.broadcast(words)
-    level = F.shiftright("key", 2 * _BITS).cast("int")
-    pairs = written(
-        pair_counts(docs, known, text)
-        .select(
-            level.alias("level"),
-            F.expr(f"CAST(shiftright(key, {_BITS}) & {(1 << _BITS) - 1} AS INT)").alias("ctx"),
-            F.expr(f"CAST(key & {(1 << _BITS) - 1} AS INT)").alias("w"),
-            "n",
-        )
-        .filter((F.col("n") >= least) | (F.col("level") == CLASS + 4)),
-        "pairs",
+    once = F.count_if(F.col("n") == 1).alias("ones")
+    many = F.count(F.lit(1)).alias("c")
+    pairs = written(pair_counts(docs, known, text), "pairs")
+    contexts = written(pairs.groupBy("u").agg(F.sum("n").alias("c"), once), "contexts")
+    mids = written(pairs.groupBy("g", "w").agg(F.sum("n").alias("n"), once, many), "class-pairs")
+    tops = written(mids.groupBy("w").agg(F.sum("n").alias("n"), once, many), "tops")
+    by_class = mids.groupBy("g").agg(once).toArrow()
+    ones = {"classes": np.zeros(CLASSES, np.int64), "root": tops.filter("n = 1").count()}
+    ones["classes"][by_class.column(0).to_numpy()] = by_class.column(1).to_numpy()
+
+    zero, one = (F.lit(k).cast("long") for k in (0, 1))
+    row = dict(low=F.lit(False), g=F.lit(-1), w=F.col("w"), u=zero, n=F.col("ones"), c=F.col("c"), t=one, x=zero, y=zero, m=F.lit(0.0))
+    rows = lambda df, **values: df.select(*((row | values)[name].alias(name) for name in _FIELDS))
+    more = F.col("n") > 1
+    low = rows(pairs.filter(more), low=F.lit(True), g=F.col("g"), u=F.col("u"), n=F.col("n"), c=zero)
+    words_seen = tops.filter(more).select("w", F.col("c").alias("x"))
+    mid = rows(mids.filter(more).join(words_seen, "w"), g=F.col("g"), x=F.col("x"), y=one)
+    top = rows(tops.filter(more))
+    buckets = [max(BUCKETS, -(-size // BUCKET_ROWS)) for size in (pairs.filter(more).count(), mids.filter(more).count())]
+    kept, shares = 0, []
+    for sweep in range(sweeps + 1):
+        totals = _totals(mid, top, ones, types, discount)
+        keeps = (sweep > burn_in, sweep >= burn_in)
+        if keeps[0]:
+            kept += 1
+            inverse = 1 / (STRENGTH + totals.customers)
+            given = [(1 - DISCOUNT) * inverse, (STRENGTH + DISCOUNT * totals.tables) * inverse]
+            shares.append([np.array(given), totals.base(), totals.top(1, 1)])
+        if sweep == sweeps:
+            break
+        sent = spark.sparkContext.broadcast(vars(totals))
+        tables_of = low.groupBy("u").agg(F.sum("t").alias("t_u"))
+        ready = low.join(tables_of.join(contexts.select("u", "ones"), "u"), "u").withColumn("x", F.col("t_u") + F.col("ones"))
+        state = _seated(ready.select(_FIELDS).unionByName(mid), ["w", "g"], buckets[0], _seat_pairs, sent, keeps, [seed, sweep, 0])
+        low = state.filter("low")
+        state = _seated(state.filter("NOT low").unionByName(top), ["w"], buckets[1], _seat_words, sent, keeps, [seed, sweep, 1])
+        mid, top = state.filter("g >= 0"), state.filter("g < 0")
+
+    # Means over the kept sweeps; those of the last sweep are added here.
+    class_once, back_class = sum(share[0] for share in shares) / kept
+    p_base, p_once = (sum(share[i] for share in shares) / kept for i in (1, 2))
+    classes = spark.createDataFrame(
+        _arrow(g=np.arange(CLASSES), inverse=1 / (STRENGTH + totals.customers), once=class_once), "g int, inverse double, once double"
     )
-    contexts = {}
-    for k in (CLASS, WORD):
-        got = pairs.filter(F.col("level") == k + 4).select("ctx", "n").toArrow()  # classes or head words: bounded
-        at = np.argsort(got.column(0).to_numpy())
-        contexts[k] = got.column(0).to_numpy()[at], got.column(1).to_numpy()[at]
-
-    # A restaurant of the word before has the class of that word as its parent.
-    suffix = np.array([0, 0] + [int.from_bytes(w[-2:], "big") for w in words], np.int64)
-    parents = spark.createDataFrame(
-        _arrow(ctx=np.arange(len(suffix)), parent=suffix), "ctx int, parent int"
+    own = F.col("c") - F.col("t") * DISCOUNT
+    a = pairs.filter(~more).select("u", "w", "n", F.lit(1 - DISCOUNT).alias("a"))
+    a = a.unionByName(low.select("u", "w", "n", (F.col("n") - F.col("y") / kept * DISCOUNT).alias("a")))
+    tables_of = low.groupBy("u").agg(F.sum("y").alias("y"))
+    backs = contexts.join(tables_of, "u", "left").select(
+        "u",
+        (1 / (STRENGTH + F.col("c"))).alias("inverse"),
+        ((STRENGTH + DISCOUNT * (F.col("ones") + F.coalesce("y", zero) / kept)) / (STRENGTH + F.col("c"))).alias("back"),
     )
-    seated = pairs.filter(F.col("level") <= CLASS)
-    tail = (
-        counts.filter(F.col("c") < least)
-        .groupBy(cell(F.col("c")).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("customers"))
-        .select(
-            F.lit(TAIL).alias("level"), "cell", F.lit(0).alias("ctx"), F.lit(0).alias("parent"), "n", "customers",
-            F.col("n").alias("tables"),
-        )
-        .withColumnRenamed("cell", "w")
-    )
-    top = spark.createDataFrame(_arrow(w=np.arange(len(head_counts)), n=head_counts), "w int, n long").filter("n > 0")
-    state = (
-        seated.filter(F.col("level") == WORD)
-        .join(F.broadcast(parents), "ctx")
-        .select("level", "w", "ctx", "parent", "n")
-        .unionByName(seated.filter(F.col("level") == CLASS).select("level", "w", "ctx", F.lit(0).alias("parent"), "n"))
-        .unionByName(top.select(F.lit(UNIGRAM).alias("level"), "w", F.lit(0).alias("ctx"), F.lit(0).alias("parent"), "n"))
-        .withColumn("customers", F.col("n"))
-        .withColumn("tables", F.lit(1).cast("long"))
-        .unionByName(tail)
-        .select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"), *_STATE.replace(",", "").split()[2::2])
-    )
-    state = written(state, "seats")
-
-    kept = []
-    for sweep in range(sweeps):
-        totals = spark.sparkContext.broadcast(vars(_totals(state, contexts, types, discount)))
-
-        state = written(state.groupBy("bucket").applyInPandas(_seater(totals, seed, sweep), _STATE), "seats")
-        if sweep >= burn_in:
-            kept.append(_predictive(state, _totals(state, contexts, types, discount), len(head_counts)))
-    mean = lambda name: sum(one[name] for one in kept) / len(kept)
-    cells = kept[0]["cells"]
+    m = mids.filter(~more).join(F.broadcast(classes), "g").select("g", "w", F.col("once").alias("m"))
+    m = m.unionByName(mid.join(F.broadcast(classes), "g").select("g", "w", ((F.col("m") + own * F.col("inverse")) / kept).alias("m")))
+    p = top.select("w", ((F.col("m") + totals.top(F.col("c"), F.col("t"))) / kept).alias("p"))
+    p = tops.join(p, "w", "left").select("w", F.col("n").alias("c"), F.coalesce("p", F.lit(p_once)).alias("p"))
+    tables = {"low": a, "contexts": written(backs, "contexts"), "mid": m, "tops": written(p, "tops")}
+
+    # The head part.
+    p_head = np.full(len(head_counts), p_base)
+    got = tables["tops"].filter("w >= 0").toArrow()
+    p_head[got.column("w").to_numpy()] = got.column("p").to_numpy()
+    back_word = np.ones(len(head_counts))
+    got = tables["contexts"].filter("u >= 0").toArrow()
+    back_word[got.column("u").to_numpy()] = got.column("back").to_numpy()
+    rate = (F.sum("p") - F.count(F.lit(1)) * p_base) / F.sum("c")
+    rates = tables["tops"].filter("w < 0").groupBy(cell(F.col("c")).alias("cell")).agg(rate.alias("rate")).collect()
+    frequent = F.col("n") >= least
+    of_words = a.filter(frequent & (F.col("u") >= 0) & (F.col("w") >= 0)).join(tables["contexts"], "u")
+    of_words = of_words.select(F.lit(WORD).alias("level"), "u", "w", (F.col("a") * F.col("inverse")).alias("p"))
+    frequent_mids = mids.filter(frequent & (F.col("w") >= 0)).select("g", "w")
+    of_classes = m.filter("w >= 0").join(frequent_mids, ["g", "w"]).select(F.lit(CLASS), F.col("g").cast("long"), "w", "m")
+    got = of_words.union(of_classes).toArrow()
+    level, u, w, given = (got.column(i).to_numpy() for i in range(4))
+    keys = level.astype(np.int64) << np.int64(2 * _BITS) | u << _BITS | w
+    order = np.argsort(keys)
     model = Model(
-        words, head_counts, total, types, mean("p_head"), mean("p_base"), dict(zip(cells.tolist(), mean("rates").tolist(), strict=True)),
-        kept[0]["pairs"], mean("p_pairs"), mean("back_word"), mean("back_class"),
+        words, head_counts, total, types, p_head, float(p_base), {r.cell: r.rate for r in rates},
+        keys[order], given[order], back_word, back_class, tables,
     )
     return model, counts
 
 
-def _seater(totals, seed: int, sweep: int):
-    def seat_group(rows):
-        import numpy as np
-
-        rows = rows.sort_values(["level", "w", "ctx"], ignore_index=True)  # the order of rows doesn't matter
-        rng = np.random.default_rng([seed, sweep, int(rows["bucket"].iloc[0])])
-        return _sweep(rows, Totals(**totals.value), rng)
-
-    return seat_group
-
-
 def _arrow(**columns):
     import pyarrow as pa
 
     return pa.table({name: pa.array(values) for name, values in columns.items()})
 
 
-def _predictive(state: DataFrame, totals: Totals, heads: int) -> dict:
-    """One sample's parameters; the bounded tables only."""
+def _at(model: Model, level: int, ctx, w):
+    """Places of keys in the head's pairs, and whether they are there."""
     import numpy as np
 
-    rows = state.select("level", "w", "ctx", "n", "customers", "tables").toArrow()
-    level, w, ctx, n, customers, tables = (rows.column(i).to_numpy().astype(np.int64) for i in range(6))
-    root_customers, _, _ = totals.root()
-    base = totals.base()
-    p_head = np.full(heads, base)
-    top = level == UNIGRAM
-    p_head[w[top]] += (customers[top] - totals.discount * tables[top]) / (STRENGTH + root_customers)
-    tail = np.flatnonzero(level == TAIL)
-    tail = tail[np.argsort(w[tail])]
-    rates = (customers[tail] - totals.discount * tables[tail]) / np.maximum(1, customers[tail]) / (STRENGTH + root_customers)
-    keys, given = [], []
-    backs = {WORD: np.ones(heads), CLASS: np.ones(1 << 16)}
-    for k in (CLASS, WORD):
-        at = np.flatnonzero(level == k)
-        c, _, _ = totals.of(k, ctx[at])
-        keys.append(np.int64(k) << np.int64(2 * _BITS) | ctx[at] << _BITS | w[at])
-        given.append((customers[at] - DISCOUNT * tables[at]) / (STRENGTH + c))
-        c, t, passing = totals.of(k, totals.contexts[k])
-        backs[k][totals.contexts[k].astype(np.int64)] = (STRENGTH + DISCOUNT * t + passing) / (STRENGTH + c)
-    keys, given = np.concatenate(keys), np.concatenate(given)
-    order = np.argsort(keys)
-    return {
-        "p_head": p_head, "p_base": base, "cells": w[tail], "rates": rates, "pairs": keys[order],
-        "p_pairs": given[order], "back_word": backs[WORD], "back_class": backs[CLASS],
-    }
+    key = np.int64(level) << np.int64(2 * _BITS) | ctx << _BITS | w
+    if not len(model.pairs):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
+    return at, model.pairs[at] == key
+
+
+def in_head(model: Model, tokens: Tokens):
+    """Which tokens' pairs are in the head; then so are their words and class pairs, as their counts are no smaller."""
+    import numpy as np
+
+    out = np.zeros(len(tokens.ids), bool)
+    ok = (tokens.ids >= 0) & (tokens.before >= 0)
+    out[ok] = _at(model, WORD, tokens.before[ok], tokens.ids[ok])[1]
+    return out
 
 
 def head_scores(model: Model, tokens: Tokens):
-    """Per token: log10 of the probability (for a rarer word, of the share handed down to the unigrams)."""
+    """Per token: log10 of the probability as far as the head knows (for a rarer word, of the share handed down)."""
     import numpy as np
 
     def given(level: int, ctx, ok):
         out = np.zeros(len(tokens.ids))
-        key = np.int64(level) << np.int64(2 * _BITS) | ctx[ok] << _BITS | tokens.ids[ok]
+        at, found = _at(model, level, ctx[ok], tokens.ids[ok])
         if len(model.pairs):
-            at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-            out[ok] = np.where(model.pairs[at] == key, model.p_pairs[at], 0.0)
+            out[ok] = np.where(found, model.p_pairs[at], 0.0)
         return out
 
     head = tokens.ids >= 0
@@ -490,13 +494,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
 
     Null and empty texts have the end token only. Every row is scored by
     itself, so repeated rows and hot keys make no difference. Existing columns
-    of these names are replaced.
+    of these names are replaced. ``counts`` isn't read: the model's tables have
+    all words' counts too.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     others = [name for name in docs.columns if name not in (text, "n_tokens", "n_known", "base_score", "score")]
-    rid, words = free_name(docs, "rid", "rare")
-    shipped = spark.sparkContext.broadcast(vars(model))
-    made = f"n_tokens long, n_head long, base_head double, score_head double, `{words}` array<struct<word: binary, n: int>>"
+    rid, asked = free_name(docs, "rid", "asked")
+    shipped = spark.sparkContext.broadcast(model.head())
+    item = "u: long, g: int, w: long, n: int"
+    made = f"n_tokens long, n_head long, base_head double, score_head double, `{asked}` array<struct<{item}>>"
     schema = StructType([*docs.select(*others).schema, *_parse_datatype_string(made)])
 
     def run(batches):
@@ -509,21 +517,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
         for batch in batches:
             for at, group in _slices(batch.column(len(others))):
                 tokens = tokenize(group, ids)
-                head = tokens.ids >= 0
+                head, done = tokens.ids >= 0, in_head(model, tokens)
                 size = np.diff(np.append(tokens.first, len(head)))
-                rare = np.flatnonzero(~head[~tokens.ends])
-                owner = np.repeat(np.arange(len(group)), size - 1)[rare]
-                bounds = np.searchsorted(owner, np.arange(len(group) + 1))
-                lists = [
-                    [{"word": w, "n": n} for w, n in Counter(tokens.words[i] for i in rare[a:b].tolist()).items()]
-                    for a, b in zip(bounds, bounds[1:], strict=False)
-                ]
+                w, u = all_ids(tokens)
+                left = ~done
+                owner = np.repeat(np.arange(len(group)), size)[left]
+                items = pa.table({"o": owner, "u": u[left], "g": tokens.group[left].astype(np.int32), "w": w[left]})
+                items = items.group_by(["o", "u", "g", "w"]).aggregate([([], "count_all")]).sort_by("o").combine_chunks()
+                values = [items.column(name).combine_chunks() for name in ("u", "g", "w")]
+                values.append(items.column("count_all").combine_chunks().cast(pa.int32()))
+                bounds = np.searchsorted(items.column("o").to_numpy(), np.arange(len(group) + 1)).astype(np.int32)
+                known = np.zeros(len(head))
+                if done.any():
+                    known[done] = head_scores(model, tokens)[done]
                 made = [
                     pa.array(size.astype(np.int64)),
                     pa.array(np.add.reduceat(head.astype(np.int64), tokens.first)),
                     pa.array(np.add.reduceat(np.where(head, base_log[tokens.ids], 0.0), tokens.first)),
-                    pa.array(np.add.reduceat(head_scores(model, tokens), tokens.first)),
-                    pa.array(lists, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))),
+                    pa.array(np.add.reduceat(known, tokens.first)),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(values, ["u", "g", "w", "n"])),
                 ]
                 kept = [batch.column(i).slice(at, len(group)) for i in range(len(others))]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
@@ -531,34 +543,44 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
     head = written(
         docs.select(*others, text).mapInArrow(run, schema).withColumn(rid, F.monotonically_increasing_id()), "scores"
     )
-    rates = spark.createDataFrame(
-        [*model.tail_rate.items()] or [(0, 0.0)], "cell int, rate double"
-    )  # a few hundred groups of like counts
-    rare = (
-        head.select(rid, F.explode(words).alias("x"))
-        .select(rid, F.xxhash64("x.word").alias("word"), F.col("x.n").alias("n"))
-        .join(counts.select(F.xxhash64("word").alias("word"), "c"), "word", "left")
-        .select(rid, F.coalesce("c", F.lit(0)).alias("c"), "n")
-        .repartition(rid)  # counts travel, not the four numbers made from them
+    # Every pair that isn't in the head is looked up once, then the documents meet the pairs.
+    left = head.select(rid, F.explode(asked).alias("x")).select(rid, "x.u", "x.g", "x.w", "x.n")
+    classes = spark.createDataFrame(_arrow(g=np.arange(CLASSES), back_class=model.back_class), "g int, back_class double")
+    zero = F.lit(0.0)
+    p = (
+        left.groupBy("u", "w")
+        .agg(F.first("g").alias("g"))
+        .join(model.tables["low"].select("u", "w", "a"), ["u", "w"], "left")
+        .join(model.tables["contexts"], "u", "left")
+        .join(model.tables["mid"], ["g", "w"], "left")
+        .join(model.tables["tops"], "w", "left")
+        .join(F.broadcast(classes), "g")
     )
+    of_class = F.coalesce("m", zero) + F.col("back_class") * F.coalesce("p", F.lit(model.p_base))
+    of_word = F.coalesce(F.col("a") * F.col("inverse"), zero) + F.coalesce("back", F.lit(1.0)) * of_class
+    c = F.coalesce("c", F.lit(0))
+    rare = F.col("w") < 0
     denominator = model.train_tokens + 0.5 * (model.types + 1)
+    p = p.select(
+        "u",
+        "w",
+        F.log10(of_word).alias("p"),
+        (rare & (c > 0)).cast("int").alias("known"),
+        F.when(rare, F.log10((c + 0.5) / denominator)).otherwise(zero).alias("base"),
+    )
     summed = (
-        rare.withColumn("cell", cell(F.col("c")))
-        .join(F.broadcast(rates), "cell", "left")
+        left.select(rid, "u", "w", "n")
+        .join(p, ["u", "w"])
         .groupBy(rid)
-        .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-            F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / denominator)).alias("base"),
-            F.sum(F.col("n") * F.log10(F.col("c") * F.coalesce("rate", F.lit(0.0)) + model.p_base)).alias("rare_score"),
-        )
+        .agg(*[F.sum(F.col("n") * F.col(name)).alias(f"{name}_left") for name in ("p", "known", "base")])
     )
-    whole = head.drop(words).join(summed, rid, "left")
+    whole = head.drop(asked).join(summed, rid, "left")
     return whole.select(
         *others,
         "n_tokens",
-        (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("base_head") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        (F.col("score_head") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        (F.col("n_head") + F.coalesce("known_left", F.lit(0))).alias("n_known"),
+        (F.col("base_head") + F.coalesce("base_left", zero)).alias("base_score"),
+        (F.col("score_head") + F.coalesce("p_left", zero)).alias("score"),
     )
 
 

@@ -238,6 +238,27 @@ def test_rarer_words_are_joined(spark, corpus, monkeypatch):
     assert lm_scoring.score(corpus, model, counts).filter("score IS NULL OR n_known IS NULL").count() == 0
 
 
+def test_every_pair_has_its_restaurant(corpus, monkeypatch):
+    whole, counts = lm_scoring.train(corpus)
+    wanted = lm_scoring.score(corpus, whole, counts).agg(F.sum("score")).first()[0]
+    monkeypatch.setattr(lm_scoring, "HEAD_SHARE", 0.01)  # hardly any pair has that share
+    model, counts = lm_scoring.train(corpus)
+    own = Counter()
+    for r in corpus.collect():
+        words = [b"<", *(r.text or "").encode().lower().split(), b">"]
+        own.update(zip(words, words[1:], strict=False))
+    low, mid, tops, contexts = (model.tables[name].toPandas() for name in ("low", "mid", "tops", "contexts"))
+    assert sorted(low.n) == sorted(own.values())
+    top = tops.p.sum() + model.p_base
+    inside = low.merge(contexts, on="u").assign(p=lambda x: x.a * x.inverse).groupby("u").p.sum()
+    classes = mid.groupby("g").m.sum()
+    assert abs(top - 1) < 1e-9 and all(abs(m + model.back_class[g] * top - 1) < 1e-9 for g, m in classes.items())
+    backs = contexts.set_index("u").back
+    assert (inside + backs - 1).abs().max() < 1e-9
+    found = lm_scoring.score(corpus, model, counts).agg(F.sum("score")).first()[0]
+    assert abs(found / wanted - 1) < 0.01
+
+
 # -- near-duplicates
 
 
