@@ -259,6 +259,23 @@ def test_every_pair_has_its_restaurant(corpus, monkeypatch):
     assert abs(found / wanted - 1) < 0.01
 
 
+def test_sweeps_bring_only_class_totals_to_the_driver(corpus, monkeypatch):
+    collected, to_arrow = [], type(corpus).toArrow
+
+    def spy(self):
+        out = to_arrow(self)
+        collected.append(out.num_rows)
+        return out
+
+    monkeypatch.setattr(type(corpus), "toArrow", spy)
+    sums = []
+    for sweeps in (1, 3):
+        collected.clear()
+        model, _ = lm_scoring.train(corpus, sweeps=sweeps, burn_in=0)
+        sums.append(sum(collected))
+    assert sums[1] - sums[0] <= 2 * (model.tables["mid"].select("g").distinct().count() + 1)
+
+
 # -- near-duplicates
 
 
