@@ -276,6 +276,16 @@ def test_sweeps_bring_only_class_totals_to_the_driver(corpus, monkeypatch):
     assert sums[1] - sums[0] <= 2 * (model.tables["mid"].select("g").distinct().count() + 1)
 
 
+def test_rarer_words_are_seated_by_their_own_counts(corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD_SHARE", 0.01)
+    model, counts = lm_scoring.train(corpus, sweeps=2, burn_in=1)
+    rare = counts.filter(F.col("c") < 0.01 * model.train_tokens).select(lm_scoring.rare_id(F.col("word")).alias("w"), "c")
+    seen = rare.join(model.tables["tops"].withColumnRenamed("c", "own"), "w").collect()
+    assert len(seen) == rare.count() > 0 and all(r.c == r.own and r.p > model.p_base for r in seen)
+    classes = model.tables["mid"].filter("w < 0 AND m > 0").select("w").distinct().count()
+    assert classes == len(seen)
+
+
 # -- near-duplicates
 
 
