@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.session import written
 
-def row_at(df: DataFrame, order: list[str], position: int) -> DataFrame:
-    """The row at a zero-based position; a top-(n+1) per task, never a full sort."""
-    return df.orderBy(*order).offset(position).limit(1)
+#: Up to so many leading rows are kept per task and merged in one; beyond, rows are counted by range.
+DIRECT_ROWS = 100_000
+
+
+def by_range(df: DataFrame, order: list) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``df`` written in ranges of ``order``, numbered in ``__range``, and (range, rows before it, rows) of each.
+
+    There are as many ranges as shuffle partitions; equal rows share one. Only the counts reach the driver.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counted, before = [], 0
+    for part, rows in sorted(map(tuple, dealt.groupBy("__range").count().collect())):
+        counted.append((part, before, rows))
+        before += rows
+    return dealt, counted
+
+
+def row_at(df: DataFrame, order: list[str], position: int, direct: int = DIRECT_ROWS) -> DataFrame:
+    """The row at a zero-based position: a top-(n+1) per task up to ``direct``, else a sort of the one range that holds it."""
+    if position < direct:
+        return df.orderBy(*order).offset(position).limit(1)
+    dealt, counted = by_range(df, order)
+    for part, before, rows in counted:
+        if before <= position < before + rows:
+            within = dealt.filter(F.col("__range") == part).drop("__range")
+            return within.orderBy(*order).offset(position - before).limit(1)
+    return dealt.drop("__range").limit(0)
 
 
 def every_k(df: DataFrame, k: int, step: str = "step") -> DataFrame:

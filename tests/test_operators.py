@@ -185,3 +185,14 @@ def test_batch_plan_covers_each_row_once(spark):
     assert sorted(r.id for r in steps) == list(range(103))
     assert sorted((r.step, r.slot) for r in steps) == [(i // 8 + 1, i % 8) for i in range(103)]
     assert max(r.step for r in batch_plan(spark.range(103), "id", 7, 2, 4, max_steps=5).collect()) == 5
+
+
+def test_row_at_a_far_position_sorts_one_range(spark, plan):
+    rng = random.Random(4)
+    values = [(rng.randrange(10**6) if i % 50 else None, i) for i in range(2000)]
+    frame = spark.createDataFrame(values, "a long, b long").repartition(5)
+    wanted = sorted(values, key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
+    for position in (0, 39, 40, 1000, 1999):
+        far = row_at(frame, ["a", "b"], position, direct=0)
+        assert [tuple(r) for r in far.collect()] == [wanted[position]] and "__range" in plan(far)
+    assert far.columns == ["a", "b"] and row_at(frame, ["a", "b"], 2000, direct=0).count() == 0
