@@ -9,23 +9,31 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from lociframe.functions.arrays import BEGIN_ID, END_ID, SEQUENCE_LENGTH, UNKNOWN_ID
 from lociframe.functions.prompts import AnswerSpec, shown
 from lociframe.functions.scalars import WORD_BREAK, words
+from lociframe.operators.ordering import DIRECT_ROWS, by_range
 
 FIRST_WORD_ID = END_ID + 1
 LOOKUP_LIMIT = 500_000
 
 
-def build_vocab(df: DataFrame, k: int, text: str = "text") -> DataFrame:
+def build_vocab(df: DataFrame, k: int, text: str = "text", direct: int = DIRECT_ROWS) -> DataFrame:
     """The ``k`` most frequent words, most frequent first, ties by word, with ids.
 
-    Counting combines on the map side. The ids are given out over the ``k``
-    kept words only.
+    Counting combines on the map side. Up to ``direct`` words are cut and
+    numbered in one task; more are numbered within ranges of the order, each
+    starting after the words of the ranges before.
     """
     tokens = df.select(F.explode(F.split(F.col(text), WORD_BREAK)).alias("token")).filter("token <> ''")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
     order = [F.col("frequency").desc(), F.col("token")]
-    top = counts.orderBy(*order).limit(k)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return top.withColumn("token_id", (rank + (FIRST_WORD_ID - 1)).cast("int"))
+    if k <= direct:
+        top = counts.orderBy(*order).limit(k)
+        rank = F.row_number().over(Window.orderBy(*order))
+        return top.withColumn("token_id", (rank + (FIRST_WORD_ID - 1)).cast("int"))
+    dealt, counted = by_range(counts, order)
+    starts = df.sparkSession.createDataFrame([part[:2] for part in counted if part[1] < k], "__range int, __start long")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__start")
+    numbered = dealt.join(F.broadcast(starts), "__range").withColumn("__rank", rank).filter(F.col("__rank") <= k)
+    return numbered.select("token", "frequency", (F.col("__rank") + (FIRST_WORD_ID - 1)).cast("int").alias("token_id"))
 
 
 def encode(

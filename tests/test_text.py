@@ -129,3 +129,13 @@ def test_encode_keeps_repeated_and_null_keys_either_way(spark):
 def test_few_shot_shows_absent_parts(spark):
     df = spark.createDataFrame([("g", 1, "q", None), ("g", 2, None, "x")], "g string, o int, q string, a string")
     assert few_shot(df, "g", "o", "q", "a", 3).first().prompt == "q = None.\nNone ="
+
+
+def test_large_vocabularies_are_numbered_by_range(spark, plan):
+    texts = [(i, " ".join(f"w{j}" for j in range(i, 400, i + 1))) for i in range(30)]
+    docs = spark.createDataFrame(texts, "id bigint, text string")
+    wanted = [tuple(r) for r in build_vocab(docs, 300).orderBy("token_id").collect()]
+    ranged = build_vocab(docs, 300, direct=10)
+    assert [tuple(r) for r in ranged.orderBy("token_id").collect()] == wanted and len(wanted) == 300
+    assert "SinglePartition" not in plan(ranged) and "TakeOrdered" not in plan(ranged)
+    assert build_vocab(docs, 10_000, direct=10).count() == build_vocab(docs, 10_000).count()
