@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import free_name, row_key, table
-from lociframe.llm.license_texts import LICENSES, SPELLINGS
+from lociframe.llm.license_texts import FULL_DIGESTS, LICENSES, SPELLINGS
 from lociframe.session import written
 
 NAME = "op8_license_scan"
@@ -81,6 +81,12 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS known(license, text)")
 
 
+def full_digests(spark: SparkSession) -> DataFrame:
+    """``digest``, ``license`` of the built-in full texts that are kept as digests only."""
+    rows = ", ".join(f"(X'{value}', {_sql_text(name)})" for name, value in FULL_DIGESTS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS known(digest, license)")
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
@@ -92,15 +98,18 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", ke
     ``n_license_lines``: lines that are a known text by themselves;
     ``line_licenses``: their licences, sorted, once each. Null and empty texts,
     and texts of copyright lines only, have the digest of an empty text and no
-    licence. Of two known licences with one digest the first by name counts.
+    licence. Without ``known`` the built-in texts and digests count. Of two known licences with one digest the first by name counts.
     Equal rows get equal results. Existing columns of these names are replaced.
     """
     docs = docs.drop("text_sha256", "license", "n_license_lines", "line_licenses")
-    known = known if known is not None else known_licenses(docs.sparkSession)
+    built_in = known is None
+    known = known_licenses(docs.sparkSession) if built_in else known
     forms = known.select(canonical_lines("text").alias("canonical"), "license")
     named = forms.select(
         F.when(F.size("canonical") > 0, digest(F.array_join("canonical", " "))).alias("digest"), "license"
     )
+    if built_in:
+        named = named.unionByName(full_digests(docs.sparkSession))
     # Written, so that the joins below are planned over a small table and not over these expressions.
     names = written(named.groupBy("digest").agg(F.min("license").alias("license")), "known-licenses")
     row, whole, part, at, found = free_name(docs, "row", "whole", "part", "at", "found")

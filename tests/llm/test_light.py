@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -262,3 +263,15 @@ def test_pii_query(spark):
         listed = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert set(listed.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_full_license_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / name).exists() for name in files.values()):
+        pytest.skip("no licence texts here")
+    texts = [(name, (folder / file).read_text(encoding="utf-8")) for name, file in files.items()]
+    texts += [(name, text[: text.index("END OF TERMS")]) for name, text in texts if "END OF TERMS" in text]
+    docs = spark.createDataFrame([*texts, ("none", texts[0][1] + " more")], "doc_id string, text string")
+    found = [(r.doc_id, r.license) for r in license_scan.scan(docs).collect()]
+    assert sorted(found, key=str) == sorted([*((name, name) for name, _ in texts), ("none", None)], key=str)
