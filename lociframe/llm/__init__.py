@@ -26,6 +26,7 @@ OPERATORS = (  # in the order of their numbers
     "license_scan",
     "piece_encoding",
     "pii",
+    "warc",
     "filter_audit",
 )
 
