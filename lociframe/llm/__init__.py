@@ -27,6 +27,7 @@ OPERATORS = (  # in the order of their numbers
     "piece_encoding",
     "pii",
     "warc",
+    "hard_negatives",
     "filter_audit",
 )
 
