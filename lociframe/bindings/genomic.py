@@ -48,16 +48,21 @@ SQL_EXCLUSIVE = f"""
  SELECT analysis_id, CAST(SUM(CASE WHEN CAST(loh AS DOUBLE) / bp >= 0.9 THEN 0 ELSE loh END) AS DOUBLE) / SUM(bp) AS exclusive,
   CAST(SUM(CASE WHEN CAST(loh AS DOUBLE) / bp >= 0.9 THEN 1 ELSE 0 END) AS INTEGER) AS lost
  FROM ({SQL_ARMS}) arms GROUP BY analysis_id"""
-SQL_PAIRS = """
+
+
+def _sql_pairs(genes: str) -> str:
+    return f"""
  SELECT s.analysis_id, s.chrom, s.seg_start, s.total_cn, s.minor_cn, g.gene, gene_end - gene_start AS gene_bp,
   LEAST(seg_end, gene_end) - GREATEST(seg_start, gene_start) AS overlap_bp
- FROM v_segments s JOIN v_genes g ON s.chrom = g.chrom AND seg_start < gene_end AND gene_start < seg_end"""
+ FROM v_segments s JOIN {genes} g ON s.chrom = g.chrom AND seg_start < gene_end AND gene_start < seg_end"""
+
+
 SQL_LOSSES = f"""
  SELECT analysis_id, gene,
   CAST(SUM(CASE WHEN {IS_LOH} THEN overlap_bp ELSE 0 END) AS DOUBLE) / MAX(gene_bp) AS loh_proportion,
   CAST(SUM(CASE WHEN total_cn = 0 THEN overlap_bp ELSE 0 END) AS DOUBLE) / MAX(gene_bp) AS deep_loss_proportion,
   CAST(SUM(CASE WHEN total_cn = 0 THEN 1 ELSE 0 END) AS BIGINT) AS deep_loss_probes
- FROM ({SQL_PAIRS}) pairs GROUP BY analysis_id, gene"""
+ FROM ({_sql_pairs('v_panel')}) pairs GROUP BY analysis_id, gene"""
 
 
 def _counted(origin: str, classification: str) -> str:
@@ -88,7 +93,7 @@ SQL_GENES = f"""
   COALESCE(l.deep_loss_proportion, 0) AS deep_loss_proportion,
   COALESCE(l.deep_loss_probes, 0) AS deep_loss_probes,
   CAST(g.interested AS INTEGER) AS interested_gene, a.cancer_cohort
- FROM v_analyses a CROSS JOIN (SELECT * FROM v_genes WHERE reported) g
+ FROM v_analyses a CROSS JOIN (SELECT * FROM v_panel WHERE reported) g
  LEFT JOIN ({SQL_LOSSES}) l ON l.analysis_id = a.analysis_id AND l.gene = g.gene
  LEFT JOIN ({SQL_VARIANTS}) v ON v.analysis_id = a.analysis_id AND v.gene = g.gene"""
 PATHOGENIC = "somatic_pathogenic_count + germline_pathogenic_count"
@@ -159,7 +164,7 @@ def _(t):
     return lost_arms(t.v_segments, t.v_arms)
 
 
-@query("overlap_join", f"SELECT analysis_id, chrom, seg_start, gene, overlap_bp FROM ({SQL_PAIRS}) pairs")
+@query("overlap_join", f"SELECT analysis_id, chrom, seg_start, gene, overlap_bp FROM ({_sql_pairs('v_genes')}) pairs")
 def _(t):
     pairs = overlap_join(
         t.v_segments, t.v_genes, "chrom", ("seg_start", "seg_end"), ("gene_start", "gene_end")
@@ -225,7 +230,7 @@ def _(t):
 @query("gene_flags", """
  SELECT v.analysis_id, v.gene, v.classification, CASE WHEN g.interested THEN 1 ELSE 0 END AS interested_gene,
   CASE WHEN g.reported THEN 1 ELSE 0 END AS reported_gene
- FROM v_variants v LEFT JOIN v_genes g ON v.gene = g.gene""")
+ FROM v_variants v LEFT JOIN v_panel g ON v.gene = g.gene""")
 def _(t):
     return gene_flags(t.v_variants.select("analysis_id", "gene", "classification"), t.v_genes)
 

@@ -68,14 +68,20 @@ VIEWS: dict[str, str] = {
          CASE WHEN l_quantity <= 1 THEN 'pathogenic' WHEN l_quantity <= 3 THEN 'vus' ELSE 'benign' END AS classification,
          l_discount AS somatic_vaf, l_tax AS germline_vaf
         FROM lineitem""",
-    # -- panels: 100 genes, 44 arms, thresholds ('MIDDLE EAST' is left out, so the default cohort is used,
+    # -- panels: 100 genes (three of them listed twice, with and without the interested mark), 44 arms, thresholds ('MIDDLE EAST' is left out, so the default cohort is used,
     #    'ASIA' is listed for the other metric only, so it has no threshold)
-    "v_genes": """
-        SELECT concat('G', CAST(p_partkey % 100 AS STRING)) AS gene, p_partkey % 100 % 22 + 1 AS chrom,
-         (p_partkey % 100 * 7 % 97) * 1000000 AS gene_start,
-         (p_partkey % 100 * 7 % 97) * 1000000 + MAX(p_size) * 50000 AS gene_end,
-         p_partkey % 100 < 2 AS interested, p_partkey % 100 < 6 AS reported
+    "v_gene_parts": """
+        SELECT p_partkey % 100 AS number, concat('G', CAST(p_partkey % 100 AS STRING)) AS gene,
+         p_partkey % 100 % 22 + 1 AS chrom, (p_partkey % 100 * 7 % 97) * 1000000 AS gene_start,
+         (p_partkey % 100 * 7 % 97) * 1000000 + MAX(p_size) * 50000 AS gene_end
         FROM part GROUP BY p_partkey % 100""",
+    "v_genes": """
+        SELECT gene, chrom, gene_start, gene_end, number < 2 AS interested, number < 6 AS reported FROM v_gene_parts
+        UNION ALL
+        SELECT gene, chrom, gene_start, gene_end, false AS interested, true AS reported FROM v_gene_parts WHERE number < 3""",
+    "v_panel": """
+        SELECT gene, chrom, gene_start, gene_end, bool_or(interested) AS interested, bool_or(reported) AS reported
+        FROM v_genes GROUP BY gene, chrom, gene_start, gene_end""",
     "v_arms": """
         SELECT DISTINCT p_partkey % 22 + 1 AS chrom, 'p' AS arm, 0 AS arm_start, 50000000 AS arm_end FROM part
         UNION ALL

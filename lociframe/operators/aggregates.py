@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampType
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 
 def notes_rollup(
@@ -30,14 +30,18 @@ def notes_rollup(
 def latest_version(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
     """The row with the greatest ``ts`` per key; of equal ones the smallest ``tie`` of any type.
 
-    A time stamp, date or number is turned round, so that one aggregation finds
-    the row. Any other type takes two: the smallest tie per key and ``ts``,
+    A time stamp (one without a zone by its distance from a fixed instant), date
+    or number is turned round, so that one aggregation finds the row. Any other type takes two: the smallest tie per key and ``ts``,
     then the greatest ``ts``. Both combine on the map side.
     """
     rest = [name for name in df.columns if name not in keys]
     row, kind = F.struct(*rest), df.schema[ts].dataType
-    if isinstance(kind, (NumericType, TimestampType, DateType)):
-        numbers = {TimestampType: F.unix_micros, DateType: F.unix_date}
+    if isinstance(kind, (NumericType, TimestampType, TimestampNTZType, DateType)):
+        numbers = {
+            TimestampType: F.unix_micros,
+            TimestampNTZType: lambda column: column - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"),
+            DateType: F.unix_date,
+        }
         number = numbers.get(type(kind), lambda column: column)(F.col(ts))
         best = df.groupBy(*keys).agg(F.min_by(row, F.struct(F.isnull(ts), -number, F.col(tie))).alias("__row"))
     else:

@@ -147,9 +147,13 @@ def scaffold(orders: DataFrame, regions: DataFrame, blocks: int = BLOCKS, salts:
 
 
 def _panel(genes: DataFrame) -> DataFrame:
-    """Reported genes, one row per gene, with their width and whether they are interested ones."""
+    """Reported genes, one row per gene, with their width and whether they are interested ones.
+
+    A region counts once however often it is listed; one interested listing marks the gene.
+    """
     width = F.sum(F.col("gene_end").cast("bigint") - F.col("gene_start").cast("bigint"))
-    marks = genes.filter("reported").select("gene", "chrom", "gene_start", "gene_end", "interested").distinct()
+    regions = genes.filter("reported").groupBy("gene", "chrom", "gene_start", "gene_end")
+    marks = regions.agg(F.max("interested").alias("interested"))
     return marks.groupBy(F.lit("gene").alias("kind"), F.col("gene").alias("name")).agg(
         F.max(F.col("interested").cast("int")).alias("interested_gene"), width.alias("region_bp")
     )

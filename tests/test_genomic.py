@@ -247,3 +247,14 @@ def test_shares_stay_within_one(spark):
     trimmed = without_overlaps(segments)
     assert sorted((r.seg_start, r.seg_end) for r in trimmed.collect()) == [(0, 100), (100, 120)]
     assert gene_losses(trimmed, panel).first().loh_proportion == 80 / 100
+
+
+def test_a_gene_listed_twice_counts_once(spark, orders, segments, arms, variants, genes, rows):
+    """With equal or different marks; one interested listing marks the gene."""
+    again = genes.withColumn("interested", F.lit(False)).filter("reported")
+    for listed in (genes.unionByName(again), again.unionByName(genes).unionByName(genes)):
+        for build in (
+            lambda panel: gene_level(orders, segments, variants, panel, RULES),
+            lambda panel: order_level(orders, segments, arms, variants, panel, RULES),
+        ):
+            assert rows(build(listed)) == rows(build(genes))

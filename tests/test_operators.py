@@ -133,6 +133,21 @@ def test_latest_version_takes_any_tie_and_missing_keys(spark, rows):
     assert rows(missing_keys(asked, df, ["key"])) == [("gone",)]
 
 
+def test_latest_version_without_a_zone_needs_one_shuffle(spark, rows, plan):
+    """Clock changes of a zone and years before 1970 don't disturb the order."""
+    stamps = ["2024-03-31 02:30:00.000001", "2024-03-31 02:30:00", "1901-01-01 00:00:00", None, "2024-03-31 03:10:00"]
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate(stamps)] + [("b", 7, None)], "k string, id int, s string")
+    df = df.selectExpr("k", "id", "CAST(s AS TIMESTAMP_NTZ) AS ts")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        newest = latest_version(df, ["k"], "ts", "id")
+        assert rows(newest, "k", "id") == [("a", 4), ("b", 7)]
+        assert rows(latest_version(df.filter("id < 4"), ["k"], "ts", "id"), "k", "id") == [("a", 0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert plan(newest).split("\n\n")[0].count("Exchange") == 1
+
+
 def test_latest_version_combines_before_the_shuffle(spark, plan):
     df = spark.range(10).selectExpr("id % 2 AS k", "id", "id AS ts")
     assert plan(latest_version(df, ["k"], "ts", "id")).count("partial_min_by") >= 1
