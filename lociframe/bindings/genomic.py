@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from lociframe.bindings.inputs import Tables
@@ -21,10 +23,10 @@ from lociframe.operators.genome import LossRules, gwloh_exclusive, gwloh_inclusi
 from lociframe.operators.joins import default_category
 from lociframe.operators.overlap import overlap_join
 from lociframe.operators.scoring import abundance_matrix, normalize_abundance, score_groups, weighted_score
-from lociframe.plans.cohort import DEFAULT_COHORT, dna_batch, dna_scores, rna_scores, union_scores
+from lociframe.plans.cohort import DEFAULT_COHORT, dna_batch, dna_scores, rna_batch, rna_scores, union_scores
 from lociframe.plans.results import gene_level, hrd_calls, order_level
 from lociframe.session import shared_dir
-from lociframe.sources import write_csv
+from lociframe.sources import read_csv, write_csv
 
 RULES = LossRules(loh_reportable=0.8, deep_loss_reportable=0.8)
 METRIC = "dna_gwloh"
@@ -291,21 +293,101 @@ def _(t):
     return _dna_exclusive(t)
 
 
-def _write_segments(t: Tables):
-    """A file of segments per analysis, and where each is."""
-    folder = shared_dir(t.spark, "segments")
-    write_csv(t.v_segments.repartition("analysis_id"), folder, partition_by=["analysis_id"])
+BROKEN = 7  # analyses of the remainders 0 to 3 have a broken file
+IS_BROKEN = "{key} % 7 IN (0, 1, 2, 3)"
+
+
+def _cut_gzip(text: str) -> str:
+    """A gzip file of which the end is missing, as the hex of its bytes."""
+    return gzip.compress(text.encode(), mtime=0)[:-12].hex()
+
+
+def _broken_lines(key: str, header: str, good: str, bad: str):
+    """What stands in the file of an analysis, by its remainder: another header, a cut gzip, nothing, a bad line."""
+    texts = {0: "another header\n1", 2: "", 3: f"{header}\n{good}\n{bad}"}
+    kind = F.pmod(F.col(key), F.lit(BROKEN))
+    chosen = F.when(kind == 1, F.unhex(F.lit(_cut_gzip(header + f"\n{good}" * 40))).cast("string"))
+    for value, text in texts.items():
+        chosen = chosen.when(kind == value, F.lit(text))
+    return chosen
+
+
+def _file_per_key(rows, key: str, lines, folder: str) -> None:
+    """Texts as files, one folder per key; the order of lines within a key is that of ``place``."""
+    rows.select(key, "place", lines.alias("value")).repartition(key).sortWithinPartitions(key, "place").select(
+        key, "value"
+    ).write.partitionBy(key).text(folder)
+
+
+def _files_by_key(t: Tables, folder: str, key: str):
     files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    place = F.regexp_extract("path", "analysis_id=([0-9]+)/", 1).cast("bigint").alias("analysis_id")
-    return folder, files.select(place, F.col("path").alias("file"))
+    return files.select(F.regexp_extract("path", f"{key}=([0-9]+)/", 1).cast("bigint").alias(key), F.col("path").alias("file"))
 
 
-@query("cohort_batch", f"""
- SELECT * EXCLUDE (url) FROM ({_sql_dna(SQL_EXCLUSIVE, "exclusive")}) d
- WHERE match_type = 'match' AND analysis_id IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 10)""")
-def _(t):
-    """Manifest with unlisted files, repeated rows and analyses whose file is not there."""
-    folder, files = t.once(_write_segments)
+def _write_files(t: Tables, rows, key: str, columns: list[str], sep: str, bad: str):
+    """A file of rows per analysis, broken ones among them, and where each is."""
+    folder = shared_dir(t.spark, f"files-of-{key}")
+    header = sep.join(columns)
+    whole = rows.filter(~F.expr(IS_BROKEN.format(key=key)))
+    heads = whole.select(key).distinct().select(key, F.lit(0).alias("place"), F.lit(header).alias("line"))
+    lines = whole.select(key, F.lit(1).alias("place"), F.concat_ws(sep, *columns).alias("line"))
+    broken = rows.filter(IS_BROKEN.format(key=key)).select(key).distinct()
+    good = sep.join(["1"] * len(columns))
+    wrong = broken.select(key, F.lit(0).alias("place"), _broken_lines(key, header, good, bad).alias("line"))
+    _file_per_key(heads.unionByName(lines).unionByName(wrong), key, F.col("line"), folder)
+    return folder, _files_by_key(t, folder, key)
+
+
+def _write_segments(t: Tables):
+    columns = ["chrom", "seg_start", "seg_end", "total_cn", "minor_cn"]
+    return _write_files(t, t.v_segments, "analysis_id", columns, ",", "1,0,5")
+
+
+def _write_rna(t: Tables):
+    rows = t.v_abundance.withColumn("analysis_id", F.substring("sample", 2, 20).cast("bigint"))
+    return _write_files(t, rows, "analysis_id", ["gene", "counts"], "\t", "view\tmany")
+
+
+SQL_FAULT = """CASE WHEN {has_file} THEN CASE {key} % 7
+  WHEN 0 THEN 'ValueError: header is another header, expected ' || '{header}'
+  WHEN 1 THEN 'EOFError: Compressed file ended before the end-of-stream marker was reached'
+  WHEN 2 THEN 'ValueError: no header, the file is empty'
+  WHEN 3 THEN '{fault}' END ELSE 'absent' END"""
+
+
+def _sql_batch(scored: str, has_file: str, header: str, fault: str, key: str = "analysis_id") -> str:
+    """Scores as without files, but none for analyses with a broken file."""
+    broken = IS_BROKEN.format(key=key)
+    return f"""
+ SELECT * REPLACE (CASE WHEN {broken} THEN NULL ELSE hrd_score END AS hrd_score,
+   CASE WHEN {broken} THEN 'Not Detected' ELSE hrd_call END AS hrd_call),
+  {SQL_FAULT.format(has_file=has_file, key=key, header=header, fault=fault)} AS score_error
+ FROM ({scored}) scored"""
+
+
+DNA_BATCH = _sql_batch(
+    f"""SELECT * EXCLUDE (url) FROM ({_sql_dna(SQL_EXCLUSIVE, "exclusive")}) d
+   WHERE match_type = 'match' AND analysis_id IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 10)""",
+    "analysis_id IN (SELECT analysis_id FROM v_segments)",
+    "chrom,seg_start,seg_end,total_cn,minor_cn",
+    "line 3: 3 fields, expected 5",
+)
+RNA_BATCH = _sql_batch(
+    SQL_RNA,
+    "analysis_id IN (SELECT user_id FROM events WHERE user_id % 10 <> 0)",
+    "gene' || chr(9) || 'counts",
+    "line 3: counts does not fit its type",
+)
+
+
+def _batch_error():
+    """Errors of absent files name the path, which differs from run to run."""
+    return F.when(F.col("score_error").startswith("FileNotFoundError"), F.lit("absent")).otherwise(F.col("score_error"))
+
+
+def _dna_batch(t: Tables):
+    """Manifest with unlisted files, repeated rows, analyses whose file is not there and broken files."""
+    _, files = t.once(_write_segments)
     known = t.v_analyses.join(files, "analysis_id", "left").withColumn("url", F.coalesce("file", "url"))
     metadata = known.select("analysis_id", "cancer_cohort", "url", "assay", "match_type")
     keys = t.lineitem.filter("l_quantity > 10").select(F.col("l_suppkey").alias("analysis_id"))
@@ -313,10 +395,39 @@ def _(t):
     def score(rows):
         return gwloh_exclusive(rows, t.v_arms).withColumnRenamed("genome_wide_loh_proportion_exclusive", "hrd_score")
 
-    batch = dna_batch(
-        t.spark, metadata.union(metadata), t.v_thresholds, METRIC, folder, SEGMENT_FILE, score, "match", keys
-    )
-    return batch.drop("url")
+    batch = dna_batch(metadata.union(metadata), t.v_thresholds, METRIC, SEGMENT_FILE, score, "match", keys)
+    return batch.drop("url").withColumn("score_error", _batch_error())
+
+
+def _rna_batch(t: Tables):
+    _, files = t.once(_write_rna)
+    known = t.v_rna_analyses.join(files, "analysis_id", "left").withColumn("url", F.coalesce("file", F.lit("/absent.tsv")))
+
+    def score(normalized):
+        return weighted_score(normalized, t.v_weights, ["analysis_id"])
+
+    batch = rna_batch(known.drop("file"), t.v_thresholds, RNA_THRESHOLD, "gene STRING, counts BIGINT", score)
+    rounded = batch.withColumn("hrd_score", F.round("hrd_score", 6))
+    return rounded.drop("url").withColumn("score_error", _batch_error())
+
+
+@query("cohort_batch", DNA_BATCH)
+def _(t):
+    return _dna_batch(t)
+
+
+@query("rna_batch", RNA_BATCH)
+def _(t):
+    return _rna_batch(t)
+
+
+@query("score_batch", f"SELECT * FROM ({DNA_BATCH}) d UNION ALL BY NAME SELECT * FROM ({RNA_BATCH}) r")
+def _(t):
+    """Both halves from their files to one CSV, read back."""
+    scores = union_scores(_dna_batch(t), _rna_batch(t))
+    folder = shared_dir(t.spark, "score-batch")
+    write_csv(scores, folder)
+    return read_csv(t.spark, folder, scores.schema)
 
 
 @query("final_call", f"""

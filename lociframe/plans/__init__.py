@@ -1,10 +1,11 @@
-from lociframe.plans.cohort import dna_batch, dna_scores, rna_scores, union_scores
+from lociframe.plans.cohort import analysis_files, dna_batch, dna_scores, rna_batch, rna_scores, union_scores
 from lociframe.plans.concordance import concordance, discrepant
 from lociframe.plans.reports import eligible_reports, report_rollup
 from lociframe.plans.results import final_call, gene_level, hrd_calls, order_level
 from lociframe.plans.training import training_examples
 
 __all__ = [
+    "analysis_files",
     "concordance",
     "discrepant",
     "dna_batch",
@@ -15,6 +16,7 @@ __all__ = [
     "hrd_calls",
     "order_level",
     "report_rollup",
+    "rna_batch",
     "rna_scores",
     "training_examples",
     "union_scores",

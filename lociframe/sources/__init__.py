@@ -1,4 +1,7 @@
+from lociframe.sources.checked import CheckedRows, read_checked
 from lociframe.sources.commented import read_commented_tsv, read_file_metadata
+from lociframe.sources.guarded import scan_files
+from lociframe.sources.manifest_source import scan_manifest_source
 from lociframe.sources.profile import profile
 from lociframe.sources.readers import (
     jdbc_options,
@@ -13,17 +16,21 @@ from lociframe.sources.readers import (
 from lociframe.sources.sinks import write_csv, write_parquet, write_tsv
 
 __all__ = [
+    "CheckedRows",
     "jdbc_options",
     "load_split",
     "normalized_uri",
     "profile",
+    "read_checked",
     "read_commented_tsv",
     "read_csv",
     "read_file_metadata",
     "read_jsonl",
     "read_table",
     "read_tsv",
+    "scan_files",
     "scan_manifest",
+    "scan_manifest_source",
     "write_csv",
     "write_parquet",
     "write_tsv",

@@ -4,18 +4,22 @@ import json
 import pytest
 
 from lociframe.session import shared_dir
+from lociframe.sources import guarded
 from lociframe.sources import (
     jdbc_options,
     load_split,
     normalized_uri,
     profile,
+    read_checked,
     read_commented_tsv,
     read_csv,
     read_file_metadata,
     read_jsonl,
     read_table,
     read_tsv,
+    scan_files,
     scan_manifest,
+    scan_manifest_source,
     write_csv,
     write_parquet,
     write_tsv,
@@ -183,3 +187,122 @@ def test_shared_dir_is_fresh_and_follows_the_setting(spark):
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert first != second
     assert root is None or first.startswith(root)
+
+
+SCORES = "id int, name string, score double"
+BODY = 'id,name,score\n1,"x,y",0.5\n2,a,b,c\n3\nx,b,1\n4,"say ""q""",oops\n\n5,,\n6,"",2\n7,"open,1\n'
+
+
+@pytest.fixture
+def mixed_files(tmp_path):
+    """Name to content of good and broken files, below tmp_path/in."""
+    (tmp_path / "in").mkdir()
+    whole = gzip.compress(b"id,name,score\n" + b"".join(b"%d,n,1.5\n" % i for i in range(5000)))
+    files = {
+        "bad lines.csv": BODY.encode(),
+        "cut.csv.gz": whole[:-300],
+        "good.csv.gz": whole,
+        "zipped.csv": whole,  # told by its content, not its name
+        "header.csv": b"idd,name,score\n1,a,2\n",
+        "empty.csv": b"",
+        "blank.csv": b"\n \n",
+        "only header.csv": b"id,name,score\r\n",
+        "bytes.csv": b"id,name,score\n1,\xff,2\n",
+        "mark.csv": "\ufeffid,name,score\r\n1,\u00e9,2\r\n".encode(),
+        "flipped.csv.gz": whole[:200] + bytes([whole[200] ^ 255]) + whole[201:],
+    }
+    for name, content in files.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    return tmp_path / "in"
+
+
+def manifest_of(spark, folder):
+    names = [p.name for p in sorted(folder.iterdir())] + ["gone.csv"]
+    rows = [(name, f"{'file://' if i % 2 else ''}{folder}/{name}") for i, name in enumerate(names)]
+    return spark.createDataFrame([*rows, ("null", None), ("good.csv.gz", f"{folder}/good.csv.gz")], "file string, url string")
+
+
+def outcome(df):
+    """Per file the good rows, the bad lines and the kind of error."""
+    found = {}
+    for r in df.collect():
+        good, bad, error = found.setdefault(r.file, ([], [], []))
+        if r.file_error is None:
+            good.append((r.file_line, r.id, r.name, r.score))
+        elif r.file_line is None:
+            error.append(r.file_error.split(":")[0])
+        else:
+            bad.append((r.file_line, r.file_error))
+    return {k: (sorted(a, key=repr), sorted(b), c) for k, (a, b, c) in found.items()}
+
+
+@pytest.mark.parametrize("way", ["tasks", "spark", "source"])
+def test_each_file_fails_alone(spark, tmp_path, mixed_files, way):
+    manifest = manifest_of(spark, mixed_files)
+    if way == "source":
+        manifest.write.parquet(f"{tmp_path}/m")
+        got = outcome(scan_manifest_source(spark, f"{tmp_path}/m", "url", SCORES, ",", rows_per_partition=2))
+    else:
+        got = outcome(scan_files(manifest, "url", SCORES, ",", root=str(mixed_files) if way == "spark" else None))
+    bad = [(3, "4 fields, expected 3"), (4, "1 fields, expected 3"), (5, "id does not fit its type")]
+    bad += [(6, "score does not fit its type"), (10, "unexpected end of data")]
+    assert got["bad lines.csv"] == ([(2, 1, "x,y", 0.5), (8, 5, None, None), (9, 6, "", 2.0)], bad, [])
+    assert len(got["good.csv.gz"][0]) == 10_000 and got["good.csv.gz"][1:] == ([], [])  # named twice
+    assert len(got["zipped.csv"][0]) == 5000
+    assert got["mark.csv"] == ([(2, 1, "\u00e9", 2.0)], [], [])
+    assert "only header.csv" not in got
+    empty = "FileNotFoundError" if way == "spark" else "ValueError"
+    errors = {"cut.csv.gz": "EOFError", "header.csv": "ValueError", "empty.csv": empty, "blank.csv": "ValueError"}
+    errors |= {"bytes.csv": "UnicodeDecodeError", "gone.csv": "FileNotFoundError", "null": "FileNotFoundError"}
+    for name, kind in errors.items():
+        assert got[name] == ([], [], [kind])
+    assert got["flipped.csv.gz"][0] == [] and len(got["flipped.csv.gz"][2]) == 1
+
+
+def test_long_files_are_read_in_parts(monkeypatch, mixed_files):
+    how = (["id", "name", "score"], ",", None, None)
+    open_file = lambda name: lambda: guarded.open_url(f"{mixed_files}/{name}")
+    whole = [r for part in guarded.guarded_records(open_file("good.csv.gz"), *how) for r in part]
+    monkeypatch.setattr(guarded, "HELD_CHARACTERS", 1000)
+    monkeypatch.setattr(guarded, "ROWS_AT_ONCE", 100)
+    parts = list(guarded.guarded_records(open_file("good.csv.gz"), *how))
+    assert [r for part in parts for r in part] == whole and len(whole) == 5000
+    assert max(map(len, parts)) == 100
+    assert len(list(guarded.guarded_records(open_file("cut.csv.gz"), *how))[0]) == 1  # none of its rows
+
+
+def test_comments_missing_values_and_clashing_columns(spark, tmp_path, rows):
+    (tmp_path / "c.tsv").write_text("# x\nid\tname\n#y\n1\tNA\n2\t#z\n")
+    manifest = spark.createDataFrame([(f"{tmp_path}/c.tsv",)], "url string")
+    df = scan_files(manifest, "url", "id int, name string", comment="#", missing="NA")
+    assert rows(df, "id", "name", "file_line") == [(1, None, 4), (2, "#z", 5)]
+    with pytest.raises(ValueError, match="id"):
+        scan_files(manifest.withColumn("id", manifest.url), "url", "id int")
+    assert scan_files(manifest.limit(0), "url", "id int, name string").count() == 0
+
+
+def test_every_line_is_good_or_rejected(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text(BODY)
+    lines = [f"{i},n,{i}.5" if i % 7 else f"{i},n" for i in range(3000)]
+    (tmp_path / "b.csv").write_text("id,name,score\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")  # b.csv is read in several parts
+    try:
+        checked = read_checked(spark, str(tmp_path), SCORES)
+        good, rejected = checked.good.collect(), checked.rejected.collect()
+        assert checked.good.select("name").count() == checked.good.count() == len(good)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(good) + len(rejected) == 3000 + 8
+    refused = [r for r in rejected if r.file.endswith("b.csv")]
+    assert {r.line for r in refused} == {line for i, line in enumerate(lines) if i % 7 == 0}
+    assert all(r.reason == "2 fields, expected 3" for r in refused)
+    # a place leads to its line: records of a part begin behind the first line break at or after its start
+    content = (tmp_path / "b.csv").read_text()
+    assert len({r.part_start for r in refused}) > 1
+    for r in refused:
+        after = content[r.part_start :].split("\n")[1:]
+        assert after[r.record - 1] == r.line
+    reasons = {r.line: r.reason for r in rejected if r.file.endswith("a.csv")}
+    assert reasons["x,b,1"] == "id does not fit its type" and reasons["3"] == "1 fields, expected 3"
+    assert reasons['4,"say ""q""",oops'] == "score does not fit its type" and len(reasons) == 5
