@@ -22,13 +22,16 @@ from lociframe.operators.genes import (
 from lociframe.operators.genome import LossRules, gwloh_exclusive, gwloh_inclusive, lost_arms
 from lociframe.operators.joins import default_category
 from lociframe.operators.overlap import overlap_join
+from lociframe.operators.segments import resolve_segments
+from lociframe.operators.sweep import sweep_join
 from lociframe.operators.scoring import abundance_matrix, normalize_abundance, score_groups, weighted_score
 from lociframe.plans.cohort import DEFAULT_COHORT, dna_batch, dna_scores, rna_batch, rna_scores, union_scores
 from lociframe.plans.results import gene_level, hrd_calls, order_level
 from lociframe.session import shared_dir
 from lociframe.sources import read_csv, write_csv
 
-RULES = LossRules(loh_reportable=0.8, deep_loss_reportable=0.8)
+# the segments of v_segments don't overlap; those of v_overlapping, and of files, are resolved
+RULES = LossRules(loh_reportable=0.8, deep_loss_reportable=0.8, resolve_overlaps=False)
 METRIC = "dna_gwloh"
 RNA_THRESHOLD = 50.0
 SEGMENT_FILE = "chrom INT, seg_start BIGINT, seg_end BIGINT, total_cn INT, minor_cn INT"
@@ -153,17 +156,17 @@ SQL_RNA = f"""
 
 @query("gwloh_inclusive", f"SELECT analysis_id, inclusive AS genome_wide_loh_proportion_inclusive FROM ({SQL_INCLUSIVE}) i")
 def _(t):
-    return gwloh_inclusive(t.v_segments)
+    return gwloh_inclusive(t.v_segments, rules=RULES)
 
 
 @query("gwloh_exclusive", f"SELECT analysis_id, exclusive AS genome_wide_loh_proportion_exclusive FROM ({SQL_EXCLUSIVE}) e")
 def _(t):
-    return gwloh_exclusive(t.v_segments, t.v_arms)
+    return gwloh_exclusive(t.v_segments, t.v_arms, rules=RULES)
 
 
 @query("lost_arms", f"SELECT analysis_id, lost AS lost_chromosome_arms_count FROM ({SQL_EXCLUSIVE}) e")
 def _(t):
-    return lost_arms(t.v_segments, t.v_arms)
+    return lost_arms(t.v_segments, t.v_arms, rules=RULES)
 
 
 @query("overlap_join", f"SELECT analysis_id, chrom, seg_start, gene, overlap_bp FROM ({_sql_pairs('v_genes')}) pairs")
@@ -174,6 +177,54 @@ def _(t):
     return pairs.select("analysis_id", "chrom", "seg_start", "gene", "overlap_bp")
 
 
+# -- segments that overlap
+
+SQL_RESOLVED = """
+ SELECT analysis_id, chrom, pos AS seg_start, next_pos AS seg_end, CAST(lowest // 1000 AS INTEGER) AS total_cn,
+  CAST(lowest % 1000 AS INTEGER) AS minor_cn, depth
+ FROM (SELECT p.analysis_id, p.chrom, p.pos, p.next_pos, min(s.total_cn * 1000 + s.minor_cn) AS lowest, count(*) AS depth
+  FROM (SELECT *, lead(pos) OVER (PARTITION BY analysis_id, chrom ORDER BY pos) AS next_pos
+   FROM (SELECT analysis_id, chrom, seg_start AS pos FROM v_overlapping
+    UNION SELECT analysis_id, chrom, seg_end AS pos FROM v_overlapping) points) p
+  JOIN v_overlapping s ON s.analysis_id = p.analysis_id AND s.chrom = p.chrom AND s.seg_start <= p.pos AND p.next_pos <= s.seg_end
+  GROUP BY 1, 2, 3, 4) resolved"""
+
+
+@query("resolved_segments", SQL_RESOLVED)
+def _(t):
+    return resolve_segments(t.v_overlapping)
+
+
+@query("resolved_gwloh", f"""
+ SELECT analysis_id, CAST(SUM(CASE WHEN {IS_LOH} THEN seg_end - seg_start ELSE 0 END) AS DOUBLE) / SUM(seg_end - seg_start)
+  AS genome_wide_loh_proportion_inclusive FROM ({SQL_RESOLVED}) r WHERE chrom BETWEEN 1 AND 22 GROUP BY analysis_id""")
+def _(t):
+    return gwloh_inclusive(t.v_overlapping)
+
+
+@query("resolved_gene_losses", f"""
+ WITH b AS (SELECT r.analysis_id, g.gene, total_cn, minor_cn, gene_end - gene_start AS gene_bp,
+   LEAST(seg_end, gene_end) - GREATEST(seg_start, gene_start) AS overlap_bp FROM ({SQL_RESOLVED}) r
+   JOIN v_panel g ON r.chrom = g.chrom AND seg_start < gene_end AND gene_start < seg_end),
+ n AS (SELECT analysis_id, gene, SUM(CASE WHEN total_cn = 0 THEN 1 ELSE 0 END) AS probes FROM v_overlapping o
+  JOIN v_panel g ON o.chrom = g.chrom AND seg_start < gene_end AND gene_start < seg_end GROUP BY 1, 2)
+ SELECT b.analysis_id, b.gene, CAST(SUM(CASE WHEN {IS_LOH} THEN overlap_bp ELSE 0 END) AS DOUBLE) / MAX(gene_bp) AS loh_proportion,
+  CAST(SUM(CASE WHEN total_cn = 0 THEN overlap_bp ELSE 0 END) AS DOUBLE) / MAX(gene_bp) AS deep_loss_proportion,
+  CAST(MAX(probes) AS BIGINT) AS deep_loss_probes
+ FROM b JOIN n ON n.analysis_id = b.analysis_id AND n.gene = b.gene GROUP BY 1, 2""")
+def _(t):
+    return gene_losses(t.v_overlapping, t.v_genes)
+
+
+@query("sweep_join", """
+ SELECT analysis_id, s.chrom, seg_start, seg_end, probe, LEAST(seg_end, probe_end) - GREATEST(seg_start, probe_start) AS overlap_bp
+ FROM v_overlapping s JOIN v_probes p ON s.chrom = p.chrom AND seg_start < probe_end AND probe_start < seg_end""")
+def _(t):
+    segments = t.v_overlapping.select("analysis_id", "chrom", "seg_start", "seg_end")
+    pairs = sweep_join(segments, t.v_probes, "chrom", ("seg_start", "seg_end"), ("probe_start", "probe_end"))
+    return pairs.drop("probe_start", "probe_end")
+
+
 # -- gene level
 
 
@@ -212,12 +263,12 @@ def _(t):
 
 @query("gene_loh_proportion", f"SELECT analysis_id, gene, loh_proportion FROM ({SQL_LOSSES}) l")
 def _(t):
-    return gene_losses(t.v_segments, t.v_genes).select("analysis_id", "gene", "loh_proportion")
+    return gene_losses(t.v_segments, t.v_genes, rules=RULES).select("analysis_id", "gene", "loh_proportion")
 
 
 @query("gene_deep_loss", f"SELECT analysis_id, gene, deep_loss_proportion, deep_loss_probes FROM ({SQL_LOSSES}) l")
 def _(t):
-    return gene_losses(t.v_segments, t.v_genes).select("analysis_id", "gene", "deep_loss_proportion", "deep_loss_probes")
+    return gene_losses(t.v_segments, t.v_genes, rules=RULES).select("analysis_id", "gene", "deep_loss_proportion", "deep_loss_probes")
 
 
 @query("gene_reportable", f"""
@@ -225,7 +276,7 @@ def _(t):
   CASE WHEN deep_loss_proportion >= 0.8 AND deep_loss_probes >= 1 THEN 1 ELSE 0 END AS deep_loss_reportable
  FROM ({SQL_LOSSES}) l""")
 def _(t):
-    losses = add_reportable(gene_losses(t.v_segments, t.v_genes), RULES)
+    losses = add_reportable(gene_losses(t.v_segments, t.v_genes, rules=RULES), RULES)
     return losses.select("analysis_id", "gene", "loh_reportable", "deep_loss_reportable")
 
 
@@ -280,12 +331,12 @@ def _dna(t: Tables, scores, column: str):
 
 
 def _dna_exclusive(t: Tables):
-    return _dna(t, gwloh_exclusive(t.v_segments, t.v_arms), "genome_wide_loh_proportion_exclusive")
+    return _dna(t, gwloh_exclusive(t.v_segments, t.v_arms, rules=RULES), "genome_wide_loh_proportion_exclusive")
 
 
 @query("dna_call", _sql_dna(SQL_INCLUSIVE, "inclusive"))
 def _(t):
-    return _dna(t, gwloh_inclusive(t.v_segments), "genome_wide_loh_proportion_inclusive")
+    return _dna(t, gwloh_inclusive(t.v_segments, rules=RULES), "genome_wide_loh_proportion_inclusive")
 
 
 @query("dna_scores", _sql_dna(SQL_EXCLUSIVE, "exclusive"))

@@ -60,6 +60,18 @@ VIEWS: dict[str, str] = {
          CASE WHEN CAST(MIN(l_quantity) AS INT) % 8 < 2 THEN 0 ELSE CAST(MAX(l_quantity) AS INT) % 3 END AS minor_cn
         FROM lineitem WHERE l_suppkey % 10 <> 0
         GROUP BY l_suppkey, l_partkey % 22 + 1, CAST(FLOOR(l_extendedprice / 10000) AS BIGINT)""",
+    # segments that overlap: one per line item, of 100 b to 10 Mb, some of 250 Mb
+    "v_overlapping": """
+        SELECT analysis_id, chrom, seg_start, seg_start + CASE WHEN is_long THEN 250000000
+         ELSE 100 + quantity * quantity * (quantity % 5) * 1000 END AS seg_end,
+         CAST(quantity % 4 AS INT) AS total_cn, CAST(CASE WHEN quantity % 4 < 2 THEN 0 ELSE quantity % 3 END AS INT) AS minor_cn
+        FROM (SELECT l_suppkey AS analysis_id, l_partkey % 22 + 1 AS chrom,
+          CAST(FLOOR(l_extendedprice) AS BIGINT) * 1000 + l_orderkey % 1000 AS seg_start,
+          CAST(l_quantity AS BIGINT) AS quantity, l_linenumber = 7 AND l_quantity >= 45 AS is_long FROM lineitem) AS l""",
+    # probes of 100 bases
+    "v_probes": """
+        SELECT p_partkey AS probe, p_partkey % 22 + 1 AS chrom, p_partkey * 7919 % 100000 * 1000 AS probe_start,
+         p_partkey * 7919 % 100000 * 1000 + 100 AS probe_end FROM part""",
     "v_variants": """
         SELECT l_suppkey AS analysis_id, concat('G', CAST(l_partkey % 100 AS STRING)) AS gene,
          CASE l_linestatus WHEN 'F' THEN 'somatic' ELSE 'germline' END AS origin,

@@ -28,6 +28,8 @@ from lociframe.operators.scoring import (
     score_groups,
     weighted_score,
 )
+from lociframe.operators.segments import resolve_segments
+from lociframe.operators.sweep import sweep_join
 from lociframe.operators.text import build_vocab, check_answer, check_examples, encode, few_shot
 
 __all__ = [
@@ -63,9 +65,11 @@ __all__ = [
     "notes_rollup",
     "overfit_onset",
     "overlap_join",
+    "resolve_segments",
     "row_at",
     "score_batches",
     "score_groups",
+    "sweep_join",
     "threshold_lookup",
     "trainable_share",
     "variant_summary",

@@ -20,11 +20,12 @@ from lociframe.operators.genome import (
     gene_regions,
     is_autosome,
     is_loh,
-    loss_rows,
-    proper,
+    measured,
     region_losses,
+    stacked_losses,
     sum_where,
 )
+from lociframe.session import written
 
 VARIANT_COUNTS = (
     "somatic_pathogenic_count",
@@ -54,9 +55,11 @@ def _int(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def gene_losses(segments: DataFrame, genes: DataFrame, key: str = "analysis_id") -> DataFrame:
+def gene_losses(
+    segments: DataFrame, genes: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()
+) -> DataFrame:
     """LOH share, deep-loss share and deep-loss segments within each touched gene."""
-    sums = region_losses(segments, gene_regions(genes), key)
+    sums = region_losses(segments, gene_regions(genes), key, rules)
     return sums.select(
         key,
         F.col("name").alias("gene"),
@@ -174,26 +177,29 @@ def evidence(
     and reduced by one aggregation on (analysis, region), so each source is
     shuffled once, after map-side combining, and one analysis that holds much
     of the data is spread over its regions. The marks of the panel join the
-    sums, not the sources. Panels may have any size; no join carries a hint and
-    no job runs while the plan is built.
+    sums, not the sources. Panels may have any size, and no join carries a hint.
+    Overlapping segments are resolved first (two written tables); where the
+    rules say that there are none, no job runs while the plan is built.
     """
-    segments = proper(segments)  # ahead of both uses, so that a derived segment table is computed once
+    # ahead of both uses, so that a derived segment table is computed once
+    bases = measured(segments, key, rules)
+    bases = written(bases, "resolved-segments") if rules.resolve_overlaps else bases
     reported = genes.filter("reported").select("gene", "chrom", "gene_start", "gene_end").distinct()
     regions = gene_regions(reported)
     on_panel = variants.join(reported.select("gene"), "gene", "left_semi")
     parts = [variant_rows(on_panel, key).withColumnRenamed("gene", "name").withColumn("kind", F.lit("gene"))]
     if arms is not None:
         regions = regions.unionByName(arm_regions(arms, rules))
-        bases = F.when(is_autosome(rules), F.col("seg_end") - F.col("seg_start"))
-        genome = segments.select(
+        length = F.when(is_autosome(rules), F.col("seg_end") - F.col("seg_start"))
+        genome = bases.select(
             key,
             F.lit("genome").alias("kind"),
             F.lit("").alias("name"),
-            bases.alias("covered_bp"),
-            F.when(is_loh(), bases).otherwise(0).alias("loh_bp"),
+            length.alias("covered_bp"),
+            F.when(is_loh(), length).otherwise(0).alias("loh_bp"),
         )
         parts.append(genome)
-    stacked = loss_rows(segments, regions, key).drop("region_bp")
+    stacked = stacked_losses(bases, segments, regions, key, rules).drop("region_bp")
     for part in parts:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
     sums = stacked.groupBy(key, "kind", "name").agg(*(F.sum(name).alias(name) for name in LOSS_SUMS), *_variant_measures())

@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.operators.overlap import overlap_join
+from lociframe.operators.segments import resolve_segments
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,7 @@ class LossRules:
     loh_reportable: float = 0.99
     deep_loss_reportable: float = 0.99
     deep_loss_min_probes: int = 1
+    resolve_overlaps: bool = True  # False: the caller knows that segments of an analysis don't overlap
 
 
 def is_loh() -> Column:
@@ -51,17 +53,9 @@ def proper(segments: DataFrame) -> DataFrame:
     return segments.filter(F.col("chrom").isNotNull() & (F.col("seg_start") < F.col("seg_end")))
 
 
-def without_overlaps(segments: DataFrame, key: str = "analysis_id") -> DataFrame:
-    """Segments that start where the earlier ones of their chromosome end, so that no base counts twice.
-
-    For inputs that may overlap; shares then stay between 0 and 1. Of equal
-    starts the longer segment comes first; what is covered already is dropped.
-    A window holds one chromosome of one analysis.
-    """
-    order = Window.partitionBy(key, "chrom").orderBy("seg_start", F.col("seg_end").desc(), "total_cn", "minor_cn")
-    covered = F.max("seg_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.greatest("seg_start", covered)
-    return proper(proper(segments).withColumn("seg_start", start))
+def measured(segments: DataFrame, key: str, rules: LossRules) -> DataFrame:
+    """What bases are counted in: no base twice, so that shares stay between 0 and 1."""
+    return resolve_segments(segments, key) if rules.resolve_overlaps else proper(segments)
 
 
 def autosomal(df: DataFrame, rules: LossRules) -> DataFrame:
@@ -72,7 +66,7 @@ def gwloh_inclusive(segments: DataFrame, key: str = "analysis_id", rules: LossRu
     """LOH share of all autosomal bases, lost arms included."""
     bases = F.col("seg_end") - F.col("seg_start")
     share = F.try_divide(sum_where(is_loh(), bases), F.sum(bases))
-    return autosomal(proper(segments), rules).groupBy(key).agg(share.alias("genome_wide_loh_proportion_inclusive"))
+    return autosomal(measured(segments, key, rules), rules).groupBy(key).agg(share.alias("genome_wide_loh_proportion_inclusive"))
 
 
 def gene_regions(genes: DataFrame) -> DataFrame:
@@ -114,7 +108,19 @@ def loss_rows(segments: DataFrame, regions: DataFrame, key: str = "analysis_id")
     )
 
 
-def region_losses(segments: DataFrame, regions: DataFrame, key: str = "analysis_id") -> DataFrame:
+def stacked_losses(bases: DataFrame, segments: DataFrame, regions: DataFrame, key: str, rules: LossRules) -> DataFrame:
+    """``loss_rows`` with bases from the resolved segments and deep-loss segments from those of the input."""
+    if not rules.resolve_overlaps:
+        return loss_rows(bases, regions, key)
+    none = F.lit(0).cast("bigint")
+    counted = loss_rows(proper(segments).filter(is_deep_loss()), regions, key)
+    counted = counted.withColumns({name: none for name in LOSS_SUMS if name.endswith("_bp")})
+    return loss_rows(bases, regions, key).withColumn("deep_loss_probes", none).unionByName(counted)
+
+
+def region_losses(
+    segments: DataFrame, regions: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()
+) -> DataFrame:
     """Covered, LOH and deep-loss bases and deep-loss segments per analysis and touched region.
 
     A region listed twice counts once; the distinct parts of one name are added up.
@@ -123,7 +129,8 @@ def region_losses(segments: DataFrame, regions: DataFrame, key: str = "analysis_
     width = F.sum(F.col("region_end") - F.col("region_start")).alias("region_bp")
     widths = regions.groupBy("kind", "name").agg(width)
     sums = (F.sum(name).alias(name) for name in LOSS_SUMS)
-    reduced = loss_rows(segments, regions, key).groupBy(key, "kind", "name").agg(*sums)
+    stacked = stacked_losses(measured(segments, key, rules), segments, regions, key, rules)
+    reduced = stacked.groupBy(key, "kind", "name").agg(*sums)
     return reduced.join(widths, ["kind", "name"])
 
 
@@ -131,7 +138,7 @@ def arm_shares(
     segments: DataFrame, arms: DataFrame, key: str = "analysis_id", rules: LossRules = LossRules()
 ) -> DataFrame:
     """Covered bases, LOH bases and LOH share per analysis and chromosome arm."""
-    return region_losses(segments, arm_regions(arms, rules), key).select(
+    return region_losses(segments, arm_regions(arms, rules), key, rules).select(
         key,
         F.col("name").alias("arm"),
         F.col("covered_bp").alias("arm_bp"),
