@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lociframe.bindings.inputs import Tables
 from lociframe.bindings.registry import query
+from lociframe.operators.alleles import match_variants, vaf_gap
 from lociframe.operators.genes import (
     add_hits,
     add_reportable,
@@ -256,6 +257,29 @@ def _(t):
     return variant_summary(t.v_variants).select("analysis_id", "gene", gap)
 
 
+REFERENCE_CHUNK = 80
+
+
+def _matched(t: Tables):
+    return match_variants(t.v_reported_variants, t.v_raw_variants, t.v_reference, REFERENCE_CHUNK, tolerance=2)
+
+
+@query("matched_variants", """
+ SELECT analysis_id, gene, chrom, base + CASE kind WHEN 0 THEN 10 WHEN 3 THEN 60 ELSE 30 END AS pos,
+  CASE WHEN quantity <= 45 THEN base + CASE kind WHEN 0 THEN 10 + units % 3 WHEN 3 THEN 58 ELSE 30 + 2 * units END END AS raw_pos,
+  CASE WHEN quantity <= 45 THEN CASE kind WHEN 0 THEN units % 3 ELSE 0 END END::BIGINT AS distance
+ FROM v_mutations WHERE quantity >= 10""")
+def _(t):
+    return _matched(t).select("analysis_id", "gene", "chrom", "pos", "raw_pos", "distance")
+
+
+@query("vaf_from_raw", """
+ SELECT analysis_id, gene, ROUND(MAX(CASE WHEN quantity <= 45 THEN somatic_vaf - germline_vaf END), 6) AS vaf_difference
+ FROM v_mutations WHERE origin = 'germline' AND quantity >= 10 GROUP BY analysis_id, gene""")
+def _(t):
+    return vaf_gap(_matched(t)).withColumn("vaf_difference", F.round("vaf_difference", 6))
+
+
 @query("gene_reported", f"SELECT analysis_id, gene, loh_reported, deep_loss_reported FROM ({SQL_VARIANTS}) v")
 def _(t):
     return variant_summary(t.v_variants).select("analysis_id", "gene", "loh_reported", "deep_loss_reported")

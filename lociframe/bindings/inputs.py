@@ -80,6 +80,39 @@ VIEWS: dict[str, str] = {
          CASE WHEN l_quantity <= 1 THEN 'pathogenic' WHEN l_quantity <= 3 THEN 'vus' ELSE 'benign' END AS classification,
          l_discount AS somatic_vaf, l_tax AS germline_vaf
         FROM lineitem""",
+    # -- reported and raw variants of the same mutations, spelled differently: a reference in chunks of 80 bases with a
+    #    repeat in the middle; substitutions, a lost and a gained repeat unit, and substitutions of two bases
+    "v_reference": """
+        SELECT p_partkey AS part, p_partkey % 22 + 1 AS chrom, CAST(FLOOR(p_partkey / 22) AS BIGINT) AS chunk,
+         concat(translate(substr(md5(concat('l', CAST(p_partkey AS STRING))), 1, 30), '0123456789abcdef', 'ACGTACGTACGTACGT'),
+          'CACACACACACACACACACA',
+          translate(substr(md5(concat('r', CAST(p_partkey AS STRING))), 1, 30), '0123456789abcdef', 'ACGTACGTACGTACGT')) AS bases
+        FROM part""",
+    "v_mutations": """
+        SELECT analysis_id, part, gene, origin, kind, units, quantity, somatic_vaf, germline_vaf, chrom, chunk * 80 AS base, bases,
+         CASE substr(bases, 10, 1) WHEN 'A' THEN 'C' ELSE 'A' END AS other,
+         concat(CASE substr(bases, 60, 1) WHEN 'A' THEN 'C' ELSE 'A' END, CASE substr(bases, 61, 1) WHEN 'A' THEN 'C' ELSE 'A' END)
+          AS others
+        FROM (SELECT l_suppkey AS analysis_id, l_partkey, l_linenumber % 4 AS kind,
+          concat('G', CAST(l_partkey % 100 AS STRING)) AS gene,
+          CASE MIN(l_linestatus) WHEN 'F' THEN 'somatic' ELSE 'germline' END AS origin, CAST(MIN(l_orderkey % 7) AS INT) AS units,
+          MAX(l_quantity) AS quantity, MAX(l_discount) AS somatic_vaf, MAX(l_tax) AS germline_vaf
+         FROM lineitem GROUP BY l_suppkey, l_partkey, l_linenumber % 4) AS m JOIN v_reference ON l_partkey = part""",
+    "v_reported_variants": """
+        SELECT analysis_id, gene, origin, chrom, base + CASE kind WHEN 0 THEN 10 WHEN 3 THEN 60 ELSE 30 END AS pos,
+         CASE kind WHEN 0 THEN substr(bases, 10, 1) WHEN 1 THEN substr(bases, 30, 3) WHEN 2 THEN substr(bases, 30, 1)
+          ELSE substr(bases, 60, 2) END AS ref,
+         CASE kind WHEN 0 THEN other WHEN 1 THEN substr(bases, 30, 1) WHEN 2 THEN concat(substr(bases, 30, 1), 'CACA')
+          ELSE others END AS alt
+        FROM v_mutations WHERE quantity >= 10""",
+    "v_raw_variants": """
+        SELECT analysis_id, chrom, base + CASE kind WHEN 0 THEN 10 + units % 3 WHEN 3 THEN 58 ELSE 30 + 2 * units END AS pos,
+         CASE kind WHEN 0 THEN substr(bases, 10, 1) WHEN 1 THEN substr(bases, 30 + 2 * units, 3)
+          WHEN 2 THEN lower(substr(bases, 30 + 2 * units, 1)) ELSE substr(bases, 58, 6) END AS ref,
+         CASE kind WHEN 0 THEN other WHEN 1 THEN substr(bases, 30 + 2 * units, 1)
+          WHEN 2 THEN lower(concat(substr(bases, 30 + 2 * units, 1), 'CACA'))
+          ELSE concat(substr(bases, 58, 2), others, substr(bases, 62, 2)) END AS alt, somatic_vaf, germline_vaf
+        FROM v_mutations WHERE quantity <= 45""",
     # -- panels: 100 genes (three of them listed twice, with and without the interested mark), 44 arms, thresholds ('MIDDLE EAST' is left out, so the default cohort is used,
     #    'ASIA' is listed for the other metric only, so it has no threshold)
     "v_gene_parts": """

@@ -7,6 +7,7 @@ from lociframe.operators.aggregates import (
     overfit_onset,
     trainable_share,
 )
+from lociframe.operators.alleles import match_variants, normal_alleles, normalise, vaf_gap
 from lociframe.operators.genes import (
     HitRules,
     add_hits,
@@ -60,7 +61,10 @@ __all__ = [
     "latest_version",
     "missing_keys",
     "lost_arms",
+    "match_variants",
     "natural_join",
+    "normal_alleles",
+    "normalise",
     "normalize_abundance",
     "notes_rollup",
     "overfit_onset",
@@ -72,6 +76,7 @@ __all__ = [
     "sweep_join",
     "threshold_lookup",
     "trainable_share",
+    "vaf_gap",
     "variant_summary",
     "weighted_score",
 ]
