@@ -27,6 +27,7 @@ from lociframe.operators.segments import resolve_segments
 from lociframe.operators.sweep import sweep_join
 from lociframe.operators.scoring import abundance_matrix, normalize_abundance, score_groups, weighted_score
 from lociframe.plans.cohort import DEFAULT_COHORT, dna_batch, dna_scores, rna_batch, rna_scores, union_scores
+from lociframe.plans.replicates import write_replicates
 from lociframe.plans.results import gene_level, hrd_calls, order_level
 from lociframe.session import shared_dir
 from lociframe.sources import read_csv, write_csv
@@ -399,14 +400,14 @@ def _files_by_key(t: Tables, folder: str, key: str):
     return files.select(F.regexp_extract("path", f"{key}=([0-9]+)/", 1).cast("bigint").alias(key), F.col("path").alias("file"))
 
 
-def _write_files(t: Tables, rows, key: str, columns: list[str], sep: str, bad: str):
+def _write_files(t: Tables, rows, key: str, columns: list[str], sep: str, bad: str, is_broken: str = IS_BROKEN):
     """A file of rows per analysis, broken ones among them, and where each is."""
     folder = shared_dir(t.spark, f"files-of-{key}")
-    header = sep.join(columns)
-    whole = rows.filter(~F.expr(IS_BROKEN.format(key=key)))
+    header, is_broken = sep.join(columns), is_broken.format(key=key)
+    whole = rows.filter(~F.expr(is_broken))
     heads = whole.select(key).distinct().select(key, F.lit(0).alias("place"), F.lit(header).alias("line"))
     lines = whole.select(key, F.lit(1).alias("place"), F.concat_ws(sep, *columns).alias("line"))
-    broken = rows.filter(IS_BROKEN.format(key=key)).select(key).distinct()
+    broken = rows.filter(is_broken).select(key).distinct()
     good = sep.join(["1"] * len(columns))
     wrong = broken.select(key, F.lit(0).alias("place"), _broken_lines(key, header, good, bad).alias("line"))
     _file_per_key(heads.unionByName(lines).unionByName(wrong), key, F.col("line"), folder)
@@ -565,3 +566,63 @@ def _(t):
  SELECT * FROM ({_sql_dna(SQL_EXCLUSIVE, "exclusive")}) d UNION ALL BY NAME SELECT * FROM ({SQL_RNA}) r""")
 def _(t):
     return union_scores(_dna_exclusive(t), _rna(t, _weighted(t)))
+
+
+# -- replicate sets
+
+REPLICATE_BROKEN = "{key} % 7 = 3"
+SQL_REPLICATES = f"""
+ WITH c AS (SELECT * FROM v_replicates WHERE NOT {REPLICATE_BROKEN.format(key='analysis_id')}),
+ s AS (SELECT replicate_set, count(DISTINCT analysis_id) AS samples FROM c GROUP BY 1),
+ r AS (SELECT c.replicate_set, gene, avg(ln(counts)) AS reference FROM c JOIN s ON s.replicate_set = c.replicate_set
+  GROUP BY c.replicate_set, gene, samples HAVING count(*) = samples),
+ f AS (SELECT c.replicate_set, analysis_id, exp(median(ln(counts) - reference)) AS size_factor
+  FROM c JOIN r ON r.replicate_set = c.replicate_set AND r.gene = c.gene GROUP BY 1, 2)
+ SELECT c.*, size_factor, log2(1 + counts / size_factor) AS normalized
+ FROM c LEFT JOIN f ON f.replicate_set = c.replicate_set AND f.analysis_id = c.analysis_id"""
+
+
+def _write_replicates(t: Tables):
+    rows = t.v_replicates
+    _, files = _write_files(t, rows, "analysis_id", ["gene", "counts"], "\t", "G0\tmany", REPLICATE_BROKEN)
+    metadata = rows.select("analysis_id", "replicate_set", "run").distinct().join(files, "analysis_id")
+    return write_replicates(metadata.withColumnRenamed("file", "url"), shared_dir(t.spark, "replicates"))
+
+
+@query("replicate_long", f"""
+ SELECT replicate_set, run, analysis_id, gene, counts, ROUND(size_factor, 6) AS size_factor, ROUND(normalized, 6) AS normalized
+ FROM ({SQL_REPLICATES}) r""")
+def _(t):
+    long = t.once(_write_replicates).read(t.spark, "long")
+    return long.withColumns({name: F.round(name, 6) for name in ("size_factor", "normalized")})
+
+
+@query("replicate_folded", f"""
+ SELECT replicate_set, run, analysis_id, gene, ROUND(normalized, 6) AS normalized FROM ({SQL_REPLICATES}) r""")
+def _(t):
+    folded = t.once(_write_replicates).read(t.spark, "folded")
+    unfolded = folded.select("replicate_set", "run", "analysis_id", F.explode("values").alias("gene", "normalized"))
+    return unfolded.withColumn("normalized", F.round("normalized", 6))
+
+
+@query("replicate_precision", f"""
+ WITH n AS ({SQL_REPLICATES}),
+ r AS (SELECT replicate_set, gene, run, count(*) AS n, avg(normalized) AS mean, var_pop(normalized) AS variance FROM n GROUP BY 1, 2, 3),
+ g AS (SELECT replicate_set, gene, avg(normalized) AS mean FROM n GROUP BY 1, 2),
+ q AS (SELECT r.replicate_set, r.gene, sum(n) AS samples, count(*) AS runs, max(g.mean) AS mean, sum(n * variance) AS inside,
+   sum(n * (r.mean - g.mean) * (r.mean - g.mean)) AS between_squares, sum(n * n) AS squares
+  FROM r JOIN g ON g.replicate_set = r.replicate_set AND g.gene = r.gene GROUP BY 1, 2)
+ SELECT replicate_set, gene, samples::BIGINT AS samples, runs, ROUND(mean, 6) AS mean,
+  ROUND(inside / NULLIF(samples - runs, 0), 6) AS within_variance,
+  ROUND(CASE WHEN samples > runs AND runs > 1 THEN greatest((between_squares / (runs - 1) - inside / (samples - runs))
+   / ((samples - squares / samples) / (runs - 1)), 0) END, 6) AS between_variance FROM q""")
+def _(t):
+    table = t.once(_write_replicates).read(t.spark, "precision")
+    return table.withColumns({name: F.round(name, 6) for name in ("mean", "within_variance", "between_variance")})
+
+
+@query("replicate_faults", f"""
+ SELECT DISTINCT analysis_id, 'line 3: counts does not fit its type' AS score_error FROM v_replicates
+ WHERE {REPLICATE_BROKEN.format(key='analysis_id')}""")
+def _(t):
+    return t.once(_write_replicates).faults

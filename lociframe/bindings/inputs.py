@@ -151,6 +151,11 @@ VIEWS: dict[str, str] = {
         SELECT gene, CAST(weight AS DOUBLE) AS weight FROM (VALUES
          ('click', 0.5), ('view', 1.25), ('error', 0.75), ('purchase', -0.5), ('signup', 0.8)
         ) AS t(gene, weight)""",
+    "v_replicates": """
+        SELECT l_suppkey AS analysis_id, CASE WHEN l_suppkey % 2 = 0 THEN 'intra' ELSE 'inter' END AS replicate_set,
+         CAST(l_suppkey % 5 AS INT) AS run, concat('G', CAST(l_partkey % 100 AS STRING)) AS gene,
+         CAST(SUM(l_quantity) AS BIGINT) AS counts
+        FROM lineitem GROUP BY l_suppkey, l_partkey % 100""",
     # -- callers compared gene by gene
     "v_gene_calls": """
         SELECT l_suppkey AS analysis_id, l_partkey AS gene_id, l_linenumber AS line,

@@ -22,6 +22,7 @@ from lociframe.operators.genome import LossRules, arm_shares, gwloh_exclusive, g
 from lociframe.operators.joins import default_category, filter_in, natural_join, threshold_lookup
 from lociframe.operators.ordering import batch_plan, every_k, global_ordinal, row_at
 from lociframe.operators.overlap import overlap_join
+from lociframe.operators.replicates import exact_medians, fold_samples, normalize_replicates, precision, size_factors
 from lociframe.operators.scoring import (
     abundance_matrix,
     normalize_abundance,
@@ -48,8 +49,10 @@ __all__ = [
     "default_category",
     "encode",
     "every_k",
+    "exact_medians",
     "few_shot",
     "filter_in",
+    "fold_samples",
     "gene_flags",
     "gene_losses",
     "gene_table",
@@ -66,13 +69,16 @@ __all__ = [
     "normal_alleles",
     "normalise",
     "normalize_abundance",
+    "normalize_replicates",
     "notes_rollup",
     "overfit_onset",
     "overlap_join",
+    "precision",
     "resolve_segments",
     "row_at",
     "score_batches",
     "score_groups",
+    "size_factors",
     "sweep_join",
     "threshold_lookup",
     "trainable_share",

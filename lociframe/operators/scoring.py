@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,10 @@ def normalize_abundance(df: DataFrame, sample: str = "sample", value: str = "cou
 
 
 def abundance_matrix(df: DataFrame, genes: Sequence[str], sample: str = "sample", gene: str = "gene") -> DataFrame:
-    """One row per sample, one column per listed gene."""
+    """One row per sample, one column per listed gene; for the edge, as the plan grows with the genes.
+
+    ``fold_samples`` keeps a panel of any width in one column.
+    """
     return df.groupBy(sample).pivot(gene, list(genes)).agg(F.max("normalized"))
 
 
@@ -48,25 +52,38 @@ def score_groups(
 ) -> DataFrame:
     """Score each group with the caller's model over a fixed panel of features.
 
-    Groups are first folded into one row with a column per panel feature, which
-    combines on the map side, so no group is ever gathered in a task. ``fn``
-    then gets batches of such rows, the keys included (ids, assay), and returns
-    one score each. A batch that fails is scored row by row: a failing row gets
-    a NULL score and its error's text in ``{out}_error``, the others their score.
+    Values are summed per group and feature and folded into one map per group,
+    both combined on the map side, so that the plan doesn't grow with the panel
+    and no group's rows are gathered. Tasks lay the maps out as a column per
+    panel feature (absent: NaN), and ``fn`` gets batches of such rows, the keys
+    included (ids, assay), and returns one score each. A batch that fails is
+    scored row by row: a failing row gets a NULL score and its error's text in
+    ``{out}_error``, the others their score. Groups without any panel feature
+    are scored too.
     """
-    folded = df.groupBy(*keys).pivot(features, list(panel)).agg(F.sum(value))
-    columns = [f"__f{i}" for i in range(len(panel))]
-    named = folded.select(*keys, *(F.col(f"`{name}`").alias(c) for name, c in zip(panel, columns, strict=True)))
-    names = dict(zip(columns, panel, strict=True))
+    listed = F.when(F.col(features).isin(list(panel)), F.col(features)) if len(panel) <= 64 else F.col(features)
+    summed = df.groupBy(*keys, listed.alias("__feature")).agg(F.sum(value).cast("double").alias("__value"))
+    entry = F.when(F.col("__feature").isNotNull(), F.struct("__feature", "__value"))
+    folded = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("__values"))
+    place = {name: i for i, name in enumerate(panel)}
+    names = list(panel)
+
+    def laid_out(batch: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full((len(batch), len(names)), np.nan)
+        for row, values in enumerate(batch["__values"]):
+            for name, number in values.items() if isinstance(values, dict) else values:
+                if (column := place.get(name)) is not None and number is not None:
+                    grid[row, column] = number
+        return pd.concat([batch[list(keys)], pd.DataFrame(grid, columns=names, index=batch.index)], axis=1)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             result = batch[list(keys)].copy()
-            result[out], result[f"{out}_error"] = _isolated(fn, batch.rename(columns=names))
+            result[out], result[f"{out}_error"] = _isolated(fn, laid_out(batch))
             yield result
 
-    schema = StructType([named.schema[key] for key in keys]).add(out, "double").add(f"{out}_error", "string")
-    return named.mapInPandas(score, schema)
+    schema = StructType([folded.schema[key] for key in keys]).add(out, "double").add(f"{out}_error", "string")
+    return folded.mapInPandas(score, schema)
 
 
 def _isolated(fn: Callable[[pd.DataFrame], pd.Series], batch: pd.DataFrame) -> tuple[list, list]:

@@ -1,10 +1,12 @@
 from lociframe.plans.cohort import analysis_files, dna_batch, dna_scores, rna_batch, rna_scores, union_scores
 from lociframe.plans.concordance import concordance, discrepant
+from lociframe.plans.replicates import ReplicateSets, write_replicates
 from lociframe.plans.reports import eligible_reports, report_rollup
 from lociframe.plans.results import final_call, gene_level, hrd_calls, order_level
 from lociframe.plans.training import training_examples
 
 __all__ = [
+    "ReplicateSets",
     "analysis_files",
     "concordance",
     "discrepant",
@@ -20,4 +22,5 @@ __all__ = [
     "rna_scores",
     "training_examples",
     "union_scores",
+    "write_replicates",
 ]
