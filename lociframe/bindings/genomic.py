@@ -10,13 +10,14 @@ from lociframe.bindings.inputs import Tables
 from lociframe.bindings.registry import query
 from lociframe.operators.alleles import match_variants, vaf_gap
 from lociframe.operators.genes import (
+    HIT_FLAGS,
     add_hits,
     add_reportable,
     gene_flags,
     gene_losses,
     gene_table,
-    hit_summary,
     hrd_cohort,
+    order_table,
     pathogenic_count,
     variant_summary,
 )
@@ -318,7 +319,9 @@ def _gene_table(t: Tables):
 
 
 def _order_hits(t: Tables):
-    return hit_summary(_gene_table(t), ["analysis_id", "order_id", "cancer_cohort"])
+    """From evidence alone: genes without any add nothing to an order."""
+    table = order_table(t.v_analyses, t.v_segments, t.v_arms, t.v_variants, t.v_genes, loss_rules=RULES)
+    return table.select("analysis_id", "order_id", "cancer_cohort", "pathogenic_var_count", *HIT_FLAGS)
 
 
 @query("gene_hits", f"SELECT analysis_id, gene, single_hit, double_hit FROM ({SQL_HITS}) h")

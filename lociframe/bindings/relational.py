@@ -18,7 +18,8 @@ from lociframe.operators.joins import default_category, filter_in, natural_join,
 from lociframe.operators.ordering import batch_plan, every_k, row_at
 from lociframe.plans.concordance import concordance, discrepant
 from lociframe.plans.reports import eligible_reports, report_rollup, report_rows
-from lociframe.sources import load_split, profile
+from lociframe.session import written
+from lociframe.sources import document_paths, load_split, merge_profiles, parse_documents, profile, profile_parts, read_profile
 
 ANALYSIS_PATH = "$[0].data['$metadata'].analysisId[0]"
 RESULT_PATH = "$[0].data.reportModuleNormal['$moduleData'].result[0]"
@@ -134,6 +135,62 @@ def _(t):
     )
 
 
+SQL_DOCUMENTS = """SELECT id, CASE WHEN id % 50 = 7 THEN substr(source_data, 1, 30) WHEN id % 50 <> 8 THEN source_data END AS text
+ FROM v_source"""
+
+
+def _write_documents(t: Tables):
+    """The documents, a fiftieth of them cut off, and a fiftieth NULL."""
+    kind = F.col("id") % 50
+    text = F.when(kind == 7, F.substring("source_data", 1, 30)).when(kind != 8, F.col("source_data"))
+    return parse_documents(t.v_source.select("id", text.alias("text")), "text")
+
+
+@query(
+    "document_paths",
+    f"""SELECT id, {SQL_TEXTS.replace('source_data', 'text')}, CAST(substr(json_extract_string(text,
+     '$[0].data."$metadata".analysisId[0]'), 2) AS BIGINT) AS number, json_extract_string(text, '$[0].data[0]') AS indexed_object
+    FROM ({SQL_DOCUMENTS}) d WHERE id % 50 <> 7""",
+)
+def _(t):
+    documents = t.once(_write_documents).good
+    paths = {name: (path, "string") for name, path in (("analysis_id", ANALYSIS_PATH), ("hrd_result", RESULT_PATH))}
+    found = document_paths(documents, paths | {"indexed_object": ("$[0].data[0]", "string")})
+    return found.withColumn("number", F.substring("analysis_id", 2, 20).cast("bigint"))
+
+
+@query("bad_documents", f"SELECT id, text FROM ({SQL_DOCUMENTS}) d WHERE id % 50 = 7")
+def _(t):
+    return t.once(_write_documents).bad
+
+
+@query("typed_paths", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, NULL::BIGINT AS misfit FROM events")
+def _(t):
+    documents = parse_documents(t.events.select("event_id", "props"), "props").good
+    return document_paths(documents, {"k": ("$.k", "bigint"), "misfit": ("$.k.deeper", "bigint")})
+
+
+@query(
+    "merged_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", '{kind}' AS type, count(*) AS rows, count(*) - count({name}) AS nulls,
+     {f'min({name})::DOUBLE' if number else 'NULL::DOUBLE'} AS low, {f'max({name})::DOUBLE' if number else 'NULL::DOUBLE'} AS high,
+     {'NULL' if number else f'min({name})'} AS least, {'NULL' if number else f'max({name})'} AS greatest, true AS distinct_is_close
+     FROM events"""
+        for name, kind, number in (("event_id", "bigint", True), ("user_id", "bigint", True), ("value", "double", True), ("props", "string", False))
+    ),
+)
+def _(t):
+    """One stored profile per event type, merged; the distinct count is compared with the exact one."""
+    columns = ["event_id", "user_id", "value", "props"]
+    stored = written(profile_parts(t.events.select("event_type", *columns), ["event_type"]), "profile")
+    merged = read_profile(merge_profiles(stored)).drop("quantiles")
+    counts = t.events.agg(*[F.count_distinct(name).alias(name) for name in columns])
+    pairs = F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).alias("exact")) for name in columns])
+    close = F.abs(F.col("distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return merged.join(counts.select(F.inline(pairs)), "column").withColumn("distinct_is_close", close).drop("distinct", "exact")
+
+
 @query(
     "run_label",
     "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS file_label, strftime(ts, '%Y-%m-%d-%H-%M') AS run_label FROM events",
@@ -355,3 +412,15 @@ def _(t):
     return batch_plan(t.documents.select("doc_id"), "doc_id", seed=42, per_device=2, accumulation=4)
 
 
+@query(
+    "batch_plan_capped",
+    """SELECT doc_id, n AS ordinal, n // 16 + 1 AS step, n % 16 AS slot FROM (
+     SELECT doc_id, ROW_NUMBER() OVER (ORDER BY md5(concat('7:', CAST(doc_id AS VARCHAR))), doc_id) - 1 AS n
+     FROM documents) d WHERE n // 16 < 10""",
+)
+def _(t):
+    """The first ten steps of training on two devices."""
+    keys = t.documents.select("doc_id")
+    return batch_plan(keys, "doc_id", seed=7, per_device=4, accumulation=2, max_steps=10, devices=2)
+
+

@@ -17,6 +17,7 @@ from lociframe.functions.prompts import (
     format_structured,
 )
 from lociframe.functions.scalars import cut_at_stop
+from lociframe.operators.answers import answer_slots, example_scores, slot_scores
 from lociframe.operators.scoring import score_batches
 from lociframe.operators.text import build_vocab, check_answer, check_examples, encode, few_shot
 from lociframe.plans.training import training_examples
@@ -194,6 +195,63 @@ def _(t):
     )
 
 
+# A prediction and its target: two slots, the first one's value with commas and brackets in it; the target's second slot
+# is another one for two of three events, and an empty function name makes a broken answer.
+SQL_SLOT_PAIRS = """
+ SELECT event_id, {functions}[CAST(event_id % 11 AS INT) + 1] AS "function", {attributes}[CAST(event_id % 16 AS INT) + 1] AS first,
+  event_type || ', (x[' || CAST(event_id % 5 AS VARCHAR) || '])' AS first_value, {attributes}[CAST(user_id % 16 AS INT) + 1] AS second,
+  {attributes}[CAST((user_id + event_id % 3) % 16 AS INT) + 1] AS wanted, props FROM events""".format(
+    functions="[" + ", ".join(map(_literal, FUNCTION_NAMES)) + "]",
+    attributes="[" + ", ".join(map(_literal, ATTRIBUTE_NAMES)) + "]",
+)
+SQL_SLOTS = f"""
+ WITH a AS ({SQL_SLOT_PAIRS}),
+ s AS (SELECT event_id, first AS attribute, first_value AS value, 1 AS predicted, 0 AS wanted, 0 AS position FROM a WHERE "function" <> ''
+  UNION ALL SELECT event_id, second, props, 1, 0, 1 FROM a WHERE "function" <> ''
+  UNION ALL SELECT event_id, first, first_value, 0, 1, 0 FROM a
+  UNION ALL SELECT event_id, wanted, props, 0, 1, 1 FROM a),
+ c AS (SELECT event_id, attribute, value, sum(predicted) AS predicted, sum(wanted) AS wanted FROM s GROUP BY ALL)"""
+
+
+def _sql_scores(by: str) -> str:
+    return f"""{SQL_SLOTS}
+ SELECT {by}, sum(least(predicted, wanted))::BIGINT AS hits, sum(predicted)::BIGINT AS predicted, sum(wanted)::BIGINT AS wanted,
+  sum(least(predicted, wanted)) / nullif(sum(predicted), 0)::DOUBLE AS precision,
+  sum(least(predicted, wanted)) / nullif(sum(wanted), 0)::DOUBLE AS recall,
+  2 * sum(least(predicted, wanted)) / (sum(predicted) + sum(wanted))::DOUBLE AS f1 FROM c GROUP BY {by}"""
+
+
+def _answer_pairs(t: Tables):
+    def pick(names, index):
+        return F.element_at(F.array(*map(F.lit, names)), (index + 1).cast("int"))
+
+    def answer(function, second):
+        first = pick(ATTRIBUTE_NAMES, F.col("event_id") % 16)
+        value = F.concat("event_type", F.lit(", (x["), (F.col("event_id") % 5).cast("string"), F.lit("])"))
+        return F.concat(function, F.lit("("), first, F.lit("["), value, F.lit("], "), second, F.lit("["), F.col("props"), F.lit("])"))
+
+    predicted = answer(pick(FUNCTION_NAMES, F.col("event_id") % 11), pick(ATTRIBUTE_NAMES, F.col("user_id") % 16))
+    target = answer(F.lit("inform"), pick(ATTRIBUTE_NAMES, (F.col("user_id") + F.col("event_id") % 3) % 16))
+    return t.events.select("event_id", predicted.alias("answer"), target.alias("target"))
+
+
+@query("answer_slots", f"""{SQL_SLOTS}
+ SELECT s.event_id, CAST(position AS INTEGER) AS position, "function", attribute, value
+ FROM s JOIN a ON a.event_id = s.event_id WHERE s.predicted = 1""")
+def _(t):
+    return answer_slots(_answer_pairs(t), "answer", ["event_id"])
+
+
+@query("slot_scores", _sql_scores("attribute"))
+def _(t):
+    return slot_scores(_answer_pairs(t), "answer", "target", ["event_id"])
+
+
+@query("example_scores", _sql_scores("event_id"))
+def _(t):
+    return example_scores(_answer_pairs(t), "answer", "target", ["event_id"])
+
+
 @query("batch_score", f"SELECT doc_id, CAST(len({SQL_WORDS}) AS BIGINT) AS score FROM documents")
 def _(t):
     def load():

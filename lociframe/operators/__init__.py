@@ -8,6 +8,7 @@ from lociframe.operators.aggregates import (
     trainable_share,
 )
 from lociframe.operators.alleles import match_variants, normal_alleles, normalise, vaf_gap
+from lociframe.operators.answers import answer_slots, example_scores, parse_answers, slot_scores
 from lociframe.operators.genes import (
     HitRules,
     add_hits,
@@ -40,6 +41,7 @@ __all__ = [
     "abundance_matrix",
     "add_hits",
     "agreement_table",
+    "answer_slots",
     "arm_shares",
     "batch_plan",
     "best_checkpoint",
@@ -49,6 +51,7 @@ __all__ = [
     "default_category",
     "encode",
     "every_k",
+    "example_scores",
     "exact_medians",
     "few_shot",
     "filter_in",
@@ -73,12 +76,14 @@ __all__ = [
     "notes_rollup",
     "overfit_onset",
     "overlap_join",
+    "parse_answers",
     "precision",
     "resolve_segments",
     "row_at",
     "score_batches",
     "score_groups",
     "size_factors",
+    "slot_scores",
     "sweep_join",
     "threshold_lookup",
     "trainable_share",

@@ -37,35 +37,49 @@ def build_vocab(df: DataFrame, k: int, text: str = "text", direct: int = DIRECT_
 
 
 def encode(
-    df: DataFrame, vocab: DataFrame, key: str, text: str = "text", out: str = "ids", lookup_limit: int = LOOKUP_LIMIT
+    df: DataFrame,
+    vocab: DataFrame,
+    key: str,
+    text: str = "text",
+    out: str = "ids",
+    lookup_limit: int = LOOKUP_LIMIT,
+    most: int | None = None,
 ) -> DataFrame:
     """``key`` (unique) and the word ids of the whole text, unknown words as one id.
 
-    A vocabulary of at most ``lookup_limit`` words travels with the tasks and
-    texts are encoded where they are read: one narrow pass, no shuffle, no skew
-    from frequent words. A larger one is joined.
+    A vocabulary of at most ``lookup_limit`` words is broadcast and texts are
+    encoded where they are read: one narrow pass, no shuffle, no skew from
+    frequent words. An executor's worker turns it into a table once, and a
+    batch looks up its distinct words only. A larger one is joined. With
+    ``most`` only so many leading ids are wanted, and words behind them are not cut.
     """
     listed = vocab.select("token", "token_id").limit(lookup_limit + 1).toArrow()
     if listed.num_rows > lookup_limit:
-        return encode_by_join(df, vocab, key, text, out)
-    known = listed.column("token").to_pylist()
-    codes = [*listed.column("token_id").to_pylist(), UNKNOWN_ID]
+        ids = encode_by_join(df, vocab, key, text, out)
+        return ids if most is None else ids.withColumn(out, F.slice(out, 1, most))
+    known = dict(zip(listed.column("token").to_pylist(), listed.column("token_id").to_pylist()))
+    table = df.sparkSession.sparkContext.broadcast(known)
 
     def lookup(batches):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        words_known, ids = pa.array(known, pa.string()), pa.array(codes, pa.int32())
+        codes = table.value
         for batch in batches:
             trimmed = pc.utf8_trim(batch.column(text).cast(pa.string()), " \n\t\r")
             present = pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, pa.string()), trimmed)
-            split = pc.split_pattern_regex(present, WORD_BREAK)
-            at = pc.fill_null(pc.index_in(split.flatten(), value_set=words_known), len(words_known))
+            split = pc.split_pattern_regex(present, WORD_BREAK, max_splits=most)
+            if most is not None:
+                split = pc.list_slice(split, 0, most)
+            coded = split.flatten().dictionary_encode()
+            ids = np.array([codes.get(word, UNKNOWN_ID) for word in coded.dictionary.to_pylist()], dtype=np.int32)
+            places = coded.indices.to_numpy(zero_copy_only=False)
             lengths = pc.fill_null(pc.list_value_length(split), 0)
             ends = pc.cumulative_sum(lengths).cast(pa.int32())
             offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            coded = pa.ListArray.from_arrays(offsets, ids.take(at))
-            yield pa.RecordBatch.from_arrays([batch.column(key), coded], [key, out])
+            words_of = pa.ListArray.from_arrays(offsets, pa.array(ids[places] if len(places) else ids[:0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), words_of], [key, out])
 
     schema = StructType([df.schema[key], StructField(out, ArrayType(IntegerType()))])
     return df.select(key, text).mapInArrow(lookup, schema)

@@ -6,15 +6,20 @@ import pytest
 from lociframe.session import shared_dir
 from lociframe.sources import guarded
 from lociframe.sources import (
+    document_paths,
     jdbc_options,
     load_split,
+    merge_profiles,
     normalized_uri,
+    parse_documents,
     profile,
+    profile_parts,
     read_checked,
     read_commented_tsv,
     read_csv,
     read_file_metadata,
     read_jsonl,
+    read_profile,
     read_table,
     read_tsv,
     scan_files,
@@ -306,3 +311,43 @@ def test_every_line_is_good_or_rejected(spark, tmp_path, rows):
     reasons = {r.line: r.reason for r in rejected if r.file.endswith("a.csv")}
     assert reasons["x,b,1"] == "id does not fit its type" and reasons["3"] == "1 fields, expected 3"
     assert reasons['4,"say ""q""",oops'] == "score does not fit its type" and len(reasons) == 5
+
+
+def test_documents_are_parsed_once(spark, plan, rows):
+    data = [(1, '{"a": {"b": [7, "x"]}, "$k": 1.5}'), (2, '{"a": '), (3, None), (4, "null"), (5, '{"a": {"b": "text"}}'), (6, "")]
+    df = spark.createDataFrame(data, "id int, text string")
+    documents = parse_documents(df, "text")
+    assert rows(documents.bad) == [(2, '{"a": '), (6, "")]
+    paths = {"first": ("$.a.b[0]", "int"), "second": ("$.a.b[1]", "string"), "price": ("$['$k']", "double"), "kind": ("$.a.b[1]", "int")}
+    found = document_paths(documents.good, paths)
+    assert rows(found) == [
+        (1, 7, "x", 1.5, None), (3, None, None, None, None), (4, None, None, None, None), (5, None, None, None, None),
+    ]
+    assert "parse_json" not in plan(found)  # the parsed form is what is stored
+    assert parse_documents(df.limit(0), "text").good.count() == 0
+
+
+def test_merged_profiles_equal_one_pass(spark):
+    df = spark.range(20_000).selectExpr(
+        "id", "id % 7 AS part", "concat('t', id % 5000) AS name", "IF(id % 10 = 0, NULL, sqrt(id)) AS root", "id = 5 AS flag",
+        "IF(id % 100 = 0, double('NaN'), 1.0D) AS odd",
+    )
+    parts = profile_parts(df, ["part"])
+    assert parts.count() == 7 * 5
+    half = merge_profiles(parts.filter("part < 3")).unionByName(merge_profiles(parts.filter("part >= 3")))
+    merged = {r.column: r for r in read_profile(merge_profiles(half)).collect()}
+    whole = {r.column: r for r in read_profile(merge_profiles(profile_parts(df.drop("part")))).collect()}
+    assert merged.keys() == whole.keys() == {"id", "name", "root", "flag", "odd"}
+    for name, r in merged.items():
+        for exact in ("type", "rows", "nulls", "low", "high", "least", "greatest"):
+            assert r[exact] == whole[name][exact]
+    truth = {"id": 20_000, "name": 5000, "root": 18_000, "flag": 2, "odd": 2}
+    for name, exact in truth.items():
+        assert abs(merged[name].distinct - exact) <= 0.03 * exact
+        assert abs(merged[name].distinct - whole[name].distinct) <= 0.03 * exact
+    for rank, value in zip((0.25, 0.5, 0.75), merged["id"].quantiles):
+        assert abs(value / 20_000 - rank) <= 0.015
+    assert merged["name"].quantiles is None and merged["flag"].least == "false"
+    assert (merged["odd"].low, merged["odd"].high) == (1.0, 1.0)
+    by_part = read_profile(merge_profiles(parts, ["part"])).filter("column = 'id'").collect()
+    assert sorted((r.part, r.low) for r in by_part) == [(i, float(i)) for i in range(7)]

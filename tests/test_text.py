@@ -139,3 +139,14 @@ def test_large_vocabularies_are_numbered_by_range(spark, plan):
     assert [tuple(r) for r in ranged.orderBy("token_id").collect()] == wanted and len(wanted) == 300
     assert "SinglePartition" not in plan(ranged) and "TakeOrdered" not in plan(ranged)
     assert build_vocab(docs, 10_000, direct=10).count() == build_vocab(docs, 10_000).count()
+
+
+def test_leading_ids_only(spark, rows):
+    df = spark.createDataFrame([(1, " b a\tc  d "), (2, "a"), (3, None), (4, "  "), (5, "zz a b")], "id int, text string")
+    vocab = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, token_id int")
+    whole = {r.id: r.ids for r in encode(df, vocab, "id").collect()}
+    assert whole == {1: [4, 3, 5, 0], 2: [3], 3: [], 4: [], 5: [0, 3, 4]}
+    for most in (1, 2, 4, 9):
+        for limit in (100, 1):  # broadcast, joined
+            got = {r.id: r.ids for r in encode(df, vocab, "id", most=most, lookup_limit=limit).collect()}
+            assert got == {key: ids[:most] for key, ids in whole.items()}
