@@ -2,9 +2,15 @@
 
 ``LineRuns`` keeps how many documents each line key was found in, as sorted
 runs in the shared folder. Each batch of documents is merge-joined with the
-runs (its lines whose key is common by now are dropped) and adds a run of its
-own. ``fanout`` runs of a level are merged into one run of the next, so a key
-lies in a number of runs that grows with the logarithm of the batches.
+runs: its lines whose key is common by now are dropped at once and are not
+added again; the others become a run of the batch's own. ``fanout`` runs of a
+level are merged into one run of the next, so a key lies in a number of runs
+that grows with the logarithm of the batches.
+
+For a whole table the batches come one after the other, and a last pass drops
+from earlier batches what became common after them. Texts are read twice: once
+for the line keys of all batches, once to be joined anew without the dropped
+lines.
 
 A key is a line without blanks at its ends and with A-Z lower-cased; runs hold
 its 128-bit hash and a count, never the line.
@@ -87,13 +93,17 @@ class LineRuns:
         runs = [read.parquet(path) for path in paths] or [self.spark.createDataFrame([], self.SCHEMA)]
         return reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.sum("docs").alias("docs"))
 
-    def add(self, docs: DataFrame, text: str = "text") -> None:
-        """A run for one batch, each row of it a document; then compact full levels."""
-        keys = map_columns(docs, [text], "keys array<binary>", _distinct_keys("keys"))
-        counts = keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("docs"))
-        self._write(counts, 0)
+    def add(self, counts: DataFrame) -> None:
+        """A run of one batch's ``key`` and ``docs``; then compact full levels."""
+        self._write(counts.select("key", "docs"), 0)
         self.compact()
 
+    def meet(self, counts: DataFrame) -> DataFrame:
+        """A batch's ``key`` and ``docs`` with ``before``, the documents that the runs have of the key."""
+        known = self.counts().withColumnRenamed("docs", "before").hint("merge")
+        joined = counts.join(known, "key", "left")
+        return written(joined.withColumn("before", F.coalesce("before", F.lit(0).cast("long"))), "line-batch")
+
     def compact(self) -> None:
         level = 0
         while level < len(self.levels):
@@ -104,34 +114,69 @@ class LineRuns:
             level += 1
 
     def ingest(self, docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
-        """One arriving batch: drop what earlier batches made common, then add the batch's own lines to the runs."""
-        kept = written(self.strip(docs, text, key, min_docs), "line-batch")  # fixed before the runs change
-        self.add(docs, text)
+        """One arriving batch without what earlier batches made common; its other lines are added to the runs."""
+        batch = LineBatches(docs, text, key, 1)
+        met = self.meet(batch.counts(0))
+        kept = written(batch.without(batch.found(met.filter(F.col("before") >= min_docs))), "line-kept")
+        self.add(met.filter(F.col("before") < min_docs))
         return kept
 
-    def strip(self, docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
-        """``docs`` without the lines whose key the runs know from ``min_docs`` documents or more.
+
+class LineBatches:
+    """The distinct line keys of each row of ``docs``, dealt to batches by a hash of the document's key.
+
+    The keys are written once (``batch``, ``row``, ``doc``, ``keys``), so no
+    batch reads the texts again. Rows are told apart by ``key`` and text, and
+    equal rows are treated alike.
+    """
+
+    def __init__(self, docs: DataFrame, text: str, key: str, batches: int):
+        self.docs, self.text, self.key = docs.drop("n_lines", "n_dropped"), text, key
+        thin = docs.select(
+            F.xxhash64(key).alias("doc"),
+            F.col(key).isNull().alias("alone"),
+            row_key(key, text).alias("row"),
+            F.col(text).alias("text"),
+        )
+        keyed = map_columns(thin, ["text"], "keys array<binary>", _distinct_keys("keys"), ["doc", "alone", "row"])
+        self.keys = written(keyed.withColumn("batch", F.pmod("doc", F.lit(batches))), "line-keys")
+        # rows of one document count its lines once; a row without a key is a document of its own
+        times = self.keys.filter("NOT alone").groupBy("doc").agg(F.count(F.lit(1)).alias("times"))
+        self.repeated = written(times.filter("times > 1").select("doc"), "repeated-documents")
+        self.any_repeated = not self.repeated.isEmpty()
+
+    def counts(self, batch: int) -> DataFrame:
+        """``key`` and ``docs``, in how many documents of the batch the key is."""
+        rows = self.keys.filter(F.col("batch") == batch)
+        line = F.explode("keys").alias("key")
+        one = F.lit(1).cast("long").alias("docs")
+        if not self.any_repeated:
+            found = rows.select(line, one)
+        else:
+            again = rows.filter("NOT alone").join(self.repeated, "doc", "left_semi").select("doc", line).distinct()
+            single = rows.filter("alone").unionByName(rows.filter("NOT alone").join(self.repeated, "doc", "left_anti"))
+            found = single.select(line, one).unionByName(again.select("key", one))
+        return found.groupBy("key").agg(F.sum("docs").alias("docs"))
+
+    def found(self, common: DataFrame, batch: int | None = None) -> DataFrame:
+        """``row`` and ``key`` of the batch's lines that are in ``common``, which may say ``since`` which batch."""
+        rows = self.keys if batch is None else self.keys.filter(F.col("batch") == batch)
+        lines = rows.select("row", "batch", F.explode("keys").alias("key"))
+        if "since" not in common.columns:
+            return lines.join(common.select("key"), "key", "left_semi").select("row", "key")
+        return lines.join(common.select("key", "since"), "key").filter("since >= batch").select("row", "key")
+
+    def without(self, found: DataFrame) -> DataFrame:
+        """``docs`` without the lines that ``found`` names by row.
 
         ``text`` holds the remaining lines joined by a line feed (a null text
         counts as one empty line and becomes an empty text); ``n_lines`` and
-        ``n_dropped`` are added. Rows are told apart by ``key`` and text, and
-        equal rows are treated alike.
+        ``n_dropped`` are added.
         """
-        docs = docs.drop("n_lines", "n_dropped")
-        row, line, gone, old = free_name(docs, "row", "line", "gone", "old_text")
-        placed = docs.withColumn(row, row_key(key, text))
-        lines = map_columns(placed, [text], f"`{line}` array<binary>", _distinct_keys(line), [row])
-        # Written, so that the join below has two plain sides and Spark can split a very common line.
-        common = written(
-            self.counts().filter(F.col("docs") >= min_docs).select(F.col("key").alias(line)), "common-lines"
-        )
-        hits = (
-            lines.select(row, F.explode(line).alias(line))
-            .join(common, line, "left_semi")
-            .groupBy(row)
-            .agg(F.collect_set(line).alias(gone))
-        )
-        joined = placed.join(hits, row, "left").withColumnRenamed(text, old)
+        docs, text = self.docs, self.text
+        row, gone, old = free_name(docs, "row", "gone", "old_text")
+        hits = found.groupBy(F.col("row").alias(row)).agg(F.collect_set("key").alias(gone))
+        joined = docs.withColumn(row, row_key(self.key, text)).join(hits, row, "left").withColumnRenamed(text, old)
         others = [name for name in docs.columns if name != text]
         kept = map_columns(
             joined, [old, gone], f"`{text}` string, n_lines long, n_dropped long", _without(text), others
@@ -160,15 +205,26 @@ def _without(name):
 def drop_common_lines(
     docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, batches: int = BATCHES
 ) -> DataFrame:
-    """One table as ``batches`` batches: all are added to new runs, then every document meets the counts of all.
+    """``docs`` without the lines whose key is in ``min_docs`` distinct documents or more, by ``batches`` batches.
 
-    Documents are dealt to batches by a hash of ``key``, so that no batch
+    Each batch meets the runs of those before it: what is common by then is
+    dropped and goes no further, the rest is added. A key becomes common in one
+    batch; the rows of that batch and of earlier ones lose it in the last pass.
+    Several rows of one ``key`` are one document; a row without a key is one of
+    its own. Documents are dealt by a hash of their key, so that no batch
     depends on the order of the rows. An empty table gives an empty result.
     """
-    runs = LineRuns(docs.sparkSession)
+    runs, dealt = LineRuns(docs.sparkSession), LineBatches(docs, text, key, batches)
+    found, grown = [], []
     for batch in range(batches):
-        runs.add(docs.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == batch), text)
-    return runs.strip(docs, text, key, min_docs)
+        met = runs.meet(dealt.counts(batch))
+        rest = met.filter(F.col("before") < min_docs)
+        found.append(dealt.found(met.filter(F.col("before") >= min_docs), batch))
+        grown.append(rest.filter(F.col("before") + F.col("docs") >= min_docs).select("key", F.lit(batch).alias("since")))
+        runs.add(rest)
+    # written, so that the join has two plain sides and Spark can split a very common line
+    late = dealt.found(written(reduce(DataFrame.unionByName, grown), "common-lines"))
+    return dealt.without(written(reduce(DataFrame.unionByName, [*found, late]), "dropped-lines"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

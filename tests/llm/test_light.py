@@ -158,14 +158,42 @@ def test_lines_equal_brute_force(spark, odd_docs):
 
 def test_runs_are_levelled_and_sorted(spark, prose):
     runs = line_dedup.LineRuns(spark, fanout=2)
-    for batch in range(5):
-        runs.add(spark.createDataFrame([(batch, f"shared\nown {batch}")], "doc_id long, text string"))
+    frames = [spark.createDataFrame([(batch, f"shared\nown {batch}")], "doc_id long, text string") for batch in range(5)]
+    assert [runs.ingest(frame, min_docs=6).first().n_dropped for frame in frames] == [0] * 5
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     counts = {bytes(r.key): r.docs for r in runs.counts().collect()}
     assert sorted(counts.values()) == [1] * 5 + [5]
+    for paths in runs.levels:
+        for path in paths:
+            for part in Path(path).glob("*.parquet"):
+                keys = [r.key for r in spark.read.parquet(str(part)).collect()]
+                assert keys == sorted(keys)
     late = spark.createDataFrame([(9, "Shared \nnew")], "doc_id long, text string")
-    assert runs.strip(late, min_docs=5).first().text == "new"
     assert [runs.ingest(late, min_docs=6).first().text for _ in range(2)] == ["Shared \nnew", "new"]
+    # a key that is common by now isn't counted again
+    assert sorted(r.docs for r in runs.counts().collect())[-1] == 6
+
+
+def test_batches_meet_the_runs_before_them(spark):
+    """Lines that are common early, that become common late, and that never do; batch by batch and as a whole."""
+    texts = ["early\n" + ("late\n" if i >= 25 else "") + f"own {i}" for i in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    first = runs.ingest(frame.filter("doc_id < 12")).collect()
+    assert all(r.n_dropped == 0 for r in first)  # nothing was known before
+    second = runs.ingest(frame.filter("doc_id >= 12")).collect()
+    assert all(r.n_dropped == 1 and "late" in r.text or r.doc_id < 25 for r in second)
+    whole = line_dedup.drop_common_lines(frame).collect()
+    assert all(r.text == f"own {r.doc_id}" for r in whole)
+
+
+def test_a_document_of_several_rows_counts_once(spark):
+    """Ten rows of one id are one document; rows without an id are one each."""
+    rows = [(7, f"line\n{i}") for i in range(12)] + [(i + 100, "other") for i in range(10)] + [(None, f"free\n{i}") for i in range(10)]
+    got = line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 0 for r in got if r.doc_id == 7)
+    assert all(r.n_dropped == 1 and r.text == "" for r in got if r.doc_id and r.doc_id >= 100)
+    assert all(r.n_dropped == 1 for r in got if r.doc_id is None)
 
 
 def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
