@@ -16,10 +16,11 @@ A turn is ``<|role|>\ntext<|end|>\n``. Control strings inside roles and texts
 are broken by a backslash after their first character and backslashes are
 doubled, so the original can be read back exactly.
 
-Depth-first order is the order of paths (a hash per turn), so it takes one
-range partitioning and no step per level; a tree that a third of all
-conversations share is spread over tasks. One conversation is one training
-sequence and is handled as one value.
+Depth-first order needs no step per level: conversations are sorted by their
+paths (a hash per turn, one path per conversation), and a node stands where the
+first conversation that holds it stands, at its depth. A tree that a third of
+all conversations share is spread over tasks. One conversation is one training
+sequence and is handled as one value, in size proportional to its texts.
 """
 
 from __future__ import annotations
@@ -92,23 +93,24 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 @dataclass(frozen=True)
 class Packed:
-    """``nodes``: a row per node; ``branches``: ``conv_id``, its last node and its nodes in order."""
+    """``nodes``: a row per node; ``branches``: a row per conversation: ``rank`` (its number), ``conv_id``, its last
+    node and its nodes in order."""
 
     nodes: DataFrame
     branches: DataFrame
 
 
 _NODE = (
-    "node binary, parent binary, tree binary, path binary, depth int, role string, text string, "
+    "node binary, parent binary, tree binary, depth int, role string, text string, "
     "length long, position long, loss_start long, loss_end long"
 )
 
 
 def _branches(conv_ids, turn_lists):
-    """Each conversation with its nodes, from the root on."""
-    out = []
+    """Each conversation with its nodes, from the root on, and its path."""
+    out, paths = [], []
     for turns in turn_lists:
-        node, path, position, branch = b"", b"", 0, []
+        node, path, position, branch = b"", bytearray(), 0, []
         for depth, turn in enumerate(turns):
             role, text = turn["role"] or "", turn["text"] or ""
             formatted, start, end = format_turn(role, text)
@@ -120,7 +122,6 @@ def _branches(conv_ids, turn_lists):
                     "node": node,
                     "parent": parent or None,
                     "tree": branch[0]["node"] if branch else node,
-                    "path": path,
                     "depth": depth,
                     "role": role,
                     "text": formatted,
@@ -132,7 +133,8 @@ def _branches(conv_ids, turn_lists):
             )
             position += len(formatted)
         out.append(branch)
-    yield {"conv_id": conv_ids, "branch": out}
+        paths.append(bytes(path))
+    yield {"conv_id": conv_ids, "path": paths, "branch": out}
 
 
 def _attention(leaves, chains):
@@ -156,30 +158,35 @@ def pack(conversations: DataFrame) -> Packed:
     """The prefix trees of all conversations (``conv_id``, ``turn``, ``role``, ``text``; others are ignored).
 
     Turns are ordered by ``turn``, ties by role and text, nulls first; repeated
-    rows are repeated turns. Rows without ``conv_id`` form one conversation. An
-    empty table gives empty results.
+    rows are repeated turns. A row without ``conv_id`` is a conversation of its
+    own, as nothing says what it belongs to. An empty table gives empty results.
     """
-    gathered = conversations.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
-    )
+    turn = F.struct("turn", "role", "text")
+    named = conversations.filter("conv_id IS NOT NULL").groupBy("conv_id")
+    gathered = named.agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    single = conversations.filter("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns"))
     fields = ", ".join(f"{name}: {kind}" for name, kind in (part.split() for part in _NODE.split(", ")))
     conv_type = conversations.schema["conv_id"].dataType.simpleString()
-    placed = written(
-        map_columns(gathered, ["conv_id", "turns"], f"conv_id {conv_type}, branch array<struct<{fields}>>", _branches),
-        "branches",
-    )
+    made = f"conv_id {conv_type}, path binary, branch array<struct<{fields}>>"
+    formatted = map_columns(gathered.unionByName(single), ["conv_id", "turns"], made, _branches)
+    # Numbered in the order of their paths; copies of one conversation may lie in several ranges.
+    sorted_paths = formatted.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    placed = written(sorted_paths.withColumn("rank", F.monotonically_increasing_id()).drop("path"), "branches")
     branches = placed.select(
-        "conv_id", F.element_at("branch.node", -1).alias("leaf"), F.col("branch.node").alias("nodes")
+        "rank", "conv_id", F.element_at("branch.node", -1).alias("leaf"), F.col("branch.node").alias("nodes")
     )
-    # Equal prefixes become one node; the smallest leaf below answers for it.
-    every = placed.select(F.element_at("branch.node", -1).alias("leaf"), F.explode("branch").alias("n")).select("leaf", "n.*")
+    # Equal prefixes become one node; the first conversation that has it answers for it.
+    every = placed.select(
+        "rank", F.element_at("branch.node", -1).alias("leaf"), F.explode("branch").alias("n")
+    ).select("rank", "leaf", "n.*")
     names = [part.split()[0] for part in _NODE.split(", ")]
     single = every.groupBy("node").agg(
-        F.min("leaf").alias("owner"), *[F.first(name).alias(name) for name in names if name != "node"]
+        F.min(F.struct("rank", "leaf")).alias("first"), *[F.first(name).alias(name) for name in names if name != "node"]
     )
-    # Depth-first order: ranges of paths, sums per range and tree, then sums inside each range.
+    single = single.select("*", "first.rank", F.col("first.leaf").alias("owner")).drop("first")
+    # Depth-first order: ranges of it, sums per range and tree, then sums inside each range.
     ranged = written(
-        single.repartitionByRange("tree", "path", "node").withColumn("range", F.spark_partition_id()), "nodes"
+        single.repartitionByRange("tree", "rank", "depth").withColumn("range", F.spark_partition_id()), "nodes"
     )
     so_far = Window.partitionBy("tree").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -187,11 +194,11 @@ def pack(conversations: DataFrame) -> Packed:
         .agg(F.sum("length").alias("total"))
         .select("tree", "range", F.coalesce(F.sum("total").over(so_far), F.lit(0)).alias("before"))
     )
-    inside = Window.partitionBy("tree", "range").orderBy("path", "node").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("tree", "range").orderBy("rank", "depth").rowsBetween(Window.unboundedPreceding, -1)
     numbered = written(
         ranged.join(before, ["tree", "range"])
         .withColumn("start", F.col("before") + F.coalesce(F.sum("length").over(inside), F.lit(0)))
-        .drop("before", "range"),
+        .drop("before", "range", "rank"),
         "nodes",
     )
     chains = branches.groupBy("leaf").agg(F.first("nodes").alias("nodes"))
@@ -210,10 +217,10 @@ def pack(conversations: DataFrame) -> Packed:
 
 def read_back(packed: Packed) -> DataFrame:
     """``conv_id`` with its formatted text and ``loss`` spans (code points), put together from the nodes of its branch."""
-    steps = packed.branches.select("conv_id", F.posexplode("nodes").alias("at", "node"))
+    steps = packed.branches.select("rank", "conv_id", F.posexplode("nodes").alias("at", "node"))
     kept = packed.nodes.select("node", "text", "position", "loss_start", "loss_end")
     turn = F.struct("at", "text", "position", "loss_start", "loss_end")
-    whole = steps.join(kept, "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = steps.join(kept, "node").groupBy("rank", "conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     spans = F.transform(
         F.filter("turns", lambda t: t["loss_end"] > t["loss_start"]),
         lambda t: F.struct(

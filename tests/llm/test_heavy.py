@@ -149,6 +149,7 @@ def test_packed_trees(talks):
 
 
 def test_conversations_come_back(talks):
+    talks = talks.filter("conv_id IS NOT NULL")
     expected = defaultdict(list)
     for r in sorted(talks.collect(), key=lambda r: (r.turn or 0, r.role or "", r.text or "")):
         expected[r.conv_id].append((r.role or "", r.text or ""))
@@ -159,6 +160,28 @@ def test_conversations_come_back(talks):
         assert lost == "".join(text for role, text in expected[r.conv_id] if role == "assistant")
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, t, "assistant", x) for t, x in ((1, "a"), (0, "b"), (1, "a"), (None, None))] + [(5, 0, "user", "a")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat_format.read_back(chat_format.pack(talks)).collect()
+    alone = sorted(chat_format.parse_turns(r.formatted) for r in back if r.conv_id is None)
+    assert alone == [[("assistant", "")], [("assistant", "a")], [("assistant", "a")], [("assistant", "b")]]
+    assert [chat_format.parse_turns(r.formatted) for r in back if r.conv_id == 5] == [[("user", "a")]]
+
+
+def test_very_long_conversations(spark):
+    """20,000 turns, and another that leaves the first one halfway; sizes follow the turns, not their square."""
+    long = [(1, t, "user", "ab"[t % 2]) for t in range(20_000)]
+    other = [(2, t, "user", "ab"[t % 2] if t < 10_000 else "c") for t in range(10_005)]
+    packed = chat_format.pack(spark.createDataFrame(long + other, "conv_id long, turn long, role string, text string"))
+    nodes = packed.nodes.select("start", "length", "depth", "attention").orderBy("start").collect()
+    assert len(nodes) == 20_005
+    assert [n.start for n in nodes] == list(np.cumsum([0, *(n.length for n in nodes[:-1])]))
+    assert max(len(n.attention) for n in nodes) <= 2
+    assert {r.conv_id: r.formatted.count("<|end|>") for r in chat_format.read_back(packed).collect()} == {1: 20_000, 2: 10_005}
+    assert max(len(r.nodes) for r in packed.branches.collect()) == 20_000
+
+
 def test_no_conversations(talks):
     packed = chat_format.pack(talks.limit(0))
     assert packed.nodes.count() == 0 and chat_format.read_back(packed).count() == 0
