@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from lociframe.session import shared_dir
+from lociframe.session import discard, shared_dir, written
 from lociframe.sources import guarded
 from lociframe.sources import (
     document_paths,
@@ -351,3 +351,13 @@ def test_merged_profiles_equal_one_pass(spark):
     assert (merged["odd"].low, merged["odd"].high) == (1.0, 1.0)
     by_part = read_profile(merge_profiles(parts, ["part"])).filter("column = 'id'").collect()
     assert sorted((r.part, r.low) for r in by_part) == [(i, float(i)) for i in range(7)]
+
+
+def test_a_discarded_intermediate_leaves_no_files(spark, tmp_path):
+    first, second = (written(spark.range(n), "discarded") for n in (3, 4))
+    assert first.count() == 3 and len(second.inputFiles()) > 0
+    discard(first)
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        first.count()
+    assert second.count() == 4
+    discard(second, written(spark.range(0), "discarded"))
