@@ -1,10 +1,8 @@
 """Decontamination, chat formatting, language model, near-duplicates, piece encoding, pipeline."""
 
-import math
 import random
 import re
 import struct
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lociframe.llm import chat_format, decontamination, lm_scoring, near_dedup, piece_encoding
+from lociframe.llm import chat_format, decontamination, near_dedup, piece_encoding
 from lociframe.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -187,128 +185,6 @@ def test_no_conversations(talks):
     assert packed.nodes.count() == 0 and chat_format.read_back(packed).count() == 0
 
 
-# -- language model
-
-
-@pytest.fixture(scope="module")
-def corpus(spark, prose):
-    rows = [(i, prose(i % 40, 60) + f" end{i % 7}") for i in range(120)] + [(200, None), (201, ""), (None, "x")]
-    return spark.createDataFrame(rows, "doc_id long, text string")
-
-
-def test_probabilities_add_up(corpus):
-    model, _ = lm_scoring.train(corpus, sweeps=3, burn_in=1)
-    known = {word: i for i, word in enumerate(model.words, lm_scoring.START + 1)}
-    for before in (model.words[0], model.words[5], b"never"):
-        words = [b" ".join([before, word]) for word in [*model.words, b"unknown-word"]]
-        tokens = lm_scoring.tokenize(words, known)
-        logs = lm_scoring.head_scores(model, tokens)
-        second = logs[np.asarray(tokens.first) + 1]
-        second[-1] += math.log10(model.p_base)
-        end = lm_scoring.head_scores(model, lm_scoring.tokenize([before], known))[1]
-        assert abs((10**second).sum() + 10**end - 1) < 1e-9
-
-
-def test_scores(spark, corpus):
-    rows = corpus.collect()
-    model, counts = lm_scoring.train(corpus.filter(lm_scoring.is_training("doc_id")))
-    scored = lm_scoring.score(corpus.withColumn("rid", F.lit(1)), model, counts)
-    own = Counter()
-    tokens = lambda text: [*(text or "").encode().lower().split(), b""]
-    for r in rows:
-        if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
-            own.update(tokens(r.text))
-    total, types = sum(own.values()), len(own)
-    assert (model.train_tokens, model.types) == (total, types)
-    for r in scored.collect():
-        text = next(x.text for x in rows if x.doc_id == r.doc_id)
-        expected = sum(math.log10((own[t] + 0.5) / (total + 0.5 * (types + 1))) for t in tokens(text))
-        assert (r.n_tokens, r.n_known) == (len(tokens(text)), sum(own[t] > 0 for t in tokens(text)))
-        assert abs(r.base_score - expected) < 1e-6 * abs(expected) and math.isfinite(r.score) and r.rid == 1
-    held = scored.filter(~lm_scoring.is_training("doc_id")).agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1]
-
-
-def test_seating_follows_the_restaurant_process():
-    rng = np.random.default_rng(1)
-    drawn = lm_scoring.seat(np.full(20000, 12), np.full(20000, 2.0), 0.5, np.full(20000, 0.3), rng)
-    law = np.zeros(13)
-    law[1] = 1.0
-    for seated in range(1, 12):
-        new = np.array([(2.0 + 0.5 * t) * 0.3 for t in range(13)])
-        open_ = new / (new + seated - 0.5 * np.arange(13))
-        law = law * (1 - open_) + np.concatenate([[0], (law * open_)[:-1]])
-    assert abs(drawn.mean() - (law * np.arange(13)).sum()) < 0.03
-
-
-def test_model_is_reproducible_and_takes_empty_input(corpus, no_docs):
-    first, second = (lm_scoring.train(corpus.repartition(n), sweeps=2, burn_in=1)[0] for n in (2, 5))
-    assert np.array_equal(first.p_pairs, second.p_pairs) and np.array_equal(first.p_head, second.p_head)
-    model, counts = lm_scoring.train(no_docs)
-    assert model.train_tokens == 0
-    assert lm_scoring.score(no_docs, model, counts).count() == 0
-    assert lm_scoring.score(corpus, model, counts).filter("isnan(score)").count() == 0
-
-
-def test_rarer_words_are_joined(spark, corpus, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HEAD_SHARE", 0.01)  # so that there are rarer words here
-    model, counts = lm_scoring.train(corpus)
-    assert 0 < len(model.words) < model.types - 1 and model.tail_rate
-    tail = [r.c for r in counts.collect() if r.c < 0.01 * model.train_tokens]
-    cell = lambda c: c if c <= 16 else 16 + math.floor(16 * math.log2(c / 16))
-    mass = sum(c * model.tail_rate[cell(c)] + model.p_base for c in tail) + model.p_base
-    assert abs(mass + model.p_head.sum() - model.p_base - 1) < 1e-6  # START has no probability of its own
-    assert lm_scoring.score(corpus, model, counts).filter("score IS NULL OR n_known IS NULL").count() == 0
-
-
-def test_every_pair_has_its_restaurant(corpus, monkeypatch):
-    whole, counts = lm_scoring.train(corpus)
-    wanted = lm_scoring.score(corpus, whole, counts).agg(F.sum("score")).first()[0]
-    monkeypatch.setattr(lm_scoring, "HEAD_SHARE", 0.01)  # hardly any pair has that share
-    model, counts = lm_scoring.train(corpus)
-    own = Counter()
-    for r in corpus.collect():
-        words = [b"<", *(r.text or "").encode().lower().split(), b">"]
-        own.update(zip(words, words[1:], strict=False))
-    low, mid, tops, contexts = (model.tables[name].toPandas() for name in ("low", "mid", "tops", "contexts"))
-    assert sorted(low.n) == sorted(own.values())
-    top = tops.p.sum() + model.p_base
-    inside = low.merge(contexts, on="u").assign(p=lambda x: x.a * x.inverse).groupby("u").p.sum()
-    classes = mid.groupby("g").m.sum()
-    assert abs(top - 1) < 1e-9 and all(abs(m + model.back_class[g] * top - 1) < 1e-9 for g, m in classes.items())
-    backs = contexts.set_index("u").back
-    assert (inside + backs - 1).abs().max() < 1e-9
-    found = lm_scoring.score(corpus, model, counts).agg(F.sum("score")).first()[0]
-    assert abs(found / wanted - 1) < 0.01
-
-
-def test_sweeps_bring_only_class_totals_to_the_driver(corpus, monkeypatch):
-    collected, to_arrow = [], type(corpus).toArrow
-
-    def spy(self):
-        out = to_arrow(self)
-        collected.append(out.num_rows)
-        return out
-
-    monkeypatch.setattr(type(corpus), "toArrow", spy)
-    sums = []
-    for sweeps in (1, 3):
-        collected.clear()
-        model, _ = lm_scoring.train(corpus, sweeps=sweeps, burn_in=0)
-        sums.append(sum(collected))
-    assert sums[1] - sums[0] <= 2 * (model.tables["mid"].select("g").distinct().count() + 1)
-
-
-def test_rarer_words_are_seated_by_their_own_counts(corpus, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HEAD_SHARE", 0.01)
-    model, counts = lm_scoring.train(corpus, sweeps=2, burn_in=1)
-    rare = counts.filter(F.col("c") < 0.01 * model.train_tokens).select(lm_scoring.rare_id(F.col("word")).alias("w"), "c")
-    seen = rare.join(model.tables["tops"].withColumnRenamed("c", "own"), "w").collect()
-    assert len(seen) == rare.count() > 0 and all(r.c == r.own and r.p > model.p_base for r in seen)
-    classes = model.tables["mid"].filter("w < 0 AND m > 0").select("w").distinct().count()
-    assert classes == len(seen)
-
-
 # -- near-duplicates
 
 
