@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lociframe.sources.readers import Paths, delimited
+from lociframe.sources.readers import Paths, delimited, for_bad_lines
 
 COMMENTED = {**delimited("\t"), "comment": "#", "recursiveFileLookup": True}
 
@@ -16,17 +16,20 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(f"`{name}`", F.lit("")).alias(name) for name in df.columns))
 
 
-def read_commented_tsv(spark: SparkSession, paths: Paths, schema: StructType | str | None = None) -> DataFrame:
+def read_commented_tsv(
+    spark: SparkSession, paths: Paths, schema: StructType | str | None = None, bad_lines: str = "fail"
+) -> DataFrame:
     """The data rows, every column STRING.
 
     ``#`` lines are skipped wherever they stand and the first other line is the
     header. Give a schema of STRING columns to spare the header-reading job and
-    to have each file's header checked against it.
+    to have each file's header checked against it. A line with more or fewer
+    fields fails the read, or is filled and cut with ``bad_lines`` as ``null``.
     """
     reader = spark.read.options(**COMMENTED)
     if schema is None:  # names by the first file, but then checked against every file's header
         schema = reader.csv(paths).schema
-    reader = reader.option("enforceSchema", False).schema(schema)
+    reader = reader.options(enforceSchema=False, **for_bad_lines(bad_lines)).schema(schema)
     return as_text(reader.csv(paths))
 
 

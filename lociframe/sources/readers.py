@@ -52,6 +52,17 @@ def delimited(sep: str) -> dict[str, str | bool]:
     return {"header": True, "sep": sep, "quote": '"', "escape": '"'}
 
 
+def for_bad_lines(bad_lines: str) -> dict[str, str | bool]:
+    """Options for lines that are no row of the schema: ``fail`` the read, or let ``null`` stand for what doesn't fit.
+
+    A line is checked whole whatever columns a plan needs; only a value that no plan needs is not converted.
+    """
+    modes = {"fail": "FAILFAST", "null": "PERMISSIVE"}
+    if bad_lines not in modes:
+        raise ValueError(f"bad_lines is one of {sorted(modes)}, not {bad_lines!r}")
+    return {"mode": modes[bad_lines], "columnPruning": bad_lines == "null"}
+
+
 def read_csv(
     spark: SparkSession,
     paths: Paths,
@@ -59,6 +70,7 @@ def read_csv(
     sep: str = ",",
     missing: str | None = None,
     multiline: bool = False,
+    bad_lines: str = "fail",
 ) -> DataFrame:
     """Delimited text with a header line.
 
@@ -67,13 +79,16 @@ def read_csv(
     a second pass and is meant for looking at a new file. ``missing`` is the
     text of an absent value, such as ``NA``; by default an empty field is
     absent and a quoted empty field is an empty text. ``multiline`` allows line breaks
-    within quotes; such files cannot be split between tasks.
+    within quotes; such files cannot be split between tasks. A line with more or
+    fewer fields, or a value that doesn't fit its type, fails the read, so that
+    nothing is lost in silence; with ``bad_lines`` as ``null`` surplus fields go
+    and the rest is NULL. ``read_checked`` keeps such lines apart.
     """
     reader = spark.read.options(**delimited(sep), nullValue=NOT_A_TEXT if missing is None else missing)
     reader = reader.option("multiLine", multiline)
     if schema is None:  # names by the first file, but then checked against every file's header
         schema = reader.option("inferSchema", True).csv(paths).schema
-    return reader.option("enforceSchema", False).schema(schema).csv(paths)
+    return reader.options(enforceSchema=False, **for_bad_lines(bad_lines)).schema(schema).csv(paths)
 
 
 def read_tsv(spark: SparkSession, paths: Paths, schema: StructType | str | None = None, **options) -> DataFrame:
@@ -105,6 +120,7 @@ def scan_manifest(
     schema: StructType | str,
     sep: str = "\t",
     absent: str = "error",
+    bad_lines: str = "fail",
 ) -> DataFrame:
     """Rows of every file named in ``manifest``, with the manifest's columns.
 
@@ -113,7 +129,9 @@ def scan_manifest(
     manifest by file path. Only paths pass through the driver, as in any file
     scan. A path named twice yields its rows twice, as a loop over the manifest
     would. A named file that is not there fails the call, or, with ``absent``
-    as ``"keep"``, gives its manifest row with NULLs.
+    as ``"keep"``, gives its manifest row with NULLs. A file of another header
+    or a bad line fails the call (``bad_lines`` as in ``read_csv``);
+    ``scan_files`` takes each file by itself.
     """
     if absent not in ("error", "keep"):
         raise ValueError(f"absent is 'error' or 'keep', not {absent!r}")
@@ -127,6 +145,7 @@ def scan_manifest(
     paths = [r[0] for r in files.join(named, "__path", "left_semi").select("path").collect()]
     if paths:
         reader = spark.read.options(**delimited(sep), enforceSchema=False, recursiveFileLookup=True)
+        reader = reader.options(**for_bad_lines(bad_lines))
         rows = reader.schema(schema).csv(paths)
         rows = rows.select("*", normalized_uri(F.col("_metadata.file_path")).alias("__path"))
     else:

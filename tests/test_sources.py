@@ -361,3 +361,29 @@ def test_a_discarded_intermediate_leaves_no_files(spark, tmp_path):
         first.count()
     assert second.count() == 4
     discard(second, written(spark.range(0), "discarded"))
+
+
+def test_bad_lines_fail_unless_asked_otherwise(spark, tmp_path, rows):
+    """A longer line, a shorter one, a misfit: no reader loses them in silence."""
+    for name, line in (("long", "1,a,9"), ("short", "2"), ("misfit", "x,b")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.csv").write_text(f"id,name\n0,z\n{line}\n")
+        (tmp_path / name / "f.tsv").write_text(f"#c=d\nid\tname\n0\tz\n{line}\n".replace(",", "\t"))
+        folder = f"{tmp_path}/{name}"
+        with pytest.raises(Exception, match="(?i)malformed|failed_read|fail"):
+            read_csv(spark, f"{folder}/f.csv", "id int, name string").collect()
+        kept = read_csv(spark, f"{folder}/f.csv", "id int, name string", bad_lines="null")
+        expected = {"long": (1, "a"), "short": (2, None), "misfit": (None, "b")}[name]
+        assert rows(kept) == sorted([(0, "z"), expected], key=repr)
+        if name != "misfit":  # texts fit any line of the right length, and lengths are checked whatever is read
+            with pytest.raises(Exception, match="(?i)malformed|failed_read|fail"):
+                read_csv(spark, f"{folder}/f.csv", "id int, name string").select("name").collect()
+            with pytest.raises(Exception, match="(?i)malformed|failed_read|fail"):
+                read_commented_tsv(spark, f"{folder}/f.tsv", "id STRING, name STRING").collect()
+            loose = read_commented_tsv(spark, f"{folder}/f.tsv", "id STRING, name STRING", bad_lines="null")
+            assert loose.count() == 2
+        manifest = spark.createDataFrame([(f"{folder}/f.csv",)], "url string")
+        with pytest.raises(Exception, match="(?i)malformed|failed_read|fail"):
+            scan_manifest(spark, manifest, "url", folder, "id int, name string", sep=",").collect()
+    with pytest.raises(ValueError, match="bad_lines"):
+        read_csv(spark, "x", "id int", bad_lines="drop")
