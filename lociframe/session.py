@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,13 @@ def discard(*frames: DataFrame) -> None:
         spark = frame.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(frame.written_path)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that no frame refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which may be long in
+    coming; a job of many written steps asks for it between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
