@@ -34,7 +34,6 @@ from __future__ import annotations
 import itertools
 import json
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lociframe.llm.common import free_name, table
-from lociframe.session import discard, written
+from lociframe.session import discard, release, written
 
 NAME = "op4_lm_scoring"
 ORACLE_SQL = None  # sampled; tests compare with a sequential sampler, and the base score exactly
@@ -55,8 +54,8 @@ SWEEPS, BURN_IN = 5, 2
 DISCOUNT, STRENGTH = 0.75, 1.0
 BUCKETS = 48
 BUCKET_TOKENS = 500_000
-SLICE_CHARS = 1_000_000
-FLUSH_WORDS = 250_000
+SLICE_CHARS = 4_000_000
+FLUSH_WORDS = 500_000
 FLUSH_KEYS = 1_000_000
 BROADCAST_ENTRIES = 2_000_000
 SEED = 11
@@ -73,11 +72,7 @@ def is_training(key: str) -> Column:
 
 
 def _slices(column):
-    """(place, texts) of an Arrow column in slices of bounded length, so that few texts are Python values at a time.
-
-    Texts are UTF-8 with A-Z lower-cased; null counts as empty.
-    """
-    import numpy as np
+    """(place, texts) of an Arrow column in slices of bounded length; A-Z lower-cased, null counts as empty."""
     import pyarrow.compute as pc
 
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
@@ -85,87 +80,97 @@ def _slices(column):
     while at < len(column):
         done = int(sizes[at - 1]) if at else 0
         end = min(len(column), int(np.searchsorted(sizes, done + SLICE_CHARS)) + 1)
-        yield at, [(text or "").encode().lower() for text in column.slice(at, end - at).to_pylist()]
+        yield at, pc.ascii_lower(pc.fill_null(column.slice(at, end - at), ""))
         at = end
 
 
+def _words(texts):
+    """All words of the texts in a row, and how many each text has. Arrow parts at exactly the contract's blanks."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(texts)
+    flat, owner = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.not_equal(flat, "")  # a blank at either end leaves an empty piece
+    return flat.filter(real), np.bincount(owner.filter(real).to_numpy(), minlength=len(texts))
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word`` (bytes) and ``c`` over all rows of ``docs``, without the end token."""
 
     def count(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def flush():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"]
-            )
+            whole = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+            columns = [whole.column("word").cast(pa.binary()), whole.column("c_sum").cast(pa.int64())]
+            return pa.table(columns, names=["word", "c"]).combine_chunks().to_batches()
 
-        counts = Counter()
+        held, size = [], 0
         for batch in batches:
-            for _, group in _slices(batch.column(0)):
-                for raw in group:
-                    counts.update(raw.split())
-                if len(counts) >= FLUSH_WORDS:
-                    yield flush()
-                    counts = Counter()
-        yield flush()
+            for _, texts in _slices(batch.column(0)):
+                counted = pc.value_counts(_words(texts)[0])
+                held.append(pa.table([counted.field(0), counted.field(1)], names=["word", "c"]))
+                size += len(counted)
+                if size >= FLUSH_WORDS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
     return docs.select(text).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Tokens:
-    """One slice of texts as arrays, a text's tokens in a row, its end token last."""
+def class_of(words: list[bytes]) -> np.ndarray:
+    """The class of each word: its last two bytes, the first of them 0 if it has one."""
+    return np.array([(word[-2] << 8 if len(word) > 1 else 0) | word[-1] for word in words], np.int64)
 
-    words: list[bytes]
-    ids: object  # head word's id, or -1
-    before: object  # id of the token before, or -1
-    group: object  # class of the token before
-    first: object  # where each text begins
-    ends: object  # which tokens are end tokens
 
+def rare_id(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseOR(F.lit(_RARE))
 
-def tokenize(raws: list[bytes], known: dict[bytes, int]) -> Tokens:
-    import numpy as np
 
-    split = [raw.split() for raw in raws]  # bytes part at exactly the contract's blanks
-    words = list(itertools.chain.from_iterable(split))
-    lengths = np.fromiter(map(len, split), np.int64, len(split)) + 1
-    total = int(lengths.sum())
-    last = np.cumsum(lengths) - 1
-    is_end = np.zeros(total, bool)
-    is_end[last] = True
-    ids = np.full(total, END, np.int64)
-    ids[~is_end] = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
-    text = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
-    blank = (text == 32) | ((text >= 9) & (text <= 13))
-    at = np.flatnonzero(~blank[:-1] & blank[1:])
-    inner = np.where((at > 0) & ~blank[np.maximum(at, 1) - 1], text[np.maximum(at, 1) - 1], 0).astype(np.int64)
-    classes = np.zeros(total, np.int64)
-    classes[~is_end] = inner * 256 + text[at]
-    first = last - lengths + 1
-    before, group = np.roll(ids, 1), np.roll(classes, 1)
-    before[first], group[first] = START, 0
-    return Tokens(words, ids, before, group, first, is_end)
+def _ids(words: list[bytes]) -> dict[bytes, int]:
+    return {word: i for i, word in enumerate(words, START + 1)}
 
 
-def rare_id(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseOR(F.lit(_RARE))
+def word_ids(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Ids of words; a rarer word's is made from its hash, as in ``rare_id``."""
+    ids = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
+    rare = np.flatnonzero(ids < 0)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(words[i], 42) for i in rare.tolist()), np.uint64, len(rare))
+    ids[rare] = hashes.view(np.int64) | np.int64(_RARE)
+    return ids
 
 
-def all_ids(tokens: Tokens):
-    """Ids of all tokens and of the tokens before them; a rarer word's is made from its hash, as in ``rare_id``."""
-    import numpy as np
+@dataclass
+class Tokens:
+    """One slice of texts as arrays, a text's tokens in a row, its end token last."""
 
-    ids = tokens.ids.copy()
-    at = np.flatnonzero(ids < 0)
-    if len(at):
-        rare = np.flatnonzero(ids[~tokens.ends] < 0).tolist()
-        hashes = np.fromiter((xxhash.xxh64_intdigest(tokens.words[i], 42) for i in rare), np.uint64, len(rare))
-        ids[at] = hashes.view(np.int64) | np.int64(_RARE)
-    before = np.roll(ids, 1)
-    before[tokens.first] = START
-    return ids, before
+    w: np.ndarray  # ids
+    u: np.ndarray  # ids of the tokens before
+    g: np.ndarray  # classes of the tokens before
+    lengths: np.ndarray  # tokens per text
+    first: np.ndarray  # where each text begins
+
+
+def tokenize(texts, known: dict[bytes, int]) -> Tokens:
+    import pyarrow as pa
+
+    flat, lengths = _words(texts)
+    coded = flat.dictionary_encode()  # what is done per word is done once for its copies in the slice
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    place = coded.indices.to_numpy()
+    lengths = lengths + 1
+    last = np.cumsum(lengths) - 1
+    w, g = np.full(int(lengths.sum()), END, np.int64), np.zeros(int(lengths.sum()), np.int64)
+    inner = np.ones(len(w), bool)
+    inner[last] = False
+    w[inner], g[inner] = word_ids(names, known)[place], class_of(names)[place]
+    first = last - lengths + 1
+    u, g = np.roll(w, 1), np.roll(g, 1)
+    u[first], g[first] = START, 0
+    return Tokens(w, u, g, lengths, first)
 
 
 # -- packed arrays, buckets
@@ -212,14 +217,25 @@ def bucket_of(w: np.ndarray, g: np.ndarray, hot: np.ndarray, buckets: int) -> np
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
-def _dealt(columns: dict[str, np.ndarray], hot: np.ndarray, buckets: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """The columns of each bucket, sorted by all of them in the order given (``w`` first)."""
-    bucket = bucket_of(columns["w"], columns["g"], hot, buckets)
-    order = np.lexsort([*reversed(columns.values()), bucket])
+def _dealt(columns: dict[str, np.ndarray], g: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """The packed columns of each bucket, equal words side by side, and the places of its rows.
+
+    Of ``g`` only that is packed which doesn't follow from a head context.
+    """
+    bucket = bucket_of(columns["w"], g, hot, buckets)
+    order = np.argsort(bucket << 40 | (columns["w"] & ((1 << 40) - 1)))
     bucket = bucket[order]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
     for begin, end in zip(edges, edges[1:]):
-        yield int(bucket[begin]), {name: values[order[begin:end]] for name, values in columns.items()}
+        at = order[begin:end]
+        yield int(bucket[begin]), _packed(rare_g=g[at][columns["u"][at] < 0], **{k: v[at] for k, v in columns.items()}), at
+
+
+def _classes(x: dict, head_class: np.ndarray) -> np.ndarray:
+    """The classes of a packed part's contexts."""
+    g, head = np.empty(len(x["u"]), np.int64), x["u"] >= 0
+    g[head], g[~head] = head_class[x["u"][head]], x["rare_g"]
+    return g
 
 
 def _counted(**columns) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -334,68 +350,79 @@ class Totals:
 
 def mid_customers(m: dict, low_tables: np.ndarray) -> np.ndarray:
     """Customers of a bucket's class pairs: the tables of the pairs below; pairs of one token have one."""
-    tables = np.ones(len(m["pair_n"]), np.int64)
-    tables[m["pair_n"] > 1] = low_tables
-    return np.bincount(m["pair_mid"], tables, len(m["mid_word"])).astype(np.int64)
+    return m["mid_ones"] + np.bincount(m["low_mid"], low_tables, len(m["mid_word"])).astype(np.int64)
 
 
-_BUCKET = "bucket int, blob binary, asks array<long>"
-_SUMS = "sums array<struct<kind: int, key: long, a: long, b: long>>"
+_BUCKET = "bucket int, blob binary, sums array<struct<kind: int, key: long, a: long, b: long>>"
 _CLASS, _CONTEXT, _HOT, _ROOT = range(4)
 
 
-def _sums(m: dict, totals_hot: np.ndarray) -> list[dict]:
+def _sums(m: dict, totals_hot: np.ndarray):
     """What the totals need of a bucket: (kind, key, customers, tables); of contexts the tables beyond one per pair."""
+    import pyarrow as pa
+
     mid_c, mid_t = mid_customers(m, m["low_t"]), m["mid_t"]
     found = []
     g, where = np.unique(m["mid_g"], return_inverse=True)
     found.append((_CLASS, g, np.bincount(where, mid_c, len(g)), np.bincount(where, mid_t, len(g))))
     more = m["low_t"] > 1
-    u, where = np.unique(m["pair_u"][m["pair_n"] > 1][more], return_inverse=True)
-    extra = np.bincount(where, m["low_t"][more] - 1, len(u))
-    found.append((_CONTEXT, u, extra, np.zeros(len(u))))
+    u, where = np.unique(m["low_u"][more], return_inverse=True)
+    found.append((_CONTEXT, u, np.bincount(where, m["low_t"][more] - 1, len(u)), np.zeros(len(u))))
     top_c = np.bincount(m["mid_word"], mid_t, len(m["words"]))
     hot = np.isin(m["words"], totals_hot)
     found.append((_HOT, m["words"][hot], top_c[hot], np.zeros(int(hot.sum()))))
     found.append((_ROOT, np.zeros(1), np.array([top_c[~hot].sum()]), np.array([m["top_t"][~hot].sum()])))
-    return [
-        {"kind": kind, "key": k, "a": a, "b": b}
-        for kind, *columns in found
-        for k, a, b in zip(*(np.asarray(c).astype(np.int64).tolist() for c in columns))
-    ]
+    kinds = np.concatenate([np.full(len(part[1]), part[0], np.int32) for part in found])
+    columns = [np.concatenate([np.asarray(part[i]).astype(np.int64) for part in found]) for i in (1, 2, 3)]
+    items = pa.StructArray.from_arrays([pa.array(kinds), *map(pa.array, columns)], ["kind", "key", "a", "b"])
+    return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
 
 
-def build_bucket(blobs: list[dict]) -> dict[str, np.ndarray]:
-    """One bucket's pairs from the counts of all tasks, sorted by word, class and context; everybody has one table."""
-    w, g, u, n = (np.concatenate([part[name] for part in blobs]) for name in ("w", "g", "u", "n"))
+def _bucket_batch(bucket: int, m: dict, hot: np.ndarray, shape, **more):
+    import pyarrow as pa
+
+    made = {"bucket": [bucket], "blob": [_packed(**m)]} | {name: [value] for name, value in more.items()}
+    sums = _sums(m, hot)
+    arrays = [sums.cast(f.type) if f.name == "sums" else pa.array(made[f.name], f.type) for f in shape]
+    return pa.RecordBatch.from_arrays(arrays, schema=shape)
+
+
+def build_bucket(w: np.ndarray, g: np.ndarray, u: np.ndarray, n: np.ndarray) -> tuple[dict, dict]:
+    """One bucket from the counts of all tasks: its pairs, sorted by word, class and context, and the first state.
+
+    The state has what a sweep needs: pairs of two tokens or more (``low``),
+    class pairs (``mid``) with the number of pairs of one token below, and
+    words; everybody has one table.
+    """
     order = np.lexsort([u, g, w])
     w, g, u, n = w[order], g[order], u[order], n[order]
     at = _runs(w, g, u)
     n = np.add.reduceat(n, at) if len(at) else n
     w, g, u = w[at], g[at], u[at]
-    mids, tops = _runs(w, g), _runs(w)
-    mid_of = np.cumsum(np.isin(np.arange(len(w)), mids, assume_unique=True)) - 1
-    word_of = np.cumsum(np.isin(np.arange(len(w)), tops, assume_unique=True)) - 1
-    low = n > 1
-    return {
-        "words": w[tops], "mid_word": word_of[mids], "mid_g": g[mids], "pair_mid": mid_of, "pair_u": u, "pair_n": n,
-        "low_t": np.ones(int(low.sum()), np.int64), "mid_t": np.ones(len(mids), np.int64), "top_t": np.ones(len(tops), np.int64),
-        "ask_u": np.unique(u[low & (u < 0)]),
+    is_mid, is_top = np.zeros(len(w), bool), np.zeros(len(w), bool)
+    is_mid[_runs(w, g)], is_top[_runs(w)] = True, True
+    mid, low = np.cumsum(is_mid) - 1, n > 1
+    pairs = {"mid": mid, "u": u, "n": n}
+    state = {
+        "words": w[is_top], "mid_word": (np.cumsum(is_top) - 1)[is_mid], "mid_g": g[is_mid],
+        "mid_ones": np.bincount(mid[~low], minlength=int(is_mid.sum())),
+        "low_mid": mid[low], "low_u": u[low], "low_n": n[low], "ask_u": np.unique(u[low & (u < 0)]),
+        "low_t": np.ones(int(low.sum()), np.int64), "mid_t": np.ones(int(is_mid.sum()), np.int64),
+        "top_t": np.ones(int(is_top.sum()), np.int64),
     }
+    return pairs, state
 
 
 def seat_bucket(m: dict, totals: Totals, rare_tables: np.ndarray, rng) -> None:
     """One sweep over a bucket: its pairs, then its class pairs, then its words. ``rare_tables`` are those of ``ask_u``."""
-    low = m["pair_n"] > 1
-    u, mid, n = m["pair_u"][low], m["pair_mid"][low], m["pair_n"][low]
-    context = np.zeros(len(u), np.int64)
-    head = u >= 0
+    u, mid = m["low_u"], m["low_mid"]
+    context, head = np.zeros(len(u), np.int64), u >= 0
     context[head] = totals.contexts[u[head]]
     context[~head] = rare_tables[np.searchsorted(m["ask_u"], u[~head])]
     g, word = m["mid_g"], m["mid_word"]
     p_top = totals.words(m, m["top_t"], m["mid_t"])[word]
     p_mid = totals.classes(g, mid_customers(m, m["low_t"]) - DISCOUNT * m["mid_t"], p_top)
-    m["low_t"] = seat(n, STRENGTH + DISCOUNT * (context - m["low_t"]), DISCOUNT, p_mid[mid], rng)
+    m["low_t"] = seat(m["low_n"], STRENGTH + DISCOUNT * (context - m["low_t"]), DISCOUNT, p_mid[mid], rng)
     strength = STRENGTH + DISCOUNT * (totals.tables[g] - m["mid_t"])
     m["mid_t"] = seat(mid_customers(m, m["low_t"]), strength, DISCOUNT, p_top, rng)
     customers = np.bincount(word, m["mid_t"], len(m["words"])).astype(np.int64)
@@ -414,7 +441,7 @@ class Model:
     types: int
     buckets: int
     kept: list[Totals]  # of each kept sweep
-    tables: dict  # "buckets": bucket, blob; "contexts": u, c, t (tables per kept sweep) of rarer contexts
+    tables: dict  # "pairs" and "buckets": bucket, blob; "contexts": u, c, t (tables per kept sweep) of rarer contexts
 
     def bounded(self) -> dict:
         """What travels with the tasks."""
@@ -424,8 +451,9 @@ class Model:
         return np.log10((c + 0.5) / (self.train_tokens + 0.5 * (self.types + 1)))
 
 
-def _ids(words: list[bytes]) -> dict[bytes, int]:
-    return {word: i for i, word in enumerate(words, START + 1)}
+def head_classes(words: list[bytes]) -> np.ndarray:
+    """Classes of the head contexts by their ids; that of the beginning is 0."""
+    return np.concatenate([[0, 0], class_of(words)]).astype(np.int64)
 
 
 def _pair_blobs(docs: DataFrame, shipped, text: str) -> DataFrame:
@@ -441,15 +469,15 @@ def _pair_blobs(docs: DataFrame, shipped, text: str) -> DataFrame:
         def flush():
             w, g, u = (np.concatenate(part) for part in zip(*waiting))
             columns, n = _counted(w=w, g=g, u=u)
-            rows = [(b, _packed(**part)) for b, part in _dealt(columns | {"n": n}, hot, buckets)]
+            dealt = _dealt({"w": columns["w"], "u": columns["u"], "n": n}, columns["g"], hot, buckets)
+            rows = [(bucket, packed) for bucket, packed, _ in dealt]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
 
         for batch in batches:
-            for _, group in _slices(batch.column(0)):
-                tokens = tokenize(group, ids)
-                w, u = all_ids(tokens)
-                waiting.append((w, tokens.group, u))
-                size += len(w)
+            for _, texts in _slices(batch.column(0)):
+                tokens = tokenize(texts, ids)
+                waiting.append((tokens.w, tokens.g, tokens.u))
+                size += len(tokens.w)
                 if size >= FLUSH_KEYS:
                     yield flush()
                     waiting, size = [], 0
@@ -459,22 +487,25 @@ def _pair_blobs(docs: DataFrame, shipped, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(count, "bucket int, blob binary")
 
 
-def _built(blobs: DataFrame, hot: np.ndarray) -> DataFrame:
-    schema = f"{_BUCKET}, {_SUMS}"
+def _built(blobs: DataFrame, shipped) -> DataFrame:
+    """``bucket``, ``pairs``, and the first state with its sums and the rarer contexts it asks for."""
+    schema = f"{_BUCKET}, pairs binary, asks array<long>"
     shape = _as_schema(schema)
 
     def merge(batches):
-        import pyarrow as pa
-
+        words, hot, _ = shipped.value
+        head_class = head_classes(words)
         for bucket, rows in _bucket_rows(batches):
-            m = build_bucket([_unpacked(row["blob"]) for row in rows])
-            row = {"bucket": bucket, "blob": _packed(**m), "asks": m["ask_u"].tolist(), "sums": _sums(m, hot)}
-            yield pa.RecordBatch.from_pylist([row], schema=shape)
+            parts = [_unpacked(row["blob"]) for row in rows]
+            g = np.concatenate([_classes(part, head_class) for part in parts])
+            w, u, n = (np.concatenate([part[name] for part in parts]) for name in ("w", "u", "n"))
+            pairs, state = build_bucket(w, g, u, n)
+            yield _bucket_batch(bucket, state, hot, shape, pairs=_packed(**pairs), asks=state["ask_u"])
 
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
 
 
-def _contexts(buckets: DataFrame) -> DataFrame:
+def _contexts(pairs: DataFrame) -> DataFrame:
     """``u``, ``c`` customers and ``d`` distinct words of every context."""
     schema = "u long, c long, d long"
     shape = _as_schema(schema)
@@ -482,25 +513,26 @@ def _contexts(buckets: DataFrame) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
+        held, size = [], 0
 
         def flush():
-            u, c, d = (np.concatenate(part) for part in zip(*held))
+            u, n = (np.concatenate(part) for part in zip(*held))
             keys, where = np.unique(u, return_inverse=True)
-            summed = [np.bincount(where, values, len(keys)).astype(np.int64) for values in (c, d)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, *summed)], schema=shape)
+            c, d = np.bincount(where, n, len(keys)).astype(np.int64), np.bincount(where, minlength=len(keys))
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c), pa.array(d.astype(np.int64))], schema=shape)
 
         for batch in batches:
             for blob in batch.column(0):
                 m = _unpacked(blob.as_py())
-                held.append((m["pair_u"], m["pair_n"], np.ones(len(m["pair_u"]), np.int64)))
-                if sum(len(part[0]) for part in held) >= 2 * FLUSH_KEYS:
+                held.append((m["u"], m["n"]))
+                size += len(m["u"])
+                if size >= 2 * FLUSH_KEYS:
                     yield flush()
-                    held = []
+                    held, size = [], 0
         if held:
             yield flush()
 
-    counted = buckets.select("blob").mapInArrow(count, schema)
+    counted = pairs.select("pairs").mapInArrow(count, schema)
     return counted.groupBy("u").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
@@ -513,15 +545,13 @@ def _answers(asks: DataFrame, values: DataFrame) -> tuple[DataFrame, int]:
 
 def _swept(buckets: DataFrame, answers: DataFrame, entries: int, shipped, seeds: list[int], keep: int | None) -> DataFrame:
     """The buckets after one sweep; ``keep`` is the number that the state is kept under."""
-    schema = f"{_BUCKET}, {_SUMS}"
-    shape = _as_schema(schema)
+    shape = _as_schema(_BUCKET)
 
     def run(batches):
-        import pyarrow as pa
-
         totals = Totals(**shipped.value)
-        for _, rows in _bucket_rows(batches):
-            for row in rows:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 m = _unpacked(row["blob"])
                 rare = np.zeros(len(m["ask_u"]), np.int64)
                 if row["us"]:
@@ -531,11 +561,10 @@ def _swept(buckets: DataFrame, answers: DataFrame, entries: int, shipped, seeds:
                 seat_bucket(m, totals, m["ask_d"] + rare, np.random.default_rng([*seeds, row["bucket"]]))
                 if keep is not None:
                     m |= {f"{name}{keep}": m[name] for name in ("low_t", "mid_t", "top_t")}
-                made = {"bucket": row["bucket"], "blob": _packed(**m), "asks": [], "sums": _sums(m, totals.hot)}
-                yield pa.RecordBatch.from_pylist([made], schema=shape)
+                yield _bucket_batch(row["bucket"], m, totals.hot, shape)
 
     joined = buckets.select("bucket", "blob").join(_small(answers, entries), "bucket", "left")
-    return written(joined.mapInArrow(run, schema), "lm-buckets")
+    return written(joined.mapInArrow(run, _BUCKET), "lm-buckets")
 
 
 def train(
@@ -558,14 +587,16 @@ def train(
     hot = np.flatnonzero(head_counts >= max(2, HOT_SHARE * total)).astype(np.int64)
     n_buckets = max(BUCKETS, -(-total // BUCKET_TOKENS))
 
-    blobs = _pair_blobs(docs, spark.sparkContext.broadcast((words, hot, n_buckets)), text)
-    buckets = written(_built(blobs, hot), "lm-buckets")
-    asks = written(buckets.select("bucket", F.explode("asks").alias("u")), "lm-asks")
-    contexts = written(_contexts(buckets), "lm-contexts")
+    known = spark.sparkContext.broadcast((words, hot, n_buckets))
+    built = written(_built(_pair_blobs(docs, known, text), known), "lm-pairs")
+    pairs, buckets = built.select("bucket", F.col("pairs").alias("blob")), built
+    asks = written(built.select("bucket", F.explode("asks").alias("u")), "lm-asks")
+    contexts = written(_contexts(built), "lm-contexts")
     distinct = np.zeros(len(head_counts), np.int64)
     got = contexts.filter("u >= 0").select("u", "d").toArrow()
     distinct[got.column(0).to_numpy()] = got.column(1).to_numpy()
     answers, entries = _answers(asks, contexts.filter("u < 0").select("u", F.col("d").alias("v")))
+    release(spark)
 
     hot_tables, kept, rare_extra = np.ones(len(hot), np.int64), [], []
     first_kept = min(burn_in, sweeps - 1)
@@ -595,7 +626,10 @@ def train(
         keep = sweep - first_kept if sweep >= first_kept else None
         before = buckets
         buckets = _swept(before, answers, entries, shipped, [seed, sweep], keep)
-        discard(before)
+        if sweep:  # the first state lies in the table of the pairs
+            discard(before)
+        if sweep <= first_kept:
+            discard(sums)
         shipped.unpersist()
 
     rare = contexts.filter("u < 0")
@@ -604,7 +638,9 @@ def train(
     tables = F.array(*[F.col("d") + F.coalesce(f"v{i}", F.lit(0)) for i in range(len(kept))])
     rare = written(rare.select("u", "c", tables.alias("t")), "lm-rare-contexts")
     discard(asks, contexts, answers)
-    return Model(words, head_counts, total, types, n_buckets, kept, {"buckets": buckets, "contexts": rare}), counts
+    release(spark)
+    tables = {"pairs": pairs, "buckets": buckets.select("bucket", "blob"), "contexts": rare}
+    return Model(words, head_counts, total, types, n_buckets, kept, tables), counts
 
 
 def _totals(sums: DataFrame, distinct: np.ndarray, hot: np.ndarray, types: int, discount: float) -> Totals:
@@ -626,36 +662,37 @@ def _totals(sums: DataFrame, distinct: np.ndarray, hot: np.ndarray, types: int,
 # -- scoring
 
 
-def token_probabilities(m: dict | None, model: Model, w, g, u, context_c, context_t) -> np.ndarray:
+def token_probabilities(m: dict | None, pairs: dict | None, model: Model, w, g, u, context_c, context_t) -> np.ndarray:
     """Probability of each token of one bucket, averaged over the kept sweeps.
 
     ``context_c`` and ``context_t`` are the customers of each token's context
-    and its tables in every kept sweep. ``m`` is the bucket, None if it is empty.
+    and its tables in every kept sweep. ``m`` is the bucket's state and
+    ``pairs`` are its pairs, None if it is empty.
     """
     p = np.zeros(len(w))
-    if m is not None and len(m["words"]):
+    if m is not None:
         word = np.minimum(np.searchsorted(m["words"], w), len(m["words"]) - 1)
         has_word = m["words"][word] == w
         keys = m["mid_word"] * CLASSES + m["mid_g"]
         mid = np.minimum(np.searchsorted(keys, word * CLASSES + g), len(keys) - 1)
         has_mid = has_word & (keys[mid] == word * CLASSES + g)
-        names = np.unique(m["pair_u"])
+        names, code_of = np.unique(pairs["u"], return_inverse=True)
         code = np.minimum(np.searchsorted(names, u), len(names) - 1)
-        pairs = m["pair_mid"] * len(names) + np.searchsorted(names, m["pair_u"])
-        pair = np.minimum(np.searchsorted(pairs, mid * len(names) + code), len(pairs) - 1)
-        has_pair = has_mid & (names[code] == u) & (pairs[pair] == mid * len(names) + code)
-        low = m["pair_n"] > 1
+        known, asked = pairs["mid"] * len(names) + code_of, mid * len(names) + code
+        pair = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        has_pair = has_mid & (names[code] == u) & (known[pair] == asked)
+        low = pairs["n"] > 1
     for i, totals in enumerate(model.kept):
         own, own_mid = np.zeros(len(w)), np.zeros(len(w))
         p_top = np.full(len(w), totals.base())
         at = totals.hot_at(w)
-        if m is not None and len(m["words"]):
+        if m is not None:
             p_top[has_word] = totals.words(m, m[f"top_t{i}"], m[f"mid_t{i}"])[word[has_word]]
             left = mid_customers(m, m[f"low_t{i}"]) - DISCOUNT * m[f"mid_t{i}"]
             own_mid[has_mid] = left[mid[has_mid]]
             tables = np.ones(len(low), np.int64)
             tables[low] = m[f"low_t{i}"]
-            own[has_pair] = (m["pair_n"] - DISCOUNT * tables)[pair[has_pair]]
+            own[has_pair] = (pairs["n"] - DISCOUNT * tables)[pair[has_pair]]
         p_top[at >= 0] = totals.top(totals.hot_customers, totals.hot_tables)[at[at >= 0]]
         parent = totals.classes(g, own_mid, p_top)
         p += (own + (STRENGTH + DISCOUNT * context_t[i]) * parent) / (STRENGTH + context_c)
@@ -665,14 +702,26 @@ def token_probabilities(m: dict | None, model: Model, w, g, u, context_c, contex
 _PART = "rid long, known long, base double, score double"
 
 
+def _joined(parts: list[dict], head_class: np.ndarray, most: int = FLUSH_KEYS) -> Iterator[tuple]:
+    """``w``, ``g``, ``u``, ``rid`` of some parts at a time."""
+    while parts:
+        taken = [parts.pop()]
+        while parts and sum(len(part["w"]) for part in taken) < most:
+            taken.append(parts.pop())
+        g = np.concatenate([_classes(part, head_class) for part in taken])
+        w, u, rid = (np.concatenate([part[name] for part in taken]) for name in ("w", "u", "rid"))
+        yield w, g, u, rid
+
+
 def _score_parts(stream: DataFrame, shipped) -> DataFrame:
-    """``rid`` and sums of its tokens in each task, of rows sorted by bucket and kind: tables, answers, then documents' pairs."""
+    """``rid`` and sums of its tokens, of rows sorted by bucket and kind: state, pairs, contexts, then documents' tokens."""
     shape = _as_schema(_PART)
 
     def run(batches):
         import pyarrow as pa
 
         model = Model(**shipped.value)
+        head_class = head_classes(model.words)
         held: list[tuple] = []
 
         def flush():
@@ -683,19 +732,16 @@ def _score_parts(stream: DataFrame, shipped) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, schema=shape)
 
         for _, rows in _bucket_rows(batches):
-            m = next((_unpacked(row["blob"]) for row in rows if row["kind"] == 0), None)
-            answers = next((row["got"] for row in rows if row["kind"] == 1), None) or []
-            rare_u = np.array([a["u"] for a in answers], np.int64)
+            m, pairs = (next((_unpacked(r["blob"]) for r in rows if r["kind"] == kind), None) for kind in (0, 1))
+            got = next((row for row in rows if row["kind"] == 2), {"us": [], "cs": [], "ts": []})
+            rare_u, rare_c, rare_t = (np.array(got[name], np.int64) for name in ("us", "cs", "ts"))
             order = np.argsort(rare_u)
-            rare_u, rare_c = rare_u[order], np.array([a["c"] for a in answers], np.int64)[order]
-            rare_t = np.array([a["t"] for a in answers], np.int64).reshape(len(answers), len(model.kept))[order]
+            rare_u, rare_c, rare_t = rare_u[order], rare_c[order], rare_t.reshape(len(rare_u), len(model.kept))[order]
             if m is not None:
-                word_counts = np.bincount(m["mid_word"][m["pair_mid"]], m["pair_n"], len(m["words"]))
-            for row in rows:
-                if row["kind"] != 2:
-                    continue
-                x = _unpacked(row["blob"])
-                w, g, u = x["w"], x["g"], x["u"]
+                word_counts = np.bincount(m["mid_word"][pairs["mid"]], pairs["n"], len(m["words"]))
+            asked = [_unpacked(row["blob"]) for row in rows if row["kind"] == 3]
+            for part in _joined(asked, head_class):
+                w, g, u, rid = part
                 c, t = np.zeros(len(u), np.int64), np.zeros((len(model.kept), len(u)), np.int64)
                 head = u >= 0
                 c[head] = model.counts[u[head]]
@@ -706,14 +752,12 @@ def _score_parts(stream: DataFrame, shipped) -> DataFrame:
                     at = np.minimum(np.searchsorted(rare_u, u), len(rare_u) - 1)
                     found = rare_u[at] == u
                     c[found], t[:, found] = rare_c[at[found]], rare_t[at[found]].T
-                p = np.log10(token_probabilities(m, model, w, g, u, c, t))
+                p = np.log10(token_probabilities(m, pairs, model, w, g, u, c, t))
                 rare, own = w < 0, np.zeros(len(w))
-                if m is not None and len(m["words"]):
+                if m is not None:
                     at = np.minimum(np.searchsorted(m["words"], w), len(m["words"]) - 1)
                     own = np.where(m["words"][at] == w, word_counts[at], 0.0)
-                base = np.where(rare, model.base_log(own), 0.0)
-                n = x["n"]
-                held.append((x["rid"], n * (rare & (own > 0)), n * base, n * p))
+                held.append((rid, rare & (own > 0), np.where(rare, model.base_log(own), 0.0), p))
                 if sum(len(part[0]) for part in held) >= 2 * FLUSH_KEYS:
                     held = [tuple(column.to_numpy() for column in flush().columns)]
                     if len(held[0][0]) >= FLUSH_KEYS:
@@ -731,9 +775,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null and empty texts have the end token only. Every row is scored by
     itself, so repeated rows and hot keys make no difference. Existing columns
-    of these names are replaced. Documents' pairs are counted per document,
-    dealt and packed once, and written; they meet the model's buckets in one
-    shuffle.
+    of these names are replaced. Documents' tokens are dealt to buckets and
+    packed once, and written; they meet the model's buckets in one shuffle.
     """
     spark = docs.sparkSession
     others = [name for name in docs.columns if name not in (text, "n_tokens", "n_known", "base_score", "score")]
@@ -758,32 +801,30 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def flush():
             r, w, g, u = (np.concatenate(part) for part in zip(*waiting))
-            columns, n = _counted(w=w, g=g, u=u, rid=r)
             rows = [
-                (b, _packed(**part), np.unique(part["u"][part["u"] < 0]))
-                for b, part in _dealt(columns | {"n": n}, hot, model.buckets)
+                (b, packed, np.unique(u[at][u[at] < 0]))
+                for b, packed, at in _dealt({"w": w, "u": u, "rid": r}, g, hot, model.buckets)
             ]
             filled = dict(zip((bucket, blob, asks), zip(*rows)))
             arrays = [pa.array(filled[f.name], f.type) if f.name in filled else pa.nulls(len(rows), f.type) for f in shape]
             return pa.RecordBatch.from_arrays(arrays, schema=shape)
 
         for batch in batches:
-            for at, group in _slices(batch.column(len(others))):
-                tokens = tokenize(group, ids)
-                lengths = np.diff(np.append(tokens.first, len(tokens.ids)))
-                head = tokens.ids >= 0
-                numbers = batch.column(len(others) + 1).slice(at, len(group))
+            for at, texts in _slices(batch.column(len(others))):
+                tokens = tokenize(texts, ids)
+                head = tokens.w >= 0
+                place = np.where(head, tokens.w, START)  # which has no count and no score of its own
+                numbers = batch.column(len(others) + 1).slice(at, len(texts))
                 own = [
-                    pa.array(lengths.astype(np.int64)),
-                    pa.array(np.add.reduceat((head & (model.counts[tokens.ids] > 0)).astype(np.int64), tokens.first)),
-                    pa.array(np.add.reduceat(np.where(head, base_log[tokens.ids], 0.0), tokens.first)),
+                    pa.array(tokens.lengths),
+                    pa.array(np.add.reduceat((model.counts[place] > 0).astype(np.int64), tokens.first)),
+                    pa.array(np.add.reduceat(np.where(head, base_log[place], 0.0), tokens.first)),
                 ]
-                kept = [batch.column(i).slice(at, len(group)) for i in range(len(others))]
-                empty = [pa.nulls(len(group), shape.field(name).type) for name in (bucket, blob, asks)]
+                kept = [batch.column(i).slice(at, len(texts)) for i in range(len(others))]
+                empty = [pa.nulls(len(texts), shape.field(name).type) for name in (bucket, blob, asks)]
                 yield pa.RecordBatch.from_arrays([*kept, numbers, *own, *empty], schema=shape)
-                w, u = all_ids(tokens)
-                waiting.append((np.repeat(numbers.to_numpy(), lengths), w, tokens.group, u))
-                size += len(w)
+                waiting.append((np.repeat(numbers.to_numpy(), tokens.lengths), tokens.w, tokens.g, tokens.u))
+                size += len(tokens.w)
                 if size >= FLUSH_KEYS:
                     yield flush()
                     waiting, size = [], 0
@@ -791,20 +832,20 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield flush()
 
     dealt = written(numbered.select(*others, text, rid).mapInArrow(run, schema), "lm-documents")
-    rows, pairs = dealt.filter(F.col(bucket).isNull()), dealt.filter(F.col(bucket).isNotNull())
-    pairs = pairs.select(F.col(bucket).alias("bucket"), F.col(blob).alias("blob"), F.col(asks).alias("asks"))
-    wanted = pairs.select("bucket", F.explode("asks").alias("u")).distinct()
+    rows, parts = dealt.filter(F.col(bucket).isNull()), dealt.filter(F.col(bucket).isNotNull())
+    parts = parts.select(F.col(bucket).alias("bucket"), F.col(blob).alias("blob"), F.col(asks).alias("asks"))
+    wanted = parts.select("bucket", F.explode("asks").alias("u")).distinct()
     got = wanted.join(model.tables["contexts"], "u").groupBy("bucket").agg(F.collect_list(F.struct("u", "c", "t")).alias("got"))
-    none = F.lit(None)
-    kind = got.schema["got"].dataType
-    stream = (
-        model.tables["buckets"]
-        .select("bucket", F.lit(0).alias("kind"), "blob", none.cast(kind).alias("got"))
-        .unionByName(got.select("bucket", F.lit(1).alias("kind"), none.cast("binary").alias("blob"), "got"))
-        .unionByName(pairs.select("bucket", F.lit(2).alias("kind"), "blob", none.cast(kind).alias("got")))
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "kind")
-    )
+    got = got.select("bucket", F.col("got.u").alias("us"), F.col("got.c").alias("cs"), F.flatten("got.t").alias("ts"))
+
+    def kind(df: DataFrame, number: int) -> DataFrame:
+        lists = [F.col(c) if c in df.columns else F.lit(None).cast("array<bigint>").alias(c) for c in ("us", "cs", "ts")]
+        packed = F.col("blob") if "blob" in df.columns else F.lit(None).cast("binary").alias("blob")
+        return df.select("bucket", F.lit(number).alias("kind"), packed, *lists)
+
+    stream = kind(model.tables["buckets"], 0).unionByName(kind(model.tables["pairs"], 1))
+    stream = stream.unionByName(kind(got, 2)).unionByName(kind(parts, 3))
+    stream = stream.repartition("bucket").sortWithinPartitions("bucket", "kind")
     parts = written(_score_parts(stream, shipped), "lm-sums").withColumnRenamed("rid", "part_of")
     whole = rows.select(
         *[F.col(f"`{name}`") for name in others], *[F.col(x).alias(f"__{i}") for i, x in enumerate((rid, tokens_of, known_of, base_of))]

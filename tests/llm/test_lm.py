@@ -37,7 +37,10 @@ def class_of(word):
 
 
 def opened(model):
-    buckets = {r.bucket: lm._unpacked(bytes(r.blob)) for r in model.tables["buckets"].select("bucket", "blob").collect()}
+    states = {r.bucket: lm._unpacked(bytes(r.blob)) for r in model.tables["buckets"].collect()}
+    pairs = {r.bucket: lm._unpacked(bytes(r.blob)) for r in model.tables["pairs"].collect()}
+    assert states.keys() == pairs.keys()
+    buckets = {bucket: (states[bucket], pairs[bucket]) for bucket in states}
     contexts = {r.u: (r.c, r.t) for r in model.tables["contexts"].collect()}
     return buckets, contexts
 
@@ -55,7 +58,7 @@ def probabilities(model, parts, before, words):
         w = np.array([number(model, word)])
         bucket = int(lm.bucket_of(w, np.array([g]), model.kept[0].hot, model.buckets)[0])
         args = np.array([g]), np.array([u]), np.array([c]), np.array(t).reshape(len(t), 1)
-        out.append(lm.token_probabilities(buckets.get(bucket), model, w, *args)[0])
+        out.append(lm.token_probabilities(*buckets.get(bucket, (None, None)), model, w, *args)[0])
     return np.array(out)
 
 
@@ -211,7 +214,7 @@ def test_model_is_reproducible_and_takes_empty_input(corpus, no_docs):
     first, second = (lm.train(corpus.repartition(n), sweeps=2, burn_in=1)[0] for n in (2, 5))
     one, two = opened(first)[0], opened(second)[0]
     assert one.keys() == two.keys()
-    assert all(np.array_equal(one[k][name], two[k][name]) for k in one for name in one[k])
+    assert all(np.array_equal(one[k][i][name], two[k][i][name]) for k in one for i in (0, 1) for name in one[k][i])
     model, _ = lm.train(no_docs)
     assert model.train_tokens == 0
     assert lm.score(no_docs, model).count() == 0
@@ -241,15 +244,15 @@ def test_every_pair_is_seated(corpus, monkeypatch):
         words = [b"<", *tokens_of(r.text)]
         own.update(zip(words, words[1:]))
     buckets, contexts = opened(model)
-    assert sorted(n for m in buckets.values() for n in m["pair_n"].tolist()) == sorted(own.values())
+    assert sorted(n for _, pairs in buckets.values() for n in pairs["n"].tolist()) == sorted(own.values())
     tables = Counter()
-    for m in buckets.values():
-        low = m["pair_n"] > 1
-        assert (m["low_t"] >= 1).all() and (m["low_t"] <= m["pair_n"][low]).all()
+    for m, pairs in buckets.values():
+        low = pairs["n"] > 1
+        assert (m["low_t"] >= 1).all() and (m["low_t"] <= pairs["n"][low]).all() and (pairs["n"][low] == m["low_n"]).all()
         assert (m["mid_t"] >= 1).all() and (m["mid_t"] <= lm.mid_customers(m, m["low_t"])).all()
         t = np.ones(len(low), np.int64)
         t[low] = m["low_t"]
-        for u, n in zip(m["pair_u"].tolist(), t.tolist()):
+        for u, n in zip(pairs["u"].tolist(), t.tolist()):
             tables[u] += n
     last = model.kept[-1]
     assert all(tables[u] == t[-1] for u, (_, t) in contexts.items())
