@@ -30,6 +30,7 @@ def _quoted(text: str) -> str:
 def _oracle() -> str:
     known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in LICENSES)
     spelled = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items())
+    full = ", ".join(f"({_quoted(name)}, '{value.lower()}')" for name, value in FULL_DIGESTS)
     return rf"""
 WITH texts AS (
  SELECT doc_id, NULL AS license, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -42,7 +43,9 @@ plain AS (
 digests AS (
  SELECT doc_id, license, sha256(coalesce(array_to_string(lines, ' '), '')) AS digest, list_transform(lines, lambda l: sha256(l)) AS parts
  FROM plain),
-known AS (SELECT DISTINCT license, digest FROM digests WHERE license IS NOT NULL),
+known AS (SELECT min(license) AS license, digest FROM (
+  SELECT license, digest FROM digests WHERE license IS NOT NULL UNION ALL SELECT * FROM (VALUES {full}) f(license, digest)) k
+ GROUP BY digest),
 hits AS (
  SELECT doc_id, license FROM (SELECT doc_id, unnest(parts) AS digest FROM digests WHERE license IS NULL) JOIN known USING (digest)),
 lines AS (
