@@ -64,5 +64,6 @@ def release(spark: SparkSession) -> None:
     Its cleaner follows the driver's garbage collection, which may be long in
     coming; a job of many written steps asks for it between them.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees on this side, the second one finds on the other
+        gc.collect()
+        spark._jvm.System.gc()
