@@ -56,7 +56,7 @@ BUCKETS = 48
 BUCKET_TOKENS = 500_000
 SLICE_CHARS = 4_000_000
 FLUSH_WORDS = 500_000
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 2_000_000
 BROADCAST_ENTRIES = 2_000_000
 SEED = 11
 
@@ -217,25 +217,39 @@ def bucket_of(w: np.ndarray, g: np.ndarray, hot: np.ndarray, buckets: int) -> np
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
-def _dealt(columns: dict[str, np.ndarray], g: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """The packed columns of each bucket, equal words side by side, and the places of its rows.
+def _dealt(columns: dict[str, np.ndarray], g: np.ndarray, hot: np.ndarray, buckets: int, **more) -> Iterator[tuple[int, bytes]]:
+    """The packed columns (``w``, ``u`` and others) of each bucket.
 
-    Of ``g`` only that is packed which doesn't follow from a head context.
+    Equal words lie side by side and are packed once with their number, a
+    context once with the places it has. Of ``g`` only that is packed which
+    doesn't follow from a head context.
     """
     bucket = bucket_of(columns["w"], g, hot, buckets)
     order = np.argsort(bucket << 40 | (columns["w"] & ((1 << 40) - 1)))
     bucket = bucket[order]
+    others = [name for name in columns if name not in ("w", "u")]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
     for begin, end in zip(edges, edges[1:]):
         at = order[begin:end]
-        yield int(bucket[begin]), _packed(rare_g=g[at][columns["u"][at] < 0], **{k: v[at] for k, v in columns.items()}), at
-
-
-def _classes(x: dict, head_class: np.ndarray) -> np.ndarray:
-    """The classes of a packed part's contexts."""
-    g, head = np.empty(len(x["u"]), np.int64), x["u"] >= 0
-    g[head], g[~head] = head_class[x["u"][head]], x["rare_g"]
-    return g
+        w = columns["w"][at]
+        runs = _runs(w)
+        names, first, code = np.unique(columns["u"][at], return_index=True, return_inverse=True)
+        packed = {
+            "words": w[runs], "times": np.diff(np.append(runs, len(w))), "rare_u": names[names < 0],
+            "head_u": np.diff(names[names >= 0], prepend=0), "code": code, "rare_g": g[at][first][names < 0],
+        }
+        yield int(bucket[begin]), _packed(**packed, **{name: columns[name][at] for name in others}, **more)
+
+
+def _dealt_back(blob: bytes, head_class: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns that ``_dealt`` packed, with ``g``."""
+    x = _unpacked(blob)
+    head = np.cumsum(x.pop("head_u"))
+    names = np.concatenate([x["rare_u"], head])  # rarer ids are negative
+    classes = np.concatenate([x.pop("rare_g"), head_class[head]])
+    code = x.pop("code")
+    del x["rare_u"]
+    return {"w": np.repeat(x.pop("words"), x.pop("times")), "u": names[code], "g": classes[code], **x}
 
 
 def _counted(**columns) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -444,8 +458,12 @@ class Model:
     tables: dict  # "pairs" and "buckets": bucket, blob; "contexts": u, c, t (tables per kept sweep) of rarer contexts
 
     def bounded(self) -> dict:
-        """What travels with the tasks."""
-        return vars(self) | {"tables": {}}
+        """What travels with the tasks, as plain values: executors may have no copy of this package."""
+        return vars(self) | {"tables": {}, "kept": [vars(totals) for totals in self.kept]}
+
+    @classmethod
+    def of(cls, bounded: dict) -> Model:
+        return cls(**bounded | {"kept": [Totals(**totals) for totals in bounded["kept"]]})
 
     def base_log(self, c):
         return np.log10((c + 0.5) / (self.train_tokens + 0.5 * (self.types + 1)))
@@ -469,8 +487,7 @@ def _pair_blobs(docs: DataFrame, shipped, text: str) -> DataFrame:
         def flush():
             w, g, u = (np.concatenate(part) for part in zip(*waiting))
             columns, n = _counted(w=w, g=g, u=u)
-            dealt = _dealt({"w": columns["w"], "u": columns["u"], "n": n}, columns["g"], hot, buckets)
-            rows = [(bucket, packed) for bucket, packed, _ in dealt]
+            rows = list(_dealt({"w": columns["w"], "u": columns["u"], "n": n}, columns["g"], hot, buckets))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
 
         for batch in batches:
@@ -496,10 +513,8 @@ def _built(blobs: DataFrame, shipped) -> DataFrame:
         words, hot, _ = shipped.value
         head_class = head_classes(words)
         for bucket, rows in _bucket_rows(batches):
-            parts = [_unpacked(row["blob"]) for row in rows]
-            g = np.concatenate([_classes(part, head_class) for part in parts])
-            w, u, n = (np.concatenate([part[name] for part in parts]) for name in ("w", "u", "n"))
-            pairs, state = build_bucket(w, g, u, n)
+            parts = [_dealt_back(row["blob"], head_class) for row in rows]
+            pairs, state = build_bucket(*(np.concatenate([part[name] for part in parts]) for name in ("w", "g", "u", "n")))
             yield _bucket_batch(bucket, state, hot, shape, pairs=_packed(**pairs), asks=state["ask_u"])
 
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
@@ -526,7 +541,7 @@ def _contexts(pairs: DataFrame) -> DataFrame:
                 m = _unpacked(blob.as_py())
                 held.append((m["u"], m["n"]))
                 size += len(m["u"])
-                if size >= 2 * FLUSH_KEYS:
+                if size >= FLUSH_KEYS:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -702,15 +717,30 @@ def token_probabilities(m: dict | None, pairs: dict | None, model: Model, w, g,
 _PART = "rid long, known long, base double, score double"
 
 
-def _joined(parts: list[dict], head_class: np.ndarray, most: int = FLUSH_KEYS) -> Iterator[tuple]:
-    """``w``, ``g``, ``u``, ``rid`` of some parts at a time."""
-    while parts:
-        taken = [parts.pop()]
-        while parts and sum(len(part["w"]) for part in taken) < most:
-            taken.append(parts.pop())
-        g = np.concatenate([_classes(part, head_class) for part in taken])
-        w, u, rid = (np.concatenate([part[name] for part in taken]) for name in ("w", "u", "rid"))
-        yield w, g, u, rid
+def _joined(blobs: list[bytes], head_class: np.ndarray, most: int = FLUSH_KEYS) -> Iterator[tuple]:
+    """``w``, ``g``, ``u``, ``rid`` of some blobs at a time."""
+    taken: list[dict] = []
+    for number, blob in enumerate(blobs, 1):
+        part = _dealt_back(blob, head_class)
+        taken.append(part | {"rid": part["rid"] + part["base"][0]})
+        if number == len(blobs) or sum(len(x["w"]) for x in taken) >= most:
+            yield tuple(np.concatenate([x[name] for x in taken]) for name in ("w", "g", "u", "rid"))
+            taken = []
+
+
+def _rare_contexts(parts: DataFrame) -> DataFrame:
+    """``bucket``, ``u``: the rarer contexts that each part of documents' tokens has."""
+    shape = _as_schema("bucket int, u long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                u = _unpacked(blob.as_py())["rare_u"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), bucket, np.int32)), pa.array(u)], schema=shape)
+
+    return parts.mapInArrow(run, "bucket int, u long")
 
 
 def _score_parts(stream: DataFrame, shipped) -> DataFrame:
@@ -720,7 +750,7 @@ def _score_parts(stream: DataFrame, shipped) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        model = Model(**shipped.value)
+        model = Model.of(shipped.value)
         head_class = head_classes(model.words)
         held: list[tuple] = []
 
@@ -739,9 +769,7 @@ def _score_parts(stream: DataFrame, shipped) -> DataFrame:
             rare_u, rare_c, rare_t = rare_u[order], rare_c[order], rare_t.reshape(len(rare_u), len(model.kept))[order]
             if m is not None:
                 word_counts = np.bincount(m["mid_word"][pairs["mid"]], pairs["n"], len(m["words"]))
-            asked = [_unpacked(row["blob"]) for row in rows if row["kind"] == 3]
-            for part in _joined(asked, head_class):
-                w, g, u, rid = part
+            for w, g, u, rid in _joined([row["blob"] for row in rows if row["kind"] == 3], head_class):
                 c, t = np.zeros(len(u), np.int64), np.zeros((len(model.kept), len(u)), np.int64)
                 head = u >= 0
                 c[head] = model.counts[u[head]]
@@ -758,9 +786,9 @@ def _score_parts(stream: DataFrame, shipped) -> DataFrame:
                     at = np.minimum(np.searchsorted(m["words"], w), len(m["words"]) - 1)
                     own = np.where(m["words"][at] == w, word_counts[at], 0.0)
                 held.append((rid, rare & (own > 0), np.where(rare, model.base_log(own), 0.0), p))
-                if sum(len(part[0]) for part in held) >= 2 * FLUSH_KEYS:
+                if sum(len(part[0]) for part in held) >= FLUSH_KEYS:
                     held = [tuple(column.to_numpy() for column in flush().columns)]
-                    if len(held[0][0]) >= FLUSH_KEYS:
+                    if len(held[0][0]) >= FLUSH_KEYS // 2:
                         yield flush()
                         held = []
         if held:
@@ -780,13 +808,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     others = [name for name in docs.columns if name not in (text, "n_tokens", "n_known", "base_score", "score")]
-    rid, tokens_of, known_of, base_of, bucket, blob, asks = free_name(
-        docs, "rid", "tokens_of", "known_of", "base_of", "bucket", "blob", "asks"
+    rid, tokens_of, known_of, base_of, bucket, blob = free_name(
+        docs, "rid", "tokens_of", "known_of", "base_of", "bucket", "blob"
     )
     hot = model.kept[0].hot
     shipped = spark.sparkContext.broadcast(model.bounded())
     numbered = docs.select(*others, text).withColumn(rid, F.monotonically_increasing_id())
-    made = f"`{tokens_of}` long, `{known_of}` long, `{base_of}` double, `{bucket}` int, `{blob}` binary, `{asks}` array<long>"
+    made = f"`{tokens_of}` long, `{known_of}` long, `{base_of}` double, `{bucket}` int, `{blob}` binary"
     schema = StructType([*numbered.select(*others, rid).schema, *_parse_datatype_string(made)])
     for field in schema:
         field.nullable = True
@@ -795,17 +823,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        model, shape = Model(**shipped.value), to_arrow_schema(schema)
+        model, shape = Model.of(shipped.value), to_arrow_schema(schema)
         ids, base_log = _ids(model.words), model.base_log(model.counts)
         waiting, size = [], 0
 
         def flush():
             r, w, g, u = (np.concatenate(part) for part in zip(*waiting))
-            rows = [
-                (b, packed, np.unique(u[at][u[at] < 0]))
-                for b, packed, at in _dealt({"w": w, "u": u, "rid": r}, g, hot, model.buckets)
-            ]
-            filled = dict(zip((bucket, blob, asks), zip(*rows)))
+            base = int(r.min())  # numbers of one task's rows lie close together
+            rows = list(_dealt({"w": w, "u": u, "rid": r - base}, g, hot, model.buckets, base=[base]))
+            filled = dict(zip((bucket, blob), zip(*rows)))
             arrays = [pa.array(filled[f.name], f.type) if f.name in filled else pa.nulls(len(rows), f.type) for f in shape]
             return pa.RecordBatch.from_arrays(arrays, schema=shape)
 
@@ -821,7 +847,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     pa.array(np.add.reduceat(np.where(head, base_log[place], 0.0), tokens.first)),
                 ]
                 kept = [batch.column(i).slice(at, len(texts)) for i in range(len(others))]
-                empty = [pa.nulls(len(texts), shape.field(name).type) for name in (bucket, blob, asks)]
+                empty = [pa.nulls(len(texts), shape.field(name).type) for name in (bucket, blob)]
                 yield pa.RecordBatch.from_arrays([*kept, numbers, *own, *empty], schema=shape)
                 waiting.append((np.repeat(numbers.to_numpy(), tokens.lengths), tokens.w, tokens.g, tokens.u))
                 size += len(tokens.w)
@@ -833,9 +859,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     dealt = written(numbered.select(*others, text, rid).mapInArrow(run, schema), "lm-documents")
     rows, parts = dealt.filter(F.col(bucket).isNull()), dealt.filter(F.col(bucket).isNotNull())
-    parts = parts.select(F.col(bucket).alias("bucket"), F.col(blob).alias("blob"), F.col(asks).alias("asks"))
-    wanted = parts.select("bucket", F.explode("asks").alias("u")).distinct()
-    got = wanted.join(model.tables["contexts"], "u").groupBy("bucket").agg(F.collect_list(F.struct("u", "c", "t")).alias("got"))
+    parts = parts.select(F.col(bucket).alias("bucket"), F.col(blob).alias("blob"))
+    wanted = _rare_contexts(parts)
+    got = wanted.join(model.tables["contexts"], "u").groupBy("bucket").agg(F.collect_set(F.struct("u", "c", "t")).alias("got"))
     got = got.select("bucket", F.col("got.u").alias("us"), F.col("got.c").alias("cs"), F.flatten("got.t").alias("ts"))
 
     def kind(df: DataFrame, number: int) -> DataFrame:

@@ -79,9 +79,9 @@ def test_probabilities_add_up(corpus, monkeypatch, head, hot):
 def test_scores(spark, corpus):
     rows = corpus.collect()
     model, _ = lm.train(corpus.filter(lm.is_training("doc_id")))
-    extra = corpus.withColumns({name: F.lit(i) for i, name in enumerate(("rid", "bucket", "blob", "asks", "tokens_of", "score"))})
+    extra = corpus.withColumns({name: F.lit(i) for i, name in enumerate(("rid", "bucket", "blob", "word", "tokens_of", "score"))})
     scored = lm.score(extra, model)
-    assert scored.columns == ["doc_id", "rid", "bucket", "blob", "asks", "tokens_of", "n_tokens", "n_known", "base_score", "score"]
+    assert scored.columns == ["doc_id", "rid", "bucket", "blob", "word", "tokens_of", "n_tokens", "n_known", "base_score", "score"]
     own = Counter()
     for r in rows:
         if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
