@@ -29,7 +29,7 @@ from lociframe.operators.sweep import sweep_join
 from lociframe.operators.scoring import abundance_matrix, normalize_abundance, score_groups, weighted_score
 from lociframe.plans.cohort import DEFAULT_COHORT, dna_batch, dna_scores, rna_batch, rna_scores, union_scores
 from lociframe.plans.replicates import write_replicates
-from lociframe.plans.results import gene_level, hrd_calls, order_level
+from lociframe.plans.results import gene_level, gene_level_from_raw, hrd_calls, order_level
 from lociframe.session import shared_dir
 from lociframe.sources import read_csv, write_csv
 
@@ -282,6 +282,22 @@ def _(t):
     return vaf_gap(_matched(t)).withColumn("vaf_difference", F.round("vaf_difference", 6))
 
 
+SQL_RAW_VARIANTS = f"""
+ SELECT analysis_id, gene, {_counted('somatic', 'pathogenic')}, {_counted('germline', 'pathogenic')},
+  {_counted('somatic', 'vus')}, {_counted('germline', 'vus')}, 0 AS loh_reported, 0 AS deep_loss_reported,
+  ROUND(MAX(CASE WHEN origin = 'germline' AND quantity <= 45 THEN somatic_vaf - germline_vaf END), 6) AS vaf_difference
+ FROM (SELECT *, 'short' AS alteration, CASE WHEN quantity < 20 THEN 'pathogenic' WHEN quantity < 35 THEN 'vus' ELSE 'benign' END
+   AS classification FROM v_mutations WHERE quantity >= 10) reported GROUP BY analysis_id, gene"""
+
+
+@query("gene_level_from_raw", f"SELECT * EXCLUDE (analysis_id) FROM ({SQL_HITS.replace(SQL_VARIANTS, SQL_RAW_VARIANTS)}) h")
+def _(t):
+    rows = gene_level_from_raw(
+        t.v_analyses, t.v_segments, t.v_reported_variants, t.v_raw_variants, t.v_reference, REFERENCE_CHUNK, t.v_genes, 2, RULES
+    )
+    return rows.withColumn("vaf_difference", F.round("vaf_difference", 6))
+
+
 @query("gene_reported", f"SELECT analysis_id, gene, loh_reported, deep_loss_reported FROM ({SQL_VARIANTS}) v")
 def _(t):
     return variant_summary(t.v_variants).select("analysis_id", "gene", "loh_reported", "deep_loss_reported")

@@ -99,7 +99,9 @@ VIEWS: dict[str, str] = {
           MAX(l_quantity) AS quantity, MAX(l_discount) AS somatic_vaf, MAX(l_tax) AS germline_vaf
          FROM lineitem GROUP BY l_suppkey, l_partkey, l_linenumber % 4) AS m JOIN v_reference ON l_partkey = part""",
     "v_reported_variants": """
-        SELECT analysis_id, gene, origin, chrom, base + CASE kind WHEN 0 THEN 10 WHEN 3 THEN 60 ELSE 30 END AS pos,
+        SELECT analysis_id, gene, origin, 'short' AS alteration,
+         CASE WHEN quantity < 20 THEN 'pathogenic' WHEN quantity < 35 THEN 'vus' ELSE 'benign' END AS classification,
+         chrom, base + CASE kind WHEN 0 THEN 10 WHEN 3 THEN 60 ELSE 30 END AS pos,
          CASE kind WHEN 0 THEN substr(bases, 10, 1) WHEN 1 THEN substr(bases, 30, 3) WHEN 2 THEN substr(bases, 30, 1)
           ELSE substr(bases, 60, 2) END AS ref,
          CASE kind WHEN 0 THEN other WHEN 1 THEN substr(bases, 30, 1) WHEN 2 THEN concat(substr(bases, 30, 1), 'CACA')

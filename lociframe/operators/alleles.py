@@ -52,10 +52,10 @@ def normal_alleles(variants: DataFrame, reference: DataFrame, chunk_size: int, w
     spelling is worked on once, however many rows have it. Without a chunk
     nothing moves; alleles without a difference have an empty normal form.
     """
-    spelled = trimmed(variants.select(*SPELLING).filter("chrom IS NOT NULL AND pos IS NOT NULL").distinct())
+    distinct = variants.select(*SPELLING).filter("chrom IS NOT NULL AND pos IS NOT NULL").distinct()
+    spelled = written(trimmed(distinct).select(*SPELLING, *NORMAL), "alleles")
     indel = (F.col("removed") == "") != (F.col("inserted") == "")
-    settled = [spelled.filter(~indel)]
-    moving = written(spelled.filter(indel), "alleles")
+    settled, moving = [spelled.filter(~indel)], spelled.filter(indel)
     chunks = reference.select("chrom", F.col("chunk").cast("bigint").alias("__chunk"), F.upper("bases").alias("__bases"))
     while not moving.isEmpty():
         before = F.col("norm_pos") - 1  # the last base that stands before the change
@@ -81,7 +81,7 @@ def normal_alleles(variants: DataFrame, reference: DataFrame, chunk_size: int, w
         round_done = written(moved.select(*SPELLING, *NORMAL, "__edge"), "alleles")
         settled.append(round_done.filter(~F.col("__edge")).drop("__edge"))
         moving = round_done.filter("__edge").drop("__edge")
-    result = settled[0].select(*SPELLING, *NORMAL)
+    result = settled[0]
     for part in settled[1:]:
         result = result.unionByName(part)
     return result
@@ -118,7 +118,7 @@ def match_variants(
     """
     size = tolerance + 1
     own = reported.drop("somatic_vaf", "germline_vaf", "raw_pos", "distance")
-    asked = normalise(own, reference, chunk_size, window)
+    asked = written(normalise(own, reference, chunk_size, window), "reported")  # asked for twice below
     form = [*keys, "chrom", *NORMAL]
     bucket = F.floor(F.col("norm_pos") / size)
     near = F.array(bucket - 1, bucket, bucket + 1) if tolerance else F.array(bucket)

@@ -2,7 +2,7 @@ from lociframe.plans.cohort import analysis_files, dna_batch, dna_scores, rna_ba
 from lociframe.plans.concordance import concordance, discrepant
 from lociframe.plans.replicates import ReplicateSets, write_replicates
 from lociframe.plans.reports import eligible_reports, report_rollup
-from lociframe.plans.results import final_call, gene_level, hrd_calls, order_level
+from lociframe.plans.results import final_call, gene_level, gene_level_from_raw, hrd_calls, order_level
 from lociframe.plans.training import training_examples
 
 __all__ = [
@@ -15,6 +15,7 @@ __all__ = [
     "eligible_reports",
     "final_call",
     "gene_level",
+    "gene_level_from_raw",
     "hrd_calls",
     "order_level",
     "report_rollup",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.scalars import NOT_DETECTED, POSITIVE
+from lociframe.operators.alleles import match_variants
 from lociframe.operators.genes import HitRules, gene_table, hrd_cohort, order_table
 from lociframe.operators.genome import LossRules
 from lociframe.operators.joins import default_category, threshold_lookup
@@ -60,6 +61,29 @@ def gene_level(
     return rows.select(*GENE_COLUMNS)
 
 
+def gene_level_from_raw(
+    orders: DataFrame,
+    segments: DataFrame,
+    reported: DataFrame,
+    raw: DataFrame,
+    reference: DataFrame,
+    chunk_size: int,
+    genes: DataFrame,
+    tolerance: int = 0,
+    loss_rules: LossRules = LossRules(),
+    hit_rules: HitRules = HitRules(),
+) -> DataFrame:
+    """``gene_level`` of reported variants whose allele frequencies stand in the raw calls.
+
+    ``reported`` has ``analysis_id``, ``gene``, ``origin``, ``alteration``,
+    ``classification`` and a spelling; ``raw`` has ``analysis_id``, a spelling
+    and the two frequencies (``match_variants``). A reported variant without a
+    raw one counts as it is reported and has no gap; reported losses need no spelling.
+    """
+    variants = match_variants(reported, raw, reference, chunk_size, tolerance=tolerance)
+    return gene_level(orders, segments, variants, genes, loss_rules, hit_rules)
+
+
 def order_level(
     orders: DataFrame,
     segments: DataFrame,
