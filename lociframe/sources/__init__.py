@@ -14,7 +14,7 @@ from lociframe.sources.readers import (
     read_tsv,
     scan_manifest,
 )
-from lociframe.sources.sinks import write_csv, write_parquet, write_tsv
+from lociframe.sources.sinks import write_csv, write_file_per_key, write_parquet, write_tsv
 
 __all__ = [
     "CheckedRows",
@@ -39,6 +39,7 @@ __all__ = [
     "scan_manifest",
     "scan_manifest_source",
     "write_csv",
+    "write_file_per_key",
     "write_parquet",
     "write_tsv",
 ]

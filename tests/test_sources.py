@@ -1,8 +1,12 @@
 import gzip
 import json
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
+from lociframe.bindings import genomic
 from lociframe.session import discard, shared_dir, written
 from lociframe.sources import guarded
 from lociframe.sources import (
@@ -26,6 +30,7 @@ from lociframe.sources import (
     scan_manifest,
     scan_manifest_source,
     write_csv,
+    write_file_per_key,
     write_parquet,
     write_tsv,
 )
@@ -387,3 +392,34 @@ def test_bad_lines_fail_unless_asked_otherwise(spark, tmp_path, rows):
             scan_manifest(spark, manifest, "url", folder, "id int, name string", sep=",").collect()
     with pytest.raises(ValueError, match="bad_lines"):
         read_csv(spark, "x", "id int", bad_lines="drop")
+
+
+def test_a_file_per_key_is_written_and_named_by_the_tasks(spark, tmp_path, rows):
+    """Keys of many rows and of one, in the order asked for, bytes as they are; a second try leaves one file."""
+    lines = [(k, place, f"{k}-{place}".encode()) for k in range(200) for place in range(k % 7 + 1)]
+    lines += [(1000, place, b"\x1f\x8b%05d" % place) for place in range(30_000)]
+    df = spark.createDataFrame(lines, "k long, place int, line binary").repartition(5, "place")
+    for _ in range(2):
+        files = write_file_per_key(df, "k", ["place"], "line", str(tmp_path / "out"))
+    named = spark.createDataFrame([("a/b c", 0, "x")], "k string, place int, line string")
+    texts = write_file_per_key(named, "k", ["place"], "line", f"file://{tmp_path}/texts")
+    found = {r.k: r.file for r in files.collect()}
+    expected = {}
+    for k, _, line in lines:
+        expected.setdefault(k, []).append(line)
+    assert {k: Path(file).read_bytes() for k, file in found.items()} == {k: b"\n".join(v) + b"\n" for k, v in expected.items()}
+    assert len(list((tmp_path / "out").iterdir())) == len(expected)
+    assert rows(texts) == [("a/b c", f"file://{tmp_path}/texts/k=a%2Fb%20c")]
+    assert rows(scan_files(texts.withColumnRenamed("k", "name"), "file", "x string").select("file_error")) == []
+    with pytest.raises(Exception, match="a file needs a name"):
+        write_file_per_key(df.select(F.lit(None).cast("long").alias("k"), "place", "line"), "k", ["place"], "line", str(tmp_path / "no"))
+
+
+def test_files_of_analyses_are_not_listed_by_the_driver(spark, plan):
+    table = spark.createDataFrame([(k, f"g{i}", i) for k in range(8, 40) for i in range(3)], "analysis_id long, gene string, counts long")
+    _, files = genomic._write_files(SimpleNamespace(spark=spark), table, "analysis_id", ["gene", "counts"], "\t", "view\tmany")
+    assert "binaryFile" not in plan(files) and files.rdd.getNumPartitions() < 32 and files.count() == 32
+    scanned = scan_files(files, "file", "gene string, counts long").collect()
+    faults = {r.analysis_id: r.file_error for r in scanned if r.file_error}
+    assert sorted({k % 7 for k in faults}) == [0, 1, 2, 3] and "EOFError" in faults[8]
+    assert sorted((r.gene, r.counts) for r in scanned if r.analysis_id == 11) == [("g0", 0), ("g1", 1), ("g2", 2)]
