@@ -60,7 +60,7 @@ def normal_alleles(variants: DataFrame, reference: DataFrame, chunk_size: int, w
     while not moving.isEmpty():
         before = F.col("norm_pos") - 1  # the last base that stands before the change
         placed = moving.withColumn("__chunk", F.floor((before - 1) / chunk_size).cast("bigint"))
-        seen = placed.join(chunks, ["chrom", "__chunk"], "left")
+        seen = placed.join(chunks.hint("merge"), ["chrom", "__chunk"], "left")
         in_chunk = before - F.col("__chunk") * chunk_size
         first = F.greatest(F.lit(1).cast("bigint"), in_chunk - window + 1)
         context = F.coalesce(F.substr(F.col("__bases"), first.cast("int"), (in_chunk - first + 1).cast("int")), F.lit(""))
@@ -88,12 +88,17 @@ def normal_alleles(variants: DataFrame, reference: DataFrame, chunk_size: int, w
 
 
 def normalise(variants: DataFrame, reference: DataFrame, chunk_size: int, window: int = WINDOW) -> DataFrame:
-    """``variants`` with the normal form of each row; rows without a place have none."""
+    """``variants`` with the normal form of each row; rows without a place have none.
+
+    Forms and chunks are joined by sorting, as everywhere here: both grow with
+    the input, but their files compress to a hundredth, and by that size Spark
+    would build them whole in the driver.
+    """
     forms = normal_alleles(variants, reference, chunk_size, window)
     renamed = forms.select(*[F.col(name).alias(f"__{name}") for name in SPELLING], *NORMAL)
     same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in ("ref", "alt")]
     place = [F.col(name) == F.col(f"__{name}") for name in ("chrom", "pos")]
-    return variants.join(renamed, [*place, *same], "left").drop(*[f"__{name}" for name in SPELLING])
+    return variants.join(renamed.hint("merge"), [*place, *same], "left").drop(*[f"__{name}" for name in SPELLING])
 
 
 def match_variants(
@@ -138,13 +143,13 @@ def match_variants(
     distance = F.abs(F.col("__at") - F.col("norm_pos"))
     order = F.struct(distance, F.col("__at"), F.isnull("__raw.gap"), -F.col("__raw.gap"), F.col("__raw.raw_pos"))
     best = (
-        wanted.join(found, [*keys, "chrom", "removed", "inserted", "__bucket"])
+        wanted.hint("merge").join(found, [*keys, "chrom", "removed", "inserted", "__bucket"])
         .filter(distance <= tolerance)
         .groupBy(*form)
         .agg(F.min_by("__raw", order).alias("__raw"), F.min(distance).alias("distance"))
         .select(*form, "distance", "__raw.raw_pos", "__raw.somatic_vaf", "__raw.germline_vaf")
     )
-    return asked.join(best, form, "left")
+    return asked.join(best.hint("merge"), form, "left")
 
 
 def vaf_gap(matched: DataFrame, keys: Sequence[str] = ("analysis_id", "gene")) -> DataFrame:

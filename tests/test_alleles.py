@@ -108,3 +108,18 @@ def test_matches_by_change_and_distance(spark, rows):
     assert {r.pos for r in exact.filter("raw_pos IS NOT NULL").collect()} == {4}
     assert match_variants(reported.limit(0), raw, reference, 10).count() == 0
     assert match_variants(reported, raw.limit(0), reference, 10).filter("raw_pos IS NOT NULL").count() == 0
+
+
+def test_small_files_of_many_forms_are_not_gathered_in_the_driver(spark, plan):
+    """Forms, chunks and matches compress well; their size on disk must not make them broadcasts."""
+    from lociframe.operators.alleles import match_variants, normalise
+
+    bases = "ACGT" + "CA" * 18
+    reference = spark.createDataFrame([(1, chunk, bases) for chunk in range(4)], "chrom int, chunk long, bases string")
+    variants = [(a, 1, chunk * 40 + 5 + 2 * (a % 3), "CAC", "C", 0.5, 0.1) for a in range(50) for chunk in range(4)]
+    raw = spark.createDataFrame(variants, "analysis_id long, chrom int, pos long, ref string, alt string, somatic_vaf double, germline_vaf double")
+    reported = raw.drop("somatic_vaf", "germline_vaf")
+    forms = normalise(reported, reference, 40)
+    matched = match_variants(reported, raw, reference, 40, tolerance=2)
+    assert all("Broadcast" not in plan(df) for df in (forms, matched))
+    assert matched.count() == 200 and matched.filter("distance = 0").count() == 200
