@@ -68,31 +68,40 @@ def resolve_segments(segments: DataFrame, key: str = "analysis_id", precedence:
 def _sweep(precedence: str, shape: StructType):
     """Walks sorted changes; what is open is a count per copy number, kept from batch to batch."""
 
-    def rank(entry):
-        (total, minor), depth = entry
-        lowest = (total is None, total or 0, minor is None, minor or 0)
-        return lowest if precedence == "lowest" else (-depth, *lowest)
+    def lowest(state):
+        total, minor = state
+        return (total is None, total or 0, minor is None, minor or 0)
+
+    def chosen(open_states):
+        if precedence == "lowest":
+            return min(open_states, key=lowest)
+        return min(open_states, key=lambda state: (-open_states[state], *lowest(state)))
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, group, at, open_states = to_arrow_schema(shape), None, None, {}
+        arrow, group, at, open_states, depth, winner = to_arrow_schema(shape), None, None, {}, 0, None
         for batch in batches:
             found = []
             columns = [column.to_pylist() for column in batch.columns]
             for name, chrom, part, here, total, minor, change in zip(*columns):
                 if (name, chrom, part) != group:
-                    group, open_states = (name, chrom, part), {}
+                    group, open_states, depth, winner = (name, chrom, part), {}, 0, None
                 elif here > at and open_states:
-                    (total_cn, minor_cn), _ = min(open_states.items(), key=rank)
-                    found.append((name, chrom, at, here, total_cn, minor_cn, sum(open_states.values())))
+                    if winner is None:
+                        winner = chosen(open_states)
+                    found.append((name, chrom, at, here, *winner, depth))
                 at, state = here, (total, minor)
-                left = open_states.get(state, 0) + change
+                before = open_states.get(state, 0)
+                left = before + change
+                depth += change
                 if left:
                     open_states[state] = left
                 else:
                     open_states.pop(state, None)
+                if precedence == "most" or not (before and left):  # another set of states may have another winner
+                    winner = None
             if found:
                 arrays = [pa.array(values, field.type) for values, field in zip(zip(*found), arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
