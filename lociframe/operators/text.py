@@ -13,6 +13,7 @@ from lociframe.operators.ordering import DIRECT_ROWS, by_range
 
 FIRST_WORD_ID = END_ID + 1
 LOOKUP_LIMIT = 500_000
+BYTES_AT_ONCE = 1 << 20
 
 
 def build_vocab(df: DataFrame, k: int, text: str = "text", direct: int = DIRECT_ROWS) -> DataFrame:
@@ -50,8 +51,8 @@ def encode(
     A vocabulary of at most ``lookup_limit`` words is broadcast and texts are
     encoded where they are read: one narrow pass, no shuffle, no skew from
     frequent words. An executor's worker turns it into a table once, and a
-    batch looks up its distinct words only. A larger one is joined. With
-    ``most`` only so many leading ids are wanted, and words behind them are not cut.
+    batch looks up its distinct words only, some ``BYTES_AT_ONCE`` of text at a
+    time. A larger one is joined. With ``most`` only so many leading ids are wanted, and words behind them are not cut.
     """
     listed = vocab.select("token", "token_id").limit(lookup_limit + 1).toArrow()
     if listed.num_rows > lookup_limit:
@@ -66,7 +67,13 @@ def encode(
         import pyarrow.compute as pc
 
         codes = table.value
-        for batch in batches:
+
+        def parts(batch):
+            """Slices of a batch; the words of a text take many times its bytes."""
+            rows = max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.column(text).nbytes))
+            return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+        for batch in (part for whole in batches for part in parts(whole)):
             trimmed = pc.utf8_trim(batch.column(text).cast(pa.string()), " \n\t\r")
             present = pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, pa.string()), trimmed)
             split = pc.split_pattern_regex(present, WORD_BREAK, max_splits=most)
