@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from lociframe.operators.replicates import fold_samples, normalize_replicates, precision
 from lociframe.plans.cohort import analysis_files
@@ -21,9 +22,11 @@ class ReplicateSets:
     folded: str
     precision: str
     faults: DataFrame
+    schemas: dict[str, StructType]
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(getattr(self, name))
+        """One of the folders, by its schema: it may hold no file, and set names that look like numbers are texts."""
+        return spark.read.schema(self.schemas[name]).parquet(getattr(self, name))
 
 
 def write_replicates(metadata: DataFrame, folder: str, sep: str = "\t", root: str | None = None) -> ReplicateSets:
@@ -37,10 +40,15 @@ def write_replicates(metadata: DataFrame, folder: str, sep: str = "\t", root: st
     metadata = metadata.distinct()
     found = analysis_files(metadata, ABUNDANCE, sep, root)
     counts = found.rows.join(metadata.select("analysis_id", "replicate_set", "run").distinct(), "analysis_id")
-    sets = ReplicateSets(f"{folder}/long", f"{folder}/folded", f"{folder}/precision", found.faults)
+    sets = ReplicateSets(f"{folder}/long", f"{folder}/folded", f"{folder}/precision", found.faults, {})
     spark = metadata.sparkSession
-    write_parquet(normalize_replicates(counts, "analysis_id", ["replicate_set"]), sets.long, ["replicate_set"])
+
+    def keep(table: DataFrame, name: str) -> None:
+        sets.schemas[name] = table.schema
+        write_parquet(table, getattr(sets, name), ["replicate_set"])
+
+    keep(normalize_replicates(counts, "analysis_id", ["replicate_set"]), "long")
     long = sets.read(spark, "long")
-    write_parquet(fold_samples(long, ["replicate_set", "run", "analysis_id"]), sets.folded, ["replicate_set"])
-    write_parquet(precision(long, "run", ["replicate_set"]), sets.precision, ["replicate_set"])
+    keep(fold_samples(long, ["replicate_set", "run", "analysis_id"]), "folded")
+    keep(precision(long, "run", ["replicate_set"]), "precision")
     return sets

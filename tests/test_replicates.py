@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lociframe.operators import exact_medians, fold_samples, normalize_replicates, precision, score_groups, size_factors
+from lociframe.plans.replicates import write_replicates
 
 
 @pytest.mark.parametrize("partitions", [1, 13])
@@ -94,3 +95,19 @@ def test_scores_over_a_transcriptome(spark, plan):
     scores = score_groups(counts, ["sample"], "gene", genes, "value", lambda batch: batch[genes].sum(axis=1))
     assert {r.sample: r.hrd_score for r in scores.collect()} == {"a": 8.0, "b": 3.0, "c": 0.0, "d": 0.0}
     assert len(plan(scores)) < 10_000
+
+
+@pytest.mark.parametrize("broken", [True, False])
+def test_replicate_sets_of_broken_files_and_numbered_sets(spark, tmp_path, broken):
+    """Without a whole sample the tables are empty, not unreadable; sets named by numbers keep their names."""
+    for name in "ab":
+        (tmp_path / name).write_text("gene\tcounts\ng0\t" + ("many\n" if broken else "4\ng1\t2\n"))
+    metadata = spark.createDataFrame(
+        [(i, "01", i, str(tmp_path / name)) for i, name in enumerate("ab")], "analysis_id long, replicate_set string, run int, url string"
+    )
+    sets = write_replicates(metadata, str(tmp_path / "out"))
+    found = {name: sets.read(spark, name).collect() for name in ("long", "folded", "precision")}
+    expected = {"long": 0, "folded": 0, "precision": 0} if broken else {"long": 4, "folded": 2, "precision": 2}
+    assert {name: len(rows) for name, rows in found.items()} == expected
+    assert {r.replicate_set for rows in found.values() for r in rows} == (set() if broken else {"01"})
+    assert sets.faults.count() == (2 if broken else 0)
