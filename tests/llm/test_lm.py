@@ -290,3 +290,50 @@ def test_packing_is_exact():
     }
     back = lm._unpacked(lm._packed(**arrays))
     assert back.keys() == arrays.keys() and all(np.array_equal(back[k], arrays[k]) for k in arrays)
+
+
+def test_scoring_shuffles_an_eighth_of_the_buckets_at_a_time(corpus, monkeypatch):
+    """A round's shuffles are released before the next one; every bucket has its turn."""
+    model, _ = lm.train(corpus, sweeps=2, burn_in=1)
+    seen, own, let_go = [], lm._score_parts, lm.release
+
+    def spy(stream, shipped):
+        seen.append({r.bucket for r in stream.select("bucket").distinct().collect()})
+        return own(stream, shipped)
+
+    monkeypatch.setattr(lm, "_score_parts", spy)
+    monkeypatch.setattr(lm, "ROUND_TOKENS", 100)
+    monkeypatch.setattr(lm, "release", lambda spark: (seen.append(None), let_go(spark)))
+    assert lm.score(corpus, model).count() == corpus.count()
+    rounds = seen[::2]
+    assert len(rounds) == lm.ROUNDS
+    assert seen[1::2] == [None] * len(rounds) and max(map(len, rounds)) <= model.buckets // lm.ROUNDS
+    assert sum(map(len, rounds)) == len(set().union(*rounds)) == model.tables["buckets"].count()
+
+
+def test_dealt_tokens_come_back():
+    rng = np.random.default_rng(3)
+    u = rng.choice(np.array([0, 1, 2, 3, -9, -(2**62)]), 5000)
+    g = np.where(u < 0, -u % 65536, 0)
+    columns = {"w": rng.choice(np.array([0, 2, 3, -7, -(2**61)]), 5000), "u": u, "rid": np.sort(rng.integers(0, 300, 5000))}
+    back = [lm._dealt_back(blob, np.zeros(4, np.int64)) for _, blob in lm._dealt(columns, g, np.array([2]), 7, base=[5])]
+    names = ("w", "u", "rid", "g")
+    found = sorted(row for part in back for row in zip(*(part[name].tolist() for name in names)))
+    assert found == sorted(zip(*(a.tolist() for a in (*columns.values(), g))))
+    assert lm._unpacked(next(lm._dealt(columns, g, np.array([2]), 1))[1])["rid"].max() < 300
+
+
+def test_words_and_classes_of_arrays():
+    import pyarrow as pa
+
+    words = [b"a", b"bc", "\u00e9".encode(), b"long-word"]
+    for array in (pa.array(words, pa.binary()), pa.array([b"x", *words], pa.binary()).slice(1), pa.array([], pa.binary())):
+        values, classes = lm._byte_values(array)
+        assert values == array.to_pylist() and np.array_equal(classes, lm.class_of(values))
+
+
+def test_single_customers_are_drawn_as_by_the_binomial_law():
+    p = np.random.default_rng(4).random(5000)
+    for seed in range(3):
+        drawn = lm._opened(np.ones(5000, np.int64), p, np.random.default_rng(seed))
+        assert np.array_equal(drawn, np.random.default_rng(seed).binomial(1, p))
