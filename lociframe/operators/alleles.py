@@ -10,14 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.session import written
+from lociframe.session import discard, release, written
 
 SPELLING = ("chrom", "pos", "ref", "alt")
 NORMAL = ("norm_pos", "removed", "inserted")
 WINDOW = 64
+PLACES_PER_BUCKET = 64
+INDEL = "((removed = '') <> (inserted = ''))"
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -25,7 +27,8 @@ def _common_prefix(a: Column, b: Column) -> Column:
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
     shared = F.array_position(same, F.lit(False)).cast("int") - 1
     short = F.least(F.length(a), F.length(b))
-    return F.when(short == 0, 0).when(shared < 0, short).otherwise(F.least(shared, short))
+    differs = F.substr(a, F.lit(1), F.lit(1)) != F.substr(b, F.lit(1), F.lit(1))
+    return F.when((short == 0) | differs, 0).when(shared < 0, short).otherwise(F.least(shared, short))
 
 
 def trimmed(variants: DataFrame) -> DataFrame:
@@ -54,8 +57,12 @@ def normal_alleles(variants: DataFrame, reference: DataFrame, chunk_size: int, w
     """
     distinct = variants.select(*SPELLING).filter("chrom IS NOT NULL AND pos IS NOT NULL").distinct()
     spelled = written(trimmed(distinct).select(*SPELLING, *NORMAL), "alleles")
-    indel = (F.col("removed") == "") != (F.col("inserted") == "")
-    settled, moving = [spelled.filter(~indel)], spelled.filter(indel)
+    return spelled.filter(f"NOT {INDEL}").unionByName(_shifted(spelled.filter(INDEL), SPELLING, reference, chunk_size, window))
+
+
+def _shifted(indels: DataFrame, kept: Sequence[str], reference: DataFrame, chunk_size: int, window: int) -> DataFrame:
+    """Columns ``kept`` of trimmed ``indels``, and their normal forms."""
+    settled, moving = [], indels
     chunks = reference.select("chrom", F.col("chunk").cast("bigint").alias("__chunk"), F.upper("bases").alias("__bases"))
     while not moving.isEmpty():
         before = F.col("norm_pos") - 1  # the last base that stands before the change
@@ -78,27 +85,41 @@ def normal_alleles(variants: DataFrame, reference: DataFrame, chunk_size: int, w
                 "__edge": (F.col("__steps") > 0) & (F.col("__steps") == F.length("__context")),
             }
         )
-        round_done = written(moved.select(*SPELLING, *NORMAL, "__edge"), "alleles")
+        round_done = written(moved.select(*kept, *NORMAL, "__edge"), "alleles")
         settled.append(round_done.filter(~F.col("__edge")).drop("__edge"))
         moving = round_done.filter("__edge").drop("__edge")
-    result = settled[0]
-    for part in settled[1:]:
-        result = result.unionByName(part)
+    result = moving.select(*kept, *NORMAL)  # has no rows
+    for part in settled:
+        result = result.unionByName(part.select(*kept, *NORMAL))
     return result
 
 
 def normalise(variants: DataFrame, reference: DataFrame, chunk_size: int, window: int = WINDOW) -> DataFrame:
     """``variants`` with the normal form of each row; rows without a place have none.
 
-    Forms and chunks are joined by sorting, as everywhere here: both grow with
-    the input, but their files compress to a hundredth, and by that size Spark
-    would build them whole in the driver.
+    Rows are trimmed and written once; only insertions and deletions look up
+    how far they move, once per trimmed form. Those forms and the chunks are
+    joined by sorting, as everywhere here: both grow with the input, but their
+    files compress to a hundredth, and by that size Spark would build them
+    whole in the driver.
     """
-    forms = normal_alleles(variants, reference, chunk_size, window)
-    renamed = forms.select(*[F.col(name).alias(f"__{name}") for name in SPELLING], *NORMAL)
-    same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in ("ref", "alt")]
-    place = [F.col(name) == F.col(f"__{name}") for name in ("chrom", "pos")]
-    return variants.join(renamed.hint("merge"), [*place, *same], "left").drop(*[f"__{name}" for name in SPELLING])
+    return _normalised(_trimmed_rows(variants), reference, chunk_size, window)
+
+
+def _trimmed_rows(variants: DataFrame) -> DataFrame:
+    placed = F.col("chrom").isNotNull() & F.col("pos").isNotNull()
+    forms = trimmed(variants).withColumns({name: F.when(placed, F.col(name)) for name in NORMAL})
+    return written(forms.select(*variants.columns, *NORMAL), "trimmed")
+
+
+def _normalised(rows: DataFrame, reference: DataFrame, chunk_size: int, window: int) -> DataFrame:
+    before = [f"__{name}" for name in NORMAL]
+    moving = rows.filter(INDEL).select("chrom", *NORMAL).distinct()
+    moving = moving.withColumns({name: F.col(form) for name, form in zip(before, NORMAL, strict=True)})
+    forms = _shifted(written(moving, "alleles"), ("chrom", *before), reference, chunk_size, window)
+    indels = rows.filter(INDEL).withColumnsRenamed(dict(zip(NORMAL, before, strict=True)))
+    found = indels.join(forms.hint("merge"), ["chrom", *before], "left").select(*rows.columns)
+    return rows.filter(f"NOT coalesce({INDEL}, false)").unionByName(found)
 
 
 def match_variants(
@@ -118,38 +139,65 @@ def match_variants(
     with the greatest gap between ``somatic_vaf`` and ``germline_vaf``. Adds
     ``raw_pos``, ``distance``, and the raw row's ``somatic_vaf`` and
     ``germline_vaf`` in place of any the reported one has; without a match all
-    four are null. The join is an equi-join on the change and a bucket of
-    ``tolerance + 1`` bases; a reported change looks into its neighbours too.
+    four are null.
+
+    Both sides are brought to normal form and written, with one spelling a row;
+    then rows of one change meet in buckets of some places, by one shuffle.
+    There they are sorted by place, so that the last raw one before a reported
+    one and the first one after it are its nearest, however many there are.
     """
-    size = tolerance + 1
     own = reported.drop("somatic_vaf", "germline_vaf", "raw_pos", "distance")
-    asked = written(normalise(own, reference, chunk_size, window), "reported")  # asked for twice below
-    form = [*keys, "chrom", *NORMAL]
-    bucket = F.floor(F.col("norm_pos") / size)
-    near = F.array(bucket - 1, bucket, bucket + 1) if tolerance else F.array(bucket)
-    wanted = asked.select(*form).filter("norm_pos IS NOT NULL").distinct()
-    wanted = wanted.withColumn("__bucket", F.explode(near))
-    gap = F.col("somatic_vaf") - F.col("germline_vaf")
-    found = normalise(raw.select(*keys, *SPELLING, "somatic_vaf", "germline_vaf"), reference, chunk_size, window)
-    found = found.filter("norm_pos IS NOT NULL").select(
-        *keys,
-        "chrom",
-        F.col("norm_pos").alias("__at"),
-        "removed",
-        "inserted",
-        bucket.alias("__bucket"),
-        F.struct(F.col("pos").alias("raw_pos"), "somatic_vaf", "germline_vaf", gap.alias("gap")).alias("__raw"),
+    asked, found = (
+        _written_forms(rows, reference, chunk_size, window, purpose)
+        for rows, purpose in ((own, "reported"), (raw.select(*keys, *SPELLING, "somatic_vaf", "germline_vaf"), "raw"))
     )
-    distance = F.abs(F.col("__at") - F.col("norm_pos"))
-    order = F.struct(distance, F.col("__at"), F.isnull("__raw.gap"), -F.col("__raw.gap"), F.col("__raw.raw_pos"))
-    best = (
-        wanted.hint("merge").join(found, [*keys, "chrom", "removed", "inserted", "__bucket"])
-        .filter(distance <= tolerance)
-        .groupBy(*form)
-        .agg(F.min_by("__raw", order).alias("__raw"), F.min(distance).alias("distance"))
-        .select(*form, "distance", "__raw.raw_pos", "__raw.somatic_vaf", "__raw.germline_vaf")
+    form, place = [*keys, "chrom", *NORMAL], [*keys, "chrom", "removed", "inserted", "__bucket"]
+    size = PLACES_PER_BUCKET * (tolerance + 1)
+    of_all = F.lit(True)
+    for name in (*keys, "chrom", "norm_pos"):
+        of_all &= F.col(name).isNotNull()
+
+    def bucket(at: Column) -> Column:
+        return F.floor(at / size).cast("bigint")
+
+    near = F.array_distinct(F.array(bucket(F.col("norm_pos") - tolerance), bucket(F.col("norm_pos") + tolerance)))
+    wanted = asked.filter(of_all).withColumns({"__asked": F.lit(True), "__bucket": bucket(F.col("norm_pos"))})
+    offered = found.filter(of_all).select(
+        *form,
+        F.lit(False).alias("__asked"),
+        F.explode(near).alias("__bucket"),
+        *[F.col(name).alias(f"__{name}") for name in ("pos", "somatic_vaf", "germline_vaf")],
     )
-    return asked.join(best.hint("merge"), form, "left")
+    # dealt before the columns that only sorting needs are added
+    met = wanted.unionByName(offered, allowMissingColumns=True).repartition(*place)
+    gap = F.col("__somatic_vaf") - F.col("__germline_vaf")
+    met = met.withColumns({"__no_gap": F.isnull(gap), "__gap": -gap})
+    preferred_last = ["__asked", F.desc("__no_gap"), F.desc("__gap"), F.desc("__pos")]
+    call = F.struct("norm_pos", F.col("__pos").alias("raw_pos"), *[F.col(f"__{x}").alias(x) for x in ("somatic_vaf", "germline_vaf")])
+    last = F.last(F.when(~F.col("__asked"), call), ignorenulls=True)
+    for name, order in (("__before", F.asc("norm_pos")), ("__after", F.desc("norm_pos"))):
+        along = Window.partitionBy(*place).orderBy(order, *preferred_last)
+        met = met.withColumn(name, last.over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before, after = F.col("norm_pos") - F.col("__before.norm_pos"), F.col("__after.norm_pos") - F.col("norm_pos")
+    nearest = F.when(before <= F.coalesce(after, before), F.col("__before")).otherwise(F.col("__after"))
+    met = met.filter("__asked").withColumn("__raw", nearest)
+    met = met.withColumn("__far", F.abs(F.col("norm_pos") - F.col("__raw.norm_pos")))
+    results = {"distance": "__far", "raw_pos": "__raw.raw_pos", "somatic_vaf": "__raw.somatic_vaf", "germline_vaf": "__raw.germline_vaf"}
+    met = met.withColumns({name: F.when(F.col("__far") <= tolerance, F.col(found_in)) for name, found_in in results.items()})
+
+    names = [*form, *[name for name in asked.columns if name not in form]]
+    typed = [F.col(name).cast(asked.schema[name].dataType).alias(name) for name in names]  # as they were before they met
+    return met.select(*typed, *results).unionByName(asked.filter(~of_all).select(*names), allowMissingColumns=True)
+
+
+def _written_forms(variants: DataFrame, reference: DataFrame, chunk_size: int, window: int, purpose: str) -> DataFrame:
+    """``normalise`` as written rows; nothing that led to them stays on disk."""
+    rows = _trimmed_rows(variants)
+    release(variants.sparkSession)
+    forms = written(_normalised(rows, reference, chunk_size, window), purpose)
+    discard(rows)
+    release(variants.sparkSession)
+    return forms
 
 
 def vaf_gap(matched: DataFrame, keys: Sequence[str] = ("analysis_id", "gene")) -> DataFrame:

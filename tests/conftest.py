@@ -35,3 +35,17 @@ def plan():
         return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
     return text
+
+
+@pytest.fixture
+def shuffled():
+    """How many rows the shuffles of a collected frame wrote."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        inner = "executedPlan" if name == "AdaptiveSparkPlanExec" else "plan" if name.endswith("QueryStageExec") else None
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        children = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+        return own + sum(walk(child) for child in children)
+
+    return lambda df: walk(df._jdf.queryExecution().executedPlan())

@@ -123,3 +123,49 @@ def test_small_files_of_many_forms_are_not_gathered_in_the_driver(spark, plan):
     matched = match_variants(reported, raw, reference, 40, tolerance=2)
     assert all("Broadcast" not in plan(df) for df in (forms, matched))
     assert matched.count() == 200 and matched.filter("distance = 0").count() == 200
+
+
+@pytest.mark.parametrize("tolerance", [0, 2, 70])
+def test_matches_equal_brute_force(spark, tolerance):
+    """Repeated rows, ties, null keys, places and frequencies, on both sides of zero and of buckets."""
+    rng = random.Random(tolerance)
+    pick = rng.choice
+
+    def one():
+        return pick([1, 1, 2, None]), pick(["x", "x", "y", None]), pick([None, *range(-80, 80)]), pick(["A", "a", "C"]), pick(["G", "T"])
+
+    asked = [(*one(), i) for i in range(300)]
+    raw = [(*one(), pick([0.5, 0.75, 0.25, None]), pick([0.0, 0.125, None])) for _ in range(400)]
+    reported = spark.createDataFrame(asked, f"analysis_id int, {VARIANT}, n int")
+    called = spark.createDataFrame(raw, f"analysis_id int, {VARIANT}, somatic_vaf double, germline_vaf double")
+    found = match_variants(reported, called, spark.createDataFrame([], REFERENCE), 10, tolerance=tolerance)
+    assert found.columns == ["analysis_id", "chrom", "norm_pos", "removed", "inserted", "pos", "ref", "alt", "n", "distance", "raw_pos", "somatic_vaf", "germline_vaf"]
+
+    def gap(s, g):
+        return None if s is None or g is None else s - g
+
+    def best(a, c, p, ref, alt):
+        near = [
+            (abs(p - q), q, gap(s, g) is None, -(gap(s, g) or 0))
+            for b, d, q, r, t, s, g in raw
+            if None not in (a, c, p, q) and (a, c, ref.upper(), alt) == (b, d, r.upper(), t) and abs(p - q) <= tolerance
+        ]
+        return min(near, default=None)
+
+    wanted = {n: best(*v) for *v, n in asked}
+    got = {}
+    for r in found.collect():
+        between = gap(r.somatic_vaf, r.germline_vaf)
+        assert r.n not in got
+        got[r.n] = None if r.raw_pos is None else (r.distance, r.raw_pos, between is None, -(between or 0))
+    assert got == wanted and sum(v is not None for v in wanted.values()) > 5
+
+
+def test_both_sides_are_shuffled_once_to_be_matched(spark, shuffled, rows):
+    """Rows of the last step: those of both sides, a few more at the edges of buckets, not several times as many."""
+    reported = spark.range(300).selectExpr("id % 7 AS analysis_id", "1 AS chrom", "id * 5 + 3 AS pos", "'A' AS ref", "'C' AS alt")
+    raw = reported.selectExpr("analysis_id", "chrom", "pos + 1 AS pos", "ref", "alt", "0.5D AS somatic_vaf", "0.25D AS germline_vaf")
+    reference = spark.createDataFrame([(1, 0, "ACGT")], "chrom int, chunk int, bases string")
+    matched = match_variants(reported, raw, reference, 10, tolerance=2)
+    assert [r.distance for r in matched.collect()] == [1] * 300
+    assert 600 <= shuffled(matched) < 700

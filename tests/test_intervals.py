@@ -143,20 +143,7 @@ def test_sweep_join_edges(spark):
         sweep_join(left, left.select("c", "ls", "le"), "c", ("ls", "le"), ("ls", "le"))
 
 
-def shuffled(df):
-    """Rows that the shuffles of a collected frame wrote."""
-
-    def walk(node):
-        name = node.getClass().getSimpleName()
-        inner = "executedPlan" if name == "AdaptiveSparkPlanExec" else "plan" if name.endswith("QueryStageExec") else None
-        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
-        children = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
-        return own + sum(walk(child) for child in children)
-
-    return walk(df._jdf.queryExecution().executedPlan())
-
-
-def test_long_intervals_among_few_are_hardly_repeated(spark):
+def test_long_intervals_among_few_are_hardly_repeated(spark, shuffled):
     """Ranges follow the copies that they cost: 3,000 long intervals over 100 short ones are shuffled once and little more."""
     left = spark.range(3000).selectExpr("CAST(id AS INT) AS i", "'a' AS c", "id * 3000 AS ls", "id * 3000 + 1000000 AS le")
     right = spark.range(100).selectExpr("CAST(id AS INT) AS j", "'a' AS c", "CAST(id * 90000 AS INT) AS rs", "CAST(id * 90000 + 50 AS INT) AS re")
