@@ -169,3 +169,15 @@ def test_both_sides_are_shuffled_once_to_be_matched(spark, shuffled, rows):
     matched = match_variants(reported, raw, reference, 10, tolerance=2)
     assert [r.distance for r in matched.collect()] == [1] * 300
     assert 600 <= shuffled(matched) < 700
+
+
+def test_gaps_per_gene_shuffle_both_sides_once(spark, shuffled, rows):
+    reported = spark.range(300).selectExpr(
+        "id % 3 AS analysis_id", "'G' AS gene", "IF(id % 2 = 0, 'germline', 'somatic') AS origin", "1 AS chrom", "id * 5 + 3 AS pos", "'A' AS ref", "'C' AS alt"
+    )
+    raw = reported.selectExpr("analysis_id", "chrom", "pos + 1 AS pos", "ref", "alt", "IF(pos < 100, 0.75D, 0.5D) AS somatic_vaf", "0.25D AS germline_vaf")
+    reference = spark.createDataFrame([(1, 0, "ACGT")], "chrom int, chunk int, bases string")
+    gaps = vaf_gap(match_variants(reported, raw, reference, 10, tolerance=2))
+    assert rows(gaps) == [(0, "G", 0.5), (1, "G", 0.5), (2, "G", 0.5)]
+    gaps.collect()
+    assert 600 <= shuffled(gaps) < 800
