@@ -19,6 +19,7 @@ SPELLING = ("chrom", "pos", "ref", "alt")
 NORMAL = ("norm_pos", "removed", "inserted")
 WINDOW = 64
 PLACES_PER_BUCKET = 64
+ROWS_PER_TASK = 500_000
 INDEL = "((removed = '') <> (inserted = ''))"
 
 
@@ -168,8 +169,10 @@ def match_variants(
         F.explode(near).alias("__bucket"),
         *[F.col(name).alias(f"__{name}") for name in ("pos", "somatic_vaf", "germline_vaf")],
     )
-    # dealt before the columns that only sorting needs are added
-    met = wanted.unionByName(offered, allowMissingColumns=True).repartition(*place)
+    # dealt before the columns that only sorting needs are added, to so many tasks that none sorts on disk
+    least = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, (asked.count() + found.count()) // ROWS_PER_TASK)
+    met = wanted.unionByName(offered, allowMissingColumns=True).repartition(tasks, *place)
     gap = F.col("__somatic_vaf") - F.col("__germline_vaf")
     met = met.withColumns({"__no_gap": F.isnull(gap), "__gap": -gap})
     preferred_last = ["__asked", F.desc("__no_gap"), F.desc("__gap"), F.desc("__pos")]

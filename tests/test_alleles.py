@@ -181,3 +181,16 @@ def test_gaps_per_gene_shuffle_both_sides_once(spark, shuffled, rows):
     assert rows(gaps) == [(0, "G", 0.5), (1, "G", 0.5), (2, "G", 0.5)]
     gaps.collect()
     assert 600 <= shuffled(gaps) < 800
+
+
+def test_matching_tasks_follow_the_rows(spark, plan, monkeypatch):
+    """More rows are dealt to more tasks, whatever the session's number of shuffle partitions, so that none sorts on disk."""
+    from lociframe.operators import alleles
+
+    monkeypatch.setattr(alleles, "ROWS_PER_TASK", 50)
+    reported = spark.range(300).selectExpr("id % 7 AS analysis_id", "1 AS chrom", "id * 5 + 3 AS pos", "'A' AS ref", "'C' AS alt")
+    raw = reported.selectExpr("*", "0.5D AS somatic_vaf", "0.25D AS germline_vaf")
+    reference = spark.createDataFrame([(1, 0, "ACGT")], "chrom int, chunk int, bases string")
+    matched = match_variants(reported, raw, reference, 10)
+    assert ", 12), REPARTITION_BY_NUM" in plan(matched)
+    assert matched.filter("distance = 0").count() == 300
